@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import pieces, quality, rules, token_output
+from tidegate.llm import mixing, pieces, quality, rules, token_output
 from tidegate.llm._common import table
 
 
@@ -40,12 +40,17 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
         "op3_quality": op3_quality,
         "op4_pieces": op4_pieces,
         "op7_rules": op7_rules,
+        "op8_mixing": op8_mixing,
     }
 
 
