@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import mixing, pieces, quality, rules, token_output
+from tidegate.llm import html, mixing, pieces, quality, rules, token_output
 from tidegate.llm._common import table
 
 
@@ -29,6 +29,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.ledger(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": op1_token_output,
         "op3_quality": op3_quality,
         "op4_pieces": op4_pieces,
+        "op6_html": op6_html,
         "op7_rules": op7_rules,
         "op8_mixing": op8_mixing,
     }
