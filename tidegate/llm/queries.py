@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import html, mixing, pieces, quality, rules, token_output
+from tidegate.llm import fingerprints, html, mixing, pieces, quality, rules, token_output
 from tidegate.llm._common import table
 
 
@@ -48,6 +48,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html": op6_html,
         "op7_rules": op7_rules,
         "op8_mixing": op8_mixing,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
