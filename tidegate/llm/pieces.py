@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries of a worker's caches, which are emptied when full.
+#: Entries of a worker's caches. A full cache of cuts becomes the older one, from which
+#: entries that are met again come back; the cache of pairs is emptied when full.
 CACHE_ENTRIES = 400_000
 
 
@@ -65,6 +67,7 @@ class MergeEncoder:
         self.cuts = re.compile(f"[{apart}]|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, for short texts: pairs of tokens and single tokens."""
@@ -140,8 +143,9 @@ class MergeEncoder:
             found = known.get(cut)
             if found is None:
                 if len(known) >= CACHE_ENTRIES:
-                    known.clear()
-                found = known[cut] = self.unit(cut)
+                    self.older, self.known = known, {}
+                    known = self.known
+                found = known[cut] = self.older.get(cut) or self.unit(cut)
             out.append(found)
         return out
 
@@ -152,11 +156,17 @@ class MergeEncoder:
         return self.model.decode(ids)
 
 
+@cache
+def merge_encoder(path: str) -> MergeEncoder:
+    """One encoder for all tasks of a worker."""
+    return MergeEncoder(path)
+
+
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, end id included."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MergeEncoder(model)
+        encoder = merge_encoder(model)
         for batch in batches:
             texts = batch.column("text").fill_null("")
             for at in range(0, batch.num_rows, 512):
@@ -182,7 +192,7 @@ def token_lists(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     """doc_id, ids (with the end id) and decoded text of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MergeEncoder(model)
+        encoder = merge_encoder(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 ids = [[*encoder.encode(x or ""), encoder.end_id] for x in batch.column("text")[at : at + 64].to_pylist()]

@@ -25,6 +25,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -40,8 +41,9 @@ from tidegate.llm._common import shared_dir
 END_ID = 0
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
-#: Entries of a worker's cache of encoded text pieces; it is emptied when full.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's cache of encoded text pieces. A full cache becomes the older one,
+#: from which entries that are met again come back.
+CACHE_ENTRIES = 500_000
 
 # A piece is a run of white space and the run of other characters after it; a word's closing
 # signs make a piece of their own. In byte-level BPE pre-tokenisation no token spans the border
@@ -65,20 +67,31 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the wanted type."""
         pieces = [_PIECES.findall(x) for x in texts]
-        new = list(set(chain.from_iterable(pieces)).difference(self.known))
+        new = set(chain.from_iterable(pieces)).difference(self.known)
         if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = list(set(chain.from_iterable(pieces)))
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.older, self.known = self.known, {}
+            new = set(chain.from_iterable(pieces))
+        for piece in new & self.older.keys():
+            self.known[piece] = self.older[piece]
+            new.discard(piece)
+        fresh = list(new)
+        for piece, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             self.known[piece] = np.array(found.ids, self.dtype).tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
 
+@cache
+def piece_encoder(path: str, dtype: str) -> PieceEncoder:
+    """One encoder for all tasks of a worker."""
+    return PieceEncoder(path, dtype)
+
+
 def vocabulary_dtype(path: str) -> str:
     from tokenizers import Tokenizer
 
@@ -145,7 +158,7 @@ def write_tokens(docs: DataFrame, out_uri: str, tokenizer: str, end_id: int = EN
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         store, folder = _open(out_uri)
-        encoder, kind = PieceEncoder(tokenizer, dtype), np.dtype(dtype)
+        encoder, kind = piece_encoder(tokenizer, dtype), np.dtype(dtype)
         data = index = None
         n_docs = 0
         for batch in batches:
