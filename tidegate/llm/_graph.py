@@ -1,12 +1,16 @@
-"""Connected components of an edge table, by label passing with pointer jumping."""
+"""Links between nodes that share buckets, and connected components of links."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm._common import materialise
 
+STAR_ROUNDS = 4
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node it reaches) for every node of an edge.
@@ -26,3 +30,60 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if fresh.filter("was <> component").isEmpty():
             return fresh.select("node", "component")
         labels = fresh.select("node", "component")
+
+
+def _alike_in_size(n: str, m: str, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def bucket_links(
+    blocked: DataFrame, contents: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], percent: int
+) -> DataFrame | None:
+    """Confirmed links (a, b) from buckets; every connected group of confirmable pairs comes out connected.
+
+    blocked: key, node and n (its size) of each node in each bucket. contents
+    gives what is compared for a table of nodes, confirm adds ``linked`` to pairs
+    (a, b) given those contents; only pairs whose sizes allow ``percent`` of
+    similarity are asked for. None if no two nodes share a bucket.
+
+    A bucket proposes a star, its centre with every other member. Buckets that
+    then still hold more than one component propose further stars, with the
+    best-linked member as centre, and at last the pairs of members that lie in
+    different components and have not been compared. No cap is set on either.
+    """
+    shared = blocked.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    members = materialise(blocked.join(shared.select("key"), "key").select("key", "node", "n", F.array().cast("array<bigint>").alias("used")))
+    if members.isEmpty():
+        return None
+    held = contents(members.select("node").distinct())
+    tested = None
+    opened = members.withColumn("label", F.col("node")).withColumn("degree", F.lit(0).cast("long"))
+    for turn in range(STAR_ROUNDS + 1):
+        if turn < STAR_ROUNDS:
+            fit = F.when(~F.array_contains("used", F.col("node")), F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "label"))
+            centres = opened.groupBy("key").agg(F.max(fit).alias("hub")).filter("hub is not null")
+            starred = opened.join(centres, "key")
+            pairs = starred.filter((F.col("label") != F.col("hub.label")) & _alike_in_size("n", "hub.n", percent)).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+            members = materialise(starred.select("key", "node", "n", F.concat("used", F.array("hub.node")).alias("used")))
+        else:  # what the stars have left open: pairs across components, each compared at most once
+            left = opened.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+            right = opened.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+            pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _alike_in_size("n_a", "n_b", percent)).select("a", "b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        fresh = materialise(confirm(pairs, held)).groupBy("a", "b").agg(F.max("linked").alias("linked"))
+        tested = materialise(fresh if tested is None else tested.union(fresh))
+        if turn == STAR_ROUNDS:
+            break
+        found = tested.filter("linked")
+        ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        known = components(found).withColumnRenamed("component", "label").join(ends, "node")
+        placed = members.join(known, "node", "left").select(
+            "key", "node", "n", "used", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")
+        )
+        mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+        opened = materialise(placed.join(mixed.select("key"), "key"))
+        if opened.isEmpty():
+            break
+    return tested.filter("linked").select("a", "b")

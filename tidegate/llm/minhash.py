@@ -33,14 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm._common import materialise
-from tidegate.llm._graph import components
+from tidegate.llm._graph import bucket_links, components
 from tidegate.llm._words import chunks, mix, windows
 
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-STAR_ROUNDS = 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: For each bin, its own order of all bins: _RANK[i, j] is the place of bin j in it.
@@ -122,60 +121,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, linked of each pair, from the full sets."""
     other = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b")), "b")
     both = other.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("shingles_a")), "a")
-    tested = both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_compared, "a long, b long, linked boolean")
-    return materialise(tested)
-
-
-def _alike_in_size(n: str, m: str):
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_compared, "a long, b long, linked boolean")
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Confirmed links (a, b) between nodes (node, n_shingles, bands); None if no two nodes share a band."""
-    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-    members = materialise(banded.join(shared.select("key"), "key").select("key", "node", F.col("n_shingles").alias("n"), F.array().cast("array<bigint>").alias("used")))
-    if members.isEmpty():
-        return None
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialise(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"]))
-    tested = None
-    labels = None
-    opened = members.withColumn("label", F.col("node")).withColumn("degree", F.lit(0).cast("long"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            fit = F.when(~F.array_contains("used", F.col("node")), F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "label"))
-            centres = opened.groupBy("key").agg(F.max(fit).alias("hub")).filter("hub is not null")
-            starred = opened.join(centres, "key")
-            pairs = starred.filter((F.col("label") != F.col("hub.label")) & _alike_in_size("n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-            members = materialise(starred.select("key", "node", "n", F.concat("used", F.array("hub.node")).alias("used")))
-        else:  # what the stars have left open: pairs across components, each compared at most once
-            left = opened.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-            right = opened.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _alike_in_size("n_a", "n_b")).select("a", "b")
-        pairs = _ordered(pairs)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        fresh = _confirmed(pairs, sets).groupBy("a", "b").agg(F.max("linked").alias("linked"))
-        tested = materialise(fresh if tested is None else tested.union(fresh))
-        if turn == STAR_ROUNDS:
-            break
-        found = tested.filter("linked")
-        ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        labels = components(found)
-        known = labels.withColumnRenamed("component", "label").join(ends, "node")
-        placed = members.join(known, "node", "left").select(
-            "key", "node", "n", "used", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")
-        )
-        mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-        opened = materialise(placed.join(mixed.select("key"), "key"))
-        if opened.isEmpty():
-            break
-    return tested.filter("linked").select("a", "b")
+    banded = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        rows = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+        return materialise(rows.mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"]))
+
+    return bucket_links(banded, sets, _confirmed, PERCENT)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

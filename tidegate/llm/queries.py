@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import fingerprints, html, minhash, mixing, pieces, quality, rules, secret_scan, token_output
+from tidegate.llm import fingerprints, html, lines, minhash, mixing, pieces, quality, rules, secret_scan, token_output
 from tidegate.llm._common import table
 
 
@@ -33,6 +33,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op3_quality": op3_quality,
         "op4_pieces": op4_pieces,
+        "op5_lines": op5_lines,
         "op6_html": op6_html,
         "op7_rules": op7_rules,
         "op8_mixing": op8_mixing,
