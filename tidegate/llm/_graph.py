@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -36,26 +37,49 @@ def _alike_in_size(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def bucket_links(
-    blocked: DataFrame, contents: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], percent: int
-) -> DataFrame | None:
+def _table(df: DataFrame, key: str) -> str:
+    """Writes the distinct rows as a table of the warehouse bucketed by ``key``, so that joins on it move the other side alone; its name."""
+    spark = df.sparkSession
+    name, buckets = f"held_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).dropDuplicates().write.bucketBy(buckets, key).saveAsTable(name)
+    return name
+
+
+def _faced(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """hub, member, and the contents of both, with suffixes _a and _b.
+
+    Contents of members, each needed about once, are joined where their bucket
+    lies. Only then do they meet their hubs, whose contents are looked up once
+    each; a hub with very many members is split by adaptive execution.
+    """
+    columns = [c for c in held.columns if c != "node"]
+    side = {s: [F.col(c).alias(f"{c}_{s}") for c in columns] for s in "ab"}
+    members = pairs.join(held.select(F.col("node").alias("member"), *side["b"]), "member")
+    hubs = pairs.select("hub").distinct().join(held.select(F.col("node").alias("hub"), *side["a"]), "hub")
+    return members.join(hubs, "hub")
+
+
+def bucket_links(blocked: DataFrame, contents: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
     """Confirmed links (a, b) from buckets; every connected group of confirmable pairs comes out connected.
 
     blocked: key, node and n (its size) of each node in each bucket. contents
-    gives what is compared for a table of nodes, confirm adds ``linked`` to pairs
-    (a, b) given those contents; only pairs whose sizes allow ``percent`` of
-    similarity are asked for. None if no two nodes share a bucket.
+    gives ``node`` and the columns that are compared for a table of nodes; linked
+    turns (hub, member, contents of both) into (hub, member, linked). Only pairs
+    whose sizes allow ``percent`` of similarity are asked for. None if no two
+    nodes share a bucket.
 
     A bucket proposes a star, its centre with every other member. Buckets that
     then still hold more than one component propose further stars, with the
     best-linked member as centre, and at last the pairs of members that lie in
     different components and have not been compared. No cap is set on either.
     """
+    spark = blocked.sparkSession
     shared = blocked.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
     members = materialise(blocked.join(shared.select("key"), "key").select("key", "node", "n", F.array().cast("array<bigint>").alias("used")))
     if members.isEmpty():
         return None
-    held = contents(members.select("node").distinct())
+    name = _table(contents(members.select("node").distinct()), "node")
+    held = spark.table(name)
     tested = None
     opened = members.withColumn("label", F.col("node")).withColumn("degree", F.lit(0).cast("long"))
     for turn in range(STAR_ROUNDS + 1):
@@ -63,27 +87,31 @@ def bucket_links(
             fit = F.when(~F.array_contains("used", F.col("node")), F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "label"))
             centres = opened.groupBy("key").agg(F.max(fit).alias("hub")).filter("hub is not null")
             starred = opened.join(centres, "key")
-            pairs = starred.filter((F.col("label") != F.col("hub.label")) & _alike_in_size("n", "hub.n", percent)).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+            pairs = starred.filter((F.col("label") != F.col("hub.label")) & _alike_in_size("n", "hub.n", percent)).select(F.col("hub.node").alias("hub"), F.col("node").alias("member"))
             members = materialise(starred.select("key", "node", "n", F.concat("used", F.array("hub.node")).alias("used")))
         else:  # what the stars have left open: pairs across components, each compared at most once
-            left = opened.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-            right = opened.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _alike_in_size("n_a", "n_b", percent)).select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            left = opened.select("key", F.col("node").alias("hub"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+            right = opened.select("key", F.col("node").alias("member"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+            pairs = left.join(right, "key").filter((F.col("hub") < F.col("member")) & (F.col("label_a") != F.col("label_b")) & _alike_in_size("n_a", "n_b", percent)).select("hub", "member")
+        ordered = pairs.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), (F.col("hub") > F.col("member")).alias("flip"))
+        fresh = ordered.groupBy("a", "b").agg(F.min("flip").alias("flip"))
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        fresh = materialise(confirm(pairs, held)).groupBy("a", "b").agg(F.max("linked").alias("linked"))
-        tested = materialise(fresh if tested is None else tested.union(fresh))
+            fresh = fresh.join(tested, ["a", "b"], "left_anti")
+        ends = [F.when(F.col("flip"), F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a", "b", "hub"), ("b", "a", "member"))]
+        judged = linked(_faced(materialise(fresh.select(*ends)), held))
+        known = judged.groupBy(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).agg(F.max("linked").alias("linked"))
+        tested = materialise(known if tested is None else tested.union(known))
         if turn == STAR_ROUNDS:
             break
         found = tested.filter("linked")
-        ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        known = components(found).withColumnRenamed("component", "label").join(ends, "node")
-        placed = members.join(known, "node", "left").select(
+        degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        labels = components(found).withColumnRenamed("component", "label").join(degrees, "node")
+        placed = members.join(labels, "node", "left").select(
             "key", "node", "n", "used", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")
         )
         mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
         opened = materialise(placed.join(mixed.select("key"), "key"))
         if opened.isEmpty():
             break
+    spark.sql(f"DROP TABLE {name}")
     return tested.filter("linked").select("a", "b")

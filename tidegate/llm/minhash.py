@@ -102,7 +102,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             found = [own.tobytes() for own in shingle_sets(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["node", "shingles"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +114,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both.sort()
             shared = int(np.count_nonzero(both[1:] == both[:-1]))
             linked.append(100 * shared >= PERCENT * (len(both) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, linked of each pair, from the full sets."""
-    other = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b")), "b")
-    both = other.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("shingles_a")), "a")
-    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_compared, "a long, b long, linked boolean")
+        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("member"), pa.array(linked, pa.bool_())], ["hub", "member", "linked"])
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -130,9 +123,12 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
 
     def sets(wanted: DataFrame) -> DataFrame:
         rows = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-        return materialise(rows.mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"]))
+        return rows.mapInArrow(_sets, "node long, shingles binary")
+
+    def linked(faced: DataFrame) -> DataFrame:
+        return faced.select("hub", "member", "shingles_a", "shingles_b").mapInArrow(_compared, "hub long, member long, linked boolean")
 
-    return bucket_links(banded, sets, _confirmed, PERCENT)
+    return bucket_links(banded, sets, linked, PERCENT)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
