@@ -67,7 +67,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dealt = rows.withColumn("bucket", range_bucket(F.col("doc_id"), bounds))
     # The first row of each bucket: ids first, then the texts of those few ids.
     heads = rows.select("doc_id").withColumn("bucket", range_bucket(F.col("doc_id"), bounds)).groupBy("bucket").agg(F.max("doc_id").alias("head_id"))
-    texts = dealt.withColumnRenamed("bucket", "head_bucket").join(heads, (F.col("bucket") == F.col("head_bucket")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
+    # At most MOST_BUCKETS rows of two numbers, a megabyte: the texts are not moved for them.
+    texts = dealt.withColumnRenamed("bucket", "head_bucket").join(F.broadcast(heads), (F.col("bucket") == F.col("head_bucket")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
     first = texts.groupBy("bucket").agg(F.min("text").alias("text"))
     down = Window.orderBy(F.col("bucket").desc())  # over at most MOST_BUCKETS rows
     wrap = F.first("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -95,47 +96,55 @@ def edited(text: Column, n_chars: Column, next_text: Column) -> Column:
 
 
 def signatures(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """bucket, place and both samples of each row that has words on either side (arrays; null without words)."""
+    """bucket, place, ``told`` (a struct) and both samples of each row (arrays; null for a side without words).
+
+    What is told of a row goes through the aggregations beside its words, as a
+    term that weighs nothing, so that the texts are moved once.
+    """
     keep = F.col("n_chars") - F.expr("n_chars div 2").cast("int")
     # Words before the cut belong to both texts and are sent once.
     shared = F.regexp_extract(F.substring("text", F.lit(1), keep), r"^[\s\S]*[\x20\x09-\x0D]", 0)
-    cut = rows.select("bucket", "place", "text", "n_chars", "next_text", keep.alias("keep"), shared.alias("shared"))
+    cut = rows.select("bucket", "place", "text", "n_chars", "next_text", "told", keep.alias("keep"), shared.alias("shared"))
     start = F.length("shared") + 1
+    nothing = F.when(F.lit(False), F.col("told"))
     parts = cut.select(
         "bucket",
         "place",
         F.inline(
             F.array(
                 *[
-                    F.struct(part.alias("words"), F.lit(own).alias("own"), F.lit(new).alias("new"))
-                    for part, own, new in (
-                        (F.col("shared"), 1, 1),
-                        (F.substring("text", start, F.col("n_chars")), 1, 0),
-                        (F.concat(F.substring("text", start, F.col("keep") - start + 1), F.substring("next_text", F.lit(1), F.col("n_chars") - F.col("keep"))), 0, 1),
+                    F.struct(part.alias("words"), F.lit(own).alias("own"), F.lit(new).alias("new"), told.alias("told"))
+                    for part, own, new, told in (
+                        (F.lit("-"), 0, 0, F.col("told")),
+                        (F.col("shared"), 1, 1, nothing),
+                        (F.substring("text", start, F.col("n_chars")), 1, 0, nothing),
+                        (F.concat(F.substring("text", start, F.col("keep") - start + 1), F.substring("next_text", F.lit(1), F.col("n_chars") - F.col("keep"))), 0, 1, nothing),
                     )
                 ]
             )
         ),
     )
-    words = parts.select("bucket", "place", "own", "new", F.explode(F.split("words", WORD_GAP)).alias("word")).filter("word <> ''")
-    terms = words.groupBy("bucket", "place", F.xxhash64("word").alias("term")).agg(F.sum("own").alias("own"), F.sum("new").alias("new"))
+    words = parts.select("bucket", "place", "told", "own", "new", F.explode(F.split("words", WORD_GAP)).alias("word")).filter("word <> ''")
+    terms = words.groupBy("bucket", "place", "told", F.xxhash64("word").alias("term")).agg(F.sum("own").alias("own"), F.sum("new").alias("new"))
     sides = ("own", "new")
     logs = [F.log(F.col(side).cast("double")).alias(f"ln_{side}") for side in sides]
     # Samples are drawn in chunks of CHUNK columns: generated code of all at once would be too large to be compiled well.
-    chunked = terms.select("*", *logs, F.explode(F.array(*[F.lit(c) for c in range(samples // CHUNK)])).alias("chunk"))
-    wide = chunked.select("bucket", "place", "chunk", *sides, *[f"ln_{side}" for side in sides], *[column for k in range(CHUNK) for column in drawn(k)])
-    least = wide.groupBy("bucket", "place", "chunk").agg(*[F.min(sample(k, side)).alias(f"{side}{k}") for side in sides for k in range(CHUNK)])
+    chunks = F.array(*[F.lit(c) for c in range(samples // CHUNK)])
+    chunked = terms.select("*", *logs, F.explode(F.when(F.col("told").isNull(), chunks).otherwise(F.array(F.lit(0)))).alias("chunk"))
+    wide = chunked.select("bucket", "place", "told", "chunk", *sides, *[f"ln_{side}" for side in sides], *[column for k in range(CHUNK) for column in drawn(k)])
+    least = wide.groupBy("bucket", "place", "told", "chunk").agg(*[F.min(sample(k, side)).alias(f"{side}{k}") for side in sides for k in range(CHUNK)])
 
     def four(side: str) -> Column:
         return F.array(*[F.col(f"{side}{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(CHUNK)])
 
-    listed = least.groupBy("bucket", "place").agg(F.sort_array(F.collect_list(F.struct("chunk", *[four(side).alias(side) for side in sides]))).alias("parts"))
+    sampled = F.when(F.col("told").isNull(), F.struct("chunk", *[four(side).alias(side) for side in sides]))
+    listed = least.groupBy("bucket", "place").agg(F.sort_array(F.collect_list(sampled)).alias("parts"), F.max("told").alias("told"))
 
     def joined(side: str) -> Column:
         whole = F.flatten(F.col(f"parts.{side}"))
         return F.when(F.get(whole, F.lit(0)).isNotNull(), whole).alias(side)
 
-    return listed.select("bucket", "place", *[joined(side) for side in sides])
+    return listed.select("bucket", "place", "told", *[joined(side) for side in sides])
 
 
 def likeness(a: str, b: str, samples: int) -> Column:
@@ -150,8 +159,9 @@ def written(samples: str) -> Column:
 def fingerprint(docs: DataFrame, samples: int = SAMPLES, **columns: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each document."""
     rows = neighbours(docs, **columns)
-    told = rows.select("bucket", "place", "doc_id", "n_chars", F.sha2(edited(F.col("text"), F.col("n_chars"), F.col("next_text")), 256).alias("edited_sha256"), "next_bucket", "next_place")
-    made = materialise(told.join(signatures(rows, samples), ["bucket", "place"], "left"))
+    digest = F.sha2(edited(F.col("text"), F.col("n_chars"), F.col("next_text")), 256)
+    told = F.struct("doc_id", "n_chars", digest.alias("edited_sha256"), "next_bucket", "next_place")
+    made = materialise(signatures(rows.withColumn("told", told), samples).select("bucket", "place", "told.*", "own", "new"))
     nexts = made.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("own").alias("next_own"))
     return made.join(nexts, ["next_bucket", "next_place"], "left").select(
         "doc_id",
