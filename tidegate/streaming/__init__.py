@@ -1,0 +1,26 @@
+"""Transforms and row checks over streams: the same projections, with nothing kept between batches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from tidegate.operators.validate import checked
+from tidegate.plans.spec import MappingSpec
+from tidegate.schema import TargetSchema
+
+
+def write_checked(landed: DataFrame, spec: MappingSpec, schema: TargetSchema, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Valid and rejected rows of a stream of landed rows, as Parquet by batch.
+
+    Uniqueness is judged within a batch. A batch that is repeated after a failure
+    replaces its own folder, so every row is written once.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = checked(batch, spec, schema).persist()
+        rows.filter("size(problems) = 0").drop("problems").write.mode("overwrite").parquet(f"{folder}/valid/epoch={epoch}")
+        rows.filter("size(problems) > 0").write.mode("overwrite").parquet(f"{folder}/rejected/epoch={epoch}")
+        rows.unpersist()
+
+    return landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
