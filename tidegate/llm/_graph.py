@@ -1,4 +1,4 @@
-"""Links between nodes that share buckets, and connected components of links."""
+"""Connected components of links, and of nodes that share buckets and are confirmed to be alike."""
 
 from __future__ import annotations
 
@@ -59,59 +59,67 @@ def _faced(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return members.join(hubs, "hub")
 
 
-def bucket_links(blocked: DataFrame, contents: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
-    """Confirmed links (a, b) from buckets; every connected group of confirmable pairs comes out connected.
+def bucket_components(blocked: DataFrame, contents: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
+    """node, component (the smallest node of its connected group) of nodes that share buckets; None if there are none.
 
     blocked: key, node and n (its size) of each node in each bucket. contents
     gives ``node`` and the columns that are compared for a table of nodes; linked
     turns (hub, member, contents of both) into (hub, member, linked). Only pairs
-    whose sizes allow ``percent`` of similarity are asked for. None if no two
-    nodes share a bucket.
-
-    A bucket proposes a star, its centre with every other member. Buckets that
-    then still hold more than one component propose further stars, with the
-    best-linked member as centre, and at last the pairs of members that lie in
-    different components and have not been compared. No cap is set on either.
+    whose sizes allow ``percent`` of similarity are asked for.
+
+    A bucket proposes a star, its centre with every other member of another
+    component. The centre, then compared with all, leaves the bucket, and so do
+    buckets that hold one component only. Further stars have the best-linked
+    member as centre. What STAR_ROUNDS stars have left open are compared as pairs
+    of members of different components. No cap is set on either, and no pair is
+    compared twice.
     """
     spark = blocked.sparkSession
     shared = blocked.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-    members = materialise(blocked.join(shared.select("key"), "key").select("key", "node", "n", F.array().cast("array<bigint>").alias("used")))
-    if members.isEmpty():
+    opened = materialise(
+        blocked.join(shared.select("key"), "key").select("key", "node", "n", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree")).distinct()
+    )
+    if opened.isEmpty():
         return None
-    name = _table(contents(members.select("node").distinct()), "node")
+    nodes = materialise(opened.select("node").distinct())
+    name = _table(contents(nodes), "node")
     held = spark.table(name)
+    labels = nodes.select("node", F.col("node").alias("component"))
     tested = None
-    opened = members.withColumn("label", F.col("node")).withColumn("degree", F.lit(0).cast("long"))
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
-            fit = F.when(~F.array_contains("used", F.col("node")), F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "label"))
-            centres = opened.groupBy("key").agg(F.max(fit).alias("hub")).filter("hub is not null")
+            centres = opened.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "label")).alias("hub"))
             starred = opened.join(centres, "key")
-            pairs = starred.filter((F.col("label") != F.col("hub.label")) & _alike_in_size("n", "hub.n", percent)).select(F.col("hub.node").alias("hub"), F.col("node").alias("member"))
-            members = materialise(starred.select("key", "node", "n", F.concat("used", F.array("hub.node")).alias("used")))
-        else:  # what the stars have left open: pairs across components, each compared at most once
-            left = opened.select("key", F.col("node").alias("hub"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-            right = opened.select("key", F.col("node").alias("member"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            pairs = left.join(right, "key").filter((F.col("hub") < F.col("member")) & (F.col("label_a") != F.col("label_b")) & _alike_in_size("n_a", "n_b", percent)).select("hub", "member")
-        ordered = pairs.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), (F.col("hub") > F.col("member")).alias("flip"))
-        fresh = ordered.groupBy("a", "b").agg(F.min("flip").alias("flip"))
+            chosen = starred.select(F.col("hub.node").alias("hub"), F.col("node").alias("member"), F.col("hub.label").alias("of_hub"), F.col("label").alias("of_member"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
+            opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "label", "degree")
+        else:
+            left = opened.select("key", F.col("node").alias("hub"), F.col("n"), F.col("label").alias("of_hub"))
+            right = opened.select("key", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"))
+            chosen = left.join(right, "key").filter(F.col("hub") < F.col("member"))
+        fitting = chosen.filter((F.col("of_hub") != F.col("of_member")) & _alike_in_size("n", "m", percent))
+        turned = F.col("hub") > F.col("member")
+        ordered = fitting.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), turned.alias("turned"), F.least("of_hub", "of_member").alias("x"), F.greatest("of_hub", "of_member").alias("y"))
+        pairs = ordered.groupBy("a", "b", "x", "y").agg(F.min("turned").alias("turned"))
         if tested is not None:
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        ends = [F.when(F.col("flip"), F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in (("a", "b", "hub"), ("b", "a", "member"))]
-        judged = linked(_faced(materialise(fresh.select(*ends)), held))
-        known = judged.groupBy(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).agg(F.max("linked").alias("linked"))
-        tested = materialise(known if tested is None else tested.union(known))
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        ends = [F.when(F.col("turned"), F.col(p)).otherwise(F.col(q)).alias(end) for p, q, end in (("b", "a", "hub"), ("a", "b", "member"))]
+        found = linked(_faced(pairs.select(*ends), held)).filter("linked").select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).distinct()
+        links = materialise(pairs.select("a", "b", "x", "y").join(found, ["a", "b"], "left_semi"))
+        done = pairs.select("a", "b")
+        tested = done if tested is None else tested.union(done)
+        if not links.isEmpty():
+            joined = components(links, "x", "y").select(F.col("node").alias("label"), F.col("component").alias("joined"))
+            labels = materialise(labels.withColumnRenamed("component", "label").join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component")))
         if turn == STAR_ROUNDS:
             break
-        found = tested.filter("linked")
-        degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        labels = components(found).withColumnRenamed("component", "label").join(degrees, "node")
-        placed = members.join(labels, "node", "left").select(
-            "key", "node", "n", "used", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")
-        )
-        mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-        opened = materialise(placed.join(mixed.select("key"), "key"))
+        if not links.isEmpty():
+            degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
+            placed = opened.join(joined, "label", "left").join(degrees, "node", "left")
+            opened = placed.select("key", "node", "n", F.coalesce("joined", "label").alias("label"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree"))
+        mixed = opened.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+        opened = materialise(opened.join(mixed.select("key"), "key"))
         if opened.isEmpty():
             break
     spark.sql(f"DROP TABLE {name}")
-    return tested.filter("linked").select("a", "b")
+    return labels

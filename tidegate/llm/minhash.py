@@ -9,9 +9,8 @@
   proposes a star, its centre with every other member, and each proposed pair is
   confirmed on the full sets.
 * Stars alone can lose links between two members of which neither is the centre.
-  So buckets that still hold more than one component propose further stars, with
-  the best-linked member as centre, and at last the pairs of members that lie in
-  different components and have not been compared. No cap is set on either.
+  So buckets that still hold more than one component propose further stars, and
+  at last the pairs of members of different components (see bucket_components).
 
 Pairs at the threshold of 0.85 meet in no bucket with a probability of 3e-7, more
 similar ones less often.
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm._common import materialise
-from tidegate.llm._graph import bucket_links, components
+from tidegate.llm._graph import bucket_components, components
 from tidegate.llm._words import chunks, mix, windows
 
 WORDS = 5
@@ -117,8 +116,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("member"), pa.array(linked, pa.bool_())], ["hub", "member", "linked"])
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Confirmed links (a, b) between nodes (node, n_shingles, bands); None if no two nodes share a band."""
+def alike(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """node, component of nodes (node, n_shingles, bands) that share bands; None if no two do."""
     banded = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
 
     def sets(wanted: DataFrame) -> DataFrame:
@@ -128,7 +127,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     def linked(faced: DataFrame) -> DataFrame:
         return faced.select("hub", "member", "shingles_a", "shingles_b").mapInArrow(_compared, "hub long, member long, linked boolean")
 
-    return bucket_links(banded, sets, linked, PERCENT)
+    return bucket_components(banded, sets, linked, PERCENT)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,9 +140,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         filled.join(classes, ["set_one", "set_two"]).select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"))
     )
     nodes = tagged.filter("bands is not null").select("node", "n_shingles", "bands").distinct()
-    edges = tagged.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = links(nodes, rows)
-    labels = components(edges if found is None else edges.union(found)).select(F.col("node").alias("doc_id"), "component")
+    grouped = alike(nodes, rows)
+    placed = tagged.select("doc_id", "node")
+    if grouped is not None:
+        placed = placed.join(grouped, "node", "left").select("doc_id", F.coalesce("component", "node").alias("node"))
+    placed = materialise(placed.distinct())
+    # An id whose rows lie in several components joins them.
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("doc_id", "a")
+    across = materialise(placed.join(several, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")))
+    labels = placed.groupBy("doc_id").agg(F.min("node").alias("component"))
+    if not across.isEmpty():
+        joined = components(across).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        labels = labels.join(joined, "component", "left").select("doc_id", F.coalesce("joined", "component").alias("component"))
     by_doc = sketch.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return by_doc.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
