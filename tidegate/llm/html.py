@@ -26,9 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import html
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -45,6 +45,8 @@ COMMON_SHARE = 0.6
 LEAST_IMPORTANCE = 0.15
 #: The share of a path's own texts in its importance, against its child sequences.
 DAMPING = 0.9
+#: Entries of site style trees that are sent to all tasks at most.
+SENT_ENTRIES = 100_000
 #: Blocks of common branches are counted in so many parts before they meet.
 SALTS = 16
 
@@ -206,6 +208,12 @@ def host(url: str | None) -> str:
         return ""
 
 
+@lru_cache(maxsize=1 << 16)
+def path_digest(path: str) -> int:
+    """The digest of a path; the paths of a site's templates are met on every page."""
+    return digest(path)
+
+
 def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -239,9 +247,9 @@ def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 name, own, root = host(url), digest(page), parse(page)
                 for path, kinds in _style(root).items():
-                    rows.add((name, own, 0, digest(path), digest(kinds)))
+                    rows.add((name, own, 0, path_digest(path), path_digest(kinds)))
                 for owner, text in blocks(root):
-                    rows.add((name, own, 1, digest(owner[-1].path if owner else ""), digest(text)))
+                    rows.add((name, own, 1, path_digest(owner[-1].path if owner else ""), digest(text)))
             if rows:
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -288,7 +296,7 @@ def importance(node: Node, tree: dict[int, tuple]) -> float:
     """Composite importance of an element: 0 for what it announces to be no content, else from its entropies."""
     if node.dull:
         return 0.0
-    known = tree.get(digest(node.path))
+    known = tree.get(path_digest(node.path))
     if known is None:
         return 1.0
     presentation, content, _ = known
@@ -314,7 +322,7 @@ def main_text(page: str | None, tree: dict[int, tuple]) -> str:
     for owner, text in blocks(root):
         if any(light(n) for n in owner):
             continue
-        known = tree.get(digest(owner[-1].path)) if owner else None
+        known = tree.get(path_digest(owner[-1].path)) if owner else None
         if known and known[2] and digest(text) in known[2]:
             continue
         kept.append((owner, text))
@@ -326,17 +334,46 @@ def main_text(page: str | None, tree: dict[int, tuple]) -> str:
     return "\n".join(text for _, text in kept)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+Tree = dict[int, tuple[float | None, float | None, frozenset[int]]]
+
+
+def _as_tree(rows: list) -> Tree:
+    return {x["path"]: (x["presentation"], x["content"], frozenset(x["common"] or ())) for x in rows}
+
+
+def _extracted(batches: Iterator[pa.RecordBatch], tree_of: Callable[[pa.RecordBatch], Iterator[Tree]]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            found = [main_text(page, tree) for page, tree in zip(part.column("html").to_pylist(), tree_of(part))]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"]
+            )
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sent_entries: int = SENT_ENTRIES) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page.
 
-    A host's tree reaches the pages through a join on the host, on a hashed part
-    of the host's pages each, so that a host with most pages is not one task. The
-    tree of one host is bounded by its templates (paths), not by its pages.
+    Of the trees only the paths of low importance and those with common blocks
+    matter. Up to sent_entries of them (some megabytes, counted before) are sent to
+    all tasks and no page is moved. Beyond that they reach the pages through a
+    join on the host, on a hashed part of the host's pages each, so that a host
+    with most pages is not one task.
     """
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    tree = materialise(site_style_tree(named))
+    tree = site_style_tree(named)
     composite = (1 - DAMPING) * F.coalesce("presentation", F.lit(0.0)) + DAMPING * F.col("content")
-    telling = tree.filter((composite < LEAST_IMPORTANCE) | F.col("common").isNotNull())  # any other path is important
+    telling = materialise(tree.filter((composite < LEAST_IMPORTANCE) | F.col("common").isNotNull()))  # any other path is important
+    types = dict(named.dtypes)
+    out = f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long"
+    entries = telling.agg(F.sum(1 + F.coalesce(F.size("common"), F.lit(0)))).first()[0] or 0
+    if entries <= sent_entries:
+        trees: dict[str, list] = {}
+        for row in telling.collect():
+            trees.setdefault(row["host"], []).append(row)
+        sent = pages.sparkSession.sparkContext.broadcast({name: _as_tree(rows) for name, rows in trees.items()})
+        return named.mapInArrow(lambda batches: _extracted(batches, lambda part: (sent.value.get(host(u), {}) for u in part.column("url").to_pylist())), out)
+
     listed = telling.groupBy("host").agg(F.collect_list(F.struct("path", "presentation", "content", "common")).alias("tree"))
     spread = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
@@ -346,26 +383,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 [*batch.columns, pa.array([host(u) for u in batch.column("url").to_pylist()], pa.string())], ["page_id", "url", "html", "host"]
             )
 
-    types = dict(named.dtypes)
+    def given(part: pa.RecordBatch) -> Iterator[Tree]:
+        last, tree = None, {}
+        for x in part.column("tree"):
+            if not x.is_valid:
+                last, tree = None, {}
+            elif last is None or not x.equals(last):
+                last, tree = x, _as_tree(x.as_py())
+            yield tree
+
     placed = named.mapInArrow(hosts, f"page_id {types['page_id']}, url {types['url']}, html {types['html']}, host string")
     placed = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = placed.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "tree")
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree = None, {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                found = []
-                for page, given in zip(part.column("html").to_pylist(), part.column("tree")):
-                    if not given.is_valid:
-                        tree, last = {}, None
-                    elif last is None or not given.equals(last):
-                        last = given
-                        tree = {x["path"]: (x["presentation"], x["content"], frozenset(x["common"] or ())) for x in given.as_py()}
-                    found.append(main_text(page, tree))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"]
-                )
-
-    return joined.mapInArrow(texts, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+    return joined.mapInArrow(lambda batches: _extracted(batches, given), out)
