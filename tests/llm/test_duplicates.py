@@ -103,14 +103,14 @@ def left_by_brute_force(spark, rows):
     occurrences = [(d, i, tuple(normal(x))) for d, t in sorted(rows) if t is not None for i, x in enumerate(t.split("\n")) if len(normal(x)) >= 5]
     classes = list(dict.fromkeys(o[2] for o in occurrences))
     words = sorted({w for c in classes for w in c})
-    hashed = spark.createDataFrame([(w,) for w in words], "w string").withColumn("s", F.xxhash64("w")).withColumn("r", F.xxhash64("s")).collect()
-    bits = {h.w: [h.s >> i & 1 for i in range(64)] + [h.r >> 16 * lane + i & 1 for lane in range(4) for i in range(8)] for h in hashed}
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").withColumn("s", F.xxhash64("w")).collect()
+    bits = {h.w: [h.s >> i & 1 for i in range(64)] for h in hashed}
     buckets = defaultdict(set)
     for k, c in enumerate(classes):
         sums = [sum(x) for x in zip(*(bits[w] for w in c))]
         sim = [2 * x > len(c) for x in sums]
-        blocks = [tuple(sim[16 * b : 16 * b + 16]) for b in range(6)]
-        for i in range(6):
+        blocks = [tuple(sim[16 * b : 16 * b + 16]) for b in range(4)]
+        for i in range(4):
             for j in range(i):
                 buckets[i, j, blocks[i], blocks[j]].add(k)
     pairs = {(a, b) for group in buckets.values() for a in group for b in group if a < b}
