@@ -35,6 +35,7 @@ CHUNK = 4
 #: Documents of neighbouring ids that are worked on together, and the most such buckets.
 BUCKET_ROWS = 256
 MOST_BUCKETS = 1 << 16
+TASK_BYTES = 4 << 20
 
 
 def _unit(bits: Column, width: int) -> Column:
@@ -63,7 +64,8 @@ def sample(k: int, side: str) -> Column:
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket, place, doc_id, text, n_chars, next_text, next_bucket, next_place of each document, in descending order of ids."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = range_bounds(rows, "doc_id", min(MOST_BUCKETS, rows.count() // BUCKET_ROWS + 1))
+    told = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    bounds = range_bounds(rows, "doc_id", min(MOST_BUCKETS, told.rows // BUCKET_ROWS + 1))
     dealt = rows.withColumn("bucket", range_bucket(F.col("doc_id"), bounds))
     # The first row of each bucket: ids first, then the texts of those few ids.
     heads = rows.select("doc_id").withColumn("bucket", range_bucket(F.col("doc_id"), bounds)).groupBy("bucket").agg(F.max("doc_id").alias("head_id"))
@@ -75,6 +77,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = heads.select(F.col("bucket").alias("bucket"), F.coalesce(F.lead("bucket").over(down), wrap).alias("origin"))
     guests = links.join(first.withColumnRenamed("bucket", "origin"), "origin").select(F.lit(None).cast("long").alias("doc_id"), "text", "bucket", "origin", F.lit(True).alias("guest"))
     both = dealt.select("doc_id", "text", "bucket", F.col("bucket").alias("origin"), F.lit(False).alias("guest")).unionByName(guests)
+    # A task counts the terms of about TASK_BYTES of text, whatever the size of the whole.
+    both = both.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), told.bytes // TASK_BYTES + 1), "bucket")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     ordered = both.select(
         "bucket",
