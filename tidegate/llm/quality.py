@@ -28,8 +28,8 @@ from tidegate.llm._words import Chunk, chunks, mix
 BUCKETS = 1 << 18
 #: At most so many labelled rows are learned from: those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 12_000
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.05
 
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
