@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm import lines, minhash
+from tidegate.llm import _graph, lines, minhash
 
 DOCS = "doc_id long, text string"
 SF = "/root/testdata/sf0.01"
@@ -49,7 +49,9 @@ def near_by_brute_force(rows):
     return {(d, len(sets[d]), labels[d], labels[d] == d) for d in ids}
 
 
-def test_near_duplicates_on_all_documents(spark):
+@pytest.mark.parametrize("stars", [0, _graph.STAR_ROUNDS])
+def test_near_duplicates_on_all_documents(spark, monkeypatch, stars):
+    monkeypatch.setattr(_graph, "STAR_ROUNDS", stars)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = {tuple(r) for r in minhash.near_duplicates(docs).collect()}
     assert found == near_by_brute_force(docs.select("doc_id", "text").collect())
@@ -125,7 +127,9 @@ def left_by_brute_force(spark, rows):
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}, len(links)
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("stars", [0, _graph.STAR_ROUNDS])
+def test_lines_against_brute_force(spark, monkeypatch, stars):
+    monkeypatch.setattr(_graph, "STAR_ROUNDS", stars)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60).collect()
     rng = random.Random(1)
     rows = [tuple(r) for r in docs] + [(1000, None), (1001, ""), (1002, "\n\n"), (1003, "a b c d\na b c d")]

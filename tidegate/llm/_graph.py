@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegate.llm._common import materialise
 
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -59,20 +59,47 @@ def _faced(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return members.join(hubs, "hub")
 
 
-def bucket_components(blocked: DataFrame, contents: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
+def _prefix_pairs(opened: DataFrame, tokens: DataFrame) -> DataFrame:
+    """hub, n, of_hub, member, m, of_member: the pairs of different components that can be alike at all.
+
+    opened: node, n, label. tokens: node, slack and its distinct tokens, of which
+    any node that is alike shares all but ``slack``, and one at least. So if the
+    tokens of all nodes are put in one order, two nodes that are alike share one of
+    their first slack + 1 tokens each. The order is by rarity, so what most nodes of
+    a group share comes last, and single changes of copies come first.
+    """
+    each = opened.join(tokens, "node").select("node", "n", "label", "slack", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = each.join(counts, "token").groupBy("node", "n", "label", "slack").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    first = materialise(ranked.select("node", "n", "label", F.explode(F.slice(F.col("tokens.token"), F.lit(1), F.col("slack") + 1)).alias("token")))
+    mixed = first.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    met = materialise(first.join(mixed.select("token"), "token"))
+    left = met.select("token", F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"))
+    right = met.select("token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"))
+    return left.join(right, "token").filter("hub < member and of_hub <> of_member").drop("token")
+
+
+def bucket_components(
+    blocked: DataFrame,
+    contents: Callable[[DataFrame], DataFrame],
+    linked: Callable[[DataFrame], DataFrame],
+    tokens: Callable[[DataFrame], DataFrame],
+    percent: int,
+) -> DataFrame | None:
     """node, component (the smallest node of its connected group) of nodes that share buckets; None if there are none.
 
     blocked: key, node and n (its size) of each node in each bucket. contents
     gives ``node`` and the columns that are compared for a table of nodes; linked
-    turns (hub, member, contents of both) into (hub, member, linked). Only pairs
-    whose sizes allow ``percent`` of similarity are asked for.
+    turns (hub, member, contents of both) into (hub, member, linked); tokens turns
+    contents into node, slack and tokens (see _prefix_pairs). Only pairs whose
+    sizes allow ``percent`` of similarity are asked for.
 
     A bucket proposes a star, its centre with every other member of another
     component. The centre, then compared with all, leaves the bucket, and so do
     buckets that hold one component only. Further stars have the best-linked
-    member as centre. What STAR_ROUNDS stars have left open are compared as pairs
-    of members of different components. No cap is set on either, and no pair is
-    compared twice.
+    member as centre. Of what STAR_ROUNDS stars have left open, pairs of different
+    components are compared if their rarest tokens meet, which loses no link. No
+    cap is set on either, and no pair is compared twice.
     """
     spark = blocked.sparkSession
     shared = blocked.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
@@ -93,9 +120,8 @@ def bucket_components(blocked: DataFrame, contents: Callable[[DataFrame], DataFr
             chosen = starred.select(F.col("hub.node").alias("hub"), F.col("node").alias("member"), F.col("hub.label").alias("of_hub"), F.col("label").alias("of_member"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
             opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "label", "degree")
         else:
-            left = opened.select("key", F.col("node").alias("hub"), F.col("n"), F.col("label").alias("of_hub"))
-            right = opened.select("key", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"))
-            chosen = left.join(right, "key").filter(F.col("hub") < F.col("member"))
+            apart = materialise(opened.select("node", "n", "label").distinct())
+            chosen = _prefix_pairs(apart, tokens(held.join(apart.select("node"), "node", "left_semi")))
         fitting = chosen.filter((F.col("of_hub") != F.col("of_member")) & _alike_in_size("n", "m", percent))
         turned = F.col("hub") > F.col("member")
         ordered = fitting.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), turned.alias("turned"), F.least("of_hub", "of_member").alias("x"), F.greatest("of_hub", "of_member").alias("y"))

@@ -104,6 +104,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["node", "shingles"])
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as lists; a set that is alike lacks at most ``slack`` of the shingles, since the union is no smaller than the set."""
+    for batch in batches:
+        sets = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("shingles")]
+        slack = [len(x) * (100 - PERCENT) // 100 for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(slack, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["node", "slack", "tokens"])
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
@@ -127,7 +135,10 @@ def alike(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     def linked(faced: DataFrame) -> DataFrame:
         return faced.select("hub", "member", "shingles_a", "shingles_b").mapInArrow(_compared, "hub long, member long, linked boolean")
 
-    return bucket_components(banded, sets, linked, PERCENT)
+    def tokens(held: DataFrame) -> DataFrame:
+        return held.mapInArrow(_listed, "node long, slack int, tokens array<long>")
+
+    return bucket_components(banded, sets, linked, tokens, PERCENT)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
