@@ -85,6 +85,7 @@ def bucket_components(
     linked: Callable[[DataFrame], DataFrame],
     tokens: Callable[[DataFrame], DataFrame],
     percent: int,
+    within: bool = False,
 ) -> DataFrame | None:
     """node, component (the smallest node of its connected group) of nodes that share buckets; None if there are none.
 
@@ -92,7 +93,8 @@ def bucket_components(
     gives ``node`` and the columns that are compared for a table of nodes; linked
     turns (hub, member, contents of both) into (hub, member, linked); tokens turns
     contents into node, slack and tokens (see _prefix_pairs). Only pairs whose
-    sizes allow ``percent`` of similarity are asked for.
+    sizes allow ``percent`` of similarity are asked for. within: no link between
+    nodes that share no bucket, also where the last step meets such a pair.
 
     A bucket proposes a star, its centre with every other member of another
     component. The centre, then compared with all, leaves the bucket, and so do
@@ -122,6 +124,9 @@ def bucket_components(
         else:
             apart = materialise(opened.select("node", "n", "label").distinct())
             chosen = _prefix_pairs(apart, tokens(held.join(apart.select("node"), "node", "left_semi")))
+            if within:
+                sides = [opened.select("key", F.col("node").alias(end)) for end in ("hub", "member")]
+                chosen = chosen.distinct().join(sides[0], "hub").join(sides[1], ["key", "member"], "left_semi").drop("key")
         fitting = chosen.filter((F.col("of_hub") != F.col("of_member")) & _alike_in_size("n", "m", percent))
         turned = F.col("hub") > F.col("member")
         ordered = fitting.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), turned.alias("turned"), F.least("of_hub", "of_member").alias("x"), F.greatest("of_hub", "of_member").alias("y"))
