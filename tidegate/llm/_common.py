@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder.
+
+    For steps that are repeated: a table's size is known when the next step is
+    planned, it takes less disk than a checkpoint, and it carries no constraints
+    of earlier plans.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most ``buckets - 1`` ascending cut points of an integer key, near its quantiles."""
     if buckets < 2:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import materialise
+from tidegate.llm._common import stored
 
 STAR_ROUNDS = 2
 
@@ -21,13 +21,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     come to the driver.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b).alias("node"), F.col(a).alias("other")))
-    links = materialise(both.distinct())
-    labels = materialise(links.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
+    links = stored(both.distinct())
+    labels = stored(links.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
     while True:
         seen = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
         nearer = labels.join(seen, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        fresh = materialise(nearer.join(jump, "near").select("node", "was", F.least("near", "far").alias("component")))
+        fresh = stored(nearer.join(jump, "near").select("node", "was", F.least("near", "far").alias("component")))
         if fresh.filter("was <> component").isEmpty():
             return fresh.select("node", "component")
         labels = fresh.select("node", "component")
@@ -71,9 +71,9 @@ def _prefix_pairs(opened: DataFrame, tokens: DataFrame) -> DataFrame:
     each = opened.join(tokens, "node").select("node", "n", "label", "slack", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(counts, "token").groupBy("node", "n", "label", "slack").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-    first = materialise(ranked.select("node", "n", "label", F.explode(F.slice(F.col("tokens.token"), F.lit(1), F.col("slack") + 1)).alias("token")))
+    first = stored(ranked.select("node", "n", "label", F.explode(F.slice(F.col("tokens.token"), F.lit(1), F.col("slack") + 1)).alias("token")))
     mixed = first.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    met = materialise(first.join(mixed.select("token"), "token"))
+    met = stored(first.join(mixed.select("token"), "token"))
     left = met.select("token", F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"))
     right = met.select("token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"))
     return left.join(right, "token").filter("hub < member and of_hub <> of_member").drop("token")
@@ -105,12 +105,12 @@ def bucket_components(
     """
     spark = blocked.sparkSession
     shared = blocked.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-    opened = materialise(
+    opened = stored(
         blocked.join(shared.select("key"), "key").select("key", "node", "n", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree")).distinct()
     )
     if opened.isEmpty():
         return None
-    nodes = materialise(opened.select("node").distinct())
+    nodes = stored(opened.select("node").distinct())
     name = _table(contents(nodes), "node")
     held = spark.table(name)
     labels = nodes.select("node", F.col("node").alias("component"))
@@ -122,7 +122,7 @@ def bucket_components(
             chosen = starred.select(F.col("hub.node").alias("hub"), F.col("node").alias("member"), F.col("hub.label").alias("of_hub"), F.col("label").alias("of_member"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
             opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "label", "degree")
         else:
-            apart = materialise(opened.select("node", "n", "label").distinct())
+            apart = stored(opened.select("node", "n", "label").distinct())
             chosen = _prefix_pairs(apart, tokens(held.join(apart.select("node"), "node", "left_semi")))
             if within:
                 sides = [opened.select("key", F.col("node").alias(end)) for end in ("hub", "member")]
@@ -133,15 +133,15 @@ def bucket_components(
         pairs = ordered.groupBy("a", "b", "x", "y").agg(F.min("turned").alias("turned"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+        pairs = stored(pairs)
         ends = [F.when(F.col("turned"), F.col(p)).otherwise(F.col(q)).alias(end) for p, q, end in (("b", "a", "hub"), ("a", "b", "member"))]
         found = linked(_faced(pairs.select(*ends), held)).filter("linked").select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).distinct()
-        links = materialise(pairs.select("a", "b", "x", "y").join(found, ["a", "b"], "left_semi"))
+        links = stored(pairs.select("a", "b", "x", "y").join(found, ["a", "b"], "left_semi"))
         done = pairs.select("a", "b")
         tested = done if tested is None else tested.union(done)
         if not links.isEmpty():
             joined = components(links, "x", "y").select(F.col("node").alias("label"), F.col("component").alias("joined"))
-            labels = materialise(labels.withColumnRenamed("component", "label").join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component")))
+            labels = stored(labels.withColumnRenamed("component", "label").join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component")))
         if turn == STAR_ROUNDS:
             break
         if not links.isEmpty():
@@ -149,7 +149,7 @@ def bucket_components(
             placed = opened.join(joined, "label", "left").join(degrees, "node", "left")
             opened = placed.select("key", "node", "n", F.coalesce("joined", "label").alias("label"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree"))
         mixed = opened.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-        opened = materialise(opened.join(mixed.select("key"), "key"))
+        opened = stored(opened.join(mixed.select("key"), "key"))
         if opened.isEmpty():
             break
     spark.sql(f"DROP TABLE {name}")

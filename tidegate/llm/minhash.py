@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import materialise
+from tidegate.llm._common import stored
 from tidegate.llm._graph import bucket_components, components
 from tidegate.llm._words import chunks, mix, windows
 
@@ -144,10 +144,10 @@ def alike(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = materialise(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, set_one long, set_two long, bands array<long>"))
+    sketch = stored(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, set_one long, set_two long, bands array<long>"))
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("set_one", "set_two").agg(F.min("doc_id").alias("node"))
-    tagged = materialise(
+    tagged = stored(
         filled.join(classes, ["set_one", "set_two"]).select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"))
     )
     nodes = tagged.filter("bands is not null").select("node", "n_shingles", "bands").distinct()
@@ -155,10 +155,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = tagged.select("doc_id", "node")
     if grouped is not None:
         placed = placed.join(grouped, "node", "left").select("doc_id", F.coalesce("component", "node").alias("node"))
-    placed = materialise(placed.distinct())
+    placed = stored(placed.distinct())
     # An id whose rows lie in several components joins them.
     several = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("doc_id", "a")
-    across = materialise(placed.join(several, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")))
+    across = stored(placed.join(several, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")))
     labels = placed.groupBy("doc_id").agg(F.min("node").alias("component"))
     if not across.isEmpty():
         joined = components(across).select(F.col("node").alias("component"), F.col("component").alias("joined"))
