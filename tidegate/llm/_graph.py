@@ -59,24 +59,27 @@ def _faced(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return members.join(hubs, "hub")
 
 
-def _prefix_pairs(opened: DataFrame, tokens: DataFrame) -> DataFrame:
+def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool) -> DataFrame:
     """hub, n, of_hub, member, m, of_member: the pairs of different components that can be alike at all.
 
-    opened: node, n, label. tokens: node, slack and its distinct tokens, of which
-    any node that is alike shares all but ``slack``, and one at least. So if the
-    tokens of all nodes are put in one order, two nodes that are alike share one of
-    their first slack + 1 tokens each. The order is by rarity, so what most nodes of
-    a group share comes last, and single changes of copies come first.
+    opened: key, node, n, label. tokens: node, slack and its distinct tokens, of
+    which any node that is alike shares all but ``slack``, and one at least. So if
+    the tokens of all nodes are put in one order, two nodes that are alike share
+    one of their first slack + 1 tokens each. The order is by rarity, so what most
+    nodes of a group share comes last, and single changes of copies come first.
+    within: the two meet in a bucket, too (for tokens that alone tell little).
     """
-    each = opened.join(tokens, "node").select("node", "n", "label", "slack", F.explode("tokens").alias("token"))
+    each = tokens.select("node", "slack", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "token").groupBy("node", "n", "label", "slack").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-    first = stored(ranked.select("node", "n", "label", F.explode(F.slice(F.col("tokens.token"), F.lit(1), F.col("slack") + 1)).alias("token")))
-    mixed = first.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    met = stored(first.join(mixed.select("token"), "token"))
-    left = met.select("token", F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"))
-    right = met.select("token", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"))
-    return left.join(right, "token").filter("hub < member and of_hub <> of_member").drop("token")
+    ranked = each.join(counts, "token").groupBy("node", "slack").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    first = ranked.select("node", F.explode(F.slice(F.col("tokens.token"), F.lit(1), F.col("slack") + 1)).alias("token"))
+    at = ["key", "token"] if within else ["token"]
+    placed = stored(first.join(opened.select(*at[:-1], "node", "n", "label").distinct(), "node"))
+    mixed = placed.groupBy(*at).agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    met = stored(placed.join(mixed.select(*at), at))
+    left = met.select(*at, F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"))
+    right = met.select(*at, F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"))
+    return left.join(right, at).filter("hub < member and of_hub <> of_member").drop(*at)
 
 
 def bucket_components(
@@ -93,8 +96,8 @@ def bucket_components(
     gives ``node`` and the columns that are compared for a table of nodes; linked
     turns (hub, member, contents of both) into (hub, member, linked); tokens turns
     contents into node, slack and tokens (see _prefix_pairs). Only pairs whose
-    sizes allow ``percent`` of similarity are asked for. within: no link between
-    nodes that share no bucket, also where the last step meets such a pair.
+    sizes allow ``percent`` of similarity are asked for. within: the last
+    step's pairs share a bucket, as all others do.
 
     A bucket proposes a star, its centre with every other member of another
     component. The centre, then compared with all, leaves the bucket, and so do
@@ -122,11 +125,7 @@ def bucket_components(
             chosen = starred.select(F.col("hub.node").alias("hub"), F.col("node").alias("member"), F.col("hub.label").alias("of_hub"), F.col("label").alias("of_member"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
             opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "label", "degree")
         else:
-            apart = stored(opened.select("node", "n", "label").distinct())
-            chosen = _prefix_pairs(apart, tokens(held.join(apart.select("node"), "node", "left_semi")))
-            if within:
-                sides = [opened.select("key", F.col("node").alias(end)) for end in ("hub", "member")]
-                chosen = chosen.distinct().join(sides[0], "hub").join(sides[1], ["key", "member"], "left_semi").drop("key")
+            chosen = _prefix_pairs(opened, tokens(held.join(opened.select("node").distinct(), "node", "left_semi")), within)
         fitting = chosen.filter((F.col("of_hub") != F.col("of_member")) & _alike_in_size("n", "m", percent))
         turned = F.col("hub") > F.col("member")
         ordered = fitting.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), turned.alias("turned"), F.least("of_hub", "of_member").alias("x"), F.greatest("of_hub", "of_member").alias("y"))
