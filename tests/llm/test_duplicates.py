@@ -49,9 +49,10 @@ def near_by_brute_force(rows):
     return {(d, len(sets[d]), labels[d], labels[d] == d) for d in ids}
 
 
-@pytest.mark.parametrize("stars", [0, _graph.STAR_ROUNDS])
-def test_near_duplicates_on_all_documents(spark, monkeypatch, stars):
+@pytest.mark.parametrize("stars, few", [(0, 0), (0, 3), (_graph.STAR_ROUNDS, _graph.FEW)])
+def test_near_duplicates_on_all_documents(spark, monkeypatch, stars, few):
     monkeypatch.setattr(_graph, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(_graph, "FEW", few)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = {tuple(r) for r in minhash.near_duplicates(docs).collect()}
     assert found == near_by_brute_force(docs.select("doc_id", "text").collect())
@@ -127,9 +128,10 @@ def left_by_brute_force(spark, rows):
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}, len(links)
 
 
-@pytest.mark.parametrize("stars", [0, _graph.STAR_ROUNDS])
-def test_lines_against_brute_force(spark, monkeypatch, stars):
+@pytest.mark.parametrize("stars, few", [(0, 0), (0, 3), (_graph.STAR_ROUNDS, _graph.FEW)])
+def test_lines_against_brute_force(spark, monkeypatch, stars, few):
     monkeypatch.setattr(_graph, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(_graph, "FEW", few)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60).collect()
     rng = random.Random(1)
     rows = [tuple(r) for r in docs] + [(1000, None), (1001, ""), (1002, "\n\n"), (1003, "a b c d\na b c d")]

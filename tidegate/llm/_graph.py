@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidegate.llm._common import stored
 
 STAR_ROUNDS = 2
+#: Members of a bucket that the last step compares without a look at their tokens: each meets fewer than this many others.
+FEW = 16
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -59,27 +61,43 @@ def _faced(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return members.join(hubs, "hub")
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """hub, n, of_hub, member, m, of_member: nodes of different components that share a bucket (key)."""
+    left = rows.select("key", F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"))
+    right = rows.select("key", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"))
+    return left.join(right, "key").filter("hub < member and of_hub <> of_member").drop("key")
+
+
 def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool) -> DataFrame:
     """hub, n, of_hub, member, m, of_member: the pairs of different components that can be alike at all.
 
-    opened: key, node, n, label. tokens: node, slack and its distinct tokens, of
-    which any node that is alike shares all but ``slack``, and one at least. So if
+    opened: key, node, n, label. tokens: node, slack, its distinct tokens, of which
+    any node that is alike shares all but ``slack``, and one at least, and
+    ``share``: two nodes that are alike share the sum of their shares at least. If
     the tokens of all nodes are put in one order, two nodes that are alike share
-    one of their first slack + 1 tokens each. The order is by rarity, so what most
-    nodes of a group share comes last, and single changes of copies come first.
-    within: the two meet in a bucket, too (for tokens that alone tell little).
+    one of their first slack + 1 tokens each, and from the first that they share,
+    enough are left on both sides. The order is by rarity, so what most nodes of a
+    group share comes last, and single changes of copies come first.
+
+    Where a token's commonest component meets itself, nothing is compared: one side
+    of each pair is of another. within: the two meet in a bucket, too (for tokens
+    that alone tell little).
     """
-    each = tokens.select("node", "slack", F.explode("tokens").alias("token"))
+    each = tokens.select("node", "slack", "share", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "token").groupBy("node", "slack").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-    first = ranked.select("node", F.explode(F.slice(F.col("tokens.token"), F.lit(1), F.col("slack") + 1)).alias("token"))
-    at = ["key", "token"] if within else ["token"]
-    placed = stored(first.join(opened.select(*at[:-1], "node", "n", "label").distinct(), "node"))
-    mixed = placed.groupBy(*at).agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    met = stored(placed.join(mixed.select(*at), at))
-    left = met.select(*at, F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"))
-    right = met.select(*at, F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"))
-    return left.join(right, at).filter("hub < member and of_hub <> of_member").drop(*at)
+    ranked = each.join(counts, "token").groupBy("node", "slack", "share").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    rest = F.size("tokens").alias("size")
+    first = ranked.select("node", "share", rest, F.posexplode(F.slice(F.col("tokens.token"), F.lit(1), F.col("slack") + 1)).alias("at", "token"))
+    on = ["key", "token"] if within else ["token"]
+    left_over = first.select("node", "share", "token", (F.col("size") - F.col("at")).alias("rest"))
+    placed = stored(left_over.join(opened.select(*on[:-1], "node", "n", "label").distinct(), "node"))
+    tops = placed.groupBy(*on, "label").agg(F.count("*").alias("rows")).groupBy(*on).agg(F.max(F.struct("rows", "label"))["label"].alias("top"), F.count("*").alias("labels"))
+    met = stored(placed.join(tops.filter("labels > 1").select(*on, "top"), on))
+    left = met.filter("label <> top").select(*on, F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"), F.col("share").alias("share_a"), F.col("rest").alias("rest_a"))
+    right = met.select(*on, "top", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("share").alias("share_b"), F.col("rest").alias("rest_b"))
+    apart = (F.col("of_hub") != F.col("of_member")) & ((F.col("of_member") == F.col("top")) | (F.col("hub") < F.col("member")))
+    enough = F.least("rest_a", "rest_b") >= F.col("share_a") + F.col("share_b")
+    return left.join(right, on).filter(apart & enough).select("hub", "n", "of_hub", "member", "m", "of_member")
 
 
 def bucket_components(
@@ -95,16 +113,17 @@ def bucket_components(
     blocked: key, node and n (its size) of each node in each bucket. contents
     gives ``node`` and the columns that are compared for a table of nodes; linked
     turns (hub, member, contents of both) into (hub, member, linked); tokens turns
-    contents into node, slack and tokens (see _prefix_pairs). Only pairs whose
+    contents into node, slack, share and tokens (see _prefix_pairs). Only pairs whose
     sizes allow ``percent`` of similarity are asked for. within: the last
     step's pairs share a bucket, as all others do.
 
     A bucket proposes a star, its centre with every other member of another
     component. The centre, then compared with all, leaves the bucket, and so do
     buckets that hold one component only. Further stars have the best-linked
-    member as centre. Of what STAR_ROUNDS stars have left open, pairs of different
-    components are compared if their rarest tokens meet, which loses no link. No
-    cap is set on either, and no pair is compared twice.
+    member as centre. Of what STAR_ROUNDS stars have left open, members of
+    different components are compared: all in a bucket of FEW members, and in a
+    larger one those whose rarest tokens meet, which loses no link. No cap is set
+    on either, and no pair is compared twice.
     """
     spark = blocked.sparkSession
     shared = blocked.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
@@ -125,7 +144,10 @@ def bucket_components(
             chosen = starred.select(F.col("hub.node").alias("hub"), F.col("node").alias("member"), F.col("hub.label").alias("of_hub"), F.col("label").alias("of_member"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
             opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "label", "degree")
         else:
-            chosen = _prefix_pairs(opened, tokens(held.join(opened.select("node").distinct(), "node", "left_semi")), within)
+            sized = stored(opened.join(opened.groupBy("key").agg((F.count("*") <= FEW).alias("few")), "key"))
+            chosen, many = _met(sized.filter("few")), sized.filter("not few")
+            if not many.isEmpty():
+                chosen = chosen.union(_prefix_pairs(many, tokens(held.join(many.select("node").distinct(), "node", "left_semi")), within))
         fitting = chosen.filter((F.col("of_hub") != F.col("of_member")) & _alike_in_size("n", "m", percent))
         turned = F.col("hub") > F.col("member")
         ordered = fitting.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), turned.alias("turned"), F.least("of_hub", "of_member").alias("x"), F.greatest("of_hub", "of_member").alias("y"))

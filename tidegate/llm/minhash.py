@@ -105,11 +105,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets as lists; a set that is alike lacks at most ``slack`` of the shingles, since the union is no smaller than the set."""
+    """Sets as lists. A set that is alike lacks at most ``slack`` of the shingles, since the union is no smaller than the set;
+    two that are alike share t / (1 + t) of the sum of their sizes (a little less, for the sake of rounding)."""
     for batch in batches:
         sets = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("shingles")]
         slack = [len(x) * (100 - PERCENT) // 100 for x in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(slack, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["node", "slack", "tokens"])
+        share = [len(x) * PERCENT / (100 + PERCENT) - 1e-6 for x in sets]
+        columns = [batch.column("node"), pa.array(slack, pa.int32()), pa.array(share, pa.float64()), pa.array(sets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "slack", "share", "tokens"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +139,7 @@ def alike(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
         return faced.select("hub", "member", "shingles_a", "shingles_b").mapInArrow(_compared, "hub long, member long, linked boolean")
 
     def tokens(held: DataFrame) -> DataFrame:
-        return held.mapInArrow(_listed, "node long, slack int, tokens array<long>")
+        return held.mapInArrow(_listed, "node long, slack int, share double, tokens array<long>")
 
     return bucket_components(banded, sets, linked, tokens, PERCENT)
 
