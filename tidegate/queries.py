@@ -17,9 +17,10 @@ from tidegate.operators import profile as P
 from tidegate.operators import propose as M
 from tidegate.operators import validate as V
 from tidegate.plans.compile import compile_select, transform
-from tidegate.plans.spec import FieldMapping, MappingSpec, diff
+from tidegate.plans.spec import Candidate, FieldMapping, MappingSpec, SpecStore, diff
 from tidegate.schema import SRC_ROW, TargetSchema
-from tidegate.sources.readers import flatten
+from tidegate.sources.readers import flatten, with_src_row
+from tidegate.sources.sniff import sniff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,6 +474,22 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten(parsed).select(F.col("id").cast("long"), F.col("`props.k`"))
 
 
+@query("land_row_index", "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) + 5 AS BIGINT) AS _src_row, o_orderkey FROM orders")
+def land_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record numbers of a file that is in order of its keys."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
+    return with_src_row(rows, 6)
+
+
+_SNIFFED = ["Export\nStand: heute\nid;name;price\n1;a;2,5\n2;b;3,5\n", "id,name\n1,x\n2,y\n", "a|b|c\n1|2|3\n"]
+
+
+@query("sniff_text", "SELECT * FROM (VALUES (0, ';', 2, 3), (1, ',', 0, 2), (2, '|', 0, 3)) t(sample, delimiter, header_row, column_count)")
+def sniff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [sniff(x.encode()) for x in _SNIFFED]
+    return spark.createDataFrame([(i, s.delimiter, s.header_row, s.column_count) for i, s in enumerate(found)], "sample int, delimiter string, header_row int, column_count int")
+
+
 @query("repeated_keys", "SELECT o_custkey, count(*) AS n, array_to_string(list_slice(list_sort(list(o_orderkey)), 1, 21), ',') AS lines FROM orders GROUP BY 1 HAVING count(*) > 1")
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias(SRC_ROW))
@@ -516,6 +533,29 @@ def spec_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "target_field string, ops_before int, ops_after int")
 
 
+@query("spec_head", "SELECT 'orders' AS source_id, 2 AS version, 'orders-v1' AS parent_id")
+def spec_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of three savings, of which one changes nothing."""
+    store = SpecStore()
+    for spec in (ORDERS_SPEC, ORDERS_SPEC, M.with_transforms(ORDERS_SPEC, "status", TransformOp("upper"))):
+        store.save(spec)
+    head = store.head("orders")
+    return spark.createDataFrame([(head.source_id, head.version, head.parent_id)], "source_id string, version int, parent_id string")
+
+
+@query("assign_fields", "SELECT * FROM (VALUES ('customer_id', 'Cust'), ('quantity', 'Qty'), ('status', 'X7')) t(field, \"column\")")
+def assign_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field per column, best pair first, over scores of a third column that loses its field."""
+    scored = {"Qty": [("quantity", 0.95), ("line_number", 0.4)], "Menge": [("quantity", 0.9)], "Cust": [("customer_id", 0.8)], "X7": [("status", 0.61)]}
+    taken = M.assign({column: [Candidate(f, s) for f, s in found] for column, found in scored.items()})
+    return spark.createDataFrame([(f, column) for f, (column, _) in taken.items()], "field string, column string")
+
+
+@query("op_literal_and_unmapped", "SELECT o_orderkey + 2 AS _src_row, 'export' AS source_system, CAST(NULL AS VARCHAR) AS channel FROM orders")
+def op_literal_and_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(orders_landing(spark, sf_dir), ORDERS_SPEC, ORDERS).select(SRC_ROW, "source_system", "channel")
+
+
 @query("content_hash")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s.source_id, s.content_hash()) for s in (ORDERS_SPEC, LINES_SPEC)], "source_id string, content_hash string")
