@@ -11,6 +11,9 @@ from tidegate.llm import lines, minhash, mixing, pieces, rules
 from tidegate.llm._common import shared_dir, table
 from tidegate.llm.queries import tokenizer_path
 
+#: Workers stay for the next stages, so the encoder keeps fewer entries here than on its own.
+PIECE_CACHE = 100_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -36,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
-    return pieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return pieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), cache_entries=PIECE_CACHE)
 
 
 STAGES: list[tuple[str, Stage]] = [

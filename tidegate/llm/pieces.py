@@ -39,7 +39,7 @@ CACHE_ENTRIES = 400_000
 class MergeEncoder:
     """The ids the sentencepiece library gives, without its encoder."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         import ahocorasick
         import sentencepiece
 
@@ -65,6 +65,7 @@ class MergeEncoder:
         #: White space and signs that no piece holds: nothing merges across them.
         apart = re.escape("".join(c for c in "\t\n\x0b\x0c\r" if c not in letters))
         self.cuts = re.compile(f"[{apart}]|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.cache_entries = cache_entries
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
@@ -87,7 +88,7 @@ class MergeEncoder:
         """Whether merging the text of both again leaves these two tokens. left is empty at the start."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) > CACHE_ENTRIES:
+            if len(self.pairs) > self.cache_entries:
                 self.pairs.clear()
             wanted = [left, right] if left else [right]
             found = self.pairs[left, right] = self.merged(left + right) == wanted
@@ -142,7 +143,7 @@ class MergeEncoder:
         for cut in self.cuts.findall(SPACE + text.replace(" ", SPACE)):
             found = known.get(cut)
             if found is None:
-                if len(known) >= CACHE_ENTRIES:
+                if len(known) >= self.cache_entries:
                     self.older, self.known = known, {}
                     known = self.known
                 found = known[cut] = self.older.get(cut) or self.unit(cut)
@@ -157,16 +158,19 @@ class MergeEncoder:
 
 
 @cache
-def merge_encoder(path: str) -> MergeEncoder:
+def merge_encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> MergeEncoder:
     """One encoder for all tasks of a worker."""
-    return MergeEncoder(path)
+    return MergeEncoder(path, cache_entries)
 
 
-def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, end id included."""
+def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, end id included.
+
+    cache_entries bounds a worker's memory (about 300 bytes each), not what is encoded.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = merge_encoder(model)
+        encoder = merge_encoder(model, cache_entries)
         for batch in batches:
             texts = batch.column("text").fill_null("")
             for at in range(0, batch.num_rows, 512):
