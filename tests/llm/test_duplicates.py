@@ -169,3 +169,27 @@ def test_long_lines_have_the_majority_hash(spark, n):
     if n <= lines.CHUNK_WORDS:
         sums = hashed.agg(F.sum("v").alias("all"), *[F.sum(F.shiftright("s", b).bitwiseAND(F.lit(1)) * F.col("v")).alias(f"b{b}") for b in range(64)]).first()
         assert row[0].s & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sums[f"b{b}"] > sums["all"])
+
+
+@pytest.mark.parametrize("n, changes", [(5, 1), (10, 2), (20, 4), (40, 8)])
+def test_complete_lines_against_all_pairs(spark, n, changes):
+    """Every line that is alike by edit distance is found, whatever its SimHash."""
+    rng = random.Random(n)
+    vocabulary = [f"v{i}" for i in range(60)] + ["of", "the", "a"]
+    made = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        made.append(base)
+        for _ in range(2):
+            own = list(base)
+            for _ in range(changes):
+                at = rng.randrange(len(own))
+                kind = rng.randrange(3)
+                own[at : at + (kind < 2)] = [] if kind == 1 and len(own) > 5 else [f"x{rng.randrange(9)}"]
+            made.append(own)
+    made += [["a"] * n, ["a"] * (n - 1) + ["b"], ["a", "b"] * n]
+    rows = [(i, " ".join(x)) for i, x in enumerate(made)]
+    links = [(i, j) for j in range(len(made)) for i in range(j) if distance(made[i], made[j]) <= int(max(len(made[i]), len(made[j])) * 20 / 100)]
+    labels = components(range(len(made)), links)
+    found = {r.doc_id for r in lines.line_counts(spark.createDataFrame(rows, DOCS), complete=True).filter("n_removed > 0").collect()}
+    assert found == {i for i, label in labels.items() if label != i and len(made[i]) >= 5}

@@ -107,6 +107,7 @@ def bucket_components(
     tokens: Callable[[DataFrame], DataFrame],
     percent: int,
     within: bool = False,
+    everyone: DataFrame | None = None,
 ) -> DataFrame | None:
     """node, component (the smallest node of its connected group) of nodes that share buckets; None if there are none.
 
@@ -124,25 +125,34 @@ def bucket_components(
     different components are compared: all in a bucket of FEW members, and in a
     larger one those whose rarest tokens meet, which loses no link. No cap is set
     on either, and no pair is compared twice.
+
+    everyone (node, n of all nodes): the last step takes all of these, whether or
+    not they share a bucket, and compares those whose rarest tokens meet anywhere;
+    buckets then only settle links sooner. No pair that is alike is missed.
     """
     spark = blocked.sparkSession
     shared = blocked.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
     opened = stored(
         blocked.join(shared.select("key"), "key").select("key", "node", "n", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree")).distinct()
     )
-    if opened.isEmpty():
+    nodes = stored((opened if everyone is None else everyone).select("node").distinct())
+    if nodes.isEmpty():
         return None
-    nodes = stored(opened.select("node").distinct())
     name = _table(contents(nodes), "node")
     held = spark.table(name)
     labels = nodes.select("node", F.col("node").alias("component"))
     tested = None
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
+            if opened.isEmpty():
+                continue
             centres = opened.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "label")).alias("hub"))
             starred = opened.join(centres, "key")
             chosen = starred.select(F.col("hub.node").alias("hub"), F.col("node").alias("member"), F.col("hub.label").alias("of_hub"), F.col("label").alias("of_member"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
             opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "label", "degree")
+        elif everyone is not None:
+            placed = stored(everyone.join(labels.withColumnRenamed("component", "label"), "node"))
+            chosen = _prefix_pairs(placed, tokens(held), False)
         else:
             sized = stored(opened.join(opened.groupBy("key").agg((F.count("*") <= FEW).alias("few")), "key"))
             chosen, many = _met(sized.filter("few")), sized.filter("not few")
@@ -171,7 +181,7 @@ def bucket_components(
             opened = placed.select("key", "node", "n", F.coalesce("joined", "label").alias("label"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree"))
         mixed = opened.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
         opened = stored(opened.join(mixed.select("key"), "key"))
-        if opened.isEmpty():
+        if everyone is None and opened.isEmpty():
             break
     spark.sql(f"DROP TABLE {name}")
     return labels

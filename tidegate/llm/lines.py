@@ -6,7 +6,10 @@ SimHash of 64 bits over its words, in which words of up to three characters, tha
 most lines share, weigh a quarter of others, cut into four blocks of 16 bits. By the
 pigeonhole principle two SimHashes that differ in at most two bits agree in two
 blocks at least, so classes are joined on pairs of blocks: six keys of 32 bits
-each, so that chance meetings stay few in large corpora. Classes that meet are linked if their edit similarity over words,
+each, so that chance meetings stay few in large corpora. Lines at a similarity of
+0.8 mostly differ in more bits and seldom meet so; with ``complete``, as the queries ask
+for, all classes whose rarest pairs of neighbouring words meet are compared as well, which
+no two lines that are alike can avoid. Classes that meet are linked if their edit similarity over words,
 1 - distance / longer length, is at least 0.8. Of each connected group the first
 occurrence (by document id, then line) stays and all others go. All of it is
 DataFrame expressions.
@@ -107,8 +110,29 @@ def coded(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
 
-def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """node, component of classes (one, n_words, s, first: its first occurrence) that share block keys, by their hash ``one``."""
+def tokens_of_two(held: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, slack, share and tokens of contents (node, code, size): the distinct pairs of neighbouring words.
+
+    A changed or lacking word takes two pairs with it, an added one parts one. So a
+    line of n words lacks at most 2n(1 - percent) pairs of any line that is alike,
+    whichever of the two is longer, and keeps one at least (see _least_of_two).
+    """
+    coded = held.select("node", "size", F.transform(F.array_remove(F.split("code", ""), ""), lambda w: F.ascii(w).cast("long")).alias("words"))
+    pairs = F.zip_with(F.slice("words", F.lit(1), F.col("size") - 1), F.slice("words", F.lit(2), F.col("size") - 1), lambda a, b: F.shiftleft(a, 16).bitwiseOR(b))
+    slack = F.expr(f"size * {2 * (100 - percent)} div 100").cast("int")
+    return coded.select("node", slack.alias("slack"), F.lit(0.0).alias("share"), F.array_distinct(pairs).alias("tokens"))
+
+
+def _least_of_two(percent: int) -> int:
+    """The fewest words of a line that keeps a pair of neighbours in every line that is alike."""
+    return -(-200 // (2 * percent - 100)) if percent > 50 else 1 << 31
+
+
+def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, complete: bool = False, least_words: int = LEAST_WORDS) -> DataFrame | None:
+    """node, component of classes (one, n_words, s, first: its first occurrence) that are alike, by their hash ``one``.
+
+    complete: of all classes; otherwise of those that share block keys.
+    """
     blocked = classes.select(F.col("one").alias("node"), F.col("n_words").alias("n"), F.explode(block_keys()).alias("key"))
 
     def texts(wanted: DataFrame) -> DataFrame:
@@ -128,17 +152,21 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) ->
         words = F.array_distinct(F.array_remove(F.split("code", ""), ""))
         return held.select("node", slack.alias("slack"), F.lit(0.0).alias("share"), F.transform(words, lambda w: F.ascii(w).cast("long")).alias("tokens"))
 
-    return bucket_components(blocked, texts, linked, tokens, percent, within=True)
+    if not complete:
+        return bucket_components(blocked, texts, linked, tokens, percent, within=True)
+    every = classes.groupBy(F.col("one").alias("node")).agg(F.first("n_words").alias("n"))
+    chosen = (lambda held: tokens_of_two(held, percent)) if least_words >= _least_of_two(percent) else tokens
+    return bucket_components(blocked, texts, linked, chosen, percent, everyone=every)
 
 
-def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, **columns: str) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, complete: bool = False, **columns: str) -> DataFrame:
     """doc_id, row and removed (positions of the lines that go) of each document that loses lines."""
     rows = keyed(docs, **columns)
     lines = sketched(rows, least_words)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "pos")
     same = [F.first(c).alias(c) for c in ("n_words", "s")]
     classes = stored(lines.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *same))
-    found = line_groups(classes, rows, percent)
+    found = line_groups(classes, rows, percent, complete, least_words)
     repeated = classes.filter("copies > 1").select("one", "two", F.col("first").alias("lead"))
     if found is not None:
         linked = classes.join(found.withColumnRenamed("node", "one"), "one")
