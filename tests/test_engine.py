@@ -167,6 +167,21 @@ def test_nested_json(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, landed.collect()))
 
 
+def test_json_lists_beyond_the_head(spark, tmp_path):
+    """The longest list holds the records, however large the file is."""
+    rows = [{"z": f"{i}" * 40, "a": {"k": i}} for i in range(5000)]
+    for name, whole in (("late", {"meta": [{"q": "x" * 200_000}], "rows": rows}), ("early", {"rows": rows, "meta": [1, 2]})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(whole))
+        landed = R.land(spark, str(tmp_path / f"{name}.json")).frame
+        assert landed.count() == 5000 and sorted(landed.columns) == ["_src_row", "a.k", "z"]
+        assert landed.filter("_src_row = 4322").first()["a.k"] == "4321"
+    assert landed.columns == ["_src_row", "z", "a.k"]
+    (tmp_path / "equal.json").write_text(json.dumps({"z": [{"v": 1}], "a": [{"w": 2}], "pad": "x" * 200_000}))
+    assert R.land(spark, str(tmp_path / "equal.json")).frame.columns == ["_src_row", "v"]
+    (tmp_path / "list.json").write_text(json.dumps([{"z": 1, "a": ["x"] * 3}]))
+    assert [tuple(r) for r in R.land(spark, str(tmp_path / "list.json")).frame.collect()] == [(1, "1", '["x","x","x"]')]
+
+
 def sheet_xml(rows):
     cells = "".join(f'<row r="{i}">' + "".join(f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{v}</t></is></c>' for j, v in enumerate(r) if v) + "</row>" for i, r in enumerate(rows, 1) if any(r))
     return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{cells}</sheetData></worksheet>'

@@ -143,6 +143,49 @@ def _first_seen(records: list) -> list[str]:
     return list(seen)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _longest_list(raw: DataFrame, path: str) -> str | None:
+    """The longest of the lists of a file's one object, the first in the file of equals; None without lists."""
+    lists = [f.name for f in raw.schema if isinstance(f.dataType, T.ArrayType)]
+    if len(lists) < 2:
+        return lists[0] if lists else None
+    sizes = raw.agg(*[F.max(F.size(F.col(_quoted(n)))).alias(f"n{i}") for i, n in enumerate(lists)]).first()
+    equal = [n for n, size in zip(lists, sizes) if size == max(sizes)]
+    if len(equal) > 1:
+        keys = raw.sparkSession.read.text(path, wholetext=True).select(F.json_object_keys(F.regexp_replace("value", "^\ufeff", ""))).first()[0] or equal
+        equal.sort(key=lambda n: keys.index(n) if n in keys else len(keys))
+    return equal[0]
+
+
+def _head_records(text: str, name: str | None, most: int = 200) -> list:
+    """The first whole records in the head of a JSON file: of its array, of the list ``name`` of its object, or the object."""
+    decoder, space = json.JSONDecoder(), re.compile(r"[\s,:]*")
+
+    def value(at: int) -> tuple[object, int]:
+        return decoder.raw_decode(text, space.match(text, at).end())
+
+    at, found = space.match(text).end(), []
+    try:
+        if text[at] == "{" and name is None:
+            return [value(at)[0]]
+        if text[at] == "{":
+            key, at = value(at + 1)
+            while key != name:
+                _, at = value(at)
+                key, at = value(at)
+            at = space.match(text, at).end()
+        at += 1
+        while len(found) < most:
+            record, at = value(at)
+            found.append(record)
+    except (ValueError, IndexError):  # the head ends here, or the list
+        pass
+    return found
+
+
 def read_json(spark: SparkSession, path: str) -> LandedFrame:
     """JSON lines (split among tasks), an array, or an object whose longest list holds the records."""
     head = head_bytes(spark, path).decode("utf-8-sig", "replace")
@@ -157,18 +200,11 @@ def read_json(spark: SparkSession, path: str) -> LandedFrame:
     raw = spark.read.options(primitivesAsString=True, multiLine=not lines, mode="PERMISSIVE").json(path)
     tagged = raw.select("*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
     if not lines:
-        try:
-            whole = json.loads(head)
-        except ValueError:
-            whole = None
-        lists = {k: v for k, v in whole.items() if isinstance(v, list)} if isinstance(whole, dict) else {}
-        if lists:
-            name = max(lists, key=lambda k: len(lists[k]))
-            each = raw.select(F.posexplode(F.col(f"`{name}`")).alias("_mono", "_item"))
+        name = _longest_list(raw, path) if head.lstrip().startswith("{") else None
+        if name is not None:
+            each = raw.select(F.posexplode(F.col(_quoted(name))).alias("_mono", "_item"))
             tagged = each.select("_item.*" if isinstance(each.schema["_item"].dataType, T.StructType) else F.col("_item").alias("value"), F.lit(0).cast("long").alias("_block"), F.col("_mono").cast("long"))
-            records = lists[name][:200]
-        else:
-            records = whole[:200] if isinstance(whole, list) else [whole] if whole else []
+        records = _head_records(head, name)
     numbered = with_src_row(tagged, 1)
     flat = numbered.select(SRC_ROW, F.struct(*[F.col(f"`{c}`") for c in numbered.columns if c != SRC_ROW]).alias("_r"))
     inner = [(p, k) for p, k in _leaves(flat.schema["_r"].dataType)]
