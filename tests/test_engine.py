@@ -167,6 +167,17 @@ def test_nested_json(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, landed.collect()))
 
 
+def test_quoted_line_breaks_in_cells(spark, tmp_path):
+    rows = [(str(i), f"first\nsecond, {i}" if i % 1000 == 999 else f'say ""{i}""' if i % 7 == 0 else f"plain {i}", "x") for i in range(5000)]
+    text = "id,note,mark\n" + "".join(f'{a},"{b}",{c}\n' for a, b, c in rows)
+    (tmp_path / "breaks.csv").write_text(text)
+    landed = R.land(spark, str(tmp_path / "breaks.csv")).frame.orderBy("_src_row").collect()
+    assert [tuple(r) for r in landed] == [(i + 2, a, b.replace('""', '"'), c) for i, (a, b, c) in enumerate(rows)]
+    (tmp_path / "plain.csv").write_text('id;note\n1;"a; ""b"""\n2;c\n3; "d" \n')
+    assert not R.has_odd_quotes(spark, str(tmp_path / "plain.csv"), ";")
+    assert R.has_odd_quotes(spark, str(tmp_path / "breaks.csv"), ",")
+
+
 def test_json_lists_beyond_the_head(spark, tmp_path):
     """The longest list holds the records, however large the file is."""
     rows = [{"z": f"{i}" * 40, "a": {"k": i}} for i in range(5000)]

@@ -91,9 +91,21 @@ def with_src_row(rows: DataFrame, first: int, skipped: int = 0) -> DataFrame:
     return kept.select((index + (first - skipped)).alias(SRC_ROW), *[F.col("`" + n.replace("`", "``") + "`") for n in names])
 
 
-def read_csv(spark: SparkSession, path: str, found: Sniff | None = None, multiline: bool = False) -> LandedFrame:
-    """All-string rows; extra cells are dropped, missing and empty ones null. multiline: quoted line breaks (then a file is one task)."""
+def has_odd_quotes(spark: SparkSession, path: str, delimiter: str) -> bool:
+    """Whether a line holds quotes other than those around whole cells, as lines have that a quoted line break cuts."""
+    cell = rf'(?:[ \t]*+"(?:[^"]++|"")*+"[ \t]*+|[^"{re.escape(delimiter)}]*+)'
+    whole = rf"^{cell}(?:{re.escape(delimiter)}{cell})*+$"
+    return not spark.read.text(path).filter(F.col("value").contains('"') & ~F.col("value").rlike(whole)).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, found: Sniff | None = None, multiline: bool | None = None) -> LandedFrame:
+    """All-string rows; extra cells are dropped, missing and empty ones null.
+
+    multiline: whether quoted line breaks are read (then a file is one task); by default where a line has quotes that ask for it.
+    """
     found = found or sniff(head_bytes(spark, path))
+    if multiline is None:
+        multiline = has_odd_quotes(spark, path, found.delimiter)
     names = dedupe(list(found.header))
     plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     single_byte = found.encoding in ("cp1252", "iso-8859-1")
