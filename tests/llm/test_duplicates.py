@@ -193,3 +193,11 @@ def test_complete_lines_against_all_pairs(spark, n, changes):
     labels = components(range(len(made)), links)
     found = {r.doc_id for r in lines.line_counts(spark.createDataFrame(rows, DOCS), complete=True).filter("n_removed > 0").collect()}
     assert found == {i for i, label in labels.items() if label != i and len(made[i]) >= 5}
+
+
+def test_short_lines_are_exact_classes(spark):
+    chinese = "数据处理系统的输出结果需要保存"
+    rows = [(1, f"All rights reserved\n{chinese}\nyes\none two three four"), (2, f"all rights reserved.\n{chinese}。\nyes\none two three fore"), (3, "No rights reserved\n--------------")]
+    frame = spark.createDataFrame(rows, DOCS)
+    left = {r.doc_id: r.text for r in lines.without_repeats(frame, complete=True, least_chars=lines.LEAST_CHARS).collect()}
+    assert left == {1: rows[0][1], 2: "yes\none two three fore", 3: rows[2][1]}

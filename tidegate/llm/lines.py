@@ -19,8 +19,9 @@ holds the weights of CHUNK_WORDS words, and the SimHash of a longer line is the
 those of its chunks.
 
 Defined cases: a null text has no lines and stays null; an empty text has one
-empty line; lines of fewer than LEAST_WORDS words are too short to tell apart
-and stay; rows with null ids come last in the order of occurrences; rows with
+empty line; lines of fewer than LEAST_WORDS words are too short to be linked to others;
+they stay, too, unless least_chars is given, as by the queries, and their words have as many characters: then
+the first of equal ones stays (characters, since scripts without spaces have few words); rows with null ids come last in the order of occurrences; rows with
 equal id and text are one document, and each of them gets its result; an empty
 table gives an empty result; other columns are carried along whatever their names.
 """
@@ -37,6 +38,8 @@ from tidegate.llm._common import stored
 from tidegate.llm._graph import bucket_components
 
 LEAST_WORDS = 5
+#: Least characters, all words together, of a line of fewer words whose equals go, for callers who want these gone.
+LEAST_CHARS = 8
 #: Least edit similarity over words, in percent.
 PERCENT = 80
 #: What separates the words of a normalised line, for Java regular expressions.
@@ -91,11 +94,14 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
-def sketched(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Each line of least_words words or more: doc_id, row, pos, one and two (hashes of its words), n_words and s (its SimHash)."""
+def sketched(rows: DataFrame, least_words: int = LEAST_WORDS, least_chars: int | None = None) -> DataFrame:
+    """Each line of least_words words or more, or of least_chars characters of words or more: doc_id, row, pos, one and two (hashes of its words), n_words and s (its SimHash)."""
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     # Exploded, since the filter would otherwise be pushed below the words and split each line a second time.
-    words = lines.select("doc_id", "row", "pos", F.explode(F.array(normal_words(F.col("line")))).alias("words")).filter(F.size("words") >= least_words)
+    long = F.size("words") >= least_words
+    if least_chars is not None:
+        long = long | (F.length(F.array_join("words", "")) >= max(1, least_chars))
+    words = lines.select("doc_id", "row", "pos", F.explode(F.array(normal_words(F.col("line")))).alias("words")).filter(long)
     hashed = words.select("doc_id", "row", "pos", F.xxhash64("words").alias("one"), F.xxhash64("words", F.lit(7)).alias("two"), F.size("words").alias("n_words"), "words")
     each = hashed.select(*_LINE, F.posexplode("words").alias("at", "word"))
     bits = each.select(*_LINE, F.expr(f"at div {CHUNK_WORDS}").alias("chunk"), F.xxhash64("word").alias("s"), word_weight(F.col("word")).alias("weight"))
@@ -159,14 +165,14 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, com
     return bucket_components(blocked, texts, linked, chosen, percent, everyone=every)
 
 
-def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, complete: bool = False, **columns: str) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, complete: bool = False, least_chars: int | None = None, **columns: str) -> DataFrame:
     """doc_id, row and removed (positions of the lines that go) of each document that loses lines."""
     rows = keyed(docs, **columns)
-    lines = sketched(rows, least_words)
+    lines = sketched(rows, least_words, least_chars)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "pos")
     same = [F.first(c).alias(c) for c in ("n_words", "s")]
     classes = stored(lines.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *same))
-    found = line_groups(classes, rows, percent, complete, least_words)
+    found = line_groups(classes.filter(F.col("n_words") >= least_words), rows, percent, complete, least_words)
     repeated = classes.filter("copies > 1").select("one", "two", F.col("first").alias("lead"))
     if found is not None:
         linked = classes.join(found.withColumnRenamed("node", "one"), "one")
