@@ -44,3 +44,19 @@ def test_edge_cases(spark):
     assert by_id[5] == "a\nb\nc\nd e" and by_id[6] == "T\nx" and by_id[7] == "m n"
     assert (9, "deep") in found and (9, "again") in found
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_paths_stay_whole_at_any_depth(spark):
+    """Below many named wrappers, a repeated branch goes and an article keeps its header and named parts."""
+    above = "".join(f"<div class='outer wrapper level column' id='container block grid cell{i}'>" for i in range(40))
+    rows, wanted = [], {}
+    for i in range(40):
+        own = " ".join(f"w{i}x{k}" for k in range(12))
+        rows.append((i, f"https://deep.example/{i}", f"<html><body>{above}<div class='x1'><p>We value all our readers.</p></div><article><header><h1>Title {i}</h1></header><div class='banner'><p>{own}</p></div></article>"))
+        wanted[i] = f"Title {i}\n{own}"
+    assert {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()} == wanted
+    node, labels = html.parse(rows[0][2]), []
+    while node:
+        labels.append(node.path)
+        node = next((x for x in node.children if isinstance(x, html.Node)), None)
+    assert len(labels) > 40 and len(set(labels)) == len(labels) and max(map(len, labels)) < 120

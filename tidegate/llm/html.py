@@ -78,18 +78,22 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element: its label on the path, what it announces, and its children (nodes and text runs)."""
+    """An element: its label, what it announces, and its children (nodes and text runs).
 
-    __slots__ = ("tag", "label", "dull", "children", "path")
+    path: the digest of the parent's path and the own label, so that it stands for
+    all labels from the root down at any depth. inside: whether it is, or is in, an article.
+    """
+
+    __slots__ = ("tag", "label", "dull", "children", "path", "inside")
 
-    def __init__(self, tag: str, label: str, dull: bool, path: str):
-        self.tag, self.label, self.dull, self.path = tag, label, dull, path
+    def __init__(self, tag: str, label: str, dull: bool, path: str, inside: bool):
+        self.tag, self.label, self.dull, self.path, self.inside = tag, label, dull, path, inside
         self.children: list[Node | str] = []
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
     names: list[str] = []
-    inside = _within_article(parent)
+    inside = parent.inside
     dull = tag in BOILERPLATE_TAGS or tag == "header" and not inside
     if "=" in attributes:
         for name, a, b, c in _NAME.findall(attributes):
@@ -104,7 +108,7 @@ def _element(tag: str, attributes: str, parent: Node) -> Node:
             elif name == "aria-hidden":
                 dull = dull or value == "true"
     label = ".".join([tag, *names])
-    return Node(tag, label, dull, f"{parent.path}/{label}" if len(parent.path) < 400 else parent.path)
+    return Node(tag, label, dull, f"{path_digest(parent.path)}/{label}", inside or label.startswith(("article", "main")))
 
 
 def _holds_article(stack: list[Node]) -> None:
@@ -114,13 +118,9 @@ def _holds_article(stack: list[Node]) -> None:
             node.dull = False
 
 
-def _within_article(node: Node) -> bool:
-    return "/article" in node.path or "/main" in node.path
-
-
 def parse(text: str) -> Node:
     """The tree of a page."""
-    root = Node("#root", "", False, "")
+    root = Node("#root", "", False, "", False)
     stack, pos = [root], 0
     while m := _TOKEN.match(text, pos):
         said, tag, pos = m[0], (m[2] or "").lower(), m.end()
