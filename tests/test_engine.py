@@ -17,7 +17,7 @@ from tidegate.operators import propose as M
 from tidegate.operators import validate as V
 from tidegate.plans import compile as C
 from tidegate.plans.spec import FieldMapping, MappingSpec, SpecStore, diff, validate_spec
-from tidegate.schema import SchemaError, TargetField, TargetSchema, list_schemas, load_schema
+from tidegate.schema import Constraints, SchemaError, TargetField, TargetSchema, list_schemas, load_schema
 from tidegate.sources import readers as R
 from tidegate.sources.landing import Workspace, fingerprint
 from tidegate.sources.sniff import sniff
@@ -321,3 +321,23 @@ def test_cosine_top_takes_any_number_of_queries(spark):
     assert sorted(map(tuple, M.cosine_top(queries, vectors, max_queries=4).collect())) == one
     assert {r[0] for r in one} == {r.vec_id for r in queries.collect()} and len(one) == 3 * queries.count()
     assert M.cosine_top(queries.limit(0), vectors).count() == 0
+
+
+def test_landing_reads_no_whole_file_and_keeps_all_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidegate.sources.landing.LISTED_GROUPS", 2)
+    text = "order_id,quantity\n" + "".join(f"ORD-{i},{-i}\n" for i in range(1, 6))
+    for name, said in (("a", text), ("same", text), ("turned", text.replace("ORD-1,-1\nORD-2,-2", "ORD-2,-2\nORD-1,-1")), ("moved", text.replace("ORD-1,-1", ",ORD-1-1"))):
+        (tmp_path / f"{name}.csv").write_text(said)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 10)
+    try:
+        ws = Workspace(spark, str(tmp_path / "ws"))
+        ids = {name: ws.register(str(tmp_path / f"{name}.csv")) for name in ("a", "same", "turned", "moved")}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    prints = {name: ws.source(sid)["fingerprint"] for name, sid in ids.items()}
+    assert prints["a"] == prints["same"] and len(set(prints.values())) == 3
+    schema = TargetSchema("orders", 1, (TargetField("quantity", "integer", constraints=Constraints(min=0)),))
+    run_id, report = ws.run(ids["a"], schema, MappingSpec(ids["a"], "orders", 1, (FieldMapping("quantity", "quantity", None, (op("cast", dtype="integer"),)),)))
+    told = json.loads(ws.runs(ids["a"]).first()["report"])
+    assert len(told["groups"]) == 2 and told["n_groups"] == report.groups().count() == 5
+    assert spark.read.parquet(f"{tmp_path}/ws/runs/{run_id}/groups").count() == 5

@@ -6,6 +6,7 @@ run results are Parquet; the catalog tables are appended to, one small file each
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -21,6 +22,8 @@ from tidegate.plans.spec import MappingSpec
 from tidegate.schema import SRC_ROW, TargetSchema
 from tidegate.sources.readers import land
 
+#: Problem groups in the report of a run; all of them are a table beside it.
+LISTED_GROUPS = 1000
 #: The catalog's tables.
 TABLES = {
     "sources": "source_id string, path string, kind string, fingerprint string, detail string, row_count long, created_at double",
@@ -31,9 +34,16 @@ TABLES = {
 }
 
 
-def fingerprint(spark: SparkSession, path: str) -> str:
-    """The first 16 hex digits of the SHA-256 of a file's bytes."""
-    return spark.read.format("binaryFile").load(path).select(F.substring(F.sha2("content", 256), 1, 16)).first()[0]
+def fingerprint(spark: SparkSession, path: str, frame: DataFrame | None = None) -> str:
+    """16 hex digits that tell a file's content apart: of its length and of the hashes of its landed rows (``frame``), in any number of tasks."""
+    frame = land(spark, path).frame if frame is None else frame
+    cells = [x for c in frame.columns for at in [F.col("`" + c.replace("`", "``") + "`")] for x in (at.isNull(), at)]  # hashes skip nulls
+    rows = frame.select(*[F.xxhash64(F.lit(seed), *cells).alias(f"h{seed}") for seed in (0, 1)])
+    parts = [f(h) for h in ("h0", "h1") for f in (lambda h: F.sum(F.col(h).cast("decimal(20,0)")), F.bit_xor)]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    length = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).getLen()
+    told = ":".join(map(str, (length, *frame.columns, *rows.agg(F.count("*"), *parts).first())))
+    return hashlib.sha256(told.encode()).hexdigest()[:16]
 
 
 class Workspace:
@@ -66,7 +76,7 @@ class Workspace:
         landed.frame.write.parquet(self.landed_path(source_id))
         frame = self.frame(source_id)
         profile(frame).write.parquet(f"{self.folder}/profiles/{source_id}")
-        self.append("sources", {"source_id": source_id, "path": path, "kind": landed.kind, "fingerprint": fingerprint(self.spark, path), "detail": json.dumps(landed.detail), "row_count": frame.count(), "created_at": time.time()})
+        self.append("sources", {"source_id": source_id, "path": path, "kind": landed.kind, "fingerprint": fingerprint(self.spark, path, frame), "detail": json.dumps(landed.detail), "row_count": frame.count(), "created_at": time.time()})
         return source_id
 
     def sources(self) -> DataFrame:
@@ -114,7 +124,8 @@ class Workspace:
     def run(self, source_id: str, schema: TargetSchema, spec: MappingSpec | None = None) -> tuple[str, Report]:
         """Transform and validate a source; checked rows are written once and all results read from there.
 
-        valid rows: runs/<id>/valid; the scripts and the report lie beside them in the catalog row.
+        valid rows: runs/<id>/valid; problem groups: runs/<id>/groups, of which the report holds their
+        number and the LISTED_GROUPS largest; the scripts and the report lie beside them in the catalog row.
         """
         spec = spec or self.head_spec(source_id)
         if spec is None:
@@ -125,8 +136,11 @@ class Workspace:
         report.rows.write.parquet(f"{folder}/checked")
         report = replace(report, rows=self.spark.read.parquet(f"{folder}/checked"))
         report.valid.write.parquet(f"{folder}/valid")
+        report.groups().write.parquet(f"{folder}/groups")
+        groups = self.spark.read.parquet(f"{folder}/groups")
         counts = report.counts()
-        told = {"summary": report.summary(), "groups": [r.asDict(recursive=True) for r in report.groups().limit(1000).collect()]}
+        listed = groups.orderBy(F.desc("n"), "first_line", "clause").limit(LISTED_GROUPS).collect()
+        told = {"summary": report.summary(), "n_groups": groups.count(), "groups": [r.asDict(recursive=True) for r in listed]}
         told |= {"sql": compile_script(spec, schema, self.landed_path(source_id)), "python": render_module(spec, schema)}
         self.append("runs", {"run_id": run_id, "source_id": source_id, "spec_version": spec.version, "content_hash": spec.content_hash(), "rows_in": counts["rows_in"], "rows_out": counts["rows_in"], "rows_rejected": counts["rejected"], "rows_valid": counts["valid"], "report": json.dumps(told, default=str), "created_at": time.time()})
         return run_id, report

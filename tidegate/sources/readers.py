@@ -320,18 +320,27 @@ def list_sheets(content: bytes) -> list[str]:
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> LandedFrame:
-    """A sheet as strings with its row numbers; one task unpacks it, after the driver has read its header."""
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    book = Workbook(content)
-    name = sheet or book.widest()
-    names, taken = flatten_header([r for _, r in zip(range(3), book.rows(name))])
-    names = dedupe(names)
+    """A sheet as strings with its row numbers; one task finds its header, of which alone the driver learns, and one unpacks it."""
+    packed = spark.read.format("binaryFile").load(path).select("content")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                book = Workbook(content.as_py())
+                name = sheet or book.widest()
+                names, taken = flatten_header([r for _, r in zip(range(3), book.rows(name))]) if name in book.sheets else ([], 0)
+                yield pa.RecordBatch.from_pylist([{"sheet": name, "sheets": list(book.sheets), "names": dedupe(names), "taken": taken}], told)
+
+    told = pa.schema([("sheet", pa.string()), ("sheets", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("taken", pa.int32())])
+    name, sheets, names, taken = packed.mapInArrow(describe, "sheet string, sheets array<string>, names array<string>, taken int").first()
+    if name not in sheets:
+        raise KeyError(name)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in batch.column("content"):
+            for content in batch.column("content"):
                 held: list[tuple[int, list[str | None]]] = []
-                for number, row in enumerate(Workbook(packed.as_py()).rows(name), 1):
+                for number, row in enumerate(Workbook(content.as_py()).rows(name), 1):
                     if number > taken and any(row):
                         held.append((number, (row + [None] * len(names))[: len(names)]))
                     if len(held) == 10_000:
@@ -345,8 +354,8 @@ def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> Land
         return pa.RecordBatch.from_arrays(columns, [SRC_ROW, *[f"c{i}" for i in range(len(names))]])
 
     schema = f"{SRC_ROW} long" + "".join(f", c{i} string" for i in range(len(names)))
-    frame = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, schema).toDF(SRC_ROW, *names)
-    return LandedFrame(frame, "excel", {"sheet": name, "sheets": list(book.sheets), "header_rows": taken})
+    frame = packed.mapInArrow(unpack, schema).toDF(SRC_ROW, *names)
+    return LandedFrame(frame, "excel", {"sheet": name, "sheets": list(sheets), "header_rows": taken})
 
 
 def land(spark: SparkSession, path: str, sheet: str | None = None) -> LandedFrame:
