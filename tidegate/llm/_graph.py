@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import uuid
 from collections.abc import Callable
 
@@ -11,40 +13,52 @@ from pyspark.sql import functions as F
 from tidegate.llm._common import stored
 
 STAR_ROUNDS = 2
-#: Members of a bucket that the last step compares without a look at their tokens: each meets fewer than this many others.
+#: Members of a bucket that are compared without stars or a look at their tokens: each meets fewer than this many others.
 FEW = 16
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node it reaches) for every node of an edge.
 
-    Each pass takes the smallest label among neighbours, then the label of that
-    label, and is checkpointed; passes end when no label changes. Only counts
-    come to the driver.
+    Each pass contracts the links: a node goes to the first of itself and its
+    neighbours, in an order that differs from pass to pass, and from there one hop
+    further; both ends of every link are replaced, and self-links and repeats are
+    dropped. Passes end when no link is left. Links shrink by a part in each pass,
+    so all passes together read a multiple of the first one's rows, and only whether
+    links are left comes to the driver.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b).alias("node"), F.col(a).alias("other")))
-    links = stored(both.distinct())
-    labels = stored(links.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
+    ends = edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
+    links, hops = stored(ends), []
     while True:
-        seen = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        nearer = labels.join(seen, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        fresh = stored(nearer.join(jump, "near").select("node", "was", F.least("near", "far").alias("component")))
-        if fresh.filter("was <> component").isEmpty():
-            return fresh.select("node", "component")
-        labels = fresh.select("node", "component")
+        # Orders of 64-bit numbers that can be turned back: exclusive or with one constant per pass.
+        mask = F.lit(int.from_bytes(hashlib.blake2b(bytes([len(hops) & 255]), digest_size=8).digest(), "big", signed=True))
+        both = links.select(F.col("x").alias("node"), F.col("y").alias("other")).union(links.select(F.col("y").alias("node"), F.col("x").alias("other")))
+        first = F.least(F.min(F.col("other").bitwiseXOR(mask)), F.col("node").bitwiseXOR(mask)).bitwiseXOR(mask)
+        near = stored(both.groupBy("node").agg(first.alias("near")))
+        hop = stored(near.join(near.select(F.col("node").alias("near"), F.col("near").alias("far")), "near").select("node", "far"))
+        hops.append(hop)
+        turned = links.join(hop.select(F.col("node").alias("x"), F.col("far").alias("p")), "x").join(hop.select(F.col("node").alias("y"), F.col("far").alias("q")), "y")
+        links = stored(turned.filter("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct())
+        if links.isEmpty():
+            break
+    # Later hops are of ever fewer nodes, so they are followed from the last one back.
+    label = hops.pop()
+    while hops:
+        onward = label.select(F.col("node").alias("far"), F.col("far").alias("last"))
+        label = hops.pop().join(onward, "far", "left").select("node", F.coalesce("last", "far").alias("far"))
+    label = stored(label)
+    least = label.groupBy("far").agg(F.min("node").alias("component"))
+    return label.join(least, "far").select("node", "component")
 
 
 def _alike_in_size(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _table(df: DataFrame, key: str) -> str:
-    """Writes the distinct rows as a table of the warehouse bucketed by ``key``, so that joins on it move the other side alone; its name."""
-    spark = df.sparkSession
-    name, buckets = f"held_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _table(df: DataFrame, key: str, name: str) -> None:
+    """Writes the distinct rows as a table of the (shared) warehouse bucketed by ``key``, so that joins on it move the other side alone."""
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(buckets, key).dropDuplicates().write.bucketBy(buckets, key).saveAsTable(name)
-    return name
 
 
 def _faced(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -62,16 +76,23 @@ def _faced(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """hub, n, of_hub, member, m, of_member: nodes of different components that share a bucket (key)."""
-    left = rows.select("key", F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"))
-    right = rows.select("key", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"))
+    """hub, n, of_hub, s_hub, member, m, of_member, s_member: nodes of different components that share a bucket (key)."""
+    left = rows.select("key", F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"), F.col("s").alias("s_hub"))
+    right = rows.select("key", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"))
     return left.join(right, "key").filter("hub < member and of_hub <> of_member").drop("key")
 
 
+def _of_size(rows: DataFrame, percent: int) -> DataFrame:
+    """Buckets by size class, too: nodes whose sizes allow ``percent`` of similarity are of one class or of neighbouring ones, and meet in one bucket at least."""
+    level = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9))
+    # A size at a border may be taken for the class beside it, so each node is in the classes on both sides of its own.
+    return rows.withColumn("key", F.explode(F.transform(F.sequence(level - 1, level + 1), lambda c: F.xxhash64("key", c))))
+
+
 def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool) -> DataFrame:
-    """hub, n, of_hub, member, m, of_member: the pairs of different components that can be alike at all.
+    """hub, n, of_hub, s_hub, member, m, of_member, s_member: the pairs of different components that can be alike at all.
 
-    opened: key, node, n, label. tokens: node, slack, its distinct tokens, of which
+    opened: key, node, n, s, label. tokens: node, slack, its distinct tokens, of which
     any node that is alike shares all but ``slack``, and one at least, and
     ``share``: two nodes that are alike share the sum of their shares at least. If
     the tokens of all nodes are put in one order, two nodes that are alike share
@@ -90,14 +111,14 @@ def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool) -> DataFra
     first = ranked.select("node", "share", rest, F.posexplode(F.slice(F.col("tokens.token"), F.lit(1), F.col("slack") + 1)).alias("at", "token"))
     on = ["key", "token"] if within else ["token"]
     left_over = first.select("node", "share", "token", (F.col("size") - F.col("at")).alias("rest"))
-    placed = stored(left_over.join(opened.select(*on[:-1], "node", "n", "label").distinct(), "node"))
+    placed = stored(left_over.join(opened.select(*on[:-1], "node", "n", "s", "label").distinct(), "node"))
     tops = placed.groupBy(*on, "label").agg(F.count("*").alias("rows")).groupBy(*on).agg(F.max(F.struct("rows", "label"))["label"].alias("top"), F.count("*").alias("labels"))
     met = stored(placed.join(tops.filter("labels > 1").select(*on, "top"), on))
-    left = met.filter("label <> top").select(*on, F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"), F.col("share").alias("share_a"), F.col("rest").alias("rest_a"))
-    right = met.select(*on, "top", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("share").alias("share_b"), F.col("rest").alias("rest_b"))
+    left = met.filter("label <> top").select(*on, F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"), F.col("s").alias("s_hub"), F.col("share").alias("share_a"), F.col("rest").alias("rest_a"))
+    right = met.select(*on, "top", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"), F.col("share").alias("share_b"), F.col("rest").alias("rest_b"))
     apart = (F.col("of_hub") != F.col("of_member")) & ((F.col("of_member") == F.col("top")) | (F.col("hub") < F.col("member")))
     enough = F.least("rest_a", "rest_b") >= F.col("share_a") + F.col("share_b")
-    return left.join(right, on).filter(apart & enough).select("hub", "n", "of_hub", "member", "m", "of_member")
+    return left.join(right, on).filter(apart & enough).select("hub", "n", "of_hub", "s_hub", "member", "m", "of_member", "s_member")
 
 
 def bucket_components(
@@ -108,80 +129,108 @@ def bucket_components(
     percent: int,
     within: bool = False,
     everyone: DataFrame | None = None,
+    possible: Column | None = None,
 ) -> DataFrame | None:
     """node, component (the smallest node of its connected group) of nodes that share buckets; None if there are none.
 
-    blocked: key, node and n (its size) of each node in each bucket. contents
-    gives ``node`` and the columns that are compared for a table of nodes; linked
-    turns (hub, member, contents of both) into (hub, member, linked); tokens turns
-    contents into node, slack, share and tokens (see _prefix_pairs). Only pairs whose
-    sizes allow ``percent`` of similarity are asked for. within: the last
-    step's pairs share a bucket, as all others do.
-
-    A bucket proposes a star, its centre with every other member of another
-    component. The centre, then compared with all, leaves the bucket, and so do
-    buckets that hold one component only. Further stars have the best-linked
-    member as centre. Of what STAR_ROUNDS stars have left open, members of
-    different components are compared: all in a bucket of FEW members, and in a
-    larger one those whose rarest tokens meet, which loses no link. No cap is set
-    on either, and no pair is compared twice.
-
-    everyone (node, n of all nodes): the last step takes all of these, whether or
+    blocked: key, node, n (its size) and optionally s (a sketch) of each node in each
+    bucket. contents gives ``node`` and the columns that are compared for a table of
+    nodes; linked turns (hub, member, contents of both) into (hub, member, linked);
+    tokens turns contents into node, slack, share and tokens (see _prefix_pairs).
+    Only pairs whose sizes allow ``percent`` of similarity, and whose sketches s_hub
+    and s_member are ``possible``, are asked for. within: the last step's pairs
+    share a bucket, as all others do.
+
+    In buckets of up to FEW members all pairs are compared. A larger one is parted by
+    size classes first, and what is still larger proposes a star, its centre with
+    every other member of another component. The centre, then compared with all,
+    leaves the bucket, and so do buckets that hold one component only. Further stars
+    have the best-linked member as centre. Of what STAR_ROUNDS stars have left open,
+    members of different components are compared: all in a bucket of FEW members,
+    and in a larger one those whose rarest tokens meet, which loses no link. No cap
+    is set on either, and no pair is compared twice.
+
+    everyone (node, n, s of all nodes): the last step takes all of these, whether or
     not they share a bucket, and compares those whose rarest tokens meet anywhere;
     buckets then only settle links sooner. No pair that is alike is missed.
     """
     spark = blocked.sparkSession
-    shared = blocked.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-    opened = stored(
-        blocked.join(shared.select("key"), "key").select("key", "node", "n", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree")).distinct()
-    )
-    nodes = stored((opened if everyone is None else everyone).select("node").distinct())
+    if "s" not in blocked.columns:
+        blocked = blocked.withColumn("s", F.lit(0).cast("long"))
+    if everyone is not None and "s" not in everyone.columns:
+        everyone = everyone.withColumn("s", F.lit(0).cast("long"))
+    fits = _alike_in_size("n", "m", percent) if possible is None else _alike_in_size("n", "m", percent) & possible
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of buckets of two to FEW members, and of larger ones."""
+        # Counts of rows: nodes that a bucket has twice count twice, and go to the larger ones at worst.
+        sizes = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("held")).filter("least <> most").select("key", "held")
+        shared = stored(rows.join(sizes, "key").select("key", "node", "n", "s", F.col("node").alias("label"), "held"))
+        return shared.filter(F.col("held") <= FEW).drop("held"), shared.filter(F.col("held") > FEW).drop("held").distinct()
+
+    small, large = parted(blocked)
+    smaller, opened = parted(_of_size(large, percent))
+    near = stored(_met(small).union(_met(smaller.distinct())).filter(fits).select("hub", "member").distinct())
+    opened = opened.withColumn("degree", F.lit(0).cast("long"))
+    nodes = near.select(F.explode(F.array("hub", "member")).alias("node")).union(opened.select("node"))
+    nodes = stored((nodes if everyone is None else everyone.select("node")).distinct())
     if nodes.isEmpty():
         return None
-    name = _table(contents(nodes), "node")
-    held = spark.table(name)
-    labels = nodes.select("node", F.col("node").alias("component"))
-    tested = None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            if opened.isEmpty():
-                continue
-            centres = opened.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "label")).alias("hub"))
-            starred = opened.join(centres, "key")
-            chosen = starred.select(F.col("hub.node").alias("hub"), F.col("node").alias("member"), F.col("hub.label").alias("of_hub"), F.col("label").alias("of_member"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
-            opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "label", "degree")
-        elif everyone is not None:
-            placed = stored(everyone.join(labels.withColumnRenamed("component", "label"), "node"))
-            chosen = _prefix_pairs(placed, tokens(held), False)
-        else:
-            sized = stored(opened.join(opened.groupBy("key").agg((F.count("*") <= FEW).alias("few")), "key"))
-            chosen, many = _met(sized.filter("few")), sized.filter("not few")
-            if not many.isEmpty():
-                chosen = chosen.union(_prefix_pairs(many, tokens(held.join(many.select("node").distinct(), "node", "left_semi")), within))
-        fitting = chosen.filter((F.col("of_hub") != F.col("of_member")) & _alike_in_size("n", "m", percent))
-        turned = F.col("hub") > F.col("member")
-        ordered = fitting.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), turned.alias("turned"), F.least("of_hub", "of_member").alias("x"), F.greatest("of_hub", "of_member").alias("y"))
-        pairs = ordered.groupBy("a", "b", "x", "y").agg(F.min("turned").alias("turned"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        ends = [F.when(F.col("turned"), F.col(p)).otherwise(F.col(q)).alias(end) for p, q, end in (("b", "a", "hub"), ("a", "b", "member"))]
-        found = linked(_faced(pairs.select(*ends), held)).filter("linked").select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).distinct()
-        links = stored(pairs.select("a", "b", "x", "y").join(found, ["a", "b"], "left_semi"))
-        done = pairs.select("a", "b")
-        tested = done if tested is None else tested.union(done)
-        if not links.isEmpty():
-            joined = components(links, "x", "y").select(F.col("node").alias("label"), F.col("component").alias("joined"))
-            labels = stored(labels.withColumnRenamed("component", "label").join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component")))
-        if turn == STAR_ROUNDS:
-            break
+    name = f"held_{uuid.uuid4().hex}"
+    try:
+        _table(contents(nodes), "node", name)
+        held = spark.table(name)
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            found = linked(_faced(pairs.select("hub", "member"), held)).filter("linked")
+            return found.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).distinct()
+
+        links = stored(confirmed(near))
+        labels = nodes.select("node", F.col("node").alias("component"))
         if not links.isEmpty():
-            degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
-            placed = opened.join(joined, "label", "left").join(degrees, "node", "left")
-            opened = placed.select("key", "node", "n", F.coalesce("joined", "label").alias("label"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree"))
-        mixed = opened.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-        opened = stored(opened.join(mixed.select("key"), "key"))
-        if everyone is None and opened.isEmpty():
-            break
-    spark.sql(f"DROP TABLE {name}")
+            joined = components(links)
+            labels = stored(labels.join(joined.withColumnRenamed("component", "joined"), "node", "left").select("node", F.coalesce("joined", "node").alias("component")))
+        tested = near.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
+
+        def relabelled(rows: DataFrame) -> DataFrame:
+            """Rows with their labels of now, without buckets of one component."""
+            placed = rows.drop("label").join(labels.withColumnRenamed("component", "label"), "node").select("key", "node", "n", "s", "label", "degree")
+            mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+            return stored(placed.join(mixed.select("key"), "key"))
+
+        opened = relabelled(opened)
+        for turn in range(STAR_ROUNDS + 1):
+            if everyone is None and opened.isEmpty():
+                break
+            if turn < STAR_ROUNDS:
+                centres = opened.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "s", "label")).alias("hub"))
+                starred = opened.join(centres, "key")
+                hub = [F.col(f"hub.{c}").alias(as_name) for c, as_name in (("node", "hub"), ("n", "n"), ("label", "of_hub"), ("s", "s_hub"))]
+                chosen = starred.select(*hub, F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"))
+                opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "s", "label", "degree")
+            elif everyone is not None:
+                placed = stored(everyone.join(labels.withColumnRenamed("component", "label"), "node"))
+                chosen = _prefix_pairs(placed, tokens(held), False)
+            else:
+                sized = stored(opened.join(opened.groupBy("key").agg((F.count("*") <= FEW).alias("few")), "key"))
+                chosen, many = _met(sized.filter("few")), sized.filter("not few")
+                if not many.isEmpty():
+                    chosen = chosen.union(_prefix_pairs(many, tokens(held.join(many.select("node").distinct(), "node", "left_semi")), within))
+            fitting = chosen.filter((F.col("of_hub") != F.col("of_member")) & fits)
+            turned = F.col("hub") > F.col("member")
+            ordered = fitting.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), turned.alias("turned"), F.least("of_hub", "of_member").alias("x"), F.greatest("of_hub", "of_member").alias("y"))
+            pairs = stored(ordered.groupBy("a", "b", "x", "y").agg(F.min("turned").alias("turned")).join(tested, ["a", "b"], "left_anti"))
+            ends = [F.when(F.col("turned"), F.col(p)).otherwise(F.col(q)).alias(end) for p, q, end in (("b", "a", "hub"), ("a", "b", "member"))]
+            links = stored(pairs.select("a", "b", "x", "y").join(confirmed(pairs.select(*ends)), ["a", "b"], "left_semi"))
+            tested = tested.union(pairs.select("a", "b"))
+            if not links.isEmpty():
+                joined = components(links, "x", "y").select(F.col("node").alias("label"), F.col("component").alias("joined"))
+                labels = stored(labels.withColumnRenamed("component", "label").join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component")))
+            if turn < STAR_ROUNDS:
+                if not links.isEmpty():
+                    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
+                    opened = opened.join(degrees, "node", "left").withColumn("degree", F.col("degree") + F.coalesce("more", F.lit(0)))
+                opened = relabelled(opened)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return labels

@@ -46,6 +46,11 @@ PERCENT = 80
 GAP = r"[^\p{L}\p{M}\p{N}]+"
 SHORT_WORD, WEIGHT = 3, 4
 CHUNK_WORDS = 4095
+#: Windows of three words by which a line meets others, and the most words of lines that meet by pairs, too.
+LISTED = 8
+PAIRED_WORDS = 6
+#: Bits in which the SimHashes of two lines differ at most that are compared.
+DISTANT = 24
 
 _LANES = 0x0001_0001_0001_0001
 #: The most that a lane's sum may be, and the bit that it carries into when the majority is added.
@@ -55,7 +60,7 @@ assert CHUNK_WORDS * WEIGHT <= _MOST
 BITS = 16
 BLOCKS = 4
 PAIRS = tuple(combinations(range(BLOCKS), 2))
-_LINE = ("doc_id", "row", "pos", "one", "two", "n_words")
+_LINE = ("doc_id", "row", "pos", "one", "two", "n_words", "windows")
 
 
 def normal_words(line: Column) -> Column:
@@ -88,6 +93,19 @@ def block_keys() -> Column:
     return F.array(*[F.shiftleft(block(a), BITS).bitwiseOR(block(b)).bitwiseOR(F.lit(i << 32)) for i, (a, b) in enumerate(PAIRS)])
 
 
+def window_keys(words: Column, size: Column) -> Column:
+    """The LISTED least hashes of a line's windows of three words (all, if it has no more); up to six words, of its pairs of neighbours, too."""
+
+    def hashed(h: Column) -> Column:
+        of_three = F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+        of_two = F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))
+        return F.when(size < LEAST_WORDS, F.array().cast("array<long>")).when(size <= PAIRED_WORDS, F.concat(of_two, of_three)).otherwise(of_three)
+
+    # Hashes of words are bound once, as the argument of the outer transform.
+    every = F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), hashed), F.lit(0))
+    return F.slice(F.sort_array(F.array_distinct(every)), 1, LISTED)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (a hash of id and text), text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -95,14 +113,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def sketched(rows: DataFrame, least_words: int = LEAST_WORDS, least_chars: int | None = None) -> DataFrame:
-    """Each line of least_words words or more, or of least_chars characters of words or more: doc_id, row, pos, one and two (hashes of its words), n_words and s (its SimHash)."""
+    """Each line of least_words words or more, or of least_chars characters of words or more: doc_id, row, pos, one and two (hashes of its words), n_words, windows (keys) and s (its SimHash)."""
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     # Exploded, since the filter would otherwise be pushed below the words and split each line a second time.
     long = F.size("words") >= least_words
     if least_chars is not None:
         long = long | (F.length(F.array_join("words", "")) >= max(1, least_chars))
     words = lines.select("doc_id", "row", "pos", F.explode(F.array(normal_words(F.col("line")))).alias("words")).filter(long)
-    hashed = words.select("doc_id", "row", "pos", F.xxhash64("words").alias("one"), F.xxhash64("words", F.lit(7)).alias("two"), F.size("words").alias("n_words"), "words")
+    size = F.size("words")
+    hashed = words.select("doc_id", "row", "pos", F.xxhash64("words").alias("one"), F.xxhash64("words", F.lit(7)).alias("two"), size.alias("n_words"), window_keys(F.col("words"), size).alias("windows"), "words")
     each = hashed.select(*_LINE, F.posexplode("words").alias("at", "word"))
     bits = each.select(*_LINE, F.expr(f"at div {CHUNK_WORDS}").alias("chunk"), F.xxhash64("word").alias("s"), word_weight(F.col("word")).alias("weight"))
     chunks = stored(simhashes(bits, *_LINE, "chunk").drop("chunk"))
@@ -110,12 +129,35 @@ def sketched(rows: DataFrame, least_words: int = LEAST_WORDS, least_chars: int |
     return single.unionByName(simhashes(chunks.filter(F.col("n_words") > CHUNK_WORDS).withColumn("weight", F.lit(1).cast("long")), *_LINE))
 
 
+def _code(word: Column) -> Column:
+    return F.hex(F.pmod(F.xxhash64(word), F.lit(0xC000)) + F.lit(0x1000))
+
+
 def coded(words: Column) -> Column:
     """Words as one character each, of 49,152, so that the edit distance of strings is that of words."""
-    codes = F.transform(words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0xC000)) + F.lit(0x1000)))
+    codes = F.transform(words, _code)
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
 
+def confirmed(most: str) -> Column:
+    """Whether the distance over the words themselves is within ``most``, for lines (said_a, said_b) whose codes are.
+
+    If no two words of the pair have one code, that is so; otherwise words are
+    numbered by their place among the pair's words and compared by these.
+    """
+
+    def judged(words: Column) -> Column:
+        alone = F.size(F.array_distinct(F.transform(words, _code))) == F.size(words)
+
+        def numbered(said: str) -> Column:
+            places = F.transform(F.split(said, " "), lambda w: F.lpad(F.hex(F.array_position(words, w) + F.lit(0x10000)), 8, "0"))
+            return F.decode(F.unhex(F.array_join(places, "")), "UTF-32")
+
+        return alone | (F.levenshtein(numbered("said_a"), numbered("said_b")) <= F.col(most))
+
+    return F.get(F.transform(F.array(F.array_union(F.split("said_a", " "), F.split("said_b", " "))), judged), F.lit(0))
+
+
 def tokens_of_two(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, slack, share and tokens of contents (node, code, size): the distinct pairs of neighbouring words.
 
@@ -139,18 +181,19 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, com
 
     complete: of all classes; otherwise of those that share block keys.
     """
-    blocked = classes.select(F.col("one").alias("node"), F.col("n_words").alias("n"), F.explode(block_keys()).alias("key"))
+    blocked = classes.select(F.col("one").alias("node"), F.col("n_words").alias("n"), "s", F.explode(F.concat(block_keys(), F.col("windows"))).alias("key"))
 
     def texts(wanted: DataFrame) -> DataFrame:
         at = classes.join(wanted, F.col("one") == F.col("node")).select("node", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row"), F.col("first.pos").alias("_pos"))
         each = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         found = each.join(at.hint("shuffle_hash"), (F.col("row") == F.col("_row")) & (F.col("pos") == F.col("_pos")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         words = found.select("node", normal_words(F.col("line")).alias("words"))
-        return words.select("node", coded(F.col("words")).alias("code"), F.size("words").alias("size"))
+        return words.select("node", coded(F.col("words")).alias("code"), F.array_join("words", " ").alias("said"), F.size("words").alias("size"))
 
     def linked(faced: DataFrame) -> DataFrame:
         most = (F.greatest("size_a", "size_b") * (100 - percent) / 100).cast("int")
-        return faced.withColumn("most", most).select("hub", "member", (F.expr("levenshtein(code_a, code_b, most)") >= 0).alias("linked"))
+        near = F.expr("levenshtein(code_a, code_b, most)") >= 0
+        return faced.withColumn("most", most).select("hub", "member", (near & confirmed("most")).alias("linked"))
 
     def tokens(held: DataFrame) -> DataFrame:
         # A line that is alike lacks at most the share of words that may be edited; each lacks one distinct word at most.
@@ -159,7 +202,8 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, com
         return held.select("node", slack.alias("slack"), F.lit(0.0).alias("share"), F.transform(words, lambda w: F.ascii(w).cast("long")).alias("tokens"))
 
     if not complete:
-        return bucket_components(blocked, texts, linked, tokens, percent, within=True)
+        possible = F.bit_count(F.col("s_hub").bitwiseXOR(F.col("s_member"))) <= DISTANT
+        return bucket_components(blocked, texts, linked, tokens, percent, within=True, possible=possible)
     every = classes.groupBy(F.col("one").alias("node")).agg(F.first("n_words").alias("n"))
     chosen = (lambda held: tokens_of_two(held, percent)) if least_words >= _least_of_two(percent) else tokens
     return bucket_components(blocked, texts, linked, chosen, percent, everyone=every)
@@ -170,7 +214,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int
     rows = keyed(docs, **columns)
     lines = sketched(rows, least_words, least_chars)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "pos")
-    same = [F.first(c).alias(c) for c in ("n_words", "s")]
+    same = [F.first(c).alias(c) for c in ("n_words", "s", "windows")]
     classes = stored(lines.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *same))
     found = line_groups(classes.filter(F.col("n_words") >= least_words), rows, percent, complete, least_words)
     repeated = classes.filter("copies > 1").select("one", "two", F.col("first").alias("lead"))

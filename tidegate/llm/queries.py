@@ -34,7 +34,7 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_counts(table(spark, sf_dir, "documents"), complete=True, least_chars=lines.LEAST_CHARS)
+    return lines.line_counts(table(spark, sf_dir, "documents"), least_chars=lines.LEAST_CHARS)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
