@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those left without words go."""
-    return lines.without_repeats(docs, complete=True, least_chars=lines.LEAST_CHARS)
+    return lines.without_repeats(docs, least_chars=lines.LEAST_CHARS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
