@@ -164,7 +164,7 @@ def bucket_components(
     def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of buckets of two to FEW members, and of larger ones."""
         # Counts of rows: nodes that a bucket has twice count twice, and go to the larger ones at worst.
-        sizes = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("held")).filter("least <> most").select("key", "held")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
         shared = stored(rows.join(sizes, "key").select("key", "node", "n", "s", F.col("node").alias("label"), "held"))
         return shared.filter(F.col("held") <= FEW).drop("held"), shared.filter(F.col("held") > FEW).drop("held").distinct()
 

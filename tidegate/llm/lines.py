@@ -6,13 +6,17 @@ SimHash of 64 bits over its words, in which words of up to three characters, tha
 most lines share, weigh a quarter of others, cut into four blocks of 16 bits. By the
 pigeonhole principle two SimHashes that differ in at most two bits agree in two
 blocks at least, so classes are joined on pairs of blocks: six keys of 32 bits
-each, so that chance meetings stay few in large corpora. Lines at a similarity of
-0.8 mostly differ in more bits and seldom meet so; with ``complete``, as the queries ask
-for, all classes whose rarest pairs of neighbouring words meet are compared as well, which
-no two lines that are alike can avoid. Classes that meet are linked if their edit similarity over words,
-1 - distance / longer length, is at least 0.8. Of each connected group the first
-occurrence (by document id, then line) stays and all others go. All of it is
-DataFrame expressions.
+each, so that chance meetings stay few in large corpora.
+
+Lines at a similarity of 0.8 mostly differ in more bits and seldom meet so. So each class
+has LISTED further keys, its pairs of neighbouring words of most characters: what two
+lines that are alike share most likely and others do not, in an order that needs no
+counts of the corpus. Of classes that meet, those are compared whose lengths allow the
+similarity and whose SimHashes differ in at most DISTANT bits. They are linked if their
+edit similarity over words, 1 - distance / longer length, is at least 0.8. Of each connected
+group the first occurrence (by document id, then line) stays and all others go. All of it is
+DataFrame expressions. With ``complete``, all classes whose rarest pairs of neighbouring words
+meet are compared as well, which no two lines that are alike can avoid.
 
 Bits are counted four at a time, in lanes of 16 bits of one long sum; a lane
 holds the weights of CHUNK_WORDS words, and the SimHash of a longer line is the majority of
@@ -46,12 +50,13 @@ PERCENT = 80
 GAP = r"[^\p{L}\p{M}\p{N}]+"
 SHORT_WORD, WEIGHT = 3, 4
 CHUNK_WORDS = 4095
-#: Windows of three words by which a line meets others, and the most words of lines that meet by pairs, too.
-LISTED = 8
-PAIRED_WORDS = 6
+#: Pairs of neighbouring words by which a line meets others.
+LISTED = 4
 #: Bits in which the SimHashes of two lines differ at most that are compared.
 DISTANT = 24
 
+#: Bit of a pair's key from which its characters are told.
+_LENGTH_AT = 55
 _LANES = 0x0001_0001_0001_0001
 #: The most that a lane's sum may be, and the bit that it carries into when the majority is added.
 _MOST, _CARRY = (1 << 14) - 1, 14
@@ -60,7 +65,7 @@ assert CHUNK_WORDS * WEIGHT <= _MOST
 BITS = 16
 BLOCKS = 4
 PAIRS = tuple(combinations(range(BLOCKS), 2))
-_LINE = ("doc_id", "row", "pos", "one", "two", "n_words", "windows")
+_LINE = ("doc_id", "row", "pos", "one", "two", "n_words", "pairs")
 
 
 def normal_words(line: Column) -> Column:
@@ -93,17 +98,25 @@ def block_keys() -> Column:
     return F.array(*[F.shiftleft(block(a), BITS).bitwiseOR(block(b)).bitwiseOR(F.lit(i << 32)) for i, (a, b) in enumerate(PAIRS)])
 
 
-def window_keys(words: Column, size: Column) -> Column:
-    """The LISTED least hashes of a line's windows of three words (all, if it has no more); up to six words, of its pairs of neighbours, too."""
+def pair_keys(words: Column) -> Column:
+    """Keys of the LISTED pairs of neighbouring words of most characters together (all, if there are no more).
 
-    def hashed(h: Column) -> Column:
-        of_three = F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
-        of_two = F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))
-        return F.when(size < LEAST_WORDS, F.array().cast("array<long>")).when(size <= PAIRED_WORDS, F.concat(of_two, of_three)).otherwise(of_three)
+    A key has the pair's characters in its upper bits and a hash below, so that the
+    largest keys are those of the longest pairs, in an order that all lines share.
+    """
+    low = F.lit((1 << _LENGTH_AT) - 1)
+
+    def paired(p: Column) -> Column:
+        def key(a: Column, b: Column) -> Column:
+            both = F.shiftrightunsigned(a, _LENGTH_AT) + F.shiftrightunsigned(b, _LENGTH_AT)
+            return F.shiftleft(both, _LENGTH_AT).bitwiseOR(F.xxhash64(a, b).bitwiseAND(low))
+
+        return F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), key)
 
-    # Hashes of words are bound once, as the argument of the outer transform.
-    every = F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), hashed), F.lit(0))
-    return F.slice(F.sort_array(F.array_distinct(every)), 1, LISTED)
+    each = F.transform(words, lambda w: F.shiftleft(F.least(F.length(w), F.lit(127)).cast("long"), _LENGTH_AT).bitwiseOR(F.xxhash64(w).bitwiseAND(low)))
+    # The words' numbers are bound once, as the argument of the outer transform.
+    keys = F.get(F.transform(F.array(each), paired), F.lit(0))
+    return F.slice(F.sort_array(F.array_distinct(keys), asc=False), 1, LISTED)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +126,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def sketched(rows: DataFrame, least_words: int = LEAST_WORDS, least_chars: int | None = None) -> DataFrame:
-    """Each line of least_words words or more, or of least_chars characters of words or more: doc_id, row, pos, one and two (hashes of its words), n_words, windows (keys) and s (its SimHash)."""
+    """Each line of least_words words or more, or of least_chars characters of words or more: doc_id, row, pos, one and two (hashes of its words), n_words, pairs (keys) and s (its SimHash)."""
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     # Exploded, since the filter would otherwise be pushed below the words and split each line a second time.
     long = F.size("words") >= least_words
@@ -121,7 +134,7 @@ def sketched(rows: DataFrame, least_words: int = LEAST_WORDS, least_chars: int |
         long = long | (F.length(F.array_join("words", "")) >= max(1, least_chars))
     words = lines.select("doc_id", "row", "pos", F.explode(F.array(normal_words(F.col("line")))).alias("words")).filter(long)
     size = F.size("words")
-    hashed = words.select("doc_id", "row", "pos", F.xxhash64("words").alias("one"), F.xxhash64("words", F.lit(7)).alias("two"), size.alias("n_words"), window_keys(F.col("words"), size).alias("windows"), "words")
+    hashed = words.select("doc_id", "row", "pos", F.xxhash64("words").alias("one"), F.xxhash64("words", F.lit(7)).alias("two"), size.alias("n_words"), F.when(size >= LEAST_WORDS, pair_keys(F.col("words"))).otherwise(F.array().cast("array<long>")).alias("pairs"), "words")
     each = hashed.select(*_LINE, F.posexplode("words").alias("at", "word"))
     bits = each.select(*_LINE, F.expr(f"at div {CHUNK_WORDS}").alias("chunk"), F.xxhash64("word").alias("s"), word_weight(F.col("word")).alias("weight"))
     chunks = stored(simhashes(bits, *_LINE, "chunk").drop("chunk"))
@@ -153,7 +166,7 @@ def confirmed(most: str) -> Column:
             places = F.transform(F.split(said, " "), lambda w: F.lpad(F.hex(F.array_position(words, w) + F.lit(0x10000)), 8, "0"))
             return F.decode(F.unhex(F.array_join(places, "")), "UTF-32")
 
-        return alone | (F.levenshtein(numbered("said_a"), numbered("said_b")) <= F.col(most))
+        return alone | (F.call_function("levenshtein", numbered("said_a"), numbered("said_b"), F.col(most)) >= 0)
 
     return F.get(F.transform(F.array(F.array_union(F.split("said_a", " "), F.split("said_b", " "))), judged), F.lit(0))
 
@@ -181,7 +194,7 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, com
 
     complete: of all classes; otherwise of those that share block keys.
     """
-    blocked = classes.select(F.col("one").alias("node"), F.col("n_words").alias("n"), "s", F.explode(F.concat(block_keys(), F.col("windows"))).alias("key"))
+    blocked = classes.select(F.col("one").alias("node"), F.col("n_words").alias("n"), "s", F.explode(F.concat(block_keys(), F.col("pairs"))).alias("key"))
 
     def texts(wanted: DataFrame) -> DataFrame:
         at = classes.join(wanted, F.col("one") == F.col("node")).select("node", F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row"), F.col("first.pos").alias("_pos"))
@@ -192,8 +205,11 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, com
 
     def linked(faced: DataFrame) -> DataFrame:
         most = (F.greatest("size_a", "size_b") * (100 - percent) / 100).cast("int")
-        near = F.expr("levenshtein(code_a, code_b, most)") >= 0
-        return faced.withColumn("most", most).select("hub", "member", (near & confirmed("most")).alias("linked"))
+        # Most pairs are settled by what is cheap: words that the other line lacks, each of which takes an edit, or a small distance.
+        apart = [F.size(F.array_except(F.split(x, ""), F.split(y, ""))) > F.col("most") for x, y in (("code_a", "code_b"), ("code_b", "code_a"))]
+        near = (F.expr("levenshtein(code_a, code_b, most div 4)") >= 0) | (F.expr("levenshtein(code_a, code_b, most)") >= 0)
+        alike = F.when(apart[0] | apart[1], False).otherwise(near & confirmed("most"))
+        return faced.withColumn("most", most).select("hub", "member", alike.alias("linked"))
 
     def tokens(held: DataFrame) -> DataFrame:
         # A line that is alike lacks at most the share of words that may be edited; each lacks one distinct word at most.
@@ -214,7 +230,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int
     rows = keyed(docs, **columns)
     lines = sketched(rows, least_words, least_chars)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "pos")
-    same = [F.first(c).alias(c) for c in ("n_words", "s", "windows")]
+    same = [F.first(c).alias(c) for c in ("n_words", "s", "pairs")]
     classes = stored(lines.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *same))
     found = line_groups(classes.filter(F.col("n_words") >= least_words), rows, percent, complete, least_words)
     repeated = classes.filter("copies > 1").select("one", "two", F.col("first").alias("lead"))

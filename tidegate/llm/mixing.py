@@ -4,7 +4,8 @@ Each source's documents, laid end to end, are cut into blocks of LENGTH words.
 A source's target in words fixes how many block slots it gets. The slots are
 spread over output shards by multinomial draws given these totals: a tree of
 splits, seeded by node, from which each task finds the counts of its own shards
-alone. Slot i of a source takes the block that a pseudorandom permutation (a
+alone. So a source's words are what its target says, and the draws decide in which
+shards a document's words lie. Slot i of a source takes the block that a pseudorandom permutation (a
 Feistel network on the block numbers, one key per source and epoch) gives for i,
 and blocks are joined to slots by number.
 
@@ -13,7 +14,7 @@ one at most; the last slot takes only the words that are still missing.
 
 Defined cases: a null text has no words; null is a source of its own, the last
 one; sources without words have target 0; repeated rows each have their own
-place and their own words taken; an empty table gives an empty result; other
+place and their own words taken; a very long text spans many blocks; an empty table gives an empty result; other
 columns of the input are ignored. Sources are metadata: more than MAX_SOURCES
 raise an error instead of being collected.
 """
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm._common import WORD_GAP, materialise
@@ -34,13 +35,14 @@ LENGTH = 512
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
 MOST_EPOCHS = 3
-SHARD_SLOTS = 1 << 14
+#: Slots of an output shard, and shards that a task fills together.
+SHARD_SLOTS, TASK_SHARDS = 1 << 8, 1 << 6
 SEED = 17
 MAX_SOURCES = 100_000
 #: Places of a source's documents are summed within this many hash buckets, then over them.
 BUCKETS = 1024
-#: Splits of more slots than this are made in proportion; the draw's spread would be under 1 in 10,000.
-DRAWN_SLOTS = 1 << 28
+#: Slots from which numpy can draw.
+LIBRARY_SLOTS = 1_000_000_000
 
 
 def _round(x: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -105,27 +107,45 @@ def plan(sid: int, words: int, target: int, length: int = LENGTH) -> Plan:
     return Plan(sid, blocks, epochs * blocks + slots, last)
 
 
-def shard_counts(totals: np.ndarray, shards: int, shard: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """For one shard: each source's first slot and number of slots."""
-    first, held, lo, hi = np.zeros_like(totals), totals.copy(), 0, shards
-    node = 1
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        size = int(held.sum())
-        part = size * (mid - lo) // (hi - lo)
-        if size > DRAWN_SLOTS:
-            exact = held * (part / size)
-            left = np.floor(exact).astype(np.int64)
-            order = np.argsort(-(exact - left), kind="stable")
-            left[order[: part - int(left.sum())]] += 1
-        else:
-            drawn = np.random.Generator(np.random.Philox([seed, node]))
-            left = drawn.multivariate_hypergeometric(held, part, method="marginals")
-        if shard < mid:
-            held, hi, node = left, mid, 2 * node
+def drawn(held: np.ndarray, part: int, generator: np.random.Generator) -> np.ndarray:
+    """How many of ``part`` slots each source gets if they are drawn without replacement from ``held`` slots of each.
+
+    One source after another, each given what the ones before have left. The
+    library's draw holds below LIBRARY_SLOTS; of more slots, few are as good as drawn
+    independently, and the number of many is normal.
+    """
+    out, size = np.zeros_like(held), int(held.sum())
+    for k, own in enumerate(held.tolist()):
+        least, most = max(0, part - (size - own)), min(own, part)
+        if size < LIBRARY_SLOTS:
+            n = int(generator.hypergeometric(own, size - own, part)) if own and part else 0
+        elif own < LIBRARY_SLOTS // 1000:
+            n = int(generator.binomial(own, part / size))
         else:
-            first, held, lo, node = first + left, held - left, mid, 2 * node + 1
-    return first, held
+            share = own / size
+            n = round(part * share + generator.standard_normal() * (part * share * (1 - share) * ((size - part) / max(size - 1, 1))) ** 0.5)
+        out[k] = n = min(max(n, least), most)
+        size, part = size - own, part - n
+    return out
+
+
+def shard_counts(totals: np.ndarray, shards: int, first: int, last: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each shard from first up to last (not included): shard, each source's first slot and number of slots.
+
+    Splits that the shards share are drawn once.
+    """
+    todo = [(1, 0, shards, np.zeros_like(totals), totals)]
+    while todo:
+        node, lo, hi, before, held = todo.pop()
+        if hi <= first or lo >= last:
+            continue
+        if hi - lo == 1:
+            yield lo, before, held
+            continue
+        mid = (lo + hi) // 2
+        left = drawn(held, int(held.sum()) * (mid - lo) // (hi - lo), np.random.Generator(np.random.Philox(key=seed, counter=[node & (2**64 - 1), 0, 0, node >> 64])))
+        todo.append((2 * node + 1, mid, hi, before + left, held - left))
+        todo.append((2 * node, lo, mid, before, left))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -169,7 +189,8 @@ def _placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "text_hash", "size")
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lined = dealt.withColumn("before", before).withColumn("place", F.row_number().over(inside))
-    return lined.join(starts, ["sid", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("before")).drop("before", "bucket_start")
+    # Both sides are dealt by source and bucket already, and starts grow with the sources, so nothing is sent to all tasks.
+    return lined.join(starts.hint("merge"), ["sid", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("before")).drop("before", "bucket_start")
 
 
 def slots(spark, plans: list[Plan], length: int = LENGTH) -> DataFrame:
@@ -179,21 +200,22 @@ def slots(spark, plans: list[Plan], length: int = LENGTH) -> DataFrame:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.column("shard").to_pylist():
-                first, count = shard_counts(totals, shards, shard)
-                for p, lo, n in zip(plans, first.tolist(), count.tolist()):
-                    if not n:
-                        continue
-                    slot = np.arange(lo, lo + n)
-                    epoch = slot // p.blocks
-                    block = np.empty(n, np.int64)
-                    for e in np.unique(epoch):
-                        block[epoch == e] = permuted(slot[epoch == e] % p.blocks, p.blocks, p.seed(int(e)))
-                    take = np.full(n, length)
-                    take[slot == p.slots - 1] = p.last_take
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard), pa.int64()), "sid": pa.array(np.full(n, p.sid), pa.int32()), "slot": pa.array(slot), "block": pa.array(block), "take": pa.array(take, pa.int64())})
-
-    tasks = spark.range(0, shards, 1, min(shards, 2000)).withColumnRenamed("id", "shard")
+            for task in batch.column("task").to_pylist():
+                for shard, first, count in shard_counts(totals, shards, task * TASK_SHARDS, (task + 1) * TASK_SHARDS):
+                    for p, lo, n in zip(plans, first.tolist(), count.tolist()):
+                        if not n:
+                            continue
+                        slot = np.arange(lo, lo + n)
+                        epoch = slot // p.blocks
+                        block = np.empty(n, np.int64)
+                        for e in np.unique(epoch):
+                            block[epoch == e] = permuted(slot[epoch == e] % p.blocks, p.blocks, p.seed(int(e)))
+                        take = np.full(n, length)
+                        take[slot == p.slots - 1] = p.last_take
+                        yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard), pa.int64()), "sid": pa.array(np.full(n, p.sid), pa.int32()), "slot": pa.array(slot), "block": pa.array(block), "take": pa.array(take, pa.int64())})
+
+    n_tasks = -(-shards // TASK_SHARDS)
+    tasks = spark.range(0, n_tasks, 1, min(n_tasks, 2000)).withColumnRenamed("id", "task")
     return tasks.mapInArrow(fill, "shard long, sid int, slot long, block long, take long")
 
 
@@ -228,18 +250,20 @@ def mix(docs: DataFrame, length: int = LENGTH, **columns: str) -> Mix:
     placed = _placed(rows, sources)
     chosen = slots(docs.sparkSession, plans, length)
     whole = F.count_if(F.col("take") == length)
-    by_block = chosen.groupBy("sid", "block").agg(whole.alias("times"), F.coalesce(F.max(F.when(F.col("take") < length, F.col("take"))), F.lit(0)).alias("part"))
-    taken = _pieces(placed, length).join(by_block, ["sid", "block"], "left")
+    by_block = chosen.groupBy("sid", "block").agg(
+        whole.alias("times"), F.coalesce(F.max(F.when(F.col("take") < length, F.col("take"))), F.lit(0)).alias("part"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard")
+    )
+    taken = _pieces(placed, length).join(by_block.hint("merge"), ["sid", "block"], "left")
     return Mix(plans, sources, placed, chosen, taken)
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each document."""
+    """doc_id, size, source_size, target, taken, first_shard and last_shard (of the output shards that got words of it) of each document."""
     pieces = mix(docs, **options).taken
     part = F.greatest(F.least(F.col("high"), F.col("part")) - F.col("low"), F.lit(0))
     words = F.coalesce(F.col("times") * (F.col("high") - F.col("low")) + part, F.lit(0))
-    by_doc = pieces.groupBy("sid", "bucket", "place").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum(words).alias("taken"))
-    return by_doc.select("doc_id", "size", "source_size", "target", "taken")
+    by_doc = pieces.groupBy("sid", "bucket", "place").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum(words).alias("taken"), F.min(F.when(words > 0, F.col("first_shard"))).alias("first_shard"), F.max(F.when(words > 0, F.col("last_shard"))).alias("last_shard"))
+    return by_doc.select("doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
 def mixed_blocks(docs: DataFrame, length: int = LENGTH, **columns: str) -> DataFrame:
@@ -290,8 +314,12 @@ def mixed_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")),
     )
     each = joined.withColumn("_copy", F.explode(F.get(F.col("_rows.copies"), F.col("_row") - 1)))
-    words = F.filter(F.split("text", WORD_GAP), lambda w: w != "")
-    cut = F.flatten(F.transform(F.col("_copy.spans"), lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["n"].cast("int"))))
-    text = F.when(F.col("_copy.n") == F.col("_copy.size"), F.col("text")).otherwise(F.array_join(cut, " "))
+
+    def spanned(words: Column) -> Column:
+        return F.array_join(F.flatten(F.transform(F.col("_copy.spans"), lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["n"].cast("int")))), " ")
+
+    # The words are bound once, as the argument of the outer transform.
+    cut = F.get(F.transform(F.array(F.filter(F.split("text", WORD_GAP), lambda w: w != "")), spanned), F.lit(0))
+    text = F.when(F.col("_copy.n") == F.col("_copy.size"), F.col("text")).otherwise(cut)
     fresh = each.withColumn("_new", text)
     return fresh.select(*[F.col("_new").alias("text") if c == "text" else F.length("_new").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in names])

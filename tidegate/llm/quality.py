@@ -9,7 +9,8 @@ sample of labelled rows, in one task, and scores are sparse dot products.
 Defined cases: a null or empty text has the bias alone and gets the score of
 the bias; rows without a label are scored only; several labels of one id are all
 used; an empty or one-sided training set gives scores from what there is (0.5
-without any); repeated rows are each scored; other columns are ignored.
+without any); repeated rows are each scored and have equal scores; a very long text
+has BUCKETS features at most; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.llm._common import stored
 from tidegate.llm._words import Chunk, chunks, mix
 
 #: Weights, a power of two; the last place is the bias.
 BUCKETS = 1 << 18
-#: At most so many labelled rows are learned from: those with the smallest hash of their id.
+#: At most so many labelled rows are learned from: those with the smallest hash of their id; and no more
+#: of them than have so many features together (4 bytes each, all in one task; one text has BUCKETS at most).
 MAX_TRAINING_ROWS = 12_000
+MAX_TRAINING_FEATURES = 24_000_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.05
 
@@ -67,12 +71,13 @@ def ftrl(rows: list[tuple[np.ndarray, int]], buckets: int = BUCKETS, epochs: int
     return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_TRAINING_ROWS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_TRAINING_FEATURES) -> np.ndarray:
     """Learns from labelled documents for which ``learn`` (over doc_id) holds.
 
     The sample is chosen on ids alone (top max_rows by a hash, a bounded sort
-    without texts); texts of that bounded sample meet in one task. The weights
-    come back to the driver: BUCKETS numbers, whatever the input.
+    without texts); its features, at most max_features and those of one text more,
+    meet in one task. The weights come back to the driver: BUCKETS numbers,
+    whatever the input.
     """
     wanted = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -99,6 +104,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
         return pd.DataFrame({"place": at, "weight": weights[at]})
 
     hashed = sample.select("place", "doc_id", "label", "text").mapInArrow(places, "place long, doc_id long, label int, features array<int>")
+    hashed = stored(hashed)
+    # Rows in order until their features are enough; the window is over numbers of at most max_rows rows (and their repeats).
+    line = Window.orderBy("place", "doc_id", "label").rowsBetween(Window.unboundedPreceding, -1)
+    counted = hashed.select("place", "doc_id", "label", F.size("features").cast("long").alias("n")).groupBy("place", "doc_id", "label").agg(F.sum("n").alias("n"))
+    chosen = counted.withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0))).filter(F.col("before") < max_features)
+    hashed = hashed.join(chosen.select("place", "doc_id", "label"), ["place", "doc_id", "label"], "left_semi")
     rows = hashed.groupBy(F.lit(0).alias("model")).applyInPandas(lambda frame: learned(frame), "place long, weight double").toPandas()
     weights = np.zeros(BUCKETS)
     weights[rows["place"].to_numpy(np.int64)] = rows["weight"]
@@ -114,8 +125,10 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 places, bounds = features(chunk, len(w))
-                sums = np.concatenate(([0.0], np.cumsum(w[places])))
-                dots = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.sqrt(np.maximum(np.diff(bounds), 1))
+                sizes = np.diff(bounds)
+                dots = np.zeros(len(sizes))
+                if filled := np.flatnonzero(sizes).tolist():  # each text is summed by itself, so equal texts have equal scores
+                    dots[filled] = np.add.reduceat(w[places], bounds[filled]) / np.sqrt(sizes[filled])
                 p = 1 / (1 + np.exp(-np.clip(dots + 0.1 * w[-1], -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[chunk.lo : chunk.hi], pa.array(p)], ["doc_id", "score"])
 

@@ -9,11 +9,15 @@ into a folder that all executors share:
   that ends a part). The value buffer of a batch is one contiguous array, so a
   memory-mapped reader reaches any sequence without copying.
 * ``part-N.index.arrows``: doc_id, first id's place in the part, number of ids.
+* ``part-N.batches.arrows``: where each batch ends in ``part-N.arrows``, so that any
+  sequence is reached by its number (see Sequences).
 
 A file is written under a temporary name and moved to its own name at the end,
 so a repeated task replaces whole files only.
 
-Defined cases: a null text counts as empty and gives the end id alone; rows
+Defined cases: a null text counts as empty and gives the end id alone; a very long text
+is cut into pieces like any other and may fill many sequences and batches; the model's added
+tokens (such as its end sign) within a text get their own id, as the library gives it; rows
 with null ids come first; repeated rows are all written, in text order; an empty
 table gives no file and no row; other columns of the input are ignored.
 """
@@ -41,9 +45,9 @@ from tidegate.llm._common import shared_dir
 END_ID = 0
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
-#: Entries of a worker's cache of encoded text pieces. A full cache becomes the older one,
-#: from which entries that are met again come back.
-CACHE_ENTRIES = 500_000
+#: A worker's cache of encoded text pieces: its entries, and the characters of all of them, at most. A
+#: full cache becomes the older one, from which entries that are met again come back.
+CACHE_ENTRIES, CACHE_CHARACTERS = 500_000, 8_000_000
 
 # A piece is a run of white space and the run of other characters after it; a word's closing
 # signs make a piece of their own. In byte-level BPE pre-tokenisation no token spans the border
@@ -64,18 +68,29 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
+        # The library takes added tokens out of a text before it splits the rest into words.
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.characters = 0
+
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text; an added token is a piece of its own, and what lies between two is cut apart."""
+        if self.added is None or not self.added.search(text):
+            return _PIECES.findall(text)
+        parts = self.added.split(text)
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else _PIECES.findall(part))]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the wanted type."""
-        pieces = [_PIECES.findall(x) for x in texts]
+        pieces = [self.cut(x) for x in texts]
         new = set(chain.from_iterable(pieces)).difference(self.known)
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.older, self.known = self.known, {}
+        if len(self.known) + len(new) > CACHE_ENTRIES or self.characters > CACHE_CHARACTERS:
+            self.older, self.known, self.characters = self.known, {}, 0
             new = set(chain.from_iterable(pieces))
+        self.characters += sum(map(len, new))
         for piece in new & self.older.keys():
             self.known[piece] = self.older[piece]
             new.discard(piece)
@@ -103,7 +118,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class _SequenceFile:
-    """Collects ids and writes them as fixed-size lists."""
+    """Collects ids and writes them as fixed-size lists, BATCH_SEQUENCES to a batch (the last one has fewer)."""
 
     def __init__(self, store: fs.FileSystem, path: str, dtype: np.dtype, length: int):
         self.store, self.path, self.length, self.dtype = store, path, length, dtype
@@ -113,6 +128,8 @@ class _SequenceFile:
         self.writer = pa.ipc.new_stream(self.out, self.schema)
         self.held: list[bytes] = []
         self.size = self.total = 0
+        #: Where each batch ends in the file.
+        self.ends: list[int] = []
 
     def add(self, ids: bytes) -> None:
         self.held.append(ids)
@@ -123,7 +140,8 @@ class _SequenceFile:
 
     def _flush(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.held), self.dtype)
-        whole = len(ids) // self.length * self.length
+        step = self.length if last else self.length * BATCH_SEQUENCES
+        whole = len(ids) // step * step
         rest = ids[whole:]
         if last and len(rest):
             ids = np.concatenate((ids, np.zeros(self.length - len(rest), self.dtype)))
@@ -134,15 +152,22 @@ class _SequenceFile:
             ids = ids[:whole]
             mask = np.ones(whole, bool)
         if whole:
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-            table = pa.Table.from_arrays(lists, schema=self.schema)
-            self.writer.write_table(table, max_chunksize=BATCH_SEQUENCES)
+            for at in range(0, whole, self.length * BATCH_SEQUENCES):
+                part = slice(at, at + self.length * BATCH_SEQUENCES)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[part]), self.length) for x in (ids, mask)]
+                self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
+                self.ends.append(self.out.tell())
         self.held, self.size = [rest.tobytes()], len(rest)
 
     def close(self) -> None:
         self._flush(True)
         self.writer.close()
         self.out.close()
+        shape = pa.schema([("end", pa.int64())])
+        named = self.path.removesuffix(".arrows") + ".batches.arrows"
+        with self.store.open_output_stream(f"{self.temporary}.batches") as stream, pa.ipc.new_stream(stream, shape) as writer:
+            writer.write_batch(pa.RecordBatch.from_arrays([pa.array(self.ends, pa.int64())], schema=shape))
+        self.store.move(f"{self.temporary}.batches", named)
         self.store.move(self.temporary, self.path)
 
 
@@ -212,6 +237,44 @@ def sequence(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, pa.Array]:
     return values[at : at + length], batch.column("mask")[row].values
 
 
+class Sequences:
+    """Random access to all sequences of a folder by number, in part order.
+
+    files: the rows of write_tokens (part, n_docs, n_tokens). A part is opened when it is
+    first asked for; ids are views of its own bytes where the store is local.
+    """
+
+    def __init__(self, uri: str, files: list, length: int = SEQUENCE):
+        self.uri, self.length = uri, length
+        self.parts = [(part, -(-tokens // length)) for part, _, tokens in sorted(tuple(f) for f in files)]
+        self.ends = np.cumsum([n for _, n in self.parts], dtype=np.int64)
+        self.opened: dict[int, tuple] = {}
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def _part(self, k: int) -> tuple:
+        if k not in self.opened:
+            store, folder = _open(self.uri)
+            path = f"{folder}/part-{self.parts[k][0]:06d}"
+            source = pa.memory_map(f"{path}.arrows") if isinstance(store, fs.LocalFileSystem) else store.open_input_file(f"{path}.arrows")
+            with store.open_input_stream(f"{path}.batches.arrows") as stream:
+                ends = pa.ipc.open_stream(stream).read_all().column("end").to_numpy()
+            schema = pa.ipc.read_schema(source)
+            self.opened[k] = source, schema, [source.tell(), *ends.tolist()]
+        return self.opened[k]
+
+    def sequence_at(self, i: int) -> tuple[np.ndarray, pa.Array]:
+        """Ids and mask of sequence ``i``."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = int(np.searchsorted(self.ends, i, side="right"))
+        row = i - (int(self.ends[k - 1]) if k else 0)
+        source, schema, places = self._part(k)
+        source.seek(places[row // BATCH_SEQUENCES])
+        return sequence(pa.ipc.read_record_batch(pa.ipc.read_message(source), schema), row % BATCH_SEQUENCES)
+
+
 def _documents(uri: str, part: int) -> Iterator[tuple[list, list[int], list[np.ndarray]]]:
     """The index rows of a part with their ids, a few batches of the file at a time."""
     reader, index = open_part(uri, part)
