@@ -60,3 +60,35 @@ def test_paths_stay_whole_at_any_depth(spark):
         labels.append(node.path)
         node = next((x for x in node.children if isinstance(x, html.Node)), None)
     assert len(labels) > 40 and len(set(labels)) == len(labels) and max(map(len, labels)) < 120
+
+
+def test_the_tree_decides(spark):
+    """Without its host's tree a page keeps everything; evidence counts by what it holds on the whole host."""
+    rng = random.Random(5)
+    rows = site(30, "decided.example", rng)
+    pages = spark.createDataFrame([r[:3] for r in rows], PAGES)
+    tree = html.as_tree(html.site_style_tree(pages).filter("host = 'decided.example'").collect())
+    assert all(html.main_text(r[2], tree) == r[3] != html.main_text(r[2], html.NO_TREE) for r in rows)
+    real = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    with_tree = {r.page_id: r.text for r in html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    changed = sum(html.main_text(r.html, html.NO_TREE) != with_tree[r.page_id] for r in real.collect())
+    assert changed == len(with_tree) == 250
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+
+    # A wrapper that is called a sidebar but holds the text stays, its menu and a strong name go; teasers in articles decide nothing.
+    held = []
+    for i in range(20):
+        own, teaser = words(60), words(5)
+        held.append((i, f"https://side.example/{i}", f"<div class='sidebar'><nav><p>{words(40)}</nav><p>{own}<div class=comments><p>{words(90)}</div></div>", own))
+        held.append((100 + i, f"https://tease.example/{i}", f"<div class='text'><p>{own}</div><article><p>{teaser}</article><div class='sidebar'><p>{words(9)}</div>", f"{own}\n{teaser}"))
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame([r[:3] for r in held], PAGES)).collect()}
+    assert found == {r[0]: r[3] for r in held}
+
+
+def test_very_long_pages(spark):
+    body = "".join(f"<p>paragraph {k} of the page" for k in range(40000))
+    rows = [(1, "http://long.example/", f"<nav>menu</nav><article>{body}</article>"), (2, "http://long.example/2", "<article>" + "<div>" * 20000 + "deep" + "</div>" * 20000), (3, None, "<p>no host")]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found[1].count("\n") == 39999 and found[2] == "deep" and found[3] == "no host"

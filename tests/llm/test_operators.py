@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from tidegate.llm.queries import tokenizer_path
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string"
 ODD = [
-    (1, None), (2, ""), (3, " "), (4, "\n\n\t"), (5, "é😀 ﬁ ﬀ x y"), (6, "a" * 3000), (7, "'s don't I'LL we've"), (8, "<|endoftext|> </s> <s>"),
+    (1, None), (2, ""), (3, " "), (4, "\n\n\t"), (5, "é😀 ﬁ ﬀ x y"), (6, "a" * 3000), (7, "'s don't I'LL we've"), (8, "ab <|endoftext|> cd<|endoftext|><|endoftext|>e) </s> <s> <|endoftext |>"),
     (9, "x  y   z \n w"), (10, "12345 67,890.12"), (11, "日本語テキスト 한국어"), (12, "mark �"), (13, "▁▁a ▁b"), (14, "\x00\x01\x7f"), (15, "Ça va? «oui»…"),
     (16, "́é ñ ñ"), (17, "a\r\nb\rc\x0bd\x0ce"), (18, "!!!???...---___"), (19, "  lead and trail  "), (20, "​‍﻿ x"),
 ]
@@ -41,13 +42,27 @@ def test_token_files_hold_the_library_ids(spark, documents, rows, tmp_path):
 
     path = tokenizer_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     found = {r.doc_id: r for r in token_output.token_output(documents, path, f"file://{tmp_path}/out").collect()}
     start = 0
     for d, t in rows:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         assert (found[d].start, found[d].n_tokens, found[d].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), (d, t)
         start += len(ids)
+    stream, files = [], token_output.write_tokens(documents, f"file://{tmp_path}/direct", path, partitions=3).collect()
+    for d, t in rows:
+        stream += [*library.encode(t or "", add_special_tokens=False).ids, 0]
+    whole, at = token_output.Sequences(f"file://{tmp_path}/direct", files), 0
+    for part, _, tokens in sorted(map(tuple, files)):
+        first = sum(-(-n // token_output.SEQUENCE) for p, _, n in files if p < part)
+        for k in random.Random(part).sample(range(-(-tokens // token_output.SEQUENCE)), 40):
+            ids, mask = whole.sequence_at(first + k)
+            n = min(token_output.SEQUENCE, tokens - k * token_output.SEQUENCE)
+            assert ids[:n].tolist() == stream[at + k * token_output.SEQUENCE :][:n] and mask.to_pylist() == [True] * n + [False] * (token_output.SEQUENCE - n)
+            assert not ids.flags.owndata
+        at += tokens
+    assert at == len(stream) and len(whole) == sum(-(-n // token_output.SEQUENCE) for _, _, n in files)
+    with pytest.raises(IndexError):
+        whole.sequence_at(len(whole))
     reader, index = token_output.open_part(f"file://{tmp_path}/out", 0)
     batch = next(iter(reader))
     ids, mask = token_output.sequence(batch, 0)
@@ -88,14 +103,33 @@ def test_base_secrets(spark, documents, rows):
 
 
 def test_copied_values_are_told_from_owned_ones(spark):
-    live, shared = "Zq8Lm2Xv9Tb4Rk7Wp3Yd", "Hn5Cj1Gs6Fa0Ue8Io2Qw"
-    rows = [(1, f"a {live} b", "x"), (2, f"{shared}", "x"), (3, f"{shared}", "y"), (4, f"{live}", "x"), (5, "token=abcdefgh", "x"), (6, "token=abcdefgh", "y"), (6, "token=abcdefgh", "y"), (None, live, None)]
-    frame = spark.createDataFrame([(d, t, s, "r") for d, t, s in rows[:-1]], "doc_id long, text string, source string, lang string")
+    live, shared, once = "Zq8Lm2Xv9Tb4Rk7Wp3Yd", "Hn5Cj1Gs6Fa0Ue8Io2Qw", "Kd7Vb3Nz5Xe9Lt1Qs6Mj"
+    rows = [
+        (1, f"a {live} b", "x", "r"), (2, f"{shared}", "x", "r"), (3, f"see {shared}", "y", "r"), (4, f"{live}", "x", "q"), (5, "token=abcdefgh", "x", "r"), (6, "a token=abcdefgh", "y", "r"), (6, "a token=abcdefgh", "y", "r"),
+        (7, f"{once}", "x", "r"), (8, f"{once}", "y", "r"), *((9 + k, f"{k} password=hidden77", "x", f"r{k}") for k in range(3)),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     found = {r.doc_id: r for r in secret_scan.scan(frame).collect()}
-    assert found[1].spans == "live:2:22" and found[4].n_live == 1 and found[2].spans == "" and found[5].n_copied == 1 == found[6].n_copied
-    assert len(secret_scan.scan(frame).collect()) == 7 and secret_scan.scan(frame.limit(0)).count() == 0
+    assert found[1].spans == "live:2:22" and found[4].n_live == 1 and found[2].spans == "" == found[3].spans and found[5].n_copied == 1 == found[6].n_copied
+    assert (found[1].most_owners, found[1].most_repos) == (1, 2) and (found[2].most_owners, found[2].most_repos) == (2, 1)
+    assert found[7].n_live == 1 == found[8].n_live  # copies of one text
+    assert [(found[9 + k].n_copied, found[9 + k].most_owners, found[9 + k].most_repos) for k in range(3)] == [(1, 1, 3)] * 3
+    assert len(secret_scan.scan(frame).collect()) == len(rows) and secret_scan.scan(frame.limit(0)).count() == 0
     more = frame.unionByName(spark.createDataFrame([(None, live, None, None)], frame.schema))
-    assert sum(r.n_live for r in secret_scan.scan(more).collect()) == 0  # a null owner is another owner
+    assert {r.doc_id: r for r in secret_scan.scan(more).collect()}[4].n_live == 0  # a null owner is another owner
+    values = secret_scan.ownership(spark.createDataFrame([("v", "a", "r", 1), ("v", "b", "r", 1), ("v", "b", "r", 1), ("v", None, "r", 2)], "value_hash string, owner string, repo string, text_hash long")).collect()
+    assert [tuple(v) for v in values] == [("v", 3, 1, 2, 4)]
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(3)
+    token = lambda: "".join(rng.choice("ghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(24))
+    parts = [p for k in range(4000) for p in (f"token={token()}", f"{rng.getrandbits(128):032x}", "words between " * (k % 3), token())]
+    text = " ".join(parts)
+    (row,) = secret_scan.scan(spark.createDataFrame([(1, text, "x", "r")], "doc_id long, text string, source string, lang string")).collect()
+    base = base_spans(text)
+    assert (row.n_assign, row.n_hex) == (4000, sum(k == "hex" for *_, k in base)) and row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, _, k in base).encode()).hexdigest()
+    assert row.n_live > 3000 and len(row.spans.split(",")) == len(base) + row.n_live
 
 
 def test_pieces_equal_the_library(spark, documents, rows):
@@ -173,6 +207,51 @@ def test_quality_edge_cases(spark):
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5} and quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_quality_equals_plain_ftrl(spark):
+    """Weights and scores against follow-the-regularised-leader written out weight by weight."""
+    rng = random.Random(4)
+    good, bad = ["alpha", "beta", "gamma", "delta"], ["spam", "buy!!", "click", "now"]
+    texts = [" ".join(rng.choice((good if k % 2 else bad) + ["the", "of", "and"]) for _ in range(rng.randrange(1, 40))) for k in range(120)]
+    texts += ["", "long " * 30000 + " ".join(f"w{i}" for i in range(40000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    everything = F.lit(True)
+    weights = quality.train(docs, labels, everything)
+    place = {r.doc_id: r.place for r in labels.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("place")).collect()}
+
+    def places(text):
+        chunk = next(iter(quality.chunks(pa.array([text]))))
+        return quality.features(chunk)[0].tolist()
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    bias = quality.BUCKETS - 1
+    order = sorted(range(120), key=lambda i: place[i])
+    for _ in range(quality.EPOCHS):
+        for d in order:
+            x = {i: 1 / math.sqrt(max(len(places(texts[d])), 1)) for i in places(texts[d])} | {bias: 0.1}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in x.items():
+                g, w = (p - d % 2) * v, weight(i)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w
+                n[i] += g * g
+    assert all(math.isclose(weights[i], weight(i), rel_tol=1e-6, abs_tol=1e-9) for i in {*z, *np.flatnonzero(weights).tolist()})
+    found = {r.doc_id: r.score for r in quality.score(docs, weights).collect()}
+    for d, t in enumerate(texts):
+        own = places(t)
+        dot = sum(weight(i) for i in own) / math.sqrt(max(len(own), 1)) + 0.1 * weight(bias)
+        assert math.isclose(found[d], 1 / (1 + math.exp(-dot)), rel_tol=1e-6), d
+    few = quality.train(docs, labels, everything, max_features=10)  # the first rows only, as many as that takes
+    assert 0 < np.count_nonzero(few) < np.count_nonzero(weights)
+    twins = quality.score(spark.createDataFrame([(i, texts[k]) for i, k in enumerate([5, 7, 5, 9, 5])], DOCS).coalesce(1), weights).collect()
+    assert len({r.score for r in twins if r.doc_id in (0, 2, 4)}) == 1
+
+
 def mix_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
@@ -219,6 +298,27 @@ def test_mixing_edge_cases(spark):
     n, seed = 1000, 5
     places = mixing.permuted(np.arange(n), n, seed)
     assert sorted(places) == list(range(n)) and (mixing.permuted(places, n, seed, inverse=True) == np.arange(n)).all()
-    totals = np.array([70_000, 3, 0, 40_000])
-    parts = [mixing.shard_counts(totals, 7, k) for k in range(7)]
-    assert (sum(c for _, c in parts) == totals).all() and all((a[0] + a[1] == b[0]).all() for a, b in zip(parts, parts[1:]))
+
+
+def test_shards_are_drawn(spark):
+    totals = np.array([5000, 900, 3, 0, 2000])
+    shards = 31
+    every = list(mixing.shard_counts(totals, shards, 0, shards))
+    assert [k for k, *_ in every] == list(range(shards)) and (sum(n for *_, n in every) == totals).all()
+    assert all((first == sum(n for j, _, n in every if j < k)).all() for k, first, _ in every)
+    assert max(n.sum() for *_, n in every) - min(n.sum() for *_, n in every) <= 6
+    for k, first, n in every:  # a task's own shards are those of the whole
+        ((j, f, m),) = mixing.shard_counts(totals, shards, k, k + 1)
+        assert j == k and (f == first).all() and (m == n).all()
+    assert np.std([n[0] for *_, n in every]) > 2  # not in proportion
+    # At any size: counts spread as the draw's variance says.
+    for size in (10**6, 10**12, 3 * 10**15):
+        held, part = np.array([size // 2, size // 4, size // 4 - 7, 7]), size // 3
+        found = np.array([mixing.drawn(held, part, np.random.Generator(np.random.Philox(k))) for k in range(400)])
+        assert (found.sum(axis=1) == part).all() and (found <= held).all() and (found >= 0).all()
+        share = 0.5
+        spread = (part * share * (1 - share) * (size - part) / (size - 1)) ** 0.5
+        assert abs(found[:, 0].mean() - part * share) < 5 * spread / 20 and 0.85 < found[:, 0].std() / spread < 1.15 and 0 < found[:, 3].mean() < 4
+    frame = spark.range(400, numPartitions=2).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 3000).alias("text"), F.lit("s").alias("source"))
+    rows = mixing.taken_words(frame).collect()
+    assert all((r.first_shard is None) == (r.taken == 0) for r in rows) and len({r.first_shard for r in rows}) > 5 and all(r.first_shard <= r.last_shard for r in rows if r.taken)

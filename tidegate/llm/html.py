@@ -1,25 +1,32 @@
 """Main text of web pages by site style trees (operator 6).
 
 Pages are read into a light tree of elements. The trees of one host are merged
-by path (tags, with their class or id words): the site style tree. Two kinds of
-importance come from it, both entropies over the host's distinct pages:
-
-* presentation: how varied the child sequences are below a path;
-* content: how varied the texts of a path's own blocks are, and, for one block,
-  how rare it is among the pages.
-
-The importance of a path also has a factor for what its tag and names announce
-(a menu, an advert, a form), and is low when the composite of both entropies is.
-Branches of low importance are removed from each page; of the rest, the article
-(or main) element is the page's text where it has one.
+by path (tags, with their class or id words): the site style tree. Which branches
+are removed from a host's pages is decided in its tree alone, from
+
+* presentation importance: the entropy of the child sequences below a path over
+  the host's distinct pages;
+* content importance: the entropy of the texts of a path's own blocks and, for one
+  block, how rare it is among the pages;
+* evidence: what tags and names announce (a menu, an advert, a form, or an
+  article), weighed by how much of the host's varied text they hold.
+
+A path is of low importance if the composite of both entropies is low, or if it
+announces no content. A name that only tells a place does not count on what holds
+LEAST_SHARE or more of the host's text: a wrapper called "side" that holds the articles stays.
+If article and main elements hold at least LEAST_SHARE of what is left on the host's pages that
+have one, these pages are reduced to them; an article element that only holds teasers
+decides nothing.
 
 Counts are of distinct pages (by a digest of the whole html), so copies of one
-page on a host do not make its article look like a repeated notice; hosts with
-few distinct pages are judged by the announced factor alone.
+page on a host do not make its article look like a repeated notice. Entropies of
+few pages tell little, so they are drawn towards 1 by PRIOR_PAGES pages that differ
+in everything; the evidence counts at any number of pages.
 
 Defined cases: null or empty html gives the empty text; unclosed, nested or
-broken markup is read as far as it goes; repeated rows are each extracted; an
-empty table gives an empty result; other columns of the input are ignored.
+broken markup is read as far as it goes, at any depth and length; repeated rows are each
+extracted; pages without a host in their url are one host; an empty table gives an
+empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,19 +42,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import materialise
+from tidegate.llm._common import materialise, stored
 
-#: A host with fewer distinct pages than this has no statistics of its own.
-LEAST_PAGES = 10
-#: A block or branch on at least this share of a host's distinct pages carries no content.
+#: Pages that differ in everything, added to each path's own when its entropies are judged.
+PRIOR_PAGES = 4
+#: A block or branch on at least this share of a host's distinct pages (with the prior ones) carries no content.
 COMMON_SHARE = 0.6
+#: Share of a host's varied text that makes the branch that holds it its content.
+LEAST_SHARE = 0.5
 #: Composite importance below which a branch is removed.
 LEAST_IMPORTANCE = 0.15
 #: The share of a path's own texts in its importance, against its child sequences.
 DAMPING = 0.9
 #: Entries of site style trees that are sent to all tasks at most.
 SENT_ENTRIES = 100_000
-#: Blocks of common branches are counted in so many parts before they meet.
+#: Parts in which a path's features are counted before they meet, and a host's pages are dealt.
 SALTS = 16
 
 # Fixed values of HTML and of its use.
@@ -64,7 +73,7 @@ BOILERPLATE_NAMES = frozenset(
     "signup login comment comments reply replies discussion disqus respond share sharing social related recommended widget toolbar pagination pager skip "
     "copyright disclaimer legal".split()
 )
-#: Names that only say where a thing stands: not heeded inside an article, nor on what holds one.
+#: Names that only say where a thing stands: not heeded inside an article, nor on what holds most of a host's text.
 PLACES = frozenset("header side sidebar banner widget legal menu nav".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Elements that a start tag of the same kind closes, and elements that stop the search for them.
@@ -78,16 +87,16 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element: its label, what it announces, and its children (nodes and text runs).
+    """An element: its label, whether it announces no content (dull) and does so by a name of its place only (weak), and its children (nodes and text runs).
 
     path: the digest of the parent's path and the own label, so that it stands for
     all labels from the root down at any depth. inside: whether it is, or is in, an article.
     """
 
-    __slots__ = ("tag", "label", "dull", "children", "path", "inside")
+    __slots__ = ("tag", "label", "dull", "weak", "children", "path", "inside")
 
-    def __init__(self, tag: str, label: str, dull: bool, path: str, inside: bool):
-        self.tag, self.label, self.dull, self.path, self.inside = tag, label, dull, path, inside
+    def __init__(self, tag: str, label: str, dull: bool, weak: bool, path: str, inside: bool):
+        self.tag, self.label, self.dull, self.weak, self.path, self.inside = tag, label, dull, weak, path, inside
         self.children: list[Node | str] = []
 
 
@@ -100,7 +109,7 @@ def _element(tag: str, attributes: str, parent: Node) -> Node:
             value, name = (a or b or c).lower(), name.lower()
             if name in ("class", "id"):
                 words = _WORDS.findall(value)
-                names += words[:4]
+                names += words
                 said = BOILERPLATE_NAMES.intersection(words)
                 dull = dull or tag not in ("html", "body") and bool(said - PLACES if inside else said)
             elif name == "role":
@@ -108,19 +117,13 @@ def _element(tag: str, attributes: str, parent: Node) -> Node:
             elif name == "aria-hidden":
                 dull = dull or value == "true"
     label = ".".join([tag, *names])
-    return Node(tag, label, dull, f"{path_digest(parent.path)}/{label}", inside or label.startswith(("article", "main")))
-
-
-def _holds_article(stack: list[Node]) -> None:
-    """Wrappers of an article are not dull for a name that only says where they stand."""
-    for node in stack:
-        if node.dull and node.tag in ("div", "section") and not BOILERPLATE_NAMES.intersection(node.label.split(".")) - PLACES:
-            node.dull = False
+    weak = dull and tag in ("div", "section") and not BOILERPLATE_NAMES.intersection(names) - PLACES
+    return Node(tag, label, dull, weak, f"{path_digest(parent.path)}/{label}", inside or label.startswith(("article", "main")))
 
 
 def parse(text: str) -> Node:
     """The tree of a page."""
-    root = Node("#root", "", False, "", False)
+    root = Node("#root", "", False, False, "", False)
     stack, pos = [root], 0
     while m := _TOKEN.match(text, pos):
         said, tag, pos = m[0], (m[2] or "").lower(), m.end()
@@ -160,16 +163,14 @@ def parse(text: str) -> Node:
                 if stack[k].tag in SCOPE:
                     break
         node = _element(tag, m[3], stack[-1])
-        if tag in ("article", "main") and not node.dull:
-            _holds_article(stack)
         stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
     return root
 
 
-def blocks(root: Node) -> list[tuple[tuple[Node, ...], str]]:
-    """The page's text blocks in order, each with its elements from the root down."""
+def blocks(root: Node, removed: Callable[[Node], bool]) -> list[tuple[tuple[Node, ...], str]]:
+    """The page's text blocks in order, each with its elements from the root down, without the branches that are removed."""
     found: list[tuple[tuple[Node, ...], str]] = []
     run: list[str] = []
     owner: tuple[Node, ...] = ()
@@ -194,8 +195,8 @@ def blocks(root: Node) -> list[tuple[tuple[Node, ...], str]]:
         else:
             if child.tag in BLOCK:
                 end()
-            elif child.dull:
-                continue  # removed from within its neighbours' block
+            if removed(child):
+                continue  # an inline one goes from within its neighbours' block
             stack.append((child, iter(child.children), (*above, child)))
     end()
     return found
@@ -236,163 +237,179 @@ def _style(root: Node) -> dict[str, str]:
     return {path: "|".join(dict.fromkeys(kinds)) for path, kinds in out.items()}
 
 
+#: Kinds of rows of a page: child sequences of a path, a block of a path, and the characters that a dull path or the
+#: page (path 0) holds. The last are told apart by their features.
+STYLE, CONTENT, MASS = 0, 1, 2
+STRONG, WEAK, IN_PAGE, IN_ARTICLE, BESIDE = 1, 2, 3, 4, 5
+
+
 def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, page digest, kind (0: style of a path, 1: a block of a path), path digest, feature digest."""
+    """host, page digest, kind, path digest, feature (digest of a style or block), chars (of MASS rows).
+
+    A block's characters count for every dull path that holds it, for the page, and, on pages
+    with articles, for what is in or beside these (if nothing announces it to be no content).
+    """
     for batch in batches:
         urls, pages = batch.column("url").to_pylist(), batch.column("html").to_pylist()
         for at in range(0, len(urls), 256):
-            rows: set[tuple[str, int, int, int, int]] = set()
+            rows: set[tuple[str, int, int, int, int, int]] = set()
             for url, page in zip(urls[at : at + 256], pages[at : at + 256]):
                 if not page:
                     continue
                 name, own, root = host(url), digest(page), parse(page)
                 for path, kinds in _style(root).items():
-                    rows.add((name, own, 0, path_digest(path), path_digest(kinds)))
-                for owner, text in blocks(root):
-                    rows.add((name, own, 1, path_digest(owner[-1].path if owner else ""), digest(text)))
+                    rows.add((name, own, STYLE, path_digest(path), path_digest(kinds), 0))
+                masses: dict[tuple[int, int], int] = {}
+                beside, in_article = 0, 0
+                for owner, text in blocks(root, lambda node: False):
+                    rows.add((name, own, CONTENT, path_digest(owner[-1].path if owner else ""), digest(text), 0))
+                    keys = [(0, IN_PAGE), *((path_digest(n.path), WEAK if n.weak else STRONG) for n in owner if n.dull)]
+                    for key in keys:
+                        masses[key] = masses.get(key, 0) + len(text)
+                    if any(n.inside for n in owner):
+                        in_article += len(text) * (not any(n.dull and not n.weak for n in owner))
+                    else:
+                        beside += len(text) * (not any(n.dull for n in owner))
+                if in_article:
+                    masses |= {(0, IN_ARTICLE): in_article, (0, BESIDE): beside}
+                rows.update((name, own, MASS, path, feature, chars) for (path, feature), chars in masses.items())
             if rows:
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int8()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
-                    ["host", "page", "kind", "path", "feature"],
-                )
+                types = (pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["host", "page", "kind", "path", "feature", "chars"])
 
 
 def site_style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per host, kind and path: n_pages, entropy (0 to 1: log base n_pages), and its common features.
+    """host, path, removed, common: the paths of low importance, those with common blocks (digests), and as path 0 the hosts whose articles are their content.
 
-    Copies of a page count once. Features are counted before they meet by path,
-    so a host or path that holds most pages is spread over all tasks; a path's
-    common features are few by definition (at most 1 / COMMON_SHARE per page's
-    number of them) and listed.
+    Each page is read once, and its rows are kept in the shared folder. Copies of a page
+    count once. Features are counted before they meet by path, so a host or path that
+    holds most pages is spread over all tasks; a path's common features are few by
+    definition (at most 1 / COMMON_SHARE per page's number of them) and listed.
     """
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    seen = rows.mapInArrow(_page_rows, "host string, page long, kind byte, path long, feature long").distinct()
-    counted = seen.groupBy("host", "kind", "path", "feature").agg(F.count("*").alias("n"))
-    sizes = seen.filter("kind = 0").groupBy("host", "path").agg(F.count("*").alias("n_pages"))
+    seen = stored(rows.mapInArrow(_page_rows, "host string, page long, kind byte, path long, feature long, chars long")).distinct()
+    on, held = ["host", "path"], {"strong": STRONG, "weak": WEAK, "in_page": IN_PAGE, "in_article": IN_ARTICLE, "beside": BESIDE}
+    # Styles, blocks and masses are told apart, and their pages counted, in one pass; sums of a path meet in SALTS parts first.
+    counted = seen.groupBy("host", "kind", "path", "feature").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     salted = counted.groupBy("host", "kind", "path", F.pmod("feature", F.lit(SALTS)).alias("salt")).agg(
-        F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.count("*").alias("n_features"), F.max("n").alias("most")
+        F.sum("n").alias("total"),
+        F.sum(F.col("n") * F.log("n")).alias("n_log_n"),
+        *[F.sum(F.when(F.col("feature") == which, F.col("chars"))).alias(name) for name, which in held.items()],
     )
-    summed = salted.groupBy("host", "kind", "path").agg(F.sum("total").alias("total"), F.sum("n_log_n").alias("n_log_n"), F.sum("n_features").alias("n_features"), F.max("most").alias("most"))
-    spread = F.log("total") - F.col("n_log_n") / F.col("total")
-    wide = summed.join(sizes, ["host", "path"])
-    entropy = F.when(F.col("n_pages") > 1, F.least(F.lit(1.0), spread / F.log("n_pages"))).otherwise(1.0)
-    judged = wide.select("host", "kind", "path", "n_pages", "most", entropy.alias("entropy")).filter(F.col("n_pages") >= LEAST_PAGES)
+    sums = stored(salted.groupBy("host", "kind", "path").agg(*[F.sum(c).alias(c) for c in ("total", "n_log_n", *held)]))
+    # A page has one style of each path, so styles count its pages.
+    sizes = sums.filter(F.col("kind") == STYLE).select(*on, F.col("total").alias("n_pages"))
+    total = F.col("total") + F.lit(PRIOR_PAGES)
+    entropy = F.least(F.lit(1.0), (F.log(total) - F.col("n_log_n") / total) / F.log(F.col("n_pages") + F.lit(PRIOR_PAGES)))
+    judged = sums.filter(F.col("kind") != MASS).join(sizes, on).select(*on, "kind", entropy.alias("entropy"))
+    of_kind = [F.max(F.when(F.col("kind") == kind, F.col("entropy"))).alias(name) for kind, name in ((STYLE, "presentation"), (CONTENT, "content"))]
+    composite = (1 - DAMPING) * F.coalesce("presentation", F.lit(0.0)) + DAMPING * F.col("content")
+    # A path without text of its own is judged by its children.
+    plain = judged.groupBy(*on).agg(*of_kind).filter(composite < LEAST_IMPORTANCE).select(*on, F.lit(True).alias("removed"))
+    masses = sums.filter(F.col("kind") == MASS)
+    hosts = masses.filter("path = 0")
+    holds = F.col("strong").isNull() & (F.col("weak") >= LEAST_SHARE * F.col("page"))
+    announced = masses.filter("path <> 0").join(hosts.select("host", F.col("in_page").alias("page")), "host").select(*on, (~holds).alias("removed"))
+    trusted = hosts.filter(F.col("in_article") >= LEAST_SHARE * (F.col("in_article") + F.col("beside"))).select(*on, F.lit(True).alias("removed"))
     common = (
-        counted.filter("kind = 1")
-        .join(sizes.filter(F.col("n_pages") >= LEAST_PAGES), ["host", "path"])
-        .filter(F.col("n") >= F.col("n_pages") * COMMON_SHARE)
-        .groupBy("host", "path")
+        counted.filter(F.col("kind") == CONTENT)
+        .join(sizes, on)
+        .filter(F.col("n") >= (F.col("n_pages") + F.lit(PRIOR_PAGES)) * COMMON_SHARE)
+        .groupBy(*on)
         .agg(F.collect_list("feature").alias("common"))
     )
-    return judged.groupBy("host", "path").agg(
-        F.max("n_pages").alias("n_pages"),
-        F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("presentation"),
-        F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("content"),
-    ).join(common, ["host", "path"], "left")
-
-
-def importance(node: Node, tree: dict[int, tuple]) -> float:
-    """Composite importance of an element: 0 for what it announces to be no content, else from its entropies."""
-    if node.dull:
-        return 0.0
-    known = tree.get(path_digest(node.path))
-    if known is None:
-        return 1.0
-    presentation, content, _ = known
-    if content is None:
-        return 1.0  # no text of its own: its children are judged themselves
-    return (1 - DAMPING) * (presentation or 0.0) + DAMPING * content
-
-
-def main_text(page: str | None, tree: dict[int, tuple]) -> str:
-    """Text of a page after low-importance branches are removed."""
-    if not page:
-        return ""
-    root = parse(page)
-    weights: dict[int, float] = {}
-
-    def light(node: Node) -> bool:
-        key = id(node)
-        if key not in weights:
-            weights[key] = importance(node, tree)
-        return weights[key] < LEAST_IMPORTANCE
-
-    kept: list[tuple[tuple[Node, ...], str]] = []
-    for owner, text in blocks(root):
-        if any(light(n) for n in owner):
-            continue
-        known = tree.get(path_digest(owner[-1].path)) if owner else None
-        if known and known[2] and digest(text) in known[2]:
-            continue
-        kept.append((owner, text))
-    for tag in ("article", "main"):
-        inside = [x for x in kept if any(n.tag == tag for n in x[0])]
-        if inside:
-            kept = inside
-            break
-    return "\n".join(text for _, text in kept)
+    nothing = F.lit(None).cast("array<long>").alias("common")
+    decided = plain.unionByName(announced).unionByName(trusted).select(*on, "removed", nothing).unionByName(common.select(*on, F.lit(None).cast("boolean").alias("removed"), "common"))
+    return decided.groupBy(*on).agg(F.max("removed").alias("removed"), F.flatten(F.collect_list("common")).alias("common"))
 
 
-Tree = dict[int, tuple[float | None, float | None, frozenset[int]]]
+#: A host's decisions by path: True (removed) or False (it stays whatever it announces), and its common blocks.
+Tree = tuple[dict[int, bool], dict[int, frozenset[int]]]
+NO_TREE: Tree = ({}, {})
 
 
-def _as_tree(rows: list) -> Tree:
-    return {x["path"]: (x["presentation"], x["content"], frozenset(x["common"] or ())) for x in rows}
+def as_tree(rows: list) -> Tree:
+    return {x["path"]: x["removed"] for x in rows if x["removed"] is not None}, {x["path"]: frozenset(x["common"]) for x in rows if x["common"]}
 
 
-def _extracted(batches: Iterator[pa.RecordBatch], tree_of: Callable[[pa.RecordBatch], Iterator[Tree]]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            found = [main_text(page, tree) for page, tree in zip(part.column("html").to_pylist(), tree_of(part))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"]
-            )
+def main_text(page: str | None, tree: Tree) -> str:
+    """Text of a page after the branches that its host's tree removes."""
+    if not page:
+        return ""
+    decided, common = tree
+    found = blocks(parse(page), lambda node: decided.get(path_digest(node.path), False))
+    kept = [(owner, text) for owner, text in found if not (owner and digest(text) in common.get(path_digest(owner[-1].path), ()))]
+    if decided.get(0):
+        for tag in ("article", "main"):
+            inside = [x for x in kept if any(n.tag == tag for n in x[0])]
+            if inside:
+                kept = inside
+                break
+    return "\n".join(text for _, text in kept)
+
+
+def _extracted(part: pa.RecordBatch, trees: list[Tree]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, part.num_rows, 128):
+        some = part.slice(at, 128)
+        found = [main_text(page, tree) for page, tree in zip(some.column("html").to_pylist(), trees[at : at + 128])]
+        yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sent_entries: int = SENT_ENTRIES) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page.
 
-    Of the trees only the paths of low importance and those with common blocks
-    matter. Up to sent_entries of them (some megabytes, counted before) are sent to
-    all tasks and no page is moved. Beyond that they reach the pages through a
-    join on the host, on a hashed part of the host's pages each, so that a host
-    with most pages is not one task.
+    Up to sent_entries of the trees' decisions (some megabytes, counted before) are
+    sent to all tasks and no page is moved. Beyond that they meet the pages in tasks
+    dealt by host, and by a hashed part of its pages, so that a host with most pages is
+    not one task: a task reads the host's decisions once, then its pages.
     """
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    tree = site_style_tree(named)
-    composite = (1 - DAMPING) * F.coalesce("presentation", F.lit(0.0)) + DAMPING * F.col("content")
-    telling = materialise(tree.filter((composite < LEAST_IMPORTANCE) | F.col("common").isNotNull()))  # any other path is important
+    tree = materialise(site_style_tree(named))
     types = dict(named.dtypes)
     out = f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long"
-    entries = telling.agg(F.sum(1 + F.coalesce(F.size("common"), F.lit(0)))).first()[0] or 0
+    entries = tree.agg(F.sum(1 + F.size("common"))).first()[0] or 0
     if entries <= sent_entries:
-        trees: dict[str, list] = {}
-        for row in telling.collect():
-            trees.setdefault(row["host"], []).append(row)
-        sent = pages.sparkSession.sparkContext.broadcast({name: _as_tree(rows) for name, rows in trees.items()})
-        return named.mapInArrow(lambda batches: _extracted(batches, lambda part: (sent.value.get(host(u), {}) for u in part.column("url").to_pylist())), out)
+        by_host: dict[str, list] = {}
+        for row in tree.collect():
+            by_host.setdefault(row["host"], []).append(row)
+        sent = pages.sparkSession.sparkContext.broadcast({name: as_tree(rows) for name, rows in by_host.items()})
+
+        def at_hand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _extracted(batch, [sent.value.get(host(u), NO_TREE) for u in batch.column("url").to_pylist()])
+
+        return named.mapInArrow(at_hand, out)
 
-    listed = telling.groupBy("host").agg(F.collect_list(F.struct("path", "presentation", "content", "common")).alias("tree"))
-    spread = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host(u) for u in batch.column("url").to_pylist()], pa.string())], ["page_id", "url", "html", "host"])
 
-    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by host and part: first the decisions (page_at null), then the pages."""
+        name, rows, tree = None, [], NO_TREE
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([host(u) for u in batch.column("url").to_pylist()], pa.string())], ["page_id", "url", "html", "host"]
-            )
-
-    def given(part: pa.RecordBatch) -> Iterator[Tree]:
-        last, tree = None, {}
-        for x in part.column("tree"):
-            if not x.is_valid:
-                last, tree = None, {}
-            elif last is None or not x.equals(last):
-                last, tree = x, _as_tree(x.as_py())
-            yield tree
-
-    placed = named.mapInArrow(hosts, f"page_id {types['page_id']}, url {types['url']}, html {types['html']}, host string")
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = placed.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "tree")
-    return joined.mapInArrow(lambda batches: _extracted(batches, given), out)
+            hosts, is_page = batch.column("host").to_pylist(), batch.column("is_page").to_pylist()
+            paths, gone, listed = (batch.column(c) for c in ("path", "removed", "common"))
+            trees: list[Tree] = []
+            at = []
+            for k, (own, page) in enumerate(zip(hosts, is_page)):
+                if own != name:
+                    name, rows, tree = own, [], NO_TREE
+                if not page:
+                    rows.append({"path": paths[k].as_py(), "removed": gone[k].as_py(), "common": listed[k].as_py()})
+                    continue
+                if rows:
+                    tree, rows = as_tree(rows), []
+                at.append(k)
+                trees.append(tree)
+            if at:
+                yield from _extracted(batch.select(["page_id", "url", "html"]).take(pa.array(at)), trees)
+
+    whole = f"page_id {types['page_id']}, url {types['url']}, html {types['html']}, host string"
+    with_host = named.mapInArrow(placed, whole)
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("part")
+    page_rows = with_host.select("host", part, F.lit(True).alias("is_page"), "page_id", "url", "html", *[F.lit(None).cast(t).alias(c) for c, t in (("path", "long"), ("removed", "boolean"), ("common", "array<long>"))])
+    spread = tree.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tree_rows = spread.select("host", "part", F.lit(False).alias("is_page"), *[F.lit(None).cast(types[c]).alias(c) for c in ("page_id", "url", "html")], "path", "removed", "common")
+    dealt = page_rows.unionByName(tree_rows).repartition("host", "part").sortWithinPartitions("host", "part", "is_page")
+    return dealt.mapInArrow(met, out)
