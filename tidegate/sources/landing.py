@@ -10,12 +10,14 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.operators.profile import profile
+from tidegate.operators.propose import Encoder, content_key, request_hash
 from tidegate.operators.validate import Report, check
 from tidegate.plans.compile import compile_script, render_module
 from tidegate.plans.spec import MappingSpec
@@ -60,9 +62,42 @@ class Workspace:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(path)
 
-    def append(self, name: str, row: dict) -> None:
+    def append(self, name: str, *rows: dict) -> None:
         columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        self.spark.createDataFrame([tuple(row.get(c) for c in columns)], TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.folder}/catalog/{name}")
+        self.spark.createDataFrame([tuple(row.get(c) for c in columns) for row in rows], TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.folder}/catalog/{name}")
+
+    # Models
+
+    def logged(self, answer: Callable[[dict], dict], model: str, source_id: str | None = None) -> Callable[[dict], dict]:
+        """The answering function of a model, with every call of it noted in llm_calls, failed ones too."""
+
+        def ask(asked: dict) -> dict:
+            note, began = {"call_id": uuid.uuid4().hex[:12], "source_id": source_id, "model": model, "request_hash": request_hash(asked)}, time.time()
+            try:
+                told = answer(asked)
+                note["response"] = json.dumps(told, default=str)
+                return told
+            except Exception as e:
+                note["error"] = repr(e)
+                raise
+            finally:
+                self.append("llm_calls", note | {"latency_ms": 1000 * (time.time() - began), "created_at": began})
+
+        return ask
+
+    def cached(self, encode: Encoder, model: str) -> Encoder:
+        """The encoder of a model; only texts whose content is not in embedding_cache are encoded, and then kept there."""
+
+        def vectors(texts: list[str]) -> list[list[float]]:
+            keys = [content_key(t) for t in texts]
+            held = self.table("embedding_cache").filter((F.col("model") == model) & F.col("content_hash").isin(keys))
+            known = {r.content_hash: list(r.vector) for r in held.collect()}
+            if new := {k: t for k, t in zip(keys, texts) if k not in known}:
+                known |= dict(zip(new, ([float(x) for x in v] for v in encode(list(new.values())))))
+                self.append("embedding_cache", *({"content_hash": k, "model": model, "vector": known[k]} for k in new))
+            return [known[k] for k in keys]
+
+        return vectors
 
     # Sources
 
@@ -141,9 +176,28 @@ class Workspace:
         counts = report.counts()
         listed = groups.orderBy(F.desc("n"), "first_line", "clause").limit(LISTED_GROUPS).collect()
         told = {"summary": report.summary(), "n_groups": groups.count(), "groups": [r.asDict(recursive=True) for r in listed]}
-        told |= {"sql": compile_script(spec, schema, self.landed_path(source_id)), "python": render_module(spec, schema)}
+        scripts = {"sql": compile_script(spec, schema, self.landed_path(source_id)), "py": render_module(spec, schema)}
+        artifacts = {kind: f"{self.folder}/artifacts/{source_id}/v{spec.version}_{spec.content_hash()}.{kind}" for kind in scripts}
+        for kind, text in scripts.items():
+            self._write_text(artifacts[kind], text)
+        told |= {"sql": scripts["sql"], "python": scripts["py"], "artifacts": artifacts}
         self.append("runs", {"run_id": run_id, "source_id": source_id, "spec_version": spec.version, "content_hash": spec.content_hash(), "rows_in": counts["rows_in"], "rows_out": counts["rows_in"], "rows_rejected": counts["rejected"], "rows_valid": counts["valid"], "report": json.dumps(told, default=str), "created_at": time.time()})
         return run_id, report
 
+    def run_of(self, run_id: str) -> dict:
+        """A run's row of the catalog, its report read."""
+        row = self.table("runs").filter(F.col("run_id") == run_id).first()
+        if row is None:
+            raise KeyError(f"no run {run_id}")
+        return row.asDict() | {"report": json.loads(row.report)}
+
+    def _write_text(self, path: str, text: str) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        stream = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def runs(self, source_id: str) -> DataFrame:
         return self.table("runs").filter(F.col("source_id") == source_id).orderBy(F.desc("created_at"))

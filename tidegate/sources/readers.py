@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tidegate.schema import SRC_ROW
 from tidegate.sources.sniff import SNIFF_BYTES, Sniff, sniff
 
-KINDS = {"csv": ("csv", "tsv", "txt"), "excel": ("xlsx", "xlsm", "xls"), "json": ("json", "jsonl", "ndjson")}
+KINDS = {"csv": ("csv", "tsv", "txt"), "excel": ("xlsx", "xlsm"), "json": ("json", "jsonl", "ndjson")}
 #: The characters of code page 1252 where it differs from ISO 8859-1, which Spark reads.
 _C1 = "".join(chr(b) for b in range(0x80, 0xA0))
 _CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
@@ -222,7 +222,10 @@ def read_json(spark: SparkSession, path: str) -> LandedFrame:
     inner = [(p, k) for p, k in _leaves(flat.schema["_r"].dataType)]
     columns = {".".join(p): (F.to_json(at) if isinstance(k, T.ArrayType) else at) for p, k in inner for at in [F.col("_r." + ".".join(f"`{x}`" for x in p))]}
     order = [n for n in _first_seen(records) if n in columns]
-    order += [n for n in columns if n not in order]
+    if late := [n for n in columns if n not in order]:
+        # Columns that the head does not show, by the first record that has a value of them.
+        at = flat.agg(*[F.min(F.when(columns[n].isNotNull(), F.col(SRC_ROW))).alias(f"c{i}") for i, n in enumerate(late)]).first()
+        order += [n for _, _, n in sorted((row is None, row or 0, n) for row, n in zip(at, late))]
     return LandedFrame(flat.select(SRC_ROW, *[columns[n].alias(n) for n in order]), "json", {"lines": lines})
 
 
