@@ -106,15 +106,21 @@ def test_schema_rules():
         TargetSchema.of({"name": "s", "version": 1, "primary_key": ["a"], "fields": [{"name": "a", "dtype": "string"}]})
 
 
+# The seed, the bad cells and the counts of the surveyed messy file, which results must match.
+MESSY_SEED = 20240315
+MESSY_BAD_CELLS = ((7, 9, "13/45/2024"), (25, 9, "soon"), (11, 5, "-4"), (14, 2, ""), (18, 6, "free"), (22, 8, "140%"))
+MESSY_COUNTS = {"rows_in": 30, "valid": 24, "rejected": 6, "problems": 6}
+
+
 def write_messy(path):
     """30 rows as customers send them: code page 1252, a preamble, money, percents, US dates, and six bad cells."""
-    rng = random.Random(20240315)
+    rng = random.Random(MESSY_SEED)
     statuses = ["pending", "Shipped", "DELIVERED", "cancelled", "Returned"]
     rows = []
     for i in range(30):
         row = [f"ORD-{101 + i:06d}", "1", f"CUST-{4000 + i}", f"SKU-{1000 + i}", "Dübel 12mm", str(rng.randrange(1, 50)), f"${rng.randrange(1, 3000):,}.50", "USD", f"{rng.randrange(0, 20)}%", f"{rng.randrange(1, 13):02d}/{rng.randrange(13, 28)}/2024", "N/A" if i % 3 else f"{rng.randrange(1, 13):02d}/20/2024", statuses[i % 5]]
         rows.append(row)
-    for at, column, value in ((7, 9, "13/45/2024"), (25, 9, "soon"), (11, 5, "-4"), (14, 2, ""), (18, 6, "free"), (22, 8, "140%")):
+    for at, column, value in MESSY_BAD_CELLS:
         rows[at][column] = value
     head = ["Ord #", "Ln", "Cust", "Item SKU", "Description", "Qty", "Price Each", "Curr", "Disc %", "Ordered On", "Shipped", "X7"]
     text = "Export\nKunde: Müller\n\nStand: heute\n" + "\n".join(";".join(r) for r in [head, *rows]) + "\n"
@@ -131,7 +137,7 @@ def test_messy_csv_end_to_end(spark, tmp_path):
     spec = ws.save_spec(M.propose(ws.profiles(sid), schema, sid))
     assert {m.source_column: m.target_field for m in spec.mappings if m.is_mapped} == dict(zip(["Ord #", "Ln", "Cust", "Item SKU", "Description", "Qty", "Price Each", "Curr", "Disc %", "Ordered On", "Shipped", "X7"], ["order_id", "line_number", "customer_id", "sku", "product_name", "quantity", "unit_price", "currency", "discount_pct", "order_date", "ship_date", "status"]))
     run_id, report = ws.run(sid, schema)
-    assert report.counts() == {"rows_in": 30, "valid": 24, "rejected": 6, "problems": 6}
+    assert report.counts() == MESSY_COUNTS
     assert report.summary() == "24 of 30 rows passed. 6 rows were rejected for 6 problems."
     assert [(r.line, r.field) for r in report.ordered_problems.collect()] == [(13, "order_date"), (17, "quantity"), (20, "customer_id"), (24, "unit_price"), (28, "discount_pct"), (31, "order_date")]
     clauses = [r.clause for r in report.ordered_problems.collect()]
@@ -142,6 +148,11 @@ def test_messy_csv_end_to_end(spark, tmp_path):
     with open(files["rejections"], encoding="utf-8-sig", newline="") as f:
         assert next(csv.reader(f)) == ["line", "column", "value", "problem"]
     assert files["rejections"].read_bytes().startswith(b"\xef\xbb\xbf") and json.loads(files["report"].read_text())["rejected"] == 6
+    run = ws.run_of(run_id)
+    assert run["rows_valid"] == 24 and run["report"]["n_groups"] == 6 and f"v1_{spec.content_hash()}.sql" in run["report"]["artifacts"]["sql"]
+    assert spark.read.text(run["report"]["artifacts"]["py"]).count() > 10
+    with pytest.raises(KeyError):
+        ws.run_of("none")
     assert ws.runs(sid).count() == 1 and ws.save_spec(spec).version == 1 and ws.head_spec(sid).content_hash() == spec.content_hash()
     assert ws.preview(sid, 3).count() == 3 and len(fingerprint(spark, str(tmp_path / "orders_messy.csv"))) == 16
     con = duckdb.connect()
@@ -341,3 +352,61 @@ def test_landing_reads_no_whole_file_and_keeps_all_groups(spark, tmp_path, monke
     told = json.loads(ws.runs(ids["a"]).first()["report"])
     assert len(told["groups"]) == 2 and told["n_groups"] == report.groups().count() == 5
     assert spark.read.parquet(f"{tmp_path}/ws/runs/{run_id}/groups").count() == 5
+
+
+def test_model_calls_are_logged_and_vectors_kept(spark, tmp_path):
+    ws, schema = Workspace(spark, str(tmp_path / "ws")), load_schema("orders")
+    profiles = [{"name": "Qty", "inferred_type": "integer", "samples": ["1", "2"], "top_values": [], "semantics": []}]
+    said = {"Qty": [{"field": "quantity", "score": 0.9, "reason": "a count"}]}
+    told = M.llm(profiles, schema, ws.logged(lambda asked: said, "m1", "s1"))
+    assert told["Qty"][0].target_field == "quantity" and "a count" in M.evidence_summary(told["Qty"][0])
+
+    def broken(asked):
+        raise RuntimeError("no answer")
+
+    with pytest.warns(UserWarning):
+        assert M.llm(profiles, schema, ws.logged(broken, "m1")) == {}
+    calls = {r.error: r for r in ws.table("llm_calls").collect()}
+    assert len(calls) == 2 and json.loads(calls[None].response) == said and "no answer" in calls["RuntimeError('no answer')"].error
+    assert calls[None].request_hash == M.request_hash(M.request(profiles, schema)) and all(c.latency_ms >= 0 for c in calls.values())
+    asked = []
+
+    def encode(texts):
+        asked.extend(texts)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    for _ in range(2):
+        assert ws.cached(encode, "e1")(["ab", "abc", "ab"]) == [[2.0, 1.0], [3.0, 1.0], [2.0, 1.0]]
+    assert asked == ["ab", "abc"] and ws.cached(encode, "e2")(["ab"]) == [[2.0, 1.0]] and ws.table("embedding_cache").count() == 3
+    assert M.embedding(profiles, schema, ws.cached(encode, "e1"))["Qty"]
+
+
+def test_merge_and_assign(spark):
+    def c(field, score, voice):
+        return M.Candidate(field, score, (), (M.Evidence(voice, score, "why"),))
+
+    voices = {"heuristic": {"A": [c("x", 0.8, "heuristic"), c("y", 0.5, "heuristic")], "B": [c("x", 0.9, "heuristic")]}, "llm": {"A": [c("y", 1.0, "llm")]}, "embedding": {}}
+    merged = M.merge(voices, ["A", "B", "C"])
+    weights = M.WEIGHTS["heuristic"] + M.WEIGHTS["llm"]
+    assert merged["C"] == [] and [(f.target_field, f.score) for f in merged["A"]] == [("y", round((0.45 * 0.5 + 0.35) / weights + 0.08, 4)), ("x", round(0.45 * 0.8 / weights, 4))]
+    assert [e.provider for e in merged["A"][0].provenance] == ["llm", "heuristic"]
+    taken = M.assign(merged)
+    assert {f: column for f, (column, _) in taken.items()} == {"y": "A", "x": "B"}
+    assert M.assign({"P": [M.Candidate("z", 0.5)], "Q": [M.Candidate("z", 0.5)], "R": [M.Candidate("w", 0.1)]})["z"][0] == "P" and M.merge({}, []) == {}
+
+
+def test_reports_hold_every_group(spark, tmp_path):
+    schema = TargetSchema.of({"name": "g", "version": 1, "fields": [{"name": "a", "dtype": "integer", "nullable": False}]})
+    spec = MappingSpec("x", "g", 1, (FieldMapping("a", "A", None, (op("cast", dtype="integer"),)),))
+    report = V.check(spark.range(1500).selectExpr("id + 2 as _src_row", "concat('v', id) as A"), spec, schema)
+    told = json.loads(report.write_files(tmp_path, "many")["report"].read_text())
+    assert len(told["groups"]) == 1500 == told["rejected"] and told["groups"][0]["clause"] == '"A" is "v0", which is not a whole number.'
+
+
+def test_late_json_columns_are_in_order(spark, tmp_path):
+    pad = "x" * 3000
+    rows = [{"z": pad, "n": {"k": i}, **({"late": 1} if i == 80 else {}), **({"early": 2} if i == 70 else {})} for i in range(100)]
+    (tmp_path / "late.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "late.json").write_text(json.dumps({"rows": rows}))
+    for name in ("late.jsonl", "late.json"):
+        assert R.land(spark, str(tmp_path / name)).frame.columns == ["_src_row", "z", "n.k", "early", "late"]
