@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside the block delete their shuffle files when they end, as nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder.
 
@@ -51,15 +66,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
     _steps.append(path)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # the job's shuffle files are not read again
-    try:
+    with shuffles_dropped(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -98,7 +106,7 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     while step:
         steps.append(step)
         step //= 2
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
+    cuts = F.lit(np.array(bounds, np.int64))  # one literal, however many there are
     found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),

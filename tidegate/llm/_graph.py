@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import stored
+from tidegate.llm._common import shuffles_dropped, stored
 
 STAR_ROUNDS = 2
 #: Members of a bucket that are compared without stars or a look at their tokens: each meets fewer than this many others.
@@ -58,7 +58,8 @@ def _alike_in_size(n: str, m: str, percent: int) -> Column:
 def _table(df: DataFrame, key: str, name: str) -> None:
     """Writes the distinct rows as a table of the (shared) warehouse bucketed by ``key``, so that joins on it move the other side alone."""
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, key).dropDuplicates().write.bucketBy(buckets, key).saveAsTable(name)
+    with shuffles_dropped(df.sparkSession):
+        df.repartition(buckets, key).dropDuplicates().write.bucketBy(buckets, key).saveAsTable(name)
 
 
 def _faced(pairs: DataFrame, held: DataFrame) -> DataFrame:

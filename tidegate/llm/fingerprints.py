@@ -12,13 +12,14 @@ DataFrame expressions.
 
 Documents are range-partitioned into buckets of neighbouring ids. In descending
 order of ids, a row's next document is then in the same bucket, but for the last
-row of one, which a copied first row of the next bucket stands in for. Terms are
-counted and sampled where the bucket lies, with no further shuffle of words.
+row of one, which a copied first row of the next bucket stands in for. Rows without
+an id have buckets of their own, by a hash of their texts. Terms are counted and
+sampled where the bucket lies, with no further shuffle of words.
 
 Defined cases: a null text counts as empty; texts without words have the empty
 fingerprint, equal to each other (likeness 1) and unlike all others (0); rows
-with null ids come last; equal ids are ordered by text, and repeated rows are
-each fingerprinted; one document is its own next; an empty table gives an empty
+with null ids come last, in the order of a hash of their texts; equal ids are ordered by text, and
+repeated rows are each fingerprinted; a very long text is one row's words like any other; one document is its own next; an empty table gives an empty
 result; other columns of the input are ignored.
 """
 
@@ -64,22 +65,29 @@ def sample(k: int, side: str) -> Column:
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket, place, doc_id, text, n_chars, next_text, next_bucket, next_place of each document, in descending order of ids."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    told = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    told = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     bounds = range_bounds(rows, "doc_id", min(MOST_BUCKETS, told.rows // BUCKET_ROWS + 1))
-    dealt = rows.withColumn("bucket", range_bucket(F.col("doc_id"), bounds))
-    # The first row of each bucket: ids first, then the texts of those few ids.
-    heads = rows.select("doc_id").withColumn("bucket", range_bucket(F.col("doc_id"), bounds)).groupBy("bucket").agg(F.max("doc_id").alias("head_id"))
-    # At most MOST_BUCKETS rows of two numbers, a megabyte: the texts are not moved for them.
-    texts = dealt.withColumnRenamed("bucket", "head_bucket").join(F.broadcast(heads), (F.col("bucket") == F.col("head_bucket")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
+    # Rows without an id: buckets -1, -2 and so on, equal ranges of the upper half of a hash.
+    spread = min(MOST_BUCKETS, told.nulls // BUCKET_ROWS + 1)
+    null_bucket = F.lit(-1) - F.shiftright(F.shiftrightunsigned(F.xxhash64("text"), 32) * F.lit(spread), 32).cast("int")
+    bucket = F.when(F.col("doc_id").isNull(), null_bucket).otherwise(range_bucket(F.col("doc_id"), bounds))
+    place = F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 32))
+    dealt = rows.withColumn("bucket", bucket).withColumn("null_place", place)
+    # The first row of each bucket: ids (or hashes) first, then the texts of those few.
+    heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head_id"), F.min("null_place").alias("head_place"))
+    # At most 2 x MOST_BUCKETS rows of three numbers, some megabytes: the texts are not moved for them.
+    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & F.col("null_place").eqNullSafe(F.col("head_place"))
+    texts = dealt.withColumnRenamed("bucket", "head_bucket").join(F.broadcast(heads), (F.col("bucket") == F.col("head_bucket")) & same)
     first = texts.groupBy("bucket").agg(F.min("text").alias("text"))
     down = Window.orderBy(F.col("bucket").desc())  # over at most MOST_BUCKETS rows
     wrap = F.first("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     links = heads.select(F.col("bucket").alias("bucket"), F.coalesce(F.lead("bucket").over(down), wrap).alias("origin"))
     guests = links.join(first.withColumnRenamed("bucket", "origin"), "origin").select(F.lit(None).cast("long").alias("doc_id"), "text", "bucket", "origin", F.lit(True).alias("guest"))
-    both = dealt.select("doc_id", "text", "bucket", F.col("bucket").alias("origin"), F.lit(False).alias("guest")).unionByName(guests)
+    guests = guests.withColumn("null_place", F.lit(None).cast("long"))
+    both = dealt.select("doc_id", "null_place", "text", "bucket", F.col("bucket").alias("origin"), F.lit(False).alias("guest")).unionByName(guests)
     # A task counts the terms of about TASK_BYTES of text, whatever the size of the whole.
     both = both.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), told.bytes // TASK_BYTES + 1), "bucket")
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "null_place", "text")
     ordered = both.select(
         "bucket",
         "doc_id",

@@ -217,11 +217,11 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, com
         words = F.array_distinct(F.array_remove(F.split("code", ""), ""))
         return held.select("node", slack.alias("slack"), F.lit(0.0).alias("share"), F.transform(words, lambda w: F.ascii(w).cast("long")).alias("tokens"))
 
+    chosen = (lambda held: tokens_of_two(held, percent)) if least_words >= _least_of_two(percent) else tokens
     if not complete:
         possible = F.bit_count(F.col("s_hub").bitwiseXOR(F.col("s_member"))) <= DISTANT
-        return bucket_components(blocked, texts, linked, tokens, percent, within=True, possible=possible)
+        return bucket_components(blocked, texts, linked, chosen, percent, within=chosen is tokens, possible=possible)
     every = classes.groupBy(F.col("one").alias("node")).agg(F.first("n_words").alias("n"))
-    chosen = (lambda held: tokens_of_two(held, percent)) if least_words >= _least_of_two(percent) else tokens
     return bucket_components(blocked, texts, linked, chosen, percent, everyone=every)
 
 

@@ -13,7 +13,7 @@ No piece holds a space sign after another character, and no piece holds a
 character outside the vocabulary, so a text is cut at both kinds of border and
 each distinct cut is encoded once per worker.
 
-Defined cases: a null or empty text gives the end id alone and decodes to the
+Defined cases: a very long text, even without any border, is encoded whole; a null or empty text gives the end id alone and decodes to the
 empty text; repeated rows are each encoded; an empty table gives an empty
 result; other columns of the input are ignored.
 """
@@ -31,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries of a worker's caches. A full cache of cuts becomes the older one, from which
+#: Entries of a worker's caches, and characters that a cached cut has on average at most, so that long
+#: cuts don't fill the memory. A full cache of cuts becomes the older one, from which
 #: entries that are met again come back; the cache of pairs is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES, CACHED_CHARACTERS = 400_000, 20
+#: A text by which a model's normaliser is told to add a space sign in front, and to change nothing else.
+_PROBE = " A  \ufb01\u00a0e\u0301 \n\t\u3000x "
 
 
 class MergeEncoder:
@@ -55,6 +58,9 @@ class MergeEncoder:
         #: Merging takes the pair whose joined piece has the highest score, the leftmost of equals.
         self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        normaliser = sentencepiece.SentencePieceNormalizer(model_file=path)
+        if normaliser.normalize(_PROBE) != SPACE + _PROBE.replace(" ", SPACE):
+            raise ValueError("models whose normaliser changes the text are not supported")
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             self.automaton.add_word(piece, len(piece))
@@ -67,6 +73,7 @@ class MergeEncoder:
         self.cuts = re.compile(f"[{apart}]|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.cache_entries = cache_entries
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.characters = 0  # of the cuts in known
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
@@ -104,21 +111,21 @@ class MergeEncoder:
                 found.insert(0, 1)  # a character outside the vocabulary stands alone
         tokens: list[str] = []
         trial: list[int] = []  # for each position on the path, how many of its sizes are yet to try
-        failed = 0
+        failed = bytearray((n >> 3) + 1)  # a bit per position
         pos, left = 0, len(sizes[0])
         while pos < n:
             last = tokens[-1] if tokens else ""
             while left:
                 left -= 1
                 end = pos + sizes[pos][left]  # sizes ascend, so the longest comes first
-                if not failed >> end & 1 and self.compatible(last, text[pos:end]):
+                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(last, text[pos:end]):
                     tokens.append(text[pos:end])
                     trial.append(left)
                     pos = end
                     left = len(sizes[pos]) if pos < n else 0
                     break
             else:
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 if not tokens:
                     raise ValueError("no tokenisation found")
                 pos -= len(tokens.pop())
@@ -143,9 +150,10 @@ class MergeEncoder:
         for cut in self.cuts.findall(SPACE + text.replace(" ", SPACE)):
             found = known.get(cut)
             if found is None:
-                if len(known) >= self.cache_entries:
-                    self.older, self.known = known, {}
+                if len(known) >= self.cache_entries or self.characters > self.cache_entries * CACHED_CHARACTERS:
+                    self.older, self.known, self.characters = known, {}, 0
                     known = self.known
+                self.characters += len(cut)
                 found = known[cut] = self.older.get(cut) or self.unit(cut)
             out.append(found)
         return out
@@ -166,7 +174,7 @@ def merge_encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> MergeEncoder
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, end id included.
 
-    cache_entries bounds a worker's memory (about 300 bytes each), not what is encoded.
+    cache_entries bounds a worker's memory (about 300 bytes each, with their cuts' characters), not what is encoded.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
