@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,28 +101,48 @@ def distance(a, b):
     return row[-1]
 
 
-def left_by_brute_force(spark, rows):
-    """Texts after line dedup; hashes come from Spark, sums, links and groups from here."""
-    occurrences = [(d, i, tuple(normal(x))) for d, t in sorted(rows) if t is not None for i, x in enumerate(t.split("\n")) if len(normal(x)) >= 5]
-    classes = list(dict.fromkeys(o[2] for o in occurrences))
-    words = sorted({w for c in classes for w in c})
-    hashed = spark.createDataFrame([(w,) for w in words], "w string").withColumn("s", F.xxhash64("w")).collect()
-    bits = {h.w: [h.s >> i & 1 for i in range(64)] for h in hashed}
-    buckets = defaultdict(set)
+def within(a, b, most):
+    """Whether the distance is at most ``most``, by the cells near the diagonal."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        fresh = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            fresh[j] = min(row.get(j, most) + 1, fresh.get(j - 1, most) + 1, row.get(j - 1, most + 1) + (x != b[j - 1]) if j else i)
+        row = fresh
+        if min(row.values()) > most:
+            return False
+    return row[len(b)] <= most
+
+
+def alike_pairs(classes):
+    """All pairs of lines at an edit similarity of 0.8 or more: they share a pair of neighbours, and lack few of each other's words."""
+    by_pair, found = defaultdict(list), set()
     for k, c in enumerate(classes):
-        weights = [1 if len(w) <= 3 else 4 for w in c]
-        sums = [sum(b * v for b, v in zip(x, weights)) for x in zip(*(bits[w] for w in c))]
-        sim = [2 * x > sum(weights) for x in sums]
-        blocks = [tuple(sim[16 * b : 16 * b + 16]) for b in range(4)]
-        for i in range(4):
-            for j in range(i):
-                buckets[i, j, blocks[i], blocks[j]].add(k)
-    pairs = {(a, b) for group in buckets.values() for a in group for b in group if a < b}
-    links = [(a, b) for a, b in pairs if distance(classes[a], classes[b]) <= int(max(len(classes[a]), len(classes[b])) * 20 / 100)]
+        met = Counter(j for p in {*zip(c, c[1:])} for j in by_pair[p])
+        for j, shared in met.items():
+            n = max(len(c), len(classes[j]))
+            most = n * 20 // 100
+            if len({*zip(c, c[1:])}) - shared <= 2 * most and len(set(c) - set(classes[j])) <= most >= len(set(classes[j]) - set(c)) and within(c, classes[j], most):
+                found.add((j, k))
+        for p in {*zip(c, c[1:])}:
+            by_pair[p].append(k)
+    return found
+
+
+def left_by_brute_force(rows, least_chars=None):
+    """Texts after line dedup by all pairs, and the number of pairs."""
+    lines_of = [(d, i, tuple(normal(x))) for d, t in sorted(rows) if t is not None for i, x in enumerate(t.split("\n"))]
+    occurrences = [o for o in lines_of if len(o[2]) >= 5 or least_chars is not None and len("".join(o[2])) >= least_chars]
+    classes = list(dict.fromkeys(o[2] for o in occurrences))
+    number = {c: k for k, c in enumerate(classes)}
+    long = [k for k, c in enumerate(classes) if len(c) >= 5]
+    links = [(long[a], long[b]) for a, b in alike_pairs([classes[k] for k in long])]
     labels = components(range(len(classes)), links)
     seen, gone = set(), set()
     for d, i, c in occurrences:
-        label = labels[classes.index(c)]
+        label = labels[number[c]]
         if label in seen:
             gone.add((d, i))
         seen.add(label)
@@ -141,7 +161,7 @@ def test_lines_against_brute_force(spark, monkeypatch, stars, few):
         for _ in range(max(1, len(text) // 60)):
             text[rng.randrange(len(text))] = f"new{k}"
         rows.append((2000 + k, " ".join(text)))
-    wanted, n_links = left_by_brute_force(spark, rows)
+    wanted, n_links = left_by_brute_force(rows)
     assert n_links >= 5
     frame = spark.createDataFrame(rows, DOCS)
     found = {r.doc_id: r for r in lines.line_counts(frame).collect()}
@@ -195,6 +215,84 @@ def test_complete_lines_against_all_pairs(spark, n, changes):
     assert found == {i for i, label in labels.items() if label != i and len(made[i]) >= 5}
 
 
+def test_recall_over_all_pairs_of_all_documents(spark):
+    """Of the lines of all documents that are alike by edit distance, nearly all are in one group, and no others are."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r.text for r in docs.select("text").collect() if r.text is not None]
+    classes = sorted({tuple(normal(x)) for t in texts for x in t.split("\n") if len(normal(x)) >= 5})
+    pairs = alike_pairs(classes)
+    assert len(pairs) > 300
+    wanted = components(range(len(classes)), pairs)
+    rows = spark.createDataFrame([(k, " ".join(c)) for k, c in enumerate(classes)], DOCS)
+    sketched = lines.sketched(lines.keyed(rows)).select("one", F.col("doc_id").alias("class"), "n_words", "s", "pairs", F.struct("doc_id", "row", "pos").alias("first"))
+    found = {r["class"]: r.component for r in lines.line_groups(sketched, lines.keyed(rows)).join(sketched.withColumnRenamed("one", "node"), "node").select("class", "component").collect()}
+    met = [(a, b) for a, b in pairs if a in found and found[a] == found.get(b)]
+    assert len(met) >= 0.98 * len(pairs), (len(met), len(pairs))
+    groups = defaultdict(set)
+    for k, label in found.items():
+        groups[label].add(wanted[k])
+    assert all(len(g) == 1 for g in groups.values())
+
+
+@pytest.mark.parametrize("n", [5, 6, 10, 20, 50, 200])
+def test_recall_at_the_threshold(spark, n):
+    """Lines with as many random edits as the similarity allows, of words as they are spread in the documents."""
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200).collect()
+    vocabulary = [w for r in texts for x in (r.text or "").split("\n") for w in normal(x)]
+    rng, rows = random.Random(n), []
+    for k in range(150):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        own = list(base)
+        for at in rng.sample(range(n), n * 20 // 100):
+            own[at] = rng.choice(vocabulary)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+    found = lines.line_counts(spark.createDataFrame(rows, DOCS)).filter("n_removed > 0").count()
+    assert found >= 0.9 * 150, found
+
+
+def test_codes_do_not_decide(spark):
+    """Different words of one code count as different."""
+    code = spark.range(200_000).select(F.concat(F.lit("w"), "id").alias("w")).withColumn("c", lines._code(F.col("w")))
+    twins = [sorted(r.l)[:2] for r in code.groupBy("c").agg(F.collect_list("w").alias("l")).filter(F.size("l") > 1).limit(2).collect()]
+    (a, b), (c, d) = twins
+    base = "one two three four five six seven eight".split()
+    rows = [(1, " ".join([*base[:6], a, c])), (2, " ".join([*base[:6], b, d])), (3, " ".join([*base[:6], a, "other"]))]
+    assert {r.doc_id: r.n_removed for r in lines.line_counts(spark.createDataFrame(rows, DOCS)).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_links_are_contracted(spark, monkeypatch):
+    """Chains, stars and cliques: all passes together read a small multiple of the links."""
+    rng = random.Random(9)
+    chain, star = [(i, i + 1) for i in range(1000)], [(5000, 5001 + i) for i in range(1000)]
+    clique = [(9000 + i, 9000 + j) for i in range(40) for j in range(i)]
+    mixed = list(range(20000, 20800))
+    rng.shuffle(mixed)
+    loops = [(7, 7), (77777, 77777), (3, 2), (2, 3)]
+    edges = chain + star + clique + list(zip(mixed, mixed[1:])) + loops
+    kept, store = [], _graph.stored
+
+    def counted(df):
+        out = store(df)
+        if out.columns == ["x", "y"]:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(_graph, "stored", counted)
+    found = {r.node: r.component for r in _graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == components({x for e in edges for x in e}, edges)
+    assert len(kept) < 12 and sum(kept) < 3 * kept[0] and kept[-1] == 0
+
+
+def test_very_long_lines(spark):
+    words = [f"w{i}" for i in range(6000)]
+    near = list(words)
+    for i in range(0, 6000, 10):
+        near[i] = f"x{i}"
+    far = [w if i % 3 else f"y{i}" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "short " * 20000), (5, "SHORT " * 20000)]
+    assert {r.doc_id: r.n_removed for r in lines.line_counts(spark.createDataFrame(rows, DOCS)).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+
+
 def test_short_lines_are_exact_classes(spark):
     chinese = "数据处理系统的输出结果需要保存"
     rows = [(1, f"All rights reserved\n{chinese}\nyes\none two three four"), (2, f"all rights reserved.\n{chinese}。\nyes\none two three fore"), (3, "No rights reserved\n--------------")]

@@ -10,7 +10,7 @@ from test_duplicates import left_by_brute_force, near_by_brute_force
 from test_operators import measured, mix_targets
 
 import corpus_pipeline
-from tidegate.llm import rules
+from tidegate.llm import lines, rules
 from tidegate.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def test_stages_and_run(spark, tmp_path):
     base = {d for d, t in rows[0] for m in [measured(t or "")] if m[0] < 50 or 100 * m[4] > 50 * m[0]}
     assert sorted(rows[1]) == sorted(r for r in rows[0] if r[0] in kept) and not kept & base and len(kept) > 100
 
-    left, _ = left_by_brute_force(spark, rows[1])
+    left, _ = left_by_brute_force(rows[1], lines.LEAST_CHARS)
     before = dict(rows[1])
     assert dict(rows[2]) == {d: t for d, t in left.items() if t == before[d] or WORD.search(t)}
 
