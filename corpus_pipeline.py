@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.llm import lines, minhash, mixing, pieces, rules
-from tidegate.llm._common import shared_dir, table
+from tidegate.llm._common import remove, shared_dir, table, temporary_steps
 from tidegate.llm.queries import tokenizer_path
 
 #: Workers stay for the next stages, so the encoder keeps fewer entries here than on its own.
@@ -18,27 +18,43 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the standard policy keeps."""
+    """Documents that the standard policy keeps.
+
+    A null or empty text has no words and goes; rows are judged one by one, so repeated rows and ids, ties,
+    null ids and very long texts need nothing of their own; columns of any other names are kept as they are.
+    """
     return rules.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those left without words go."""
+    """Documents without repeated lines; those left without words go.
+
+    Null texts stay null; of equal lines the first by id, then row, then line stays, rows with null ids being
+    last, and repeated rows with one id and text are one document; long texts and lines are taken whole.
+    """
     return lines.without_repeats(docs, least_chars=lines.LEAST_CHARS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Null and wordless texts are alike to none and stay, as do rows with null ids; all rows of an id go or stay
+    together; texts are compared whole; columns of any other names are kept as they are.
+    """
     return minhash.distinct_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the mixture: repeated, whole, or the words that are taken."""
+    """The documents in the mixture: repeated, whole, or the words that are taken.
+
+    Documents without words, null texts included, have no row; a null source is one of its own; repeated rows each
+    have their own words; a very long text spans many blocks and may be taken in part; other columns are repeated.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text, a row per row; null texts count as empty, and long ones are encoded whole."""
     return pieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), cache_entries=PIECE_CACHE)
 
 
@@ -55,12 +71,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each one's rows are written to the shared folder and read again."""
+    """All stages in order; each one's rows are written to the shared folder and read again.
+
+    A stage's input and the tables of its steps are deleted when it is written; the last one's rows stay. An empty
+    table goes through all stages and gives an empty result.
+    """
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        with temporary_steps(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
