@@ -54,3 +54,24 @@ def test_edge_cases(spark):
     assert fingerprints.fingerprint(frame.limit(0)).count() == 0
     single = fingerprints.fingerprint(frame.filter("doc_id = 5")).first()
     assert single.near_next == 1.0 and single.n_chars == 15
+
+
+def test_rows_without_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 8)
+    rows = [(k, f"own words of {k}") for k in range(40)] + [(None, f"no id but text {k}") for k in range(150)] + [(None, None), (None, "no id but text 3")]
+    frame = spark.createDataFrame(rows, DOCS)
+    place = {r.text: r.place for r in frame.select(F.coalesce("text", F.lit("")).alias("text"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 32).alias("place")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), place[r[1] or ""] if r[0] is None else 0, r[1] or ""))
+    wanted = []
+    for k, (d, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        wanted.append((str(d), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in fingerprints.fingerprint(frame).collect()) == sorted(wanted)
+    assert fingerprints.neighbours(frame).filter("doc_id is null").select("bucket").distinct().count() > 10
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(200_000))
+    found = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame([(2, text), (1, text + " end"), (0, "short")], DOCS)).collect()}
+    assert found[2].n_chars == len(text) and found[2].near_next > 0.9 and found[1].near_next == 0.0

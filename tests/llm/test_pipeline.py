@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import sentencepiece
 from pyspark.sql import functions as F
-from test_duplicates import left_by_brute_force, near_by_brute_force
+from test_duplicates import assert_lines_left, left_by_brute_force, near_by_brute_force
 from test_operators import measured, mix_targets
 
 import corpus_pipeline
@@ -32,8 +32,8 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted(rows[1]) == sorted(r for r in rows[0] if r[0] in kept) and not kept & base and len(kept) > 100
 
     left, _ = left_by_brute_force(rows[1], lines.LEAST_CHARS)
-    before = dict(rows[1])
-    assert dict(rows[2]) == {d: t for d, t in left.items() if t == before[d] or WORD.search(t)}
+    assert_lines_left(rows[1], dict(rows[2]), left)
+    assert all(WORD.search(t) for _, t in rows[2])
 
     assert sorted(rows[3]) == sorted((d, t) for d, t in rows[2] if d in {n[0] for n in near_by_brute_force(rows[2]) if n[3]})
 

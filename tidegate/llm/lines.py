@@ -19,8 +19,8 @@ DataFrame expressions. With ``complete``, all classes whose rarest pairs of neig
 meet are compared as well, which no two lines that are alike can avoid.
 
 Bits are counted four at a time, in lanes of 16 bits of one long sum; a lane
-holds the weights of CHUNK_WORDS words, and the SimHash of a longer line is the majority of
-those of its chunks.
+holds the weights of CHUNK_WORDS words, and the lanes of a longer line's chunks are summed
+apart.
 
 Defined cases: a null text has no lines and stays null; an empty text has one
 empty line; lines of fewer than LEAST_WORDS words are too short to be linked to others;
@@ -83,10 +83,22 @@ def _majority() -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), held)
 
 
-def simhashes(hashes: DataFrame, *keys: str) -> DataFrame:
-    """The majority hash s of the rows (s, weight) of a key, whose weights sum up to _MOST at the most."""
+def simhashes(hashes: DataFrame) -> DataFrame:
+    """The majority hash s of each line's rows (s, weight), which are summed by chunk first: their weights sum up to _MOST at the most.
+
+    A line of one chunk has its bits at once. Lanes of a longer one are taken apart and
+    summed as longs, so that its hash is of all its words, too.
+    """
     sums = [F.sum(F.shiftright("s", j).bitwiseAND(F.lit(_LANES)) * F.col("weight")).alias(f"s{j}") for j in range(BITS)]
-    return hashes.groupBy(*keys).agg(F.sum("weight").alias("n"), *sums).select(*keys, _majority().alias("s"))
+    long = F.col("n_words") > CHUNK_WORDS
+    lanes = F.when(long, F.array(*[f"s{j}" for j in range(BITS)])).alias("lanes")
+    chunks = stored(hashes.groupBy(*_LINE, "chunk").agg(F.sum("weight").alias("n"), *sums).select(*_LINE, _majority().alias("s"), "n", lanes))
+    places = [(j, k) for j in range(BITS) for k in range(BLOCKS)]
+    apart = [F.sum(F.shiftrightunsigned(F.get("lanes", F.lit(j)), BITS * k).bitwiseAND(F.lit((1 << BITS) - 1))).alias(f"b{BITS * k + j}") for j, k in places]
+    wide = chunks.filter(long).groupBy(*_LINE).agg(F.sum("n").alias("n"), *apart)
+    bits = [F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for b in range(BITS * BLOCKS)]
+    whole = wide.select(*_LINE, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("s"))
+    return chunks.filter(~long).select(*_LINE, "s").unionByName(whole)
 
 
 def block(k: int) -> Column:
@@ -137,9 +149,7 @@ def sketched(rows: DataFrame, least_words: int = LEAST_WORDS, least_chars: int |
     hashed = words.select("doc_id", "row", "pos", F.xxhash64("words").alias("one"), F.xxhash64("words", F.lit(7)).alias("two"), size.alias("n_words"), F.when(size >= LEAST_WORDS, pair_keys(F.col("words"))).otherwise(F.array().cast("array<long>")).alias("pairs"), "words")
     each = hashed.select(*_LINE, F.posexplode("words").alias("at", "word"))
     bits = each.select(*_LINE, F.expr(f"at div {CHUNK_WORDS}").alias("chunk"), F.xxhash64("word").alias("s"), word_weight(F.col("word")).alias("weight"))
-    chunks = stored(simhashes(bits, *_LINE, "chunk").drop("chunk"))
-    single = chunks.filter(F.col("n_words") <= CHUNK_WORDS)
-    return single.unionByName(simhashes(chunks.filter(F.col("n_words") > CHUNK_WORDS).withColumn("weight", F.lit(1).cast("long")), *_LINE))
+    return simhashes(bits)
 
 
 def _code(word: Column) -> Column:

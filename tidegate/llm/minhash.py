@@ -16,7 +16,7 @@ Pairs at the threshold of 0.85 meet in no bucket with a probability of 3e-7, mor
 similar ones less often.
 
 Defined cases: a null text, or one without words, has the empty set and is
-linked with nothing; shorter texts than five words have one shingle; repeated
+linked with nothing; a very long text has all its shingles; shorter texts than five words have one shingle; repeated
 rows with an id are one document, and links of any of its texts are its links;
 rows with a null id have a null component and are kept; an empty table gives an
 empty result; other columns of the input are ignored.

@@ -6,7 +6,7 @@ A versioned ``Policy`` is then only a mask over those bits: applying another
 policy, or asking what a policy would keep without one rule, needs no text.
 
 Defined cases: a null or empty text has no words and all measurements 0, so it
-fails ``few_words``; repeated rows are judged one by one; an empty table gives
+fails ``few_words``; a very long text is measured whole, by itself; repeated rows are judged one by one; an empty table gives
 an empty ledger; other columns of the input are ignored.
 """
 
