@@ -208,9 +208,14 @@ def semantics(c: DataFrame) -> Column:
     return F.array_compact(F.array(*[F.when(holds, F.lit(tag)) for tag, holds in tags]))
 
 
-def profile(frame: DataFrame) -> DataFrame:
-    """One row per column with all measures, nested lists of structs included."""
-    values = distinct_values(frame).persist()
+def profile(frame: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """One row per column with all measures, nested lists of structs included.
+
+    values: the frame's distinct_values, which the caller has written or persisted and
+    releases; without it they stay persisted until the session clears its cache.
+    """
+    if values is None:
+        values = distinct_values(frame).persist()
     inferred = types(values)
     tops = top_values(values)
     masks = patterns(values)

@@ -430,6 +430,11 @@ def profile_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.types(_values(spark, sf_dir)).filter("ordinal = 3").select(F.inline("date_candidates"))
 
 
+@query("profile_date_ambiguous", f"{_CELLS}, c AS ({_FORMATS}) SELECT 3 AS ordinal, count(*) > 1 AS date_ambiguous FROM c WHERE parsed > 0 AND parsed = (SELECT max(parsed) FROM c)")
+def profile_date_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.types(_values(spark, sf_dir)).filter("ordinal = 3").select("ordinal", "date_ambiguous")
+
+
 @query(
     "profile_top_values",
     f"{_CELLS} SELECT ordinal, rank, value, n AS count FROM (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, first, value) AS rank FROM vals WHERE NOT missing) WHERE rank <= 10",
