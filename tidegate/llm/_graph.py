@@ -144,7 +144,9 @@ def bucket_components(
 
     In buckets of up to FEW members all pairs are compared. A larger one is parted by
     size classes first, and what is still larger proposes a star, its centre with
-    every other member of another component. The centre, then compared with all,
+    every other member of another component. At first each member takes the smallest of the
+    centres of its buckets alone, which settles groups of copies; then all proposed pairs
+    of different components are compared. The centre, then compared with all,
     leaves the bucket, and so do buckets that hold one component only. Further stars
     have the best-linked member as centre. Of what STAR_ROUNDS stars have left open,
     members of different components are compared: all in a bucket of FEW members,
@@ -200,7 +202,7 @@ def bucket_components(
             return stored(placed.join(mixed.select("key"), "key"))
 
         opened = relabelled(opened)
-        for turn in range(STAR_ROUNDS + 1):
+        for turn in range(-1 if STAR_ROUNDS else 0, STAR_ROUNDS + 1):
             if everyone is None and opened.isEmpty():
                 break
             if turn < STAR_ROUNDS:
@@ -208,7 +210,12 @@ def bucket_components(
                 starred = opened.join(centres, "key")
                 hub = [F.col(f"hub.{c}").alias(as_name) for c, as_name in (("node", "hub"), ("n", "n"), ("label", "of_hub"), ("s", "s_hub"))]
                 chosen = starred.select(*hub, F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"))
-                opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "s", "label", "degree")
+                if turn < 0:  # one centre for each member, so that a member of many buckets of one group is compared once
+                    fit = chosen.filter((F.col("of_hub") != F.col("of_member")) & fits)
+                    lead = F.min(F.struct("hub", "n", "of_hub", "s_hub", "m", "of_member", "s_member")).alias("lead")
+                    chosen = fit.groupBy("member").agg(lead).select("member", "lead.*")
+                else:
+                    opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "s", "label", "degree")
             elif everyone is not None:
                 placed = stored(everyone.join(labels.withColumnRenamed("component", "label"), "node"))
                 chosen = _prefix_pairs(placed, tokens(held), False)
