@@ -131,6 +131,7 @@ def bucket_components(
     within: bool = False,
     everyone: DataFrame | None = None,
     possible: Column | None = None,
+    by_size: bool = False,
 ) -> DataFrame | None:
     """node, component (the smallest node of its connected group) of nodes that share buckets; None if there are none.
 
@@ -143,7 +144,7 @@ def bucket_components(
     share a bucket, as all others do.
 
     In buckets of up to FEW members all pairs are compared. A larger one is parted by
-    size classes first, and what is still larger proposes a star, its centre with
+    size classes first (by_size: where unlike nodes share buckets often), and what is still larger proposes a star, its centre with
     every other member of another component. At first each member takes the smallest of the
     centres of its buckets alone, which settles groups of copies; then all proposed pairs
     of different components are compared. The centre, then compared with all,
@@ -172,8 +173,11 @@ def bucket_components(
         return shared.filter(F.col("held") <= FEW).drop("held"), shared.filter(F.col("held") > FEW).drop("held").distinct()
 
     small, large = parted(blocked)
-    smaller, opened = parted(_of_size(large, percent))
-    near = stored(_met(small).union(_met(smaller.distinct())).filter(fits).select("hub", "member").distinct())
+    met, opened = _met(small), large
+    if by_size:
+        smaller, opened = parted(_of_size(large, percent))
+        met = met.union(_met(smaller.distinct()))
+    near = stored(met.filter(fits).select("hub", "member").distinct())
     opened = opened.withColumn("degree", F.lit(0).cast("long"))
     nodes = near.select(F.explode(F.array("hub", "member")).alias("node")).union(opened.select("node"))
     nodes = stored((nodes if everyone is None else everyone.select("node")).distinct())

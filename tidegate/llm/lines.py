@@ -230,7 +230,7 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, com
     chosen = (lambda held: tokens_of_two(held, percent)) if least_words >= _least_of_two(percent) else tokens
     if not complete:
         possible = F.bit_count(F.col("s_hub").bitwiseXOR(F.col("s_member"))) <= DISTANT
-        return bucket_components(blocked, texts, linked, chosen, percent, within=chosen is tokens, possible=possible)
+        return bucket_components(blocked, texts, linked, chosen, percent, within=chosen is tokens, possible=possible, by_size=True)
     every = classes.groupBy(F.col("one").alias("node")).agg(F.first("n_words").alias("n"))
     return bucket_components(blocked, texts, linked, chosen, percent, everyone=every)
 
