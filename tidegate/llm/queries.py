@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import fingerprints, html, lines, minhash, mixing, pieces, quality, rules, secret_scan, token_output
+from tidegate.llm import codes, collocations, fingerprints, html, lines, minhash, mixing, pieces, quality, recipes, rules, secret_scan, token_output
 from tidegate.llm._common import table
 
 
@@ -64,6 +64,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": op1_token_output,
@@ -76,8 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_minhash": op9_minhash,
         "op10_fingerprints": op10_fingerprints,
+        "op11_codes": op11_codes,
+        "op12_recipes": op12_recipes,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_codes": codes.ORACLE, "op12_recipes": recipes.ORACLE, "op13_collocations": collocations.ORACLE}
