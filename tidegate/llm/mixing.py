@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import WORD_GAP, materialise
+from tidegate.llm._common import WORD_GAP, stored
 
 LENGTH = 512
 WEIGHTS = (5, 2, 1)
@@ -39,8 +39,8 @@ MOST_EPOCHS = 3
 SHARD_SLOTS, TASK_SHARDS = 1 << 8, 1 << 6
 SEED = 17
 MAX_SOURCES = 100_000
-#: Places of a source's documents are summed within this many hash buckets, then over them.
-BUCKETS = 1024
+#: Places of a source's documents are summed within hash buckets of about BUCKET_ROWS rows, of which there are BUCKETS at least, then over them.
+BUCKETS, BUCKET_ROWS = 1024, 100_000
 #: Slots from which numpy can draw.
 LIBRARY_SLOTS = 1_000_000_000
 
@@ -179,18 +179,28 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     return levelled.select("source", F.col("sid").cast("int").alias("sid"), "source_size", target.alias("target"))
 
 
-def _placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds each document's first word's place in its source; no task holds a whole source."""
-    joined = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop("source")
-    dealt = joined.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(BUCKETS)).cast("int"))
-    sums = dealt.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
+def _placed(rows: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
+    """Adds each document's first word's place in its source; no task holds a whole source.
+
+    Rows of one source, id and text are alike, so they are counted before they move and lined
+    up as one, and told apart (``row``) afterwards: however many there are, no bucket holds more for it.
+    """
+    equal = rows.groupBy("source", "doc_id", "text_hash", "size").agg(F.count("*").alias("rows"))
+    joined = equal.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    dealt = joined.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(max(BUCKETS, n_rows // BUCKET_ROWS))))
+    whole = F.col("size") * F.col("rows")
+    sums = dealt.groupBy("sid", "bucket").agg(F.sum(whole).alias("bucket_size"))
     over = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(over), F.lit(0)).alias("bucket_start"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "text_hash", "size")
-    before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lined = dealt.withColumn("before", before).withColumn("place", F.row_number().over(inside))
+    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    lined = dealt.withColumn("before", F.coalesce(F.sum(whole).over(inside), F.lit(0)))
     # Both sides are dealt by source and bucket already, and starts grow with the sources, so nothing is sent to all tasks.
-    return lined.join(starts.hint("merge"), ["sid", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("before")).drop("before", "bucket_start")
+    first = lined.join(starts.hint("merge"), ["sid", "bucket"]).withColumn("first", F.col("bucket_start") + F.col("before"))
+    # Very many equal rows are told apart in two steps, each of which makes at most the root of their number from one row.
+    step = F.ceil(F.sqrt(F.col("rows").cast("double"))).cast("long")
+    coarse = first.withColumn("step", step).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.col("step"))))
+    each = coarse.withColumn("row", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + F.col("step"), F.col("rows")) - 1)))
+    return each.withColumn("start", F.col("first") + F.col("row") * F.col("size")).drop("before", "bucket_start", "first", "step", "from", "rows")
 
 
 def slots(spark, plans: list[Plan], length: int = LENGTH) -> DataFrame:
@@ -241,13 +251,13 @@ class Mix:
 
 
 def mix(docs: DataFrame, length: int = LENGTH, **columns: str) -> Mix:
-    rows = materialise(sized(docs, **columns))
-    sources = materialise(targets(rows))
+    rows = stored(sized(docs, **columns))
+    sources = stored(targets(rows))
     listed = sources.select("sid", "source_size", "target").limit(MAX_SOURCES + 1).collect()
     if len(listed) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     plans = [plan(r.sid, r.source_size, min(round(r.target), MOST_EPOCHS * r.source_size), length) for r in sorted(listed, key=lambda r: r.sid)]
-    placed = _placed(rows, sources)
+    placed = _placed(rows, sources, rows.count())
     chosen = slots(docs.sparkSession, plans, length)
     whole = F.count_if(F.col("take") == length)
     by_block = chosen.groupBy("sid", "block").agg(
@@ -262,7 +272,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     pieces = mix(docs, **options).taken
     part = F.greatest(F.least(F.col("high"), F.col("part")) - F.col("low"), F.lit(0))
     words = F.coalesce(F.col("times") * (F.col("high") - F.col("low")) + part, F.lit(0))
-    by_doc = pieces.groupBy("sid", "bucket", "place").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum(words).alias("taken"), F.min(F.when(words > 0, F.col("first_shard"))).alias("first_shard"), F.max(F.when(words > 0, F.col("last_shard"))).alias("last_shard"))
+    by_doc = pieces.groupBy("sid", "doc_id", "text_hash", "row").agg(*[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.sum(words).alias("taken"), F.min(F.when(words > 0, F.col("first_shard"))).alias("first_shard"), F.max(F.when(words > 0, F.col("last_shard"))).alias("last_shard"))
     return by_doc.select("doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
@@ -292,34 +302,34 @@ def mixed_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("documents need a text")
     made = mix(docs, length)
     place = F.col("block") * length + F.col("low") - F.col("start")
+    row = ["source", "doc_id", "text_hash", "row"]
     spans = made.taken.filter("times > 0 or part > low").select(
-        "doc_id", "text_hash", "sid", "bucket", "place", "size",
+        *row, "size",
         F.inline(
             F.transform(
                 F.sequence(F.lit(1), F.greatest(F.col("times") + F.when(F.col("part") > F.col("low"), 1).otherwise(0), F.lit(1))),
                 lambda k: F.struct(k.alias("copy"), place.alias("first"), F.when(k <= F.col("times"), F.col("high") - F.col("low")).otherwise(F.least("high", "part") - F.col("low")).alias("n")),
             )
         ),
-    )
-    copies = spans.groupBy("doc_id", "text_hash", "sid", "bucket", "place", "copy").agg(
-        F.first("size").alias("size"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("spans")
-    )
-    by_row = copies.groupBy("doc_id", "text_hash", "place").agg(F.collect_list(F.struct("copy", "size", "n", "spans")).alias("copies"))
-    by_text = by_row.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("place", "copies"))).alias("rows"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn(
-        "_row", F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0)))
-    )
-    joined = hashed.join(
-        by_text.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("rows").alias("_rows")),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")),
-    )
-    each = joined.withColumn("_copy", F.explode(F.get(F.col("_rows.copies"), F.col("_row") - 1)))
+    )
+    copies = spans.groupBy(*row, "copy").agg(F.first("size").alias("size"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("spans"))
+    # Rows, their passes and what is made of them have names of their own, so that the documents' columns may have any.
+    listed = copies.groupBy(*row).agg(F.collect_list(F.struct("size", "n", "spans")).alias("copies")).select(F.struct(*row).alias("of"), "copies")
+    held = docs.select(F.struct(*[F.col(_quoted(c)) for c in names]).alias("doc"))
+    hashed = held.withColumn("hash", F.xxhash64(F.coalesce(F.col("doc.text"), F.lit(""))))
+    counted = hashed.withColumn("number", F.row_number().over(Window.partitionBy("doc.source", "doc.doc_id", "hash").orderBy(F.lit(0))) - 1)
+    same = F.col("doc.source").eqNullSafe(F.col("of.source")) & F.col("doc.doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("hash") == F.col("of.text_hash")) & (F.col("number") == F.col("of.row"))
+    each = counted.join(listed, same).select("doc", F.explode("copies").alias("copy"))
 
     def spanned(words: Column) -> Column:
-        return F.array_join(F.flatten(F.transform(F.col("_copy.spans"), lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["n"].cast("int")))), " ")
+        return F.array_join(F.flatten(F.transform(F.col("copy.spans"), lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["n"].cast("int")))), " ")
 
     # The words are bound once, as the argument of the outer transform.
-    cut = F.get(F.transform(F.array(F.filter(F.split("text", WORD_GAP), lambda w: w != "")), spanned), F.lit(0))
-    text = F.when(F.col("_copy.n") == F.col("_copy.size"), F.col("text")).otherwise(cut)
-    fresh = each.withColumn("_new", text)
-    return fresh.select(*[F.col("_new").alias("text") if c == "text" else F.length("_new").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in names])
+    cut = F.get(F.transform(F.array(F.filter(F.split("doc.text", WORD_GAP), lambda w: w != "")), spanned), F.lit(0))
+    fresh = each.select("doc", F.when(F.col("copy.n") == F.col("copy.size"), F.col("doc.text")).otherwise(cut).alias("fresh"))
+    made_anew = {"text": F.col("fresh"), "n_chars": F.length("fresh").cast("long")}
+    return fresh.select(*[made_anew.get(c, F.col(f"doc.{_quoted(c)}")).alias(c) for c in names])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
