@@ -173,5 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The documents of which near_duplicates keeps the id, with all their columns (one row of an id)."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    # The documents are one column here, so theirs may have any names.
+    held = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc"))
+    return held.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")), "left_semi").select("doc.*")
