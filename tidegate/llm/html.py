@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import materialise, stored
+from tidegate.llm._common import stored
 
 #: Pages that differ in everything, added to each path's own when its entropies are judged.
 PRIOR_PAGES = 4
@@ -73,6 +73,11 @@ BOILERPLATE_NAMES = frozenset(
     "signup login comment comments reply replies discussion disqus respond share sharing social related recommended widget toolbar pagination pager skip "
     "copyright disclaimer legal".split()
 )
+#: Words that stand beside a listed one in names, as in "share-buttons". A name with any other word announces nothing, as in "share-price".
+BESIDE_NAMES = frozenset(
+    "area bar block bottom box button buttons column container content group header holder icons inner item items left link links list main mobile outer page panel primary right row "
+    "secondary section site slot small sticky top unit wrap wrapper zone".split()
+)
 #: Names that only say where a thing stands: not heeded inside an article, nor on what holds most of a host's text.
 PLACES = frozenset("header side sidebar banner widget legal menu nav".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -100,24 +105,35 @@ class Node:
         self.children: list[Node | str] = []
 
 
+@lru_cache(maxsize=1 << 14)
+def announced(value: str) -> frozenset[str]:
+    """The listed words of a class or id attribute, of names that hold no words but these and those that stand beside them."""
+    said: set[str] = set()
+    for name in value.split():
+        words = set(_WORDS.findall(name))
+        if words - BESIDE_NAMES <= BOILERPLATE_NAMES:
+            said |= words & BOILERPLATE_NAMES
+    return frozenset(said)
+
+
 def _element(tag: str, attributes: str, parent: Node) -> Node:
     names: list[str] = []
-    inside = parent.inside
+    inside, strong = parent.inside, False
     dull = tag in BOILERPLATE_TAGS or tag == "header" and not inside
     if "=" in attributes:
         for name, a, b, c in _NAME.findall(attributes):
             value, name = (a or b or c).lower(), name.lower()
             if name in ("class", "id"):
-                words = _WORDS.findall(value)
-                names += words
-                said = BOILERPLATE_NAMES.intersection(words)
+                names += _WORDS.findall(value)
+                said = announced(value)
+                strong = strong or bool(said - PLACES)
                 dull = dull or tag not in ("html", "body") and bool(said - PLACES if inside else said)
             elif name == "role":
                 dull = dull or value in BOILERPLATE_ROLES
             elif name == "aria-hidden":
                 dull = dull or value == "true"
     label = ".".join([tag, *names])
-    weak = dull and tag in ("div", "section") and not BOILERPLATE_NAMES.intersection(names) - PLACES
+    weak = dull and tag in ("div", "section") and not strong
     return Node(tag, label, dull, weak, f"{path_digest(parent.path)}/{label}", inside or label.startswith(("article", "main")))
 
 
@@ -364,7 +380,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     not one task: a task reads the host's decisions once, then its pages.
     """
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    tree = materialise(site_style_tree(named))
+    tree = stored(site_style_tree(named))
     types = dict(named.dtypes)
     out = f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long"
     entries = tree.agg(F.sum(1 + F.size("common"))).first()[0] or 0
