@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import materialise
+from tidegate.llm._common import stored
 
 # The kinds of base spans, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "live")
@@ -32,7 +32,8 @@ PATTERNS = {
     "hex": (r"()([0-9a-f]{24,})", 24),
     "live": (r"()((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2})", 20),
 }
-PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|redacted|xxxx|0000|1234|abcd|your"
+#: Values that are made of nothing but such words, digits in order and signs are placeholders.
+PLACEHOLDER = r"(?i)^(?:example|sample|dummy|change|me|placeholder|redacted|insert|your|here|my|the|test|secret|token|password|api|key|value|string|x{3,}+|0{3,}+|12345678?9?0?|abcdef|[+/_=-])++\z"
 #: A live-looking value has at least so many different characters, digits and letters among them.
 LEAST_CHARACTERS = 10
 #: In texts of this many owners, or of this many repositories of one owner, a value is a copied example.
@@ -134,7 +135,7 @@ def widely_copied() -> Column:
 def scan(docs: DataFrame, **columns: str) -> DataFrame:
     """doc_id, counts of base spans, base_sha256, spans, n_live, n_copied (base values that are copied examples), and the most
     owners and repositories that any of the document's values has."""
-    rows = materialise(candidates(docs, **columns))
+    rows = stored(candidates(docs, **columns))
     every = F.explode(F.concat("base", "further"))
     values = rows.select("doc_id", "text_hash", "owner", "repo", every.alias("span")).withColumn("value_hash", F.sha2("span.value", 256))
     known = ownership(values)
