@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import WORD_GAP, materialise, range_bounds, range_bucket
+from tidegate.llm._common import WORD_GAP, range_bounds, range_bucket, stored
 
 SAMPLES = 32
 #: Samples that are drawn together; SAMPLES is a multiple.
@@ -85,8 +85,9 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     guests = links.join(first.withColumnRenamed("bucket", "origin"), "origin").select(F.lit(None).cast("long").alias("doc_id"), "text", "bucket", "origin", F.lit(True).alias("guest"))
     guests = guests.withColumn("null_place", F.lit(None).cast("long"))
     both = dealt.select("doc_id", "null_place", "text", "bucket", F.col("bucket").alias("origin"), F.lit(False).alias("guest")).unionByName(guests)
-    # A task counts the terms of about TASK_BYTES of text, whatever the size of the whole.
-    both = both.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), told.bytes // TASK_BYTES + 1), "bucket")
+    # A task counts the terms of about TASK_BYTES of text, or of one bucket where that is more; more tasks than buckets would have nothing to do.
+    tasks = min(told.bytes // TASK_BYTES + 1, len(bounds) + 1 + spread)
+    both = both.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks), "bucket")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "null_place", "text")
     ordered = both.select(
         "bucket",
@@ -173,7 +174,7 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES, **columns: str) -> Data
     rows = neighbours(docs, **columns)
     digest = F.sha2(edited(F.col("text"), F.col("n_chars"), F.col("next_text")), 256)
     told = F.struct("doc_id", "n_chars", digest.alias("edited_sha256"), "next_bucket", "next_place")
-    made = materialise(signatures(rows.withColumn("told", told), samples).select("bucket", "place", "told.*", "own", "new"))
+    made = stored(signatures(rows.withColumn("told", told), samples).select("bucket", "place", "told.*", "own", "new"))
     nexts = made.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("own").alias("next_own"))
     return made.join(nexts, ["next_bucket", "next_place"], "left").select(
         "doc_id",
