@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,8 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 #: Whether a job's shuffle files go when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_steps: list[str] = []
+#: The tables of the run that goes on in this thread, where temporary_steps holds one.
+_steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +38,6 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Jobs inside the block delete their shuffle files when they end, as nothing reads them again."""
@@ -65,7 +61,8 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
-    _steps.append(path)
+    if (held := _steps.get()) is not None:
+        held.append(path)
     with shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,14 +76,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def temporary_steps(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that stored() wrote inside the block when it ends; results are to be written within it."""
-    first = len(_steps)
+    """Deletes the tables that stored() wrote inside the block when it ends; results are to be written within it.
+
+    Each run has a list of its own, so that runs in several threads leave each other's tables alone.
+    """
+    token = _steps.set([])
     try:
         yield
     finally:
-        for path in _steps[first:]:
+        for path in _steps.get() or ():
             remove(spark, path)
-        del _steps[first:]
+        _steps.reset(token)
 
 
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:

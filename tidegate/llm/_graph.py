@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import shuffles_dropped, stored
+from tidegate.llm._common import remove, shared_dir, shuffles_dropped, stored
 
 STAR_ROUNDS = 2
 #: Members of a bucket that are compared without stars or a look at their tokens: each meets fewer than this many others.
@@ -55,11 +55,13 @@ def _alike_in_size(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _table(df: DataFrame, key: str, name: str) -> None:
-    """Writes the distinct rows as a table of the (shared) warehouse bucketed by ``key``, so that joins on it move the other side alone."""
+def _table(df: DataFrame, key: str, name: str) -> str:
+    """Writes the distinct rows as a table bucketed by ``key``, so that joins on it move the other side alone; its files' place in the shared folder."""
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}"
     with shuffles_dropped(df.sparkSession):
-        df.repartition(buckets, key).dropDuplicates().write.bucketBy(buckets, key).saveAsTable(name)
+        df.repartition(buckets, key).dropDuplicates().write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return path
 
 
 def _faced(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -183,9 +185,9 @@ def bucket_components(
     nodes = stored((nodes if everyone is None else everyone.select("node")).distinct())
     if nodes.isEmpty():
         return None
-    name = f"held_{uuid.uuid4().hex}"
+    name, place = f"held_{uuid.uuid4().hex}", None
     try:
-        _table(contents(nodes), "node", name)
+        place = _table(contents(nodes), "node", name)
         held = spark.table(name)
 
         def confirmed(pairs: DataFrame) -> DataFrame:
@@ -245,4 +247,6 @@ def bucket_components(
                 opened = relabelled(opened)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if place:
+            remove(spark, place)
     return labels
