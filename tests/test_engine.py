@@ -324,16 +324,6 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == report.counts()["rejected"]
 
 
-def test_cosine_top_takes_any_number_of_queries(spark):
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
-    queries = vectors.filter("vec_id % 20 = 0")
-    assert queries.count() > 4
-    one = sorted(map(tuple, M.cosine_top(queries, vectors).collect()))
-    assert sorted(map(tuple, M.cosine_top(queries, vectors, max_queries=4).collect())) == one
-    assert {r[0] for r in one} == {r.vec_id for r in queries.collect()} and len(one) == 3 * queries.count()
-    assert M.cosine_top(queries.limit(0), vectors).count() == 0
-
-
 def test_landing_reads_no_whole_file_and_keeps_all_groups(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("tidegate.sources.landing.LISTED_GROUPS", 2)
     text = "order_id,quantity\n" + "".join(f"ORD-{i},{-i}\n" for i in range(1, 6))

@@ -22,6 +22,7 @@ from tidegate.functions.ops import DATE_LABELS, DUCKDB, TransformOp, render
 from tidegate.operators import profile as P
 from tidegate.operators import propose as M
 from tidegate.operators import validate as V
+from tidegate.operators import vectors as X
 from tidegate.plans.compile import compile_script, compile_select, render_module, transform
 from tidegate.plans.spec import Candidate, FieldMapping, MappingSpec, SpecStore, diff
 from tidegate.schema import SRC_ROW, TargetSchema
@@ -519,7 +520,22 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cosine_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return M.cosine_top(vectors.filter("vec_id % 20 = 0"), vectors).withColumn("rank", F.col("rank").cast("long"))
+    return X.cosine_top(vectors.filter("vec_id % 20 = 0"), vectors)
+
+
+@query("cosine_index_recall", "SELECT 3 * count(*) AS n_links, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def cosine_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds 0.9 of the links that comparing with all rows finds."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0")
+    told = X.recall(X.VectorIndex(vectors).search(asked), X.cosine_top(asked, vectors))
+    return told.select("n_links", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query("cosine_index_top3")
+def cosine_index_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return X.VectorIndex(vectors).search(vectors.filter("vec_id % 20 = 0"))
 
 
 _SCORES = [("Qty", "quantity", "heuristic", 0.92), ("Qty", "quantity", "llm", 0.9), ("Qty", "line_number", "heuristic", 0.4), ("Cust", "customer_id", "llm", 0.8), ("Cust", "customer_id", "embedding", 0.5), ("X7", "status", "heuristic", 0.61)]
