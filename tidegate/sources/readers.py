@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.schema import SRC_ROW
+from tidegate.sources.blocks import csv_records, json_records
 from tidegate.sources.sniff import SNIFF_BYTES, Sniff, sniff
 
 KINDS = {"csv": ("csv", "tsv", "txt"), "excel": ("xlsx", "xlsm"), "json": ("json", "jsonl", "ndjson")}
@@ -98,29 +99,62 @@ def has_odd_quotes(spark: SparkSession, path: str, delimiter: str) -> bool:
     return not spark.read.text(path).filter(F.col("value").contains('"') & ~F.col("value").rlike(whole)).isEmpty()
 
 
-def read_csv(spark: SparkSession, path: str, found: Sniff | None = None, multiline: bool | None = None) -> LandedFrame:
-    """All-string rows; extra cells are dropped, missing and empty ones null.
+def _csv_options(found: Sniff, multiline: bool) -> dict[str, str]:
+    return {"sep": found.delimiter, "header": "false", "quote": '"', "escape": '"', "multiLine": str(multiline).lower(), "mode": "PERMISSIVE"}
 
-    multiline: whether quoted line breaks are read (then a file is one task); by default where a line has quotes that ask for it.
-    """
-    found = found or sniff(head_bytes(spark, path))
-    if multiline is None:
-        multiline = has_odd_quotes(spark, path, found.delimiter)
-    names = dedupe(list(found.header))
-    plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    single_byte = found.encoding in ("cp1252", "iso-8859-1")
-    reader = spark.read.options(sep=found.delimiter, header=False, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", encoding="ISO-8859-1" if single_byte else "UTF-8")
-    rows = reader.schema(plain).csv(path).select("*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
-    above = sum(1 for x in found.preamble if x.strip()) + 1  # blank lines are no records
 
+def _csv_frame(found: Sniff, numbered: DataFrame, cells: list[str], names: list[str]) -> LandedFrame:
     def clean(c: str) -> Column:
         return F.translate(c, _C1, _CP1252).alias(c) if found.encoding == "cp1252" else F.col(c)
 
-    numbered = with_src_row(rows, found.header_row + 2, above)
-    frame = numbered.select(SRC_ROW, *[clean(c) for c in plain.names]).toDF(SRC_ROW, *names)
+    frame = numbered.select(SRC_ROW, *[clean(c) for c in cells]).toDF(SRC_ROW, *names)
     return LandedFrame(frame, "csv", {"encoding": found.encoding, "delimiter": found.delimiter, "header_row": found.header_row, "preamble": list(found.preamble)})
 
 
+def _single_byte(found: Sniff) -> bool:
+    return found.encoding in ("cp1252", "iso-8859-1")
+
+
+def _above(found: Sniff) -> int:
+    """Records above the first row: the header, and what stands before it (blank lines are no records)."""
+    return sum(1 for x in found.preamble if x.strip()) + 1
+
+
+def read_csv(spark: SparkSession, path: str, found: Sniff | None = None, quoted_breaks: bool | None = None) -> LandedFrame:
+    """All-string rows; extra cells are dropped, missing and empty ones null.
+
+    quoted_breaks: whether quoted line breaks are looked for (which reads the file in two passes, in blocks); by default where a line has quotes that ask for it.
+    """
+    head = head_bytes(spark, path)
+    found = found or sniff(head)
+    if quoted_breaks is None:
+        quoted_breaks = has_odd_quotes(spark, path, found.delimiter)
+    if not quoted_breaks:
+        return _read_csv(spark, path, found, False)
+    if b"\r" in head and b"\n" not in head:  # lines that end in carriage returns alone are not split
+        return _read_csv(spark, path, found, True)
+    names = dedupe(list(found.header))
+    plain = [f"c{i}" for i in range(len(names))]
+    records = csv_records(spark, path, found.delimiter, _single_byte(found))
+    row = F.from_csv("text", ", ".join(f"{c} string" for c in plain), _csv_options(found, True))
+    above = _above(found)
+    numbered = records.filter(F.col("index") >= above).select((F.col("index") + (found.header_row + 2 - above)).alias(SRC_ROW), row.alias("row")).select(SRC_ROW, "row.*")
+    return _csv_frame(found, numbered, plain, names)
+
+
+def read_whole_csv(spark: SparkSession, path: str, found: Sniff | None = None) -> LandedFrame:
+    """As read_csv with quoted line breaks, the file being one task's work."""
+    return _read_csv(spark, path, found or sniff(head_bytes(spark, path)), True)
+
+
+def _read_csv(spark: SparkSession, path: str, found: Sniff, multiline: bool) -> LandedFrame:
+    names = dedupe(list(found.header))
+    plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    reader = spark.read.options(**_csv_options(found, multiline), encoding="ISO-8859-1" if _single_byte(found) else "UTF-8")
+    rows = reader.schema(plain).csv(path).select("*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
+    return _csv_frame(found, with_src_row(rows, found.header_row + 2, _above(found)), plain.names, names)
+
+
 def _leaves(kind: T.DataType, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], T.DataType]]:
     if isinstance(kind, T.StructType):
         for f in kind:
@@ -151,7 +185,7 @@ def _first_seen(records: list) -> list[str]:
             seen[path] = None
 
     for r in records:
-        walk(r, "")
+        walk(r, "" if isinstance(r, dict) else "value")
     return list(seen)
 
 
@@ -159,19 +193,6 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _longest_list(raw: DataFrame, path: str) -> str | None:
-    """The longest of the lists of a file's one object, the first in the file of equals; None without lists."""
-    lists = [f.name for f in raw.schema if isinstance(f.dataType, T.ArrayType)]
-    if len(lists) < 2:
-        return lists[0] if lists else None
-    sizes = raw.agg(*[F.max(F.size(F.col(_quoted(n)))).alias(f"n{i}") for i, n in enumerate(lists)]).first()
-    equal = [n for n, size in zip(lists, sizes) if size == max(sizes)]
-    if len(equal) > 1:
-        keys = raw.sparkSession.read.text(path, wholetext=True).select(F.json_object_keys(F.regexp_replace("value", "^\ufeff", ""))).first()[0] or equal
-        equal.sort(key=lambda n: keys.index(n) if n in keys else len(keys))
-    return equal[0]
-
-
 def _head_records(text: str, name: str | None, most: int = 200) -> list:
     """The first whole records in the head of a JSON file: of its array, of the list ``name`` of its object, or the object."""
     decoder, space = json.JSONDecoder(), re.compile(r"[\s,:]*")
@@ -198,35 +219,80 @@ def _head_records(text: str, name: str | None, most: int = 200) -> list:
     return found
 
 
+def _first_places(rows: DataFrame) -> DataFrame:
+    """path and place of each key path's first appearance in rows (place, text); text that is no JSON is passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            for place, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist()):
+                try:
+                    found = _first_seen([json.loads(text)])
+                except ValueError:
+                    continue
+                for k, path in enumerate(found):
+                    seen[path] = min(seen.get(path, 1 << 62), (place << 12) + min(k, 4095))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["path", "place"])
+
+    return rows.mapInArrow(run, "path string, place long").groupBy("path").agg(F.min("place").alias("place"))
+
+
+def _schema_of(texts: DataFrame) -> T.StructType:
+    """The schema of a column of JSON objects, inferred in tasks, every primitive a string."""
+    spark = texts.sparkSession
+    strings = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark.read.options(primitivesAsString=True)._jreader.json(strings), spark).schema
+
+
+def _malformed(spark: SparkSession, path: str) -> int:
+    """The number of the first line that is no JSON."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"), "value")
+    bad = with_src_row(lines, 1).filter((F.trim("value") != "") & F.try_parse_json("value").isNull())
+    return bad.agg(F.min(SRC_ROW)).first()[0]
+
+
 def read_json(spark: SparkSession, path: str) -> LandedFrame:
-    """JSON lines (split among tasks), an array, or an object whose longest list holds the records."""
+    """JSON lines, an array, or an object whose longest list holds the records, split among tasks; a row per record, nested keys dotted.
+
+    Columns stand in the order in which the file's records first show their keys.
+    """
     head = head_bytes(spark, path).decode("utf-8-sig", "replace")
     lines = path.lower().rsplit(".", 1)[-1] in ("jsonl", "ndjson")
-    records = []
-    if lines:
-        for text in head.splitlines()[:200]:
-            try:
-                records.append(json.loads(text))
-            except ValueError:
-                continue
-    raw = spark.read.options(primitivesAsString=True, multiLine=not lines, mode="PERMISSIVE").json(path)
-    tagged = raw.select("*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
-    if not lines:
-        name = _longest_list(raw, path) if head.lstrip().startswith("{") else None
-        if name is not None:
-            each = raw.select(F.posexplode(F.col(_quoted(name))).alias("_mono", "_item"))
-            tagged = each.select("_item.*" if isinstance(each.schema["_item"].dataType, T.StructType) else F.col("_item").alias("value"), F.lit(0).cast("long").alias("_block"), F.col("_mono").cast("long"))
+    first, found, name = head.lstrip()[:1], None, None
+    if not lines and first in ("[", "{"):
+        found = json_records(spark, path, 1 if first == "[" else 2)
+    if found is not None:
+        pieces, name = found
+        whole = F.when(F.col("text").startswith("{"), F.col("text")).otherwise(F.concat(F.lit('{"value":'), "text", F.lit("}")))
+        texts = pieces.select("index", whole.alias("text"))
+        schema = _schema_of(texts.select("text"))
+        numbered = texts.select((F.col("index") + 1).alias(SRC_ROW), F.from_json("text", schema).alias("_r"))
+        places = texts.select(F.col("index").alias("place"), "text")
         records = _head_records(head, name)
-    numbered = with_src_row(tagged, 1)
-    flat = numbered.select(SRC_ROW, F.struct(*[F.col(f"`{c}`") for c in numbered.columns if c != SRC_ROW]).alias("_r"))
-    inner = [(p, k) for p, k in _leaves(flat.schema["_r"].dataType)]
-    columns = {".".join(p): (F.to_json(at) if isinstance(k, T.ArrayType) else at) for p, k in inner for at in [F.col("_r." + ".".join(f"`{x}`" for x in p))]}
+    else:
+        raw = spark.read.options(primitivesAsString=True, multiLine=not lines, mode="PERMISSIVE").json(path)
+        if raw.columns == ["_corrupt_record"] or lines and "_corrupt_record" in raw.columns:
+            raise ValueError(f"{path}: line {_malformed(spark, path)} is no JSON" if lines else f"{path} is no JSON")
+        tagged = raw.select("*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
+        rows = with_src_row(tagged, 1)
+        numbered = rows.select(SRC_ROW, F.struct(*[F.col(_quoted(c)) for c in rows.columns if c != SRC_ROW]).alias("_r"))
+        texts = spark.read.option("wholetext", not lines).text(path).select(F.col("value").alias("text"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
+        places = with_src_row(texts, 1).select(F.col(SRC_ROW).alias("place"), "text")
+        records = [x for text in head.splitlines()[:200] for x in _parsed(text)] if lines else _head_records(head, None)
+    inner = list(_leaves(numbered.schema["_r"].dataType))
+    columns = {".".join(p): (F.to_json(at) if isinstance(k, T.ArrayType) else at) for p, k in inner for at in [F.col("_r." + ".".join(map(_quoted, p)))]}
     order = [n for n in _first_seen(records) if n in columns]
-    if late := [n for n in columns if n not in order]:
-        # Columns that the head does not show, by the first record that has a value of them.
-        at = flat.agg(*[F.min(F.when(columns[n].isNotNull(), F.col(SRC_ROW))).alias(f"c{i}") for i, n in enumerate(late)]).first()
-        order += [n for _, _, n in sorted((row is None, row or 0, n) for row, n in zip(at, late))]
-    return LandedFrame(flat.select(SRC_ROW, *[columns[n].alias(n) for n in order]), "json", {"lines": lines})
+    if late := [n for n in columns if n not in order]:  # columns that the head does not show
+        shown = {r.path: r.place for r in _first_places(places).filter(F.col("path").isin(late)).collect()}
+        order += sorted(late, key=lambda n: (shown.get(n, 1 << 62), n))
+    return LandedFrame(numbered.select(SRC_ROW, *[columns[n].alias(n) for n in order]), "json", {"lines": lines})
+
+
+def _parsed(text: str) -> list:
+    try:
+        return [json.loads(text)]
+    except ValueError:  # the line that the head cuts
+        return []
 
 
 # Excel: a workbook is a zip of XML parts; one sheet has at most 1,048,576 rows.
