@@ -1,26 +1,92 @@
-"""Transforms and row checks over streams: the same projections, with nothing kept between batches."""
+"""Transforms and checks over streams.
+
+Checks of single rows are the batch run's projection. Uniqueness is kept state: each
+key that must be unique has the number of its lines and the first of them, in the state
+store, so a key that repeats in a later batch is told of, however far back it began. A
+stream's valid and rejected rows are those of the batch run over all it has read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tidegate.operators.validate import checked
+from tidegate.operators.validate import LISTED_LINES, Report, row_checked, unique_keys, with_uniqueness
 from tidegate.plans.spec import MappingSpec
-from tidegate.schema import TargetSchema
+from tidegate.schema import SPARK_TYPES, SRC_ROW, TargetSchema
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FirstLines(StatefulProcessor):
+    """The number of a key's lines, and the first LISTED_LINES + 1 of them; told of whenever a repeated key gets more."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long, lines array<long>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        n, lines = self.seen.get() if self.seen.exists() else (0, [])
+        lines = list(lines)
+        for frame in rows:
+            n += len(frame)
+            lines = sorted([*lines, *frame["line"].nsmallest(LISTED_LINES + 1).tolist()])[: LISTED_LINES + 1]
+        self.seen.update((n, lines))
+        if n > 1:
+            yield pd.DataFrame({"which": [key[0]], "key": [key[1]], "n": [n], "lines": [lines]})
+
+    def close(self) -> None:
+        pass
+
+
+def _keys(rows: DataFrame, schema: TargetSchema) -> DataFrame:
+    """which (of the schema's unique_keys), key (as JSON of its fields' texts) and line of each key of each row."""
+    each = []
+    for k, (names, whole) in enumerate(unique_keys(schema)):
+        told = F.struct(F.lit(k).alias("which"), F.to_json(F.struct(*[F.col(f"`{n}`").cast("string").alias(n) for n in names])).alias("key"))
+        each.append(told if whole else F.when(F.col(f"`{names[0]}`").isNotNull(), told))
+    return rows.select(F.col(SRC_ROW).alias("line"), F.inline(F.array_compact(F.array(*each)))).select("which", "key", "line")
+
+
+def _append(folder: str):
+    """Writes batches by epoch; one that is repeated after a failure replaces its own folder, so every row is written once."""
+    return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
 
+def write_checked(landed: DataFrame, spec: MappingSpec, schema: TargetSchema, folder: str, checkpoint: str, **trigger: Any) -> list[StreamingQuery]:
+    """Starts the queries that check a stream of landed rows: one for single rows, and one for repeated keys where the schema has any."""
+    spark, trigger = landed.sparkSession, trigger or {"availableNow": True}
+    rows = row_checked(landed, spec, schema)
+    queries = [rows.writeStream.foreachBatch(_append(f"{folder}/rows")).option("checkpointLocation", f"{checkpoint}/rows").trigger(**trigger).start()]
+    if unique_keys(schema):
+        before = spark.conf.get(_PROVIDER)
+        spark.conf.set(_PROVIDER, _ROCKS)
+        try:
+            seen = _keys(rows, schema).groupBy("which", "key").transformWithStateInPandas(FirstLines(), "which int, key string, n long, lines array<long>", "Update", "None")
+            queries.append(seen.writeStream.foreachBatch(_append(f"{folder}/keys")).outputMode("update").option("checkpointLocation", f"{checkpoint}/keys").trigger(**trigger).start())
+        finally:
+            spark.conf.set(_PROVIDER, before)
+    return queries
 
-def write_checked(landed: DataFrame, spec: MappingSpec, schema: TargetSchema, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Valid and rejected rows of a stream of landed rows, as Parquet by batch.
 
-    Uniqueness is judged within a batch. A batch that is repeated after a failure
-    replaces its own folder, so every row is written once.
-    """
+def checked_so_far(spark: SparkSession, spec: MappingSpec, schema: TargetSchema, folder: str) -> Report:
+    """The report over all rows that a stream has written: that of one batch run over them."""
+    rows = spark.read.parquet(f"{folder}/rows").drop("epoch")
+    if unique_keys(schema):
+        told = spark.read.parquet(f"{folder}/keys")
+        last = F.row_number().over(Window.partitionBy("which", "key").orderBy(F.desc("n")))
+        now = told.withColumn("last", last).filter("last = 1")
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        rows = checked(batch, spec, schema).persist()
-        rows.filter("size(problems) = 0").drop("problems").write.mode("overwrite").parquet(f"{folder}/valid/epoch={epoch}")
-        rows.filter("size(problems) > 0").write.mode("overwrite").parquet(f"{folder}/rejected/epoch={epoch}")
-        rows.unpersist()
+    def repeats(frame: DataFrame, names: list[str]) -> DataFrame:
+        which = [k for k, _ in unique_keys(schema)].index(names)
+        texts = F.from_json("key", ", ".join(f"`{n}` string" for n in names))
+        own = now.filter(F.col("which") == which).select(texts.alias("k"), "n", "lines")
+        typed = [F.col(f"k.`{n}`").cast(SPARK_TYPES[schema.field(n).dtype]).alias(f"_k_{n}") for n in names]
+        return own.select(*typed, "n", "lines")
 
-    return landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return Report(with_uniqueness(rows, spec, schema, repeats), spec.source_id, schema.slug, spec.version, spec.content_hash())
