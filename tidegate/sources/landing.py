@@ -1,7 +1,8 @@
 """Landing: files become Parquet tables with a catalog of sources, profiles, specs and runs.
 
 A workspace is a folder that driver and executors share. Landed data, profiles and
-run results are Parquet; the catalog tables are appended to, one small file each.
+run results are Parquet; the catalog's tables are logs of numbered entries, to which
+any number of writers append.
 """
 
 from __future__ import annotations
@@ -10,22 +11,28 @@ import hashlib
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.operators.profile import distinct_values, profile
-from tidegate.operators.propose import Encoder, content_key, request_hash
+from tidegate.operators.propose import Encoder, request_hash
 from tidegate.operators.validate import Report, check
 from tidegate.plans.compile import compile_script, render_module
 from tidegate.plans.spec import MappingSpec
 from tidegate.schema import SRC_ROW, TargetSchema
-from tidegate.sources.readers import land
+from tidegate.sources import store
+from tidegate.sources.readers import land, with_src_row
 
 #: Problem groups in the report of a run; all of them are a table beside it.
 LISTED_GROUPS = 1000
+#: Texts that an encoder is given together.
+ENCODED = 64
+#: The one table that tasks write; the others are logs, whose entries are put one by one.
+CACHE = "embedding_cache"
 #: The catalog's tables.
 TABLES = {
     "sources": "source_id string, path string, kind string, fingerprint string, detail string, row_count long, created_at double",
@@ -36,16 +43,16 @@ TABLES = {
 }
 
 
-def fingerprint(spark: SparkSession, path: str, frame: DataFrame | None = None) -> str:
-    """16 hex digits that tell a file's content apart: of its length and of the hashes of its landed rows (``frame``), in any number of tasks."""
-    frame = land(spark, path).frame if frame is None else frame
-    cells = [x for c in frame.columns for at in [F.col("`" + c.replace("`", "``") + "`")] for x in (at.isNull(), at)]  # hashes skip nulls
-    rows = frame.select(*[F.xxhash64(F.lit(seed), *cells).alias(f"h{seed}") for seed in (0, 1)])
-    parts = [f(h) for h in ("h0", "h1") for f in (lambda h: F.sum(F.col(h).cast("decimal(20,0)")), F.bit_xor)]
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    length = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).getLen()
-    told = ":".join(map(str, (length, *frame.columns, *rows.agg(F.count("*"), *parts).first())))
-    return hashlib.sha256(told.encode()).hexdigest()[:16]
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """16 hex digits that tell a file's bytes apart, whatever it holds and in however many tasks it is read.
+
+    The file is taken in lines; each is hashed with its number, so order counts, and hashes are summed, so no task needs another's.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("bytes"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
+    leaf = F.sha2(F.concat(F.col(SRC_ROW).cast("string").cast("binary"), F.lit(b":"), "bytes"), 256)
+    parts = [F.sum(F.conv(F.substring(leaf, 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")) for k in range(4)]
+    told = with_src_row(lines, 1).agg(F.count("*"), *parts).first()
+    return hashlib.sha256(":".join(map(str, (store.size(spark, path), *told))).encode()).hexdigest()[:16]
 
 
 class Workspace:
@@ -54,17 +61,18 @@ class Workspace:
 
     # Catalog
 
+    def _log(self, name: str) -> store.Log:
+        return store.Log(self.spark, f"{self.folder}/catalog/{name}", TABLES[name])
+
     def table(self, name: str) -> DataFrame:
         """A catalog table; empty before its first row."""
+        if name != CACHE:
+            return self._log(name).table()
         path = f"{self.folder}/catalog/{name}"
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(path)
+        return self.spark.read.schema(TABLES[name]).parquet(path) if store.exists(self.spark, path) else self.spark.createDataFrame([], TABLES[name])
 
     def append(self, name: str, *rows: dict) -> None:
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        self.spark.createDataFrame([tuple(row.get(c) for c in columns) for row in rows], TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.folder}/catalog/{name}")
+        self._log(name).append(*rows)
 
     # Models
 
@@ -86,19 +94,40 @@ class Workspace:
         return ask
 
     def cached(self, encode: Encoder, model: str) -> Encoder:
-        """The encoder of a model; only texts whose content is not in embedding_cache are encoded, and then kept there."""
+        """The encoder of a model for the few texts of a proposal; only texts whose content is not in the cache are encoded, and then kept there."""
 
         def vectors(texts: list[str]) -> list[list[float]]:
-            keys = [content_key(t) for t in texts]
-            held = self.table("embedding_cache").filter((F.col("model") == model) & F.col("content_hash").isin(keys))
-            known = {r.content_hash: list(r.vector) for r in held.collect()}
-            if new := {k: t for k, t in zip(keys, texts) if k not in known}:
-                known |= dict(zip(new, ([float(x) for x in v] for v in encode(list(new.values())))))
-                self.append("embedding_cache", *({"content_hash": k, "model": model, "vector": known[k]} for k in new))
-            return [known[k] for k in keys]
+            frame = self.spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "place int, text string")
+            found = {r.place: list(r.vector) for r in self.embedded(frame, encode, model).collect()}
+            return [found[k] for k in range(len(texts))]
 
         return vectors
 
+    def embedded(self, texts: DataFrame, encode: Encoder, model: str, text_col: str = "text") -> DataFrame:
+        """The rows with their texts' vectors (null texts have none). Texts whose content the cache lacks are encoded in tasks, each once, and kept.
+
+        ``encode`` runs where the texts are, on lists of at most ENCODED of them.
+        """
+        keyed = texts.withColumn("_key", F.substring(F.sha2(text_col, 256), 1, 32))
+        misses = self._misses(keyed.select("_key", F.col(text_col).alias("text")), model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ENCODED):
+                    part = batch.slice(at, ENCODED)
+                    found = [[float(x) for x in v] for v in encode(part.column("text").to_pylist())]
+                    yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array([model] * len(found), pa.string()), pa.array(found, pa.list_(pa.float32()))], ["content_hash", "model", "vector"])
+
+        misses.mapInArrow(run, TABLES[CACHE]).write.mode("append").parquet(f"{self.folder}/catalog/{CACHE}")
+        # A text that two runs encoded at once has two equal rows.
+        held = self.table(CACHE).filter(F.col("model") == model).groupBy("content_hash").agg(F.first("vector").alias("vector"))
+        return keyed.join(held, F.col("_key") == F.col("content_hash"), "left").drop("_key", "content_hash")
+
+    def _misses(self, keyed: DataFrame, model: str) -> DataFrame:
+        """_key and text, once, of texts that the cache of a model lacks."""
+        held = self.table(CACHE).filter(F.col("model") == model).select(F.col("content_hash").alias("_key"))
+        return keyed.filter("_key is not null").join(held, "_key", "left_anti").dropDuplicates(["_key"])
+
     # Sources
 
     def landed_path(self, source_id: str) -> str:
@@ -115,7 +144,7 @@ class Workspace:
             profile(frame, values).write.parquet(f"{self.folder}/profiles/{source_id}")
         finally:
             values.unpersist()
-        self.append("sources", {"source_id": source_id, "path": path, "kind": landed.kind, "fingerprint": fingerprint(self.spark, path, frame), "detail": json.dumps(landed.detail), "row_count": frame.count(), "created_at": time.time()})
+        self.append("sources", {"source_id": source_id, "path": path, "kind": landed.kind, "fingerprint": fingerprint(self.spark, path), "detail": json.dumps(landed.detail), "row_count": frame.count(), "created_at": time.time()})
         return source_id
 
     def sources(self) -> DataFrame:
@@ -140,14 +169,21 @@ class Workspace:
     # Specs
 
     def save_spec(self, spec: MappingSpec, created_by: str = "human") -> MappingSpec:
-        """A new version, unless the head means the same."""
-        head = self.head_spec(spec.source_id)
-        if head is not None and head.content_hash() == spec.content_hash():
-            return head
-        number = head.version + 1 if head else 1
-        parent = f"{spec.source_id}-v{head.version}" if head else None
-        saved = replace(spec, version=number, parent_id=parent, created_by=created_by, _by_field={})
-        self.append("mapping_specs", {"spec_id": f"{spec.source_id}-v{number}", "source_id": spec.source_id, "version": number, "parent_id": parent, "content_hash": saved.content_hash(), "spec": json.dumps(saved.to_dict()), "created_by": created_by, "created_at": time.time()})
+        """A new version, unless the head means the same. Of several that are saved at once, each becomes the next version of the one before."""
+        saved = spec
+
+        def decide() -> list[dict] | None:
+            nonlocal saved
+            head = self.head_spec(spec.source_id)
+            if head is not None and head.content_hash() == spec.content_hash():
+                saved = head
+                return None
+            number = head.version + 1 if head else 1
+            parent = f"{spec.source_id}-v{head.version}" if head else None
+            saved = replace(spec, version=number, parent_id=parent, created_by=created_by, _by_field={})
+            return [{"spec_id": f"{spec.source_id}-v{number}", "source_id": spec.source_id, "version": number, "parent_id": parent, "content_hash": saved.content_hash(), "spec": json.dumps(saved.to_dict()), "created_by": created_by, "created_at": time.time()}]
+
+        self._log("mapping_specs").commit(decide)
         return saved
 
     def history(self, source_id: str) -> list[MappingSpec]:
@@ -183,7 +219,7 @@ class Workspace:
         scripts = {"sql": compile_script(spec, schema, self.landed_path(source_id)), "py": render_module(spec, schema)}
         artifacts = {kind: f"{self.folder}/artifacts/{source_id}/v{spec.version}_{spec.content_hash()}.{kind}" for kind in scripts}
         for kind, text in scripts.items():
-            self._write_text(artifacts[kind], text)
+            store.write_text(self.spark, artifacts[kind], text)
         told |= {"sql": scripts["sql"], "python": scripts["py"], "artifacts": artifacts}
         self.append("runs", {"run_id": run_id, "source_id": source_id, "spec_version": spec.version, "content_hash": spec.content_hash(), "rows_in": counts["rows_in"], "rows_out": counts["rows_in"], "rows_rejected": counts["rejected"], "rows_valid": counts["valid"], "report": json.dumps(told, default=str), "created_at": time.time()})
         return run_id, report
@@ -195,13 +231,5 @@ class Workspace:
             raise KeyError(f"no run {run_id}")
         return row.asDict() | {"report": json.loads(row.report)}
 
-    def _write_text(self, path: str, text: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        stream = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-
     def runs(self, source_id: str) -> DataFrame:
         return self.table("runs").filter(F.col("source_id") == source_id).orderBy(F.desc("created_at"))
