@@ -7,13 +7,10 @@ partitions plus places within them, found from counts: no row leaves the JVM.
 
 from __future__ import annotations
 
-import io
 import json
 import re
-import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,8 +20,9 @@ from pyspark.sql import types as T
 from tidegate.schema import SRC_ROW
 from tidegate.sources.blocks import csv_records, json_records
 from tidegate.sources.sniff import SNIFF_BYTES, Sniff, sniff
+from tidegate.sources.workbook import Row, open_book
 
-KINDS = {"csv": ("csv", "tsv", "txt"), "excel": ("xlsx", "xlsm"), "json": ("json", "jsonl", "ndjson")}
+KINDS = {"csv": ("csv", "tsv", "txt"), "excel": ("xlsx", "xlsm", "xls"), "json": ("json", "jsonl", "ndjson")}
 #: The characters of code page 1252 where it differs from ISO 8859-1, which Spark reads.
 _C1 = "".join(chr(b) for b in range(0x80, 0xA0))
 _CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
@@ -295,74 +293,10 @@ def _parsed(text: str) -> list:
         return []
 
 
-# Excel: a workbook is a zip of XML parts; one sheet has at most 1,048,576 rows.
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def _column_index(ref: str) -> int:
-    n = 0
-    for ch in re.match(r"[A-Z]+", ref)[0]:
-        n = n * 26 + ord(ch) - 64
-    return n - 1
-
-
-class Workbook:
-    """Cell texts of an xlsx file's sheets."""
-
-    def __init__(self, content: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
-        self.shared: list[str] = []
-        if "xl/sharedStrings.xml" in self.zip.namelist():
-            for item in ElementTree.fromstring(self.zip.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
-                self.shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
-        sheets = ElementTree.fromstring(self.zip.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")
-        self.sheets = {s.get("name"): "xl/" + links[s.get(_REL)].removeprefix("/xl/") for s in sheets}
-
-    def _text(self, cell: ElementTree.Element) -> str | None:
-        if cell.get("t") == "inlineStr":
-            return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")) or None
-        value = cell.findtext(f"{_MAIN}v")
-        if value is None:
-            return None
-        if cell.get("t") == "s":
-            return self.shared[int(value)]
-        return {"1": "true", "0": "false"}.get(value, value) if cell.get("t") == "b" else value
-
-    def rows(self, sheet: str) -> Iterator[list[str | None]]:
-        """Every row from the first, absent ones empty."""
-        at = 0
-        with self.zip.open(self.sheets[sheet]) as f:
-            for _, row in ElementTree.iterparse(f):
-                if row.tag != f"{_MAIN}row":
-                    continue
-                number = int(row.get("r") or at + 1)
-                while at + 1 < number:
-                    at += 1
-                    yield []
-                at = number
-                cells: list[str | None] = []
-                for cell in row.iter(f"{_MAIN}c"):
-                    place = _column_index(cell.get("r")) if cell.get("r") else len(cells)
-                    cells += [None] * (place + 1 - len(cells))
-                    text = self._text(cell)
-                    cells[place] = text.strip() or None if text else None
-                yield cells
-                row.clear()
-
-    def widest(self) -> str:
-        """The sheet with the most cells in its first 25 rows; the first of equals."""
-
-        def area(sheet: str) -> int:
-            head = [r for _, r in zip(range(25), self.rows(sheet))]
-            filled = [r for r in head if any(r)]
-            return max(map(len, filled), default=0) * len(filled)
-
-        return max(self.sheets, key=area)
-
-
-def flatten_header(rows: list[list[str | None]]) -> tuple[list[str], int]:
+# Excel
+
+
+def flatten_header(rows: list[Row]) -> tuple[list[str], int]:
     """Column names and how many of the leading rows they take.
 
     A second header row is read only where the first has gaps, as merged group
@@ -384,10 +318,6 @@ def flatten_header(rows: list[list[str | None]]) -> tuple[list[str], int]:
     return [t or "" for t in top], at + 1
 
 
-def list_sheets(content: bytes) -> list[str]:
-    return list(Workbook(content).sheets)
-
-
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> LandedFrame:
     """A sheet as strings with its row numbers; one task finds its header, of which alone the driver learns, and one unpacks it."""
     packed = spark.read.format("binaryFile").load(path).select("content")
@@ -395,7 +325,7 @@ def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> Land
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                book = Workbook(content.as_py())
+                book = open_book(content.as_py())
                 name = sheet or book.widest()
                 names, taken = flatten_header([r for _, r in zip(range(3), book.rows(name))]) if name in book.sheets else ([], 0)
                 yield pa.RecordBatch.from_pylist([{"sheet": name, "sheets": list(book.sheets), "names": dedupe(names), "taken": taken}], told)
@@ -408,8 +338,8 @@ def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> Land
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                held: list[tuple[int, list[str | None]]] = []
-                for number, row in enumerate(Workbook(content.as_py()).rows(name), 1):
+                held: list[tuple[int, Row]] = []
+                for number, row in enumerate(open_book(content.as_py()).rows(name), 1):
                     if number > taken and any(row):
                         held.append((number, (row + [None] * len(names))[: len(names)]))
                     if len(held) == 10_000:
@@ -418,7 +348,7 @@ def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> Land
                 if held:
                     yield as_batch(held)
 
-    def as_batch(rows: list[tuple[int, list[str | None]]]) -> pa.RecordBatch:
+    def as_batch(rows: list[tuple[int, Row]]) -> pa.RecordBatch:
         columns = [pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[1][i] for r in rows], pa.string()) for i in range(len(names))]
         return pa.RecordBatch.from_arrays(columns, [SRC_ROW, *[f"c{i}" for i in range(len(names))]])
 
