@@ -9,7 +9,7 @@ row per column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.ops import DATE_LABELS, java_pattern
@@ -208,6 +208,36 @@ def semantics(c: DataFrame) -> Column:
     return F.array_compact(F.array(*[F.when(holds, F.lit(tag)) for tag, holds in tags]))
 
 
+class ProfileState:
+    """Counted values of a source whose files come one by one, kept as a table: a new file is counted alone and added.
+
+    Counts of a value add up and its first row is the first of all, so the profile of
+    the state is that of all files together, and no file is read again. A file that is
+    added a second time replaces its own part. ``compact`` brings parts together.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def add(self, frame: DataFrame, number: int) -> None:
+        """Counts a file's values. number: its place among the source's files (rows of a file come after those of files of smaller numbers)."""
+        counted = distinct_values(frame).withColumn("first", F.col("first") + F.lit(number << 40))
+        counted.write.mode("overwrite").parquet(f"{self.folder}/part={number}")
+
+    def values(self) -> DataFrame:
+        """As distinct_values over all files."""
+        parts = self.spark.read.parquet(self.folder)
+        return parts.groupBy("ordinal", "name", "value", "missing", "blank").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+    def compact(self, folder: str) -> ProfileState:
+        """The same state as one part in another folder."""
+        self.values().write.parquet(f"{folder.rstrip('/')}/part=0")
+        return ProfileState(self.spark, folder)
+
+    def profile(self) -> DataFrame:
+        return profile(self.spark.createDataFrame([], f"{SRC_ROW} long"), self.values())
+
+
 def profile(frame: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """One row per column with all measures, nested lists of structs included.
 
