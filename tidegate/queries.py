@@ -8,14 +8,13 @@ integer cents, so both engines write the same text.
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.ops import DATE_LABELS, DUCKDB, TransformOp, render
@@ -24,11 +23,15 @@ from tidegate.operators import propose as M
 from tidegate.operators import validate as V
 from tidegate.operators import vectors as X
 from tidegate.plans.compile import compile_script, compile_select, render_module, transform
-from tidegate.plans.spec import Candidate, FieldMapping, MappingSpec, SpecStore, diff
+from tidegate.plans import spec_table as T
+from tidegate.plans.spec import FieldMapping, MappingSpec
 from tidegate.schema import SRC_ROW, TargetSchema
+from tidegate.sources import store
 from tidegate.sources.landing import Workspace
 from tidegate.sources.readers import dedupe, flatten, land, with_src_row
 from tidegate.sources.sniff import sniff
+from tidegate.sources.workbook import list_sheets, read_sheets, write_book
+from tidegate.streaming import checked_so_far, write_checked
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -494,13 +497,21 @@ def land_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_src_row(rows, 6)
 
 
-_SNIFFED = ["Export\nStand: heute\nid;name;price\n1;a;2,5\n2;b;3,5\n", "id,name\n1,x\n2,y\n", "a|b|c\n1|2|3\n"]
+@query("sniff_text", "SELECT c_custkey AS file, [',', ';', chr(9), '|'][CAST(c_custkey % 4 AS INT) + 1] AS delimiter, CAST(c_custkey % 3 AS INT) AS header_row, 3 AS column_count FROM customer")
+def sniff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heads of many files, sniffed where they lie: lines above the header, the header, two rows."""
+    mark = F.element_at(F.array(*map(F.lit, (",", ";", "\t", "|"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    lines = [F.concat(F.lit("id"), mark, F.lit("name"), mark, F.lit("balance")), *[F.concat(F.col("c_custkey").cast("string"), mark, "c_name", mark, F.lit(n)) for n in ("1.5", "2.5")]]
+    above = F.array_repeat(F.lit("Export of today"), (F.col("c_custkey") % 3).cast("int"))
+    heads = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), F.array_join(F.concat(above, F.array(*lines)), "\n").alias("text"))
 
+    def sniffed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sniff(x.encode()) for x in batch.column("text").to_pylist()]
+            columns = pa.array([x.delimiter for x in found], pa.string()), *[pa.array([getattr(x, c) for x in found], pa.int32()) for c in ("header_row", "column_count")]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), *columns], ["file", "delimiter", "header_row", "column_count"])
 
-@query("sniff_text", "SELECT * FROM (VALUES (0, ';', 2, 3), (1, ',', 0, 2), (2, '|', 0, 3)) t(sample, delimiter, header_row, column_count)")
-def sniff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [sniff(x.encode()) for x in _SNIFFED]
-    return spark.createDataFrame([(i, s.delimiter, s.header_row, s.column_count) for i, s in enumerate(found)], "sample int, delimiter string, header_row int, column_count int")
+    return heads.mapInArrow(sniffed, "file long, delimiter string, header_row int, column_count int")
 
 
 @query("repeated_keys", "SELECT o_custkey, count(*) AS n, array_to_string(list_slice(list_sort(list(o_orderkey)), 1, 21), ',') AS lines FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -538,45 +549,92 @@ def cosine_index_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.VectorIndex(vectors).search(vectors.filter("vec_id % 20 = 0"))
 
 
-_SCORES = [("Qty", "quantity", "heuristic", 0.92), ("Qty", "quantity", "llm", 0.9), ("Qty", "line_number", "heuristic", 0.4), ("Cust", "customer_id", "llm", 0.8), ("Cust", "customer_id", "embedding", 0.5), ("X7", "status", "heuristic", 0.61)]
-_SCORE_ROWS = ", ".join(f"('{c}', '{f}', '{p}', {s})" for c, f, p, s in _SCORES)
+# Scores of (part, supplier) pairs as three voices give them: a row for each pair and voice
+_SCORED = """
+SELECT concat('p', CAST(l_partkey AS {s})) AS "column", concat('s', CAST(l_suppkey AS {s})) AS field, CASE l_returnflag WHEN 'A' THEN 'heuristic' WHEN 'N' THEN 'llm' ELSE 'embedding' END AS provider,
+  CAST(sum(l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7) % 100 AS DOUBLE) / 100 AS score FROM {lineitem} GROUP BY 1, 2, 3
+"""
+_SCORED_DUCK = _SCORED.format(s="VARCHAR", lineitem="lineitem")
+_MERGED = (
+    f"s AS ({_SCORED_DUCK}), w(provider, weight) AS (VALUES ('heuristic', 0.45), ('llm', 0.35), ('embedding', 0.2)),"
+    " t AS (SELECT sum(weight) AS total FROM w WHERE provider IN (SELECT provider FROM s)),"
+    ' m AS (SELECT "column", field, CAST(round(least(sum(weight * score) / any_value(total) + 0.08 * (count(DISTINCT provider) - 1), 1.0), 4) AS DOUBLE) AS score FROM s JOIN w USING (provider), t GROUP BY "column", field)'
+)
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_SCORED.format(s="STRING", lineitem="{l}").replace('"column"', "`column`"), l=table(spark, sf_dir, "lineitem"))
+
+
+@query("candidate_merge", f"WITH {_MERGED} SELECT * FROM m")
+def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.merge_scores(scored_pairs(spark, sf_dir))
 
 
 @query(
-    "candidate_merge",
-    f"WITH s(col, field, provider, score) AS (VALUES {_SCORE_ROWS}), w(provider, weight) AS (VALUES ('heuristic', 0.45), ('llm', 0.35), ('embedding', 0.2)),"
-    " t AS (SELECT sum(weight) AS total FROM w WHERE provider IN (SELECT provider FROM s))"
-    " SELECT col AS \"column\", field, CAST(round(least(sum(weight * score) / any_value(total) + 0.08 * (count(DISTINCT provider) - 1), 1.0), 4) AS DOUBLE) AS score FROM s JOIN w USING (provider), t GROUP BY col, field",
+    "assign_fields",
+    f'WITH RECURSIVE {_MERGED}, g(step, "column", field, score, columns, fields) AS (SELECT 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])'
+    ' UNION ALL SELECT step + 1, m."column", m.field, m.score, list_append(columns, m."column"), list_append(fields, m.field) FROM g, m WHERE m.score >= 0.35 AND NOT list_contains(columns, m."column") AND NOT list_contains(fields, m.field)'
+    ' QUALIFY row_number() OVER (ORDER BY m.score DESC, m."column", m.field) = 1) SELECT "column", field, score FROM g WHERE step > 0',
 )
-def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.merge_scores(spark.createDataFrame(_SCORES, "column string, field string, provider string, score double"))
+def assign_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts to suppliers one to one, the best pair first."""
+    return M.assign_rows(M.merge_scores(scored_pairs(spark, sf_dir)), _scratch(spark))
+
+
+# Specs as rows: two versions of a spec for each part
+_PART_SPECS = """
+SELECT concat('part-', CAST(p_partkey AS {s})) AS source_id, target_field, source_column, op FROM (
+  SELECT p_partkey, 'size' AS target_field, 'SIZE' AS source_column, 'strip' AS op FROM {part} WHERE {old} OR p_size % 5 <> 0
+  UNION ALL SELECT p_partkey, 'size', 'SIZE', 'lower' FROM {part} WHERE NOT {old} AND p_size % 5 = 0
+  UNION ALL SELECT p_partkey, 'brand', p_brand, 'upper' FROM {part} WHERE {old} OR p_size % 7 <> 0
+  UNION ALL SELECT p_partkey, 'price', CASE WHEN {old} OR p_size % 3 <> 0 THEN 'Preis "€"' ELSE NULL END, 'strip' FROM {part}
+  UNION ALL SELECT p_partkey, 'extra', p_type, 'strip' FROM {part} WHERE NOT {old} AND p_size % 11 = 0)
+"""
+_OPS_TEXT = "concat('[{\"args\":{},\"op\":\"', op, '\"},{\"args\":{\"dtype\":\"string\"},\"op\":\"cast\"}]')"
+
 
+def part_specs(spark: SparkSession, sf_dir: str, old: bool) -> DataFrame:
+    rows = spark.sql(_PART_SPECS.format(s="STRING", part="{p}", old=old), p=table(spark, sf_dir, "part"))
+    ops = F.array(F.struct(F.col("op"), F.lit("{}").alias("args")), F.struct(F.lit("cast").alias("op"), F.lit('{"dtype":"string"}').alias("args")))
+    return rows.select("source_id", F.lit("parts").alias("target_schema"), F.lit(1).alias("target_version"), "target_field", "source_column", F.lit(None).cast("string").alias("literal"), ops.alias("transforms"))
 
-@query("spec_diff", "SELECT 'total' AS target_field, 4 AS ops_before, 5 AS ops_after")
+
+@query(
+    "spec_diff",
+    f"WITH a AS ({_PART_SPECS.format(s='VARCHAR', part='part', old='true')}), b AS ({_PART_SPECS.format(s='VARCHAR', part='part', old='false')}),"
+    f" x AS (SELECT source_id, target_field, source_column, {_OPS_TEXT} AS ops, true AS there FROM a), y AS (SELECT source_id, target_field, source_column, {_OPS_TEXT} AS ops, true AS there FROM b)"
+    " SELECT source_id, target_field, x.source_column AS before_column, x.ops AS before_ops, y.source_column AS after_column, y.ops AS after_ops FROM x FULL JOIN y USING (source_id, target_field)"
+    " WHERE x.there IS DISTINCT FROM y.there OR x.source_column IS DISTINCT FROM y.source_column OR x.ops IS DISTINCT FROM y.ops",
+)
 def spec_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = M.with_transforms(ORDERS_SPEC, "status")
-    changed = [m if m.target_field != "total" else FieldMapping("total", "Amount", None, m.transforms[1:]) for m in old.mappings]
-    before = MappingSpec("orders", "sales", 1, tuple(changed))
-    rows = [(d["target_field"], len(d["before"]["transforms"]), len(d["after"]["transforms"])) for d in diff(before, old)]
-    return spark.createDataFrame(rows, "target_field string, ops_before int, ops_after int")
+    """The fields that differ between two versions of many specs."""
+    found = T.differences(part_specs(spark, sf_dir, True), part_specs(spark, sf_dir, False))
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{as_name}") for side in ("before", "after") for c, as_name in (("source_column", "column"), ("transforms", "ops"))]
+    return found.select("source_id", "target_field", *sides)
 
 
-@query("spec_head", "SELECT 'orders' AS source_id, 2 AS version, 'orders-v1' AS parent_id")
-def spec_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest of three savings, of which one changes nothing."""
-    store = SpecStore()
-    for spec in (ORDERS_SPEC, ORDERS_SPEC, M.with_transforms(ORDERS_SPEC, "status", TransformOp("upper"))):
-        store.save(spec)
-    head = store.head("orders")
-    return spark.createDataFrame([(head.source_id, head.version, head.parent_id)], "source_id string, version int, parent_id string")
+_VERSIONS = (
+    "saves AS (SELECT concat('c', CAST(o_custkey AS VARCHAR)) AS source_id, o_orderkey AS saved_at, o_orderstatus AS content_hash FROM orders),"
+    " fresh AS (SELECT * FROM saves QUALIFY content_hash IS DISTINCT FROM lag(content_hash) OVER (PARTITION BY source_id ORDER BY saved_at)),"
+    " v AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY saved_at) AS INT) AS version FROM fresh),"
+    " versions AS (SELECT source_id, version, CASE WHEN version > 1 THEN concat(source_id, '-v', version - 1) END AS parent_id, content_hash, saved_at FROM v)"
+)
 
 
-@query("assign_fields", "SELECT * FROM (VALUES ('customer_id', 'Cust'), ('quantity', 'Qty'), ('status', 'X7')) t(field, \"column\")")
-def assign_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One field per column, best pair first, over scores of a third column that loses its field."""
-    scored = {"Qty": [("quantity", 0.95), ("line_number", 0.4)], "Menge": [("quantity", 0.9)], "Cust": [("customer_id", 0.8)], "X7": [("status", 0.61)]}
-    taken = M.assign({column: [Candidate(f, s) for f, s in found] for column, found in scored.items()})
-    return spark.createDataFrame([(f, column) for f, (column, _) in taken.items()], "field string, column string")
+def saved_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_id"), F.col("o_orderkey").alias("saved_at"), F.col("o_orderstatus").alias("content_hash"))
+
+
+@query("spec_history", f"WITH {_VERSIONS} SELECT * FROM versions")
+def spec_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of many sources' specs, of savings of which some change nothing."""
+    return T.versions(saved_specs(spark, sf_dir))
+
+
+@query("spec_head", f"WITH {_VERSIONS} SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY version DESC) = 1")
+def spec_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.heads(T.versions(saved_specs(spark, sf_dir)))
 
 
 @query("op_literal_and_unmapped", "SELECT o_orderkey + 2 AS _src_row, 'export' AS source_system, CAST(NULL AS VARCHAR) AS channel FROM orders")
@@ -584,9 +642,22 @@ def op_literal_and_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform(orders_landing(spark, sf_dir), ORDERS_SPEC, ORDERS).select(SRC_ROW, "source_system", "channel")
 
 
-@query("content_hash")
+@query(
+    "content_hash",
+    "SELECT concat('c', c_custkey) AS source_id, substr(sha256(concat('{\"mappings\":[{\"literal\":null,\"source_column\":\"S\\u00e4ldo \\\"', c_mktsegment, '\\\"\",\"target_field\":\"balance\",\"transforms\":"
+    "[{\"args\":{},\"op\":\"strip\"},{\"args\":{\"dtype\":\"decimal\"},\"op\":\"cast\"}]},{\"literal\":\"\\u00e9\\t\\ud83d\\ude00\\\\', c_name, '\",\"source_column\":null,\"target_field\":\"segment\",\"transforms\":"
+    "[{\"args\":{\"dtype\":\"string\"},\"op\":\"cast\"}]}],\"source_id\":\"c', c_custkey, '\",\"target_schema\":\"accounts\",\"target_version\":2}')), 1, 16) AS content_hash FROM customer",
+)
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.source_id, s.content_hash()) for s in (ORDERS_SPEC, LINES_SPEC)], "source_id string, content_hash string")
+    """Hashes of a spec for each customer, with signs that JSON escapes."""
+    def op(name: str, args: str) -> Column:
+        return F.struct(F.lit(name).alias("op"), F.lit(args).alias("args"))
+
+    none = F.lit(None).cast("string")
+    balance = F.struct(F.lit("balance").alias("target_field"), F.concat(F.lit('Säldo "'), "c_mktsegment", F.lit('"')).alias("source_column"), none.alias("literal"), F.array(op("strip", "{}"), op("cast", '{"dtype":"decimal"}')).alias("transforms"))
+    segment = F.struct(F.lit("segment").alias("target_field"), none.alias("source_column"), F.concat(F.lit("é\t😀\\"), "c_name").alias("literal"), F.array(op("cast", '{"dtype":"string"}')).alias("transforms"))
+    specs = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source_id"), F.lit("accounts").alias("target_schema"), F.lit(2).alias("target_version"), F.inline(F.array(segment, balance)))
+    return T.content_hashes(specs).select("source_id", "content_hash")
 
 
 @query("propose_orders")
@@ -605,10 +676,7 @@ def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files: written from the test tables, then landed
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="files-")
-    return f"{place.rstrip('/')}/files-{uuid.uuid4().hex}"
+_scratch = store.scratch
 
 
 def _one_file(frame: DataFrame, order: str, form: str, suffix: str, **options) -> str:
@@ -681,6 +749,38 @@ def read_excel_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return land(spark, _write_workbook(spark, path, {"Info": [["made"]], "Data": [["Key", "Nation", None], [None, "Name", "Region"], *nations]})).frame
 
 
+#: Orders on one sheet; the format holds 1,048,576 rows.
+SHEET_ROWS = 1_000_000
+_ON_SHEETS = "SELECT concat('Orders ', CAST(o_orderkey // 1000000 AS VARCHAR)) AS sheet, o_orderkey, o_orderstatus FROM orders"
+
+
+def orders_book(spark: SparkSession, sf_dir: str) -> str:
+    """All orders as a workbook, and a sheet about them; its path."""
+    orders = table(spark, sf_dir, "orders")
+    sheet = F.concat(F.lit("Orders "), F.expr(f"CAST(o_orderkey div {SHEET_ROWS} AS STRING)")).alias("sheet")
+    rows = orders.select(sheet, F.col("o_orderkey").cast("long").alias("at"), F.array(F.col("o_orderkey").cast("string"), "o_orderstatus").alias("cells"))
+    heads = rows.select("sheet").distinct().select("sheet", F.lit(-1).cast("long").alias("at"), F.array(F.lit("Key"), F.lit("Status")).alias("cells"))
+    about = orders.agg(F.count("*").alias("n")).select(F.lit("About").alias("sheet"), F.lit(0).cast("long").alias("at"), F.array(F.col("n").cast("string")).alias("cells"))
+    path = f"{_scratch(spark)}.xlsx"
+    write_book(rows.unionByName(heads).unionByName(about), path)
+    return path
+
+
+@query("list_sheets", f"SELECT CAST(row_number() OVER (ORDER BY sheet) - 1 AS INT) AS place, sheet FROM (SELECT DISTINCT sheet FROM ({_ON_SHEETS}) UNION ALL SELECT 'About')")
+def sheets_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return list_sheets(spark, orders_book(spark, sf_dir))
+
+
+@query(
+    "read_excel_orders",
+    f"SELECT sheet, CAST(row_number() OVER (PARTITION BY sheet ORDER BY o_orderkey) + 1 AS BIGINT) AS _src_row, CAST(o_orderkey AS VARCHAR) AS \"key\", o_orderstatus AS status FROM ({_ON_SHEETS})",
+)
+def read_excel_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of all sheets of orders, each sheet in a task of its own."""
+    rows = read_sheets(spark, orders_book(spark, sf_dir)).filter(F.col("sheet").startswith("Orders") & (F.col(SRC_ROW) > 1))
+    return rows.select("sheet", SRC_ROW, F.col("cells")[0].alias("key"), F.col("cells")[1].alias("status"))
+
+
 def _write_workbook(spark: SparkSession, path: str, sheets: dict[str, list]) -> str:
     """A plain xlsx file of a few rows."""
     cell = lambda x: "<c/>" if x is None else f'<c t="inlineStr"><is><t>{escape(str(x))}</t></is></c>'
@@ -707,12 +807,16 @@ def dedupe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Whole runs
 
 
+def _orders_file(spark: SparkSession, sf_dir: str) -> str:
+    landing = orders_landing(spark, sf_dir).withColumnRenamed(SRC_ROW, "_at")
+    return _one_file(landing, "_at", "csv", ".csv", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quoteAll=True)
+
+
 @query("workspace_run", f"{_PROBLEMS} SELECT (SELECT count(*) FROM typed) AS rows_in, (SELECT count(*) FROM typed) - count(DISTINCT line) AS rows_valid, count(DISTINCT line) AS rows_rejected, count(DISTINCT clause) AS n_groups, 1 AS versions FROM problems")
 def workspace_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file registered, its spec saved (twice the same), run, and looked up again."""
     ws = Workspace(spark, _scratch(spark))
-    landing = orders_landing(spark, sf_dir).withColumnRenamed(SRC_ROW, "_at")
-    source = ws.register(_one_file(landing, "_at", "csv", ".csv", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quoteAll=True))
+    source = ws.register(_orders_file(spark, sf_dir))
     spec = replace(ORDERS_SPEC, source_id=source, _by_field={})
     for _ in range(2):
         ws.save_spec(spec)
@@ -765,12 +869,82 @@ def validate_key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.check(orders_landing(spark, sf_dir), _SLOTS_SPEC, _SLOTS).problems.select("line", "clause")
 
 
-@query("content_hash_sql", "SELECT source_id, substr(sha256(text), 1, 16) AS content_hash FROM (VALUES " + ", ".join(f"('{s.source_id}', {DUCKDB.text(t)})" for s, t in (
-    (_UNIQUE_SPEC, '{"mappings":[{"literal":null,"source_column":"Artikel","target_field":"sku","transforms":[{"args":{"dtype":"string"},"op":"cast"}]}],"source_id":"lines","target_schema":"lines_by_part","target_version":1}'),
-    (_SLOTS_SPEC, '{"mappings":[{"literal":null,"source_column":"Cust","target_field":"customer","transforms":[{"args":{"dtype":"string"},"op":"cast"}]},{"literal":null,"source_column":"Prio","target_field":"priority","transforms":[{"args":{"dtype":"string"},"op":"cast"}]}],"source_id":"orders","target_schema":"slots","target_version":1}'),
-)) + ") t(source_id, text)")
+@query("stream_key_lines", ORACLE["validate_key_lines"])
+def stream_key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows read as a stream of several batches: repeated keys are told of across batches."""
+    folder, rows = _scratch(spark), orders_landing(spark, sf_dir)
+    rows.withColumn("part", F.pmod(F.xxhash64(SRC_ROW), F.lit(3))).repartition(3, "part").drop("part").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for started in write_checked(stream, _SLOTS_SPEC, _SLOTS, f"{folder}/out", f"{folder}/cp"):
+        started.awaitTermination()
+    return checked_so_far(spark, _SLOTS_SPEC, _SLOTS, f"{folder}/out").problems.select("line", "clause")
+
+
+@query(
+    "validate_key_all_lines",
+    f"WITH landed AS ({_LINES_DUCK}), k AS (SELECT Bestellnr, Pos, count(*) AS n FROM landed GROUP BY 1, 2 HAVING count(*) > 1)"
+    " SELECT CAST(Bestellnr AS BIGINT) AS order_id, CAST(Pos AS BIGINT) AS line_number, _src_row AS line, n FROM landed JOIN k USING (Bestellnr, Pos)",
+)
+def validate_key_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all repeated keys, which messages list the first of."""
+    return V.repeated_lines(transform(lines_landing(spark, sf_dir), LINES_SPEC, LINES), ["order_id", "line_number"])
+
+
+@query(
+    "content_hash_sql",
+    f"WITH a AS ({_PART_SPECS.format(s='VARCHAR', part='part', old='true')})"
+    " SELECT source_id, substr(sha256(concat('{\"mappings\":[', string_agg(concat('{\"literal\":null,\"source_column\":', CASE WHEN source_column = 'Preis \"€\"' THEN '\"Preis \\\"\\u20ac\\\"\"' ELSE concat('\"', source_column, '\"') END, ',\"target_field\":\"', target_field, '\",\"transforms\":',"
+    f" {_OPS_TEXT}, '}}'), ',' ORDER BY target_field), '],\"source_id\":\"', source_id, '\",\"target_schema\":\"parts\",\"target_version\":1}}')), 1, 16) AS content_hash FROM a GROUP BY source_id",
+)
 def content_hash_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.source_id, s.content_hash()) for s in (_UNIQUE_SPEC, _SLOTS_SPEC)], "source_id string, content_hash string")
+    return T.content_hashes(part_specs(spark, sf_dir, True)).select("source_id", "content_hash")
+
+
+@query("profile_over_time", ORACLE["profile_counts"])
+def profile_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a source that comes in four files, each counted when it comes and not read again."""
+    rows, state = orders_landing(spark, sf_dir), P.ProfileState(spark, _scratch(spark))
+    for k in range(4):
+        state.add(rows.filter(F.pmod(F.xxhash64(SRC_ROW), F.lit(4)) == k), k)
+    whole = P.counts(state.values())
+    return whole.withColumns({c: F.col(c).cast("long") for c in ("min_length", "max_length")})
+
+
+@query("embed_documents", "SELECT count(*) AS n_rows, count(DISTINCT text) AS kept_first, count(DISTINCT text) AS kept_again, CAST(sum(length(text)) AS BIGINT) AS total FROM documents")
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encoded in two runs: the second one finds all in the cache. The encoder here tells a text's length."""
+    ws, texts = Workspace(spark, _scratch(spark)), table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = []
+    for _ in range(2):
+        vectors = ws.embedded(texts, lambda found: [[float(len(t)), 1.0] for t in found], "lengths")
+        kept.append(ws.table("embedding_cache").count())
+    return vectors.agg(F.count("*").alias("n_rows"), F.lit(kept[0]).cast("long").alias("kept_first"), F.lit(kept[1]).cast("long").alias("kept_again"), F.sum(F.col("vector")[0].cast("long")).alias("total"))
+
+
+@query(
+    "profile_samples",
+    f"{_CELLS} SELECT ordinal, array_to_string(list(value ORDER BY rank), '|') AS samples FROM (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, first, value) AS rank FROM vals WHERE NOT missing) WHERE rank <= 5 GROUP BY ordinal",
+)
+def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.profile(orders_landing(spark, sf_dir)).select("ordinal", F.array_join("samples", "|").alias("samples"))
+
+
+@query("rejections_file", f"{_PROBLEMS} SELECT CAST(line AS VARCHAR) AS line, coalesce(\"column\", '') AS \"column\", nullif(value, '') AS value, concat(upper(clause[1]), clause[2:]) AS problem FROM problems")
+def rejections_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejections as customers get them, written as CSV and read again."""
+    path = _scratch(spark)
+    orders_report(spark, sf_dir).write_rejections(path)
+    return spark.read.csv(path, header=True, escape='"').select("line", F.coalesce("column", F.lit("")).alias("column"), "value", "problem")
+
+
+@query("compile_artifacts", ORACLE["transform_orders"])
+def compile_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script that a run leaves beside its results, run again over the landed source."""
+    ws = Workspace(spark, _scratch(spark))
+    source = ws.register(_orders_file(spark, sf_dir))
+    run_id, _ = ws.run(source, ORDERS, replace(ORDERS_SPEC, source_id=source, _by_field={}))
+    script = "\n".join(r.value for r in spark.read.text(ws.run_of(run_id)["report"]["artifacts"]["sql"]).collect())
+    return spark.sql(script.rstrip().rstrip(";"))
 
 
 @query(
