@@ -25,7 +25,7 @@ from tidegate.operators import vectors as X
 from tidegate.plans.compile import compile_script, compile_select, render_module, transform
 from tidegate.plans import spec_table as T
 from tidegate.plans.spec import FieldMapping, MappingSpec
-from tidegate.schema import SRC_ROW, TargetSchema
+from tidegate.schema import SRC_ROW, TargetField, TargetSchema
 from tidegate.sources import store
 from tidegate.sources.landing import Workspace
 from tidegate.sources.readers import dedupe, flatten, land, with_src_row
@@ -960,6 +960,67 @@ def value_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "field string, score double")
 
 
+def _profiles(spark: SparkSession, sf_dir: str) -> dict[str, dict]:
+    """Profiles of the orders landing by column (a row per column reaches the driver)."""
+    return {r["name"]: r.asDict(recursive=True) for r in P.profile(orders_landing(spark, sf_dir).select(SRC_ROW, *ORDERS_COLUMNS)).collect()}
+
+
+_SUGGESTED = {
+    "order_id": (0, ["CASE WHEN currency THEN 'strip_currency' END", "CASE WHEN percentage THEN 'parse_percent' END"]),
+    "customer_id": (1, []),
+    "total": (2, ["CASE WHEN currency THEN 'strip_currency' END", "CASE WHEN percentage THEN 'parse_percent' END", "'parse_decimal'"]),
+    "placed_on": (3, ["'parse_date'"]),
+    "status": (4, ["CASE WHEN folded < n_values OR recased THEN 'lower' END"]),
+    "priority": (5, []),
+}
+
+
+@query(
+    "suggested_ops",
+    f"{_CELLS}, s AS (SELECT ordinal, coalesce(sum(n) FILTER (missing), 0) > 0 AS lacks, {_TAGS['currency'].replace('sum(n) FILTER (', 'coalesce(sum(n) FILTER (NOT missing AND ').replace(') / sum(n) >', '), 0) / sum(n) FILTER (NOT missing) >')} AS currency,"
+    f" {_TAGS['percentage'].replace('sum(n) FILTER (', 'coalesce(sum(n) FILTER (NOT missing AND ').replace(') / sum(n) >', '), 0) / sum(n) FILTER (NOT missing) >')} AS percentage,"
+    " count(DISTINCT lower(value)) FILTER (NOT missing) AS folded, count(*) FILTER (NOT missing) AS n_values, count(*) FILTER (NOT missing AND lower(value) IN ('filled', 'open') AND value NOT IN ('filled', 'open')) > 0 AS recased FROM vals GROUP BY ordinal)"
+    + " UNION ALL ".join(f" SELECT '{f}' AS field, concat_ws(',', 'strip', CASE WHEN lacks THEN 'null_if' END{''.join(', ' + p for p in parts)}, 'cast') AS ops FROM s WHERE ordinal = {k}" for f, (k, parts) in _SUGGESTED.items()),
+)
+def suggested_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ops that each column's profile calls for on its field."""
+    profiles = _profiles(spark, sf_dir)
+    rows = [(f, ",".join(op.op for op in M.suggest_transforms(profiles[ORDERS_COLUMNS[k]], ORDERS.field(f)))) for f, (k, _) in _SUGGESTED.items()]
+    return spark.createDataFrame(rows, "field string, ops string")
+
+
+_OF_TYPE = {"integer": "inferred_type = 'integer'", "decimal": "inferred_type IN ('decimal', 'european_decimal', 'integer')", "date": "inferred_type = 'date'", "boolean": "inferred_type = 'boolean'"}
+
+
+@query(
+    "type_scores",
+    f"WITH inferred AS ({ORACLE['profile_inferred_types']}) " + " UNION ALL ".join(f"SELECT ordinal, '{t}' AS dtype, CASE WHEN {test} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM inferred" for t, test in _OF_TYPE.items()),
+)
+def type_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each column's inferred type fits fields of several dtypes (without other evidence)."""
+    rows = []
+    for column, profile in _profiles(spark, sf_dir).items():
+        plain = profile | {"semantics": [t for t in profile["semantics"] if t not in ("currency", "percentage", "date")]}
+        rows += [(ORDERS_COLUMNS.index(column), t, float(M.value_score(plain, TargetField("x", t))[0])) for t in _OF_TYPE]
+    return spark.createDataFrame(rows, "ordinal int, dtype string, score double")
+
+
+@query("column_texts", f"WITH samples AS ({ORACLE['profile_samples'].replace('rank <= 5', 'rank <= 4')}) SELECT ordinal, concat(['" + "', '".join(ORDERS_COLUMNS) + "'][ordinal + 1], '. ', replace(samples, '|', '. ')) AS text FROM samples")
+def column_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts by which columns are matched by meaning."""
+    return spark.createDataFrame([(ORDERS_COLUMNS.index(c), M.column_text(p)) for c, p in _profiles(spark, sf_dir).items()], "ordinal int, text string")
+
+
+@query("catalog_sources", "SELECT 'csv' AS kind, count(*) AS row_count, 6 AS n_columns, CAST(sum(o_orderkey + 2) AS BIGINT) AS row_sum FROM orders")
+def catalog_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalog says of a registered file, and its landed rows."""
+    ws = Workspace(spark, _scratch(spark))
+    source = ws.register(_orders_file(spark, sf_dir))
+    told = ws.sources().filter(F.col("source_id") == source).select("kind", "row_count")
+    rows = ws.frame(source).agg(F.sum(F.trim("`Ord #`").cast("long") + 2).alias("row_sum"))
+    return spark.createDataFrame([(*told.first(), len(ws.profiles(source)), *rows.first())], "kind string, row_count long, n_columns int, row_sum long")
+
+
 @query("propose_fields", "SELECT * FROM (VALUES ('order_id', 'Ord #'), ('customer_id', 'Cust'), ('status', 'State'), ('priority', 'Prio')) t(field, \"column\")")
 def propose_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields whose columns the names and values of the orders landing tell."""
