@@ -8,11 +8,12 @@ from dataclasses import replace
 import pytest
 
 from tidegate import queries as Q
-from tidegate.functions.ops import TransformOp
+from tidegate.functions.ops import CompileError, TransformOp
 from tidegate.operators import profile as P
 from tidegate.operators import propose as M
 from tidegate.plans import spec_table as T
-from tidegate.plans.spec import Candidate, FieldMapping, MappingSpec, diff
+from tidegate.plans.spec import Candidate, FieldMapping, MappingSpec, diff, validate_spec
+from tidegate.schema import TargetSchema
 from tidegate.sources import store
 from tidegate.sources.landing import Workspace, fingerprint
 
@@ -61,6 +62,25 @@ def test_specs_as_rows_hash_and_differ_as_objects(spark):
     assert json.loads(told["status"][1].transforms)[-2] == {"args": {}, "op": "upper"} and told["channel"][1] is None
 
 
+def test_faults_of_specs_as_rows_are_those_of_objects(spark):
+    schema = TargetSchema.of({"name": "t", "version": 1, "fields": [{"name": "a", "dtype": "integer"}, {"name": "b", "dtype": "string"}]})
+    cast, strip = (lambda t: TransformOp("cast", {"dtype": t})), TransformOp("strip")
+    fields = {
+        "good": (FieldMapping("a", "A", None, (strip, cast("integer"))), FieldMapping("b")), "missing": (FieldMapping("a"),), "unknown": (FieldMapping("a"), FieldMapping("b"), FieldMapping("c")),
+        "none": (FieldMapping("a", "A"), FieldMapping("b")), "last": (FieldMapping("a", "A", None, (cast("integer"), strip)), FieldMapping("b")), "twice": (FieldMapping("a", "A", None, (cast("integer"), cast("integer"))), FieldMapping("b")),
+        "type": (FieldMapping("a", None, "1", (cast("string"),)), FieldMapping("b")), "bare": (FieldMapping("a", None, None, (strip,)), FieldMapping("b")),
+    }
+    specs = [MappingSpec(k, "t", 1, m) for k, m in fields.items()]
+    found = {r.source_id: r.fault for r in T.faults(T.rows_of(spark, specs), schema).collect()}
+    for s in specs:
+        if s.source_id in found:
+            with pytest.raises(CompileError):
+                validate_spec(s, schema)
+        else:
+            validate_spec(s, schema)
+    assert found == {"missing": "missing", "unknown": "unknown", "none": "cast", "last": "cast", "twice": "cast", "type": "dtype"}
+
+
 def test_rounds_of_assignment_are_greedy(spark, tmp_path):
     rng = random.Random(1)
     for n in (1, 5, 30):

@@ -30,6 +30,7 @@ def op(name, **args):
     return TransformOp(name, args)
 
 
+# Texts and what the ops make of them, which must match.
 CASES = [
     (["  a b ", "", None], [op("strip")], ["a b", "", None]),
     (["AbC"], [op("lower")], ["abc"]),
@@ -106,9 +107,11 @@ def test_schema_rules():
         TargetSchema.of({"name": "s", "version": 1, "primary_key": ["a"], "fields": [{"name": "a", "dtype": "string"}]})
 
 
-# The seed, the bad cells and the counts of the surveyed messy file, which results must match.
+# The seed, the bad cells, the column names and the counts of the surveyed messy file, which results must match.
 MESSY_SEED = 20240315
 MESSY_BAD_CELLS = ((7, 9, "13/45/2024"), (25, 9, "soon"), (11, 5, "-4"), (14, 2, ""), (18, 6, "free"), (22, 8, "140%"))
+MESSY_COLUMNS = ["Ord #", "Ln", "Cust", "Item SKU", "Description", "Qty", "Price Each", "Curr", "Disc %", "Ordered On", "Shipped", "X7"]
+MESSY_FIELDS = ["order_id", "line_number", "customer_id", "sku", "product_name", "quantity", "unit_price", "currency", "discount_pct", "order_date", "ship_date", "status"]
 MESSY_COUNTS = {"rows_in": 30, "valid": 24, "rejected": 6, "problems": 6}
 
 
@@ -122,7 +125,7 @@ def write_messy(path):
         rows.append(row)
     for at, column, value in MESSY_BAD_CELLS:
         rows[at][column] = value
-    head = ["Ord #", "Ln", "Cust", "Item SKU", "Description", "Qty", "Price Each", "Curr", "Disc %", "Ordered On", "Shipped", "X7"]
+    head = MESSY_COLUMNS
     text = "Export\nKunde: Müller\n\nStand: heute\n" + "\n".join(";".join(r) for r in [head, *rows]) + "\n"
     path.write_bytes(text.encode("cp1252"))
 
@@ -135,7 +138,7 @@ def test_messy_csv_end_to_end(spark, tmp_path):
     frame = ws.frame(sid)
     assert [r[0] for r in frame.orderBy("_src_row").select("_src_row").collect()] == list(range(6, 36)) and frame.first()["Description"] == "Dübel 12mm"
     spec = ws.save_spec(M.propose(ws.profiles(sid), schema, sid))
-    assert {m.source_column: m.target_field for m in spec.mappings if m.is_mapped} == dict(zip(["Ord #", "Ln", "Cust", "Item SKU", "Description", "Qty", "Price Each", "Curr", "Disc %", "Ordered On", "Shipped", "X7"], ["order_id", "line_number", "customer_id", "sku", "product_name", "quantity", "unit_price", "currency", "discount_pct", "order_date", "ship_date", "status"]))
+    assert {m.source_column: m.target_field for m in spec.mappings if m.is_mapped} == dict(zip(MESSY_COLUMNS, MESSY_FIELDS))
     run_id, report = ws.run(sid, schema)
     assert report.counts() == MESSY_COUNTS
     assert report.summary() == "24 of 30 rows passed. 6 rows were rejected for 6 problems."

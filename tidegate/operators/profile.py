@@ -9,6 +9,9 @@ row per column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +101,16 @@ def distinct_values(frame: DataFrame) -> DataFrame:
     return counted.withColumn("missing", F.coalesce(null_value(F.col("value")), F.lit(True))).withColumn("blank", F.coalesce(F.col("value") == "", F.lit(False)))
 
 
+@contextmanager
+def counted(frame: DataFrame) -> Iterator[DataFrame]:
+    """The distinct values of a frame, kept for several uses and released at the end."""
+    values = distinct_values(frame).persist()
+    try:
+        yield values
+    finally:
+        values.unpersist()
+
+
 def counts(values: DataFrame) -> DataFrame:
     """Per column: rows, nulls, blanks, distinct values, lengths (null tokens count as null)."""
     given = ~F.col("missing")
@@ -241,11 +254,11 @@ class ProfileState:
 def profile(frame: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """One row per column with all measures, nested lists of structs included.
 
-    values: the frame's distinct_values, which the caller has written or persisted and
-    releases; without it they stay persisted until the session clears its cache.
+    values: the frame's distinct_values, where the caller has written them or keeps them
+    (see ``counted``). Without it they are counted in this plan, whose parts share one exchange.
     """
     if values is None:
-        values = distinct_values(frame).persist()
+        values = distinct_values(frame)
     inferred = types(values)
     tops = top_values(values)
     masks = patterns(values)

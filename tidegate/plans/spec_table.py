@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.plans.spec import HASH_DIGITS, HASHED_FORM, MappingSpec
+from tidegate.schema import TargetSchema
 
 SPEC = ("source_id", "target_schema", "target_version")
 SCHEMA = "source_id string, target_schema string, target_version int, target_field string, source_column string, literal string, transforms array<struct<op:string,args:string>>"
@@ -62,6 +63,27 @@ def content_hashes(table: DataFrame, *more: str) -> DataFrame:
     return whole.select(*SPEC, *more, F.substring(F.sha2(told, 256), 1, HASH_DIGITS).alias("content_hash"))
 
 
+def faults(table: DataFrame, schema: TargetSchema) -> DataFrame:
+    """source_id, target_field and fault of what keeps specs from being compiled for a schema: the checks of validate_spec, for all specs at once.
+
+    "unknown": the schema has no such field; "missing": the spec has none; "cast": not exactly one cast, as the last step; "dtype": the cast is to another dtype.
+    """
+    fields = F.array(*[F.struct(F.lit(f.name).alias("target_field"), F.lit(f.dtype).alias("dtype")) for f in schema.fields])
+    wanted = table.select("source_id").distinct().select("source_id", F.inline(fields))
+    own = table.select(F.col("source_id").alias("s"), F.col("target_field").alias("f"), (F.col("source_column").isNotNull() | F.col("literal").isNotNull()).alias("mapped"), "transforms")
+    both = wanted.join(own, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("target_field") == F.col("f")), "full")
+    casts = F.filter("transforms", lambda t: t["op"] == "cast")
+    last = F.get("transforms", F.size("transforms") - 1)["op"]
+    told = (
+        F.when(F.col("target_field").isNull(), F.lit("unknown"))
+        .when(F.col("f").isNull(), F.lit("missing"))
+        .when(~F.col("mapped"), F.lit(None))
+        .when((F.size(F.coalesce(casts, F.array().cast(dict(own.dtypes)["transforms"]))) != 1) | ~last.eqNullSafe(F.lit("cast")), F.lit("cast"))
+        .when(~F.get_json_object(F.get(casts, F.lit(0))["args"], "$.dtype").eqNullSafe(F.col("dtype")), F.lit("dtype"))
+    )
+    return both.select(F.coalesce("source_id", "s").alias("source_id"), F.coalesce("target_field", "f").alias("target_field"), told.alias("fault")).filter("fault is not null")
+
+
 def differences(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """keys, target_field, before and after (source_column, and transforms as JSON; null where the field is absent) of the fields that differ between two tables of specs."""
     on = [*keys, "target_field"]

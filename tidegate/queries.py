@@ -614,6 +614,20 @@ def spec_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "target_field", *sides)
 
 
+_PARTS = TargetSchema.of({"name": "parts", "version": 1, "fields": [{"name": "size", "dtype": "integer"}, {"name": "brand", "dtype": "string"}, {"name": "price", "dtype": "string"}]})
+
+
+@query(
+    "spec_faults",
+    f"WITH b AS ({_PART_SPECS.format(s='VARCHAR', part='part', old='false')}), s AS (SELECT DISTINCT source_id FROM b)"
+    " SELECT source_id, 'brand' AS target_field, 'missing' AS fault FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source_id = s.source_id AND target_field = 'brand')"
+    " UNION ALL SELECT source_id, target_field, CASE target_field WHEN 'extra' THEN 'unknown' ELSE 'dtype' END FROM b WHERE target_field IN ('extra', 'size')",
+)
+def spec_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps each of many specs from being compiled."""
+    return T.faults(part_specs(spark, sf_dir, False), _PARTS)
+
+
 _VERSIONS = (
     "saves AS (SELECT concat('c', CAST(o_custkey AS VARCHAR)) AS source_id, o_orderkey AS saved_at, o_orderstatus AS content_hash FROM orders),"
     " fresh AS (SELECT * FROM saves QUALIFY content_hash IS DISTINCT FROM lag(content_hash) OVER (PARTITION BY source_id ORDER BY saved_at)),"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.operators.profile import distinct_values, profile
+from tidegate.operators.profile import counted, profile
 from tidegate.operators.propose import Encoder, request_hash
 from tidegate.operators.validate import Report, check
 from tidegate.plans.compile import compile_script, render_module
@@ -139,11 +139,8 @@ class Workspace:
         landed = land(self.spark, path, sheet)
         landed.frame.write.parquet(self.landed_path(source_id))
         frame = self.frame(source_id)
-        values = distinct_values(frame).persist()
-        try:
+        with counted(frame) as values:
             profile(frame, values).write.parquet(f"{self.folder}/profiles/{source_id}")
-        finally:
-            values.unpersist()
         self.append("sources", {"source_id": source_id, "path": path, "kind": landed.kind, "fingerprint": fingerprint(self.spark, path), "detail": json.dumps(landed.detail), "row_count": frame.count(), "created_at": time.time()})
         return source_id
 
