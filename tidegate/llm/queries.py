@@ -52,6 +52,17 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rules_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the standard policy rejects, alone and beside others."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
+def rules_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that each version of each policy keeps, from one ledger."""
+    told = rules.verdicts(rules.ledger(table(spark, sf_dir, "documents")))
+    return told.groupBy("policy", "version").agg(F.count("*").alias("n_documents"), F.count_if("kept").alias("n_kept"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -85,6 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lines": op5_lines,
         "op6_html": op6_html,
         "op7_rules": op7_rules,
+        "rules_ablations": rules_ablations,
+        "rules_verdicts": rules_verdicts,
         "op8_mixing": op8_mixing,
         "op9_minhash": op9_minhash,
         "op10_fingerprints": op10_fingerprints,
