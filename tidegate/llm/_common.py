@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -68,6 +68,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """The result of ``build`` as one step table; those that it made on the way are deleted."""
+    before = _steps.get()
+    with temporary_steps(spark):
+        made = build()
+        token = _steps.set(before)  # the result belongs to the run outside
+        try:
+            return None if made is None else stored(made)
+        finally:
+            _steps.reset(token)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,12 +7,13 @@ import math
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import remove, shared_dir, shuffles_dropped, stored
+from tidegate.llm._common import remove, settled, shared_dir, shuffles_dropped, stored
 
-STAR_ROUNDS = 2
+#: Rounds in which each node meets a centre of its buckets.
+STAR_ROUNDS = 3
 #: Members of a bucket that are compared without stars or a look at their tokens: each meets fewer than this many others.
 FEW = 16
 
@@ -25,8 +26,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     further; both ends of every link are replaced, and self-links and repeats are
     dropped. Passes end when no link is left. Links shrink by a part in each pass,
     so all passes together read a multiple of the first one's rows, and only whether
-    links are left comes to the driver.
+    links are left comes to the driver. The passes' tables go when the result is written.
     """
+    return settled(edges.sparkSession, lambda: _components(edges, a, b))
+
+
+def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
     ends = edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
     links, hops = stored(ends), []
     while True:
@@ -147,12 +152,10 @@ def bucket_components(
 
     In buckets of up to FEW members all pairs are compared. A larger one is parted by
     size classes first (by_size: where unlike nodes share buckets often), and what is still larger proposes a star, its centre with
-    every other member of another component. At first each member takes the smallest of the
-    centres of its buckets alone, which settles groups of copies; then all proposed pairs
-    of different components are compared. The centre, then compared with all,
-    leaves the bucket, and so do buckets that hold one component only. Further stars
-    have the best-linked member as centre. Of what STAR_ROUNDS stars have left open,
-    members of different components are compared: all in a bucket of FEW members,
+    every other member of another component. Each member takes one of the centres of its
+    buckets in a round, so a round has no more pairs than nodes; buckets that hold one
+    component only are done with. A bucket's centre is its best-linked member. Of what STAR_ROUNDS
+    rounds have left open, members of different components are compared: all in a bucket of FEW members,
     and in a larger one those whose rarest tokens meet, which loses no link. No cap
     is set on either, and no pair is compared twice.
 
@@ -203,25 +206,29 @@ def bucket_components(
 
         def relabelled(rows: DataFrame) -> DataFrame:
             """Rows with their labels of now, without buckets of one component."""
-            placed = rows.drop("label").join(labels.withColumnRenamed("component", "label"), "node").select("key", "node", "n", "s", "label", "degree")
+            # Rows of a node take its label in a window over the node: as many rows as come in, a node's keys at most in each.
+            own = rows.select("key", "node", "n", "s", "degree", F.lit(None).cast("long").alias("fresh"))
+            told = labels.select(*[F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) if c != "node" else F.col("node") for c in ("key", "node", "n", "s", "degree")], F.col("component").alias("fresh"))
+            placed = own.unionByName(told).withColumn("label", F.max("fresh").over(Window.partitionBy("node"))).filter("key is not null").select("key", "node", "n", "s", "label", "degree")
             mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
             return stored(placed.join(mixed.select("key"), "key"))
 
         opened = relabelled(opened)
-        for turn in range(-1 if STAR_ROUNDS else 0, STAR_ROUNDS + 1):
+        for turn in range(STAR_ROUNDS + 1):
             if everyone is None and opened.isEmpty():
                 break
             if turn < STAR_ROUNDS:
+                # Each member meets one of the centres of its buckets, the best-linked, and another one in each round.
                 centres = opened.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "s", "label")).alias("hub"))
                 starred = opened.join(centres, "key")
                 hub = [F.col(f"hub.{c}").alias(as_name) for c, as_name in (("node", "hub"), ("n", "n"), ("label", "of_hub"), ("s", "s_hub"))]
-                chosen = starred.select(*hub, F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"))
-                if turn < 0:  # one centre for each member, so that a member of many buckets of one group is compared once
-                    fit = chosen.filter((F.col("of_hub") != F.col("of_member")) & fits)
-                    lead = F.min(F.struct("hub", "n", "of_hub", "s_hub", "m", "of_member", "s_member")).alias("lead")
-                    chosen = fit.groupBy("member").agg(lead).select("member", "lead.*")
-                else:
-                    opened = starred.filter(F.col("node") != F.col("hub.node")).select("key", "node", "n", "s", "label", "degree")
+                # The smallest, then the best-linked, then any: one that was met in vain is not met again in every round.
+                rank = (F.col("hub.node"), -F.col("hub.degree"), F.xxhash64("hub.node"))[turn % 3]
+                near_first = rank.cast("long").alias("order")
+                met_hubs = starred.select(near_first, *hub, F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"))
+                fit = met_hubs.filter((F.col("of_hub") != F.col("of_member")) & fits)
+                lead = F.min(F.struct("order", "hub", "n", "of_hub", "s_hub", "m", "of_member", "s_member")).alias("lead")
+                chosen = fit.groupBy("member").agg(lead).select("member", "lead.*").drop("order")
             elif everyone is not None:
                 placed = stored(everyone.join(labels.withColumnRenamed("component", "label"), "node"))
                 chosen = _prefix_pairs(placed, tokens(held), False)
@@ -243,7 +250,7 @@ def bucket_components(
             if turn < STAR_ROUNDS:
                 if not links.isEmpty():
                     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
-                    opened = opened.join(degrees, "node", "left").withColumn("degree", F.col("degree") + F.coalesce("more", F.lit(0)))
+                    opened = opened.join(degrees, "node", "left").withColumn("degree", F.col("degree") + F.coalesce("more", F.lit(0))).drop("more")
                 opened = relabelled(opened)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

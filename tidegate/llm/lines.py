@@ -38,7 +38,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import stored
+from tidegate.llm._common import settled, stored
 from tidegate.llm._graph import bucket_components
 
 LEAST_WORDS = 5
@@ -236,7 +236,11 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, com
 
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, complete: bool = False, least_chars: int | None = None, **columns: str) -> DataFrame:
-    """doc_id, row and removed (positions of the lines that go) of each document that loses lines."""
+    """doc_id, row and removed (positions of the lines that go) of each document that loses lines; the tables of its steps go when they are known."""
+    return settled(docs.sparkSession, lambda: _removed_lines(docs, least_words, percent, complete, least_chars, **columns))
+
+
+def _removed_lines(docs: DataFrame, least_words: int, percent: int, complete: bool, least_chars: int | None, **columns: str) -> DataFrame:
     rows = keyed(docs, **columns)
     lines = sketched(rows, least_words, least_chars)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "pos")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import stored
+from tidegate.llm._common import settled, stored
 from tidegate.llm._graph import bucket_components, components
 from tidegate.llm._words import chunks, mix, windows
 
@@ -145,7 +145,11 @@ def alike(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
+    """doc_id, n_shingles, component_id and kept of each document; the tables of its steps go when they are known."""
+    return settled(docs.sparkSession, lambda: _near_duplicates(docs, id_col, text_col))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = stored(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, set_one long, set_two long, bands array<long>"))
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")

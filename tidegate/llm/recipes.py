@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import stored
+from tidegate.llm._common import settled, stored
 from tidegate.llm._words import byte_values, chunks
 
 #: Bytes of a chunk: at least, at most; a cut follows one byte of 2 ** MASK_BITS beyond the least.
@@ -149,7 +149,11 @@ def _classes(recipes: DataFrame) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of each document. hash_bits: of a chunk's hash (fewer for tests of clashes)."""
+    """doc_id, keep_id, group_size, kept and text_sha256 of each document. hash_bits: of a chunk's hash (fewer for tests of clashes). The tables of its steps go when the result is known."""
+    return settled(docs.sparkSession, lambda: _duplicates(docs, id_col, text_col, hash_bits))
+
+
+def _duplicates(docs: DataFrame, id_col: str, text_col: str, hash_bits: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns({"key": F.xxhash64("text"), "tag": F.monotonically_increasing_id()})
     kind = dict(rows.dtypes)["doc_id"]
