@@ -97,7 +97,7 @@ def _of_size(rows: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("key", F.explode(F.transform(F.sequence(level - 1, level + 1), lambda c: F.xxhash64("key", c))))
 
 
-def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool) -> DataFrame:
+def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool, percent: int) -> DataFrame:
     """hub, n, of_hub, s_hub, member, m, of_member, s_member: the pairs of different components that can be alike at all.
 
     opened: key, node, n, s, label. tokens: node, slack, its distinct tokens, of which
@@ -108,25 +108,34 @@ def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool) -> DataFra
     enough are left on both sides. The order is by rarity, so what most nodes of a
     group share comes last, and single changes of copies come first.
 
+    places (optional, beside tokens): where in its sequence a token stands, -1 if more than once. Nodes that
+    are alike within 100 - percent edits share a token that no edit touches, so what
+    stands before it, and what stands behind it, differs in length by no more edits.
+
     Where a token's commonest component meets itself, nothing is compared: one side
     of each pair is of another. within: the two meet in a bucket, too (for tokens
     that alone tell little).
     """
-    each = tokens.select("node", "slack", "share", F.explode("tokens").alias("token"))
+    if "places" not in tokens.columns:
+        tokens = tokens.withColumn("places", F.transform("tokens", lambda t: F.lit(-1)))
+    each = tokens.select("node", "slack", "share", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("node", "slack", "share", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
     counts = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "token").groupBy("node", "slack", "share").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    ranked = each.join(counts, "token").groupBy("node", "slack", "share").agg(F.sort_array(F.collect_list(F.struct("df", "token", "place"))).alias("tokens"))
     rest = F.size("tokens").alias("size")
-    first = ranked.select("node", "share", rest, F.posexplode(F.slice(F.col("tokens.token"), F.lit(1), F.col("slack") + 1)).alias("at", "token"))
+    first = ranked.select("node", "share", rest, F.posexplode(F.slice("tokens", F.lit(1), F.col("slack") + 1)).alias("at", "t"))
     on = ["key", "token"] if within else ["token"]
-    left_over = first.select("node", "share", "token", (F.col("size") - F.col("at")).alias("rest"))
+    left_over = first.select("node", "share", F.col("t.token").alias("token"), F.col("t.place").alias("place"), (F.col("size") - F.col("at")).alias("rest"))
     placed = stored(left_over.join(opened.select(*on[:-1], "node", "n", "s", "label").distinct(), "node"))
     tops = placed.groupBy(*on, "label").agg(F.count("*").alias("rows")).groupBy(*on).agg(F.max(F.struct("rows", "label"))["label"].alias("top"), F.count("*").alias("labels"))
     met = stored(placed.join(tops.filter("labels > 1").select(*on, "top"), on))
-    left = met.filter("label <> top").select(*on, F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"), F.col("s").alias("s_hub"), F.col("share").alias("share_a"), F.col("rest").alias("rest_a"))
-    right = met.select(*on, "top", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"), F.col("share").alias("share_b"), F.col("rest").alias("rest_b"))
+    left = met.filter("label <> top").select(*on, F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"), F.col("s").alias("s_hub"), F.col("share").alias("share_a"), F.col("rest").alias("rest_a"), F.col("place").alias("place_a"))
+    right = met.select(*on, "top", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"), F.col("share").alias("share_b"), F.col("rest").alias("rest_b"), F.col("place").alias("place_b"))
     apart = (F.col("of_hub") != F.col("of_member")) & ((F.col("of_member") == F.col("top")) | (F.col("hub") < F.col("member")))
     enough = F.least("rest_a", "rest_b") >= F.col("share_a") + F.col("share_b")
-    return left.join(right, on).filter(apart & enough).select("hub", "n", "of_hub", "s_hub", "member", "m", "of_member", "s_member")
+    moved = F.col("place_a") - F.col("place_b")
+    behind = F.col("n") - F.col("m") - moved
+    near = (F.least("place_a", "place_b") < 0) | (100 * (F.abs(moved) + F.abs(behind)) <= (100 - percent) * F.greatest("n", "m"))
+    return left.join(right, on).filter(apart & enough & near).select("hub", "n", "of_hub", "s_hub", "member", "m", "of_member", "s_member")
 
 
 def bucket_components(
@@ -145,7 +154,7 @@ def bucket_components(
     blocked: key, node, n (its size) and optionally s (a sketch) of each node in each
     bucket. contents gives ``node`` and the columns that are compared for a table of
     nodes; linked turns (hub, member, contents of both) into (hub, member, linked);
-    tokens turns contents into node, slack, share and tokens (see _prefix_pairs).
+    tokens turns contents into node, slack, share, tokens and optionally places (see _prefix_pairs).
     Only pairs whose sizes allow ``percent`` of similarity, and whose sketches s_hub
     and s_member are ``possible``, are asked for. within: the last step's pairs
     share a bucket, as all others do.
@@ -231,12 +240,12 @@ def bucket_components(
                 chosen = fit.groupBy("member").agg(lead).select("member", "lead.*").drop("order")
             elif everyone is not None:
                 placed = stored(everyone.join(labels.withColumnRenamed("component", "label"), "node"))
-                chosen = _prefix_pairs(placed, tokens(held), False)
+                chosen = _prefix_pairs(placed, tokens(held), False, percent)
             else:
                 sized = stored(opened.join(opened.groupBy("key").agg((F.count("*") <= FEW).alias("few")), "key"))
                 chosen, many = _met(sized.filter("few")), sized.filter("not few")
                 if not many.isEmpty():
-                    chosen = chosen.union(_prefix_pairs(many, tokens(held.join(many.select("node").distinct(), "node", "left_semi")), within))
+                    chosen = chosen.union(_prefix_pairs(many, tokens(held.join(many.select("node").distinct(), "node", "left_semi")), within, percent))
             fitting = chosen.filter((F.col("of_hub") != F.col("of_member")) & fits)
             turned = F.col("hub") > F.col("member")
             ordered = fitting.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), turned.alias("turned"), F.least("of_hub", "of_member").alias("x"), F.greatest("of_hub", "of_member").alias("y"))

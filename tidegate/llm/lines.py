@@ -182,7 +182,7 @@ def confirmed(most: str) -> Column:
 
 
 def tokens_of_two(held: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, slack, share and tokens of contents (node, code, size): the distinct pairs of neighbouring words.
+    """node, slack, share, tokens and places of contents (node, code, size): the distinct pairs of neighbouring words, and where they stand.
 
     A changed or lacking word takes two pairs with it, an added one parts one. So a
     line of n words lacks at most 2n(1 - percent) pairs of any line that is alike,
@@ -191,7 +191,20 @@ def tokens_of_two(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     coded = held.select("node", "size", F.transform(F.array_remove(F.split("code", ""), ""), lambda w: F.ascii(w).cast("long")).alias("words"))
     pairs = F.zip_with(F.slice("words", F.lit(1), F.col("size") - 1), F.slice("words", F.lit(2), F.col("size") - 1), lambda a, b: F.shiftleft(a, 16).bitwiseOR(b))
     slack = F.expr(f"size * {2 * (100 - percent)} div 100").cast("int")
-    return coded.select("node", slack.alias("slack"), F.lit(0.0).alias("share"), F.array_distinct(pairs).alias("tokens"))
+
+    def once(found: Column) -> Column:
+        """Of sorted (token, at), each token, with -1 for one that stands in several places."""
+
+        def told(x: Column, k: Column) -> Column:
+            before, after = F.get(found, k - 1)["token"] == x["token"], F.get(found, k + 1)["token"] == x["token"]
+            return F.struct(x["token"].alias("token"), F.when(before, F.lit(-2)).when(after, F.lit(-1)).otherwise(x["at"]).alias("at"))
+
+        return F.filter(F.transform(found, told), lambda x: x["at"] > -2)
+
+    # The sorted pairs are bound once, as the argument of the outer transform.
+    placed = F.sort_array(F.transform(pairs, lambda p, k: F.struct(p.alias("token"), k.alias("at"))))
+    told = coded.select("node", slack.alias("slack"), F.get(F.transform(F.array(placed), once), F.lit(0)).alias("t"))
+    return told.select("node", "slack", F.lit(0.0).alias("share"), F.col("t.token").alias("tokens"), F.col("t.at").alias("places"))
 
 
 def _least_of_two(percent: int) -> int:
