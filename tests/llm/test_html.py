@@ -1,7 +1,9 @@
 """Main text of pages: planted boilerplate goes, article text stays whole, both ways of handing out trees agree."""
 
 import html as H
+import math
 import random
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -92,3 +94,74 @@ def test_very_long_pages(spark):
     rows = [(1, "http://long.example/", f"<nav>menu</nav><article>{body}</article>"), (2, "http://long.example/2", "<article>" + "<div>" * 20000 + "deep" + "</div>" * 20000), (3, None, "<p>no host")]
     found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert found[1].count("\n") == 39999 and found[2] == "deep" and found[3] == "no host"
+
+
+def test_names_announce_by_all_their_words(spark):
+    body = "".join(f"<div class='{c}'><p>{c} stays here</p></div>" for c in ("share-price", "comment-worthy side-effects", "menu-engineering", "adverb"))
+    gone = "".join(f"<div class='{c}'><p>{c} goes</p></div>" for c in ("share-buttons", "comment-list", "ad-slot-3", "site-nav cookie_banner"))
+    page = f"<body><article><h1>Prices</h1>{body}{gone}</article>{gone}</body>"
+    (row,) = html.extract(spark.createDataFrame([(1, "http://names.example/", page)], PAGES)).collect()
+    assert row.text == "Prices\nshare-price stays here\ncomment-worthy side-effects stays here\nmenu-engineering stays here\nadverb stays here"
+
+
+def tree_by_brute_force(pages):
+    """(host, path) -> (removed, common) of the site style trees, counted page by page."""
+    hosts = defaultdict(set)
+    for url, page in pages:
+        if page:
+            hosts[html.host(url)].add(page)
+    out = {}
+    for host, own in hosts.items():
+        style, content, mass = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+        for page in own:
+            root = html.parse(page)
+            for path, kinds in html._style(root).items():
+                style[html.digest(path)][kinds] += 1
+            found = html.blocks(root, lambda node: False)
+            for path, text in {(html.digest(owner[-1].path if owner else ""), text) for owner, text in found}:
+                content[path][text] += 1
+            inside = beside = 0
+            for owner, text in found:
+                mass[0]["page"] += len(text)
+                for path, weak in {(n.path, n.weak) for n in owner if n.dull}:
+                    mass[html.digest(path)]["weak" if weak else "strong"] += sum(len(text) for n in owner if n.dull and n.path == path)
+                if any(n.inside for n in owner):
+                    inside += len(text) * (not any(n.dull and not n.weak for n in owner))
+                else:
+                    beside += len(text) * (not any(n.dull for n in owner))
+            if inside:
+                mass[0]["inside"] += inside
+                mass[0]["beside"] += beside
+
+        def entropy(counts, n_pages):
+            total = sum(counts.values()) + html.PRIOR_PAGES
+            return min(1.0, (math.log(total) - sum(n * math.log(n) for n in counts.values()) / total) / math.log(n_pages + html.PRIOR_PAGES))
+
+        for path, counts in content.items():
+            n_pages = sum(style[path].values())
+            if not n_pages:
+                continue
+            composite = (1 - html.DAMPING) * entropy(style[path], n_pages) + html.DAMPING * entropy(counts, n_pages)
+            common = frozenset(html.digest(t) for t, n in counts.items() if n >= (n_pages + html.PRIOR_PAGES) * html.COMMON_SHARE)
+            if composite < html.LEAST_IMPORTANCE or common:
+                out[host, path] = (True if composite < html.LEAST_IMPORTANCE else None, common)
+        for path, held in mass.items():
+            if path:
+                removed = not (not held["strong"] and held["weak"] >= html.LEAST_SHARE * mass[0]["page"])
+                before, common = out.get((host, path), (None, frozenset()))
+                out[host, path] = (removed or before is True, common)
+        if mass[0]["inside"] and mass[0]["inside"] >= html.LEAST_SHARE * (mass[0]["inside"] + mass[0]["beside"]):
+            out[host, 0] = (True, out.get((host, 0), (None, frozenset()))[1])
+    return out
+
+
+def test_trees_against_brute_force(spark):
+    """Every decision of every host's tree, on all pages of the table and on sites with repeated notices and copies."""
+    rng = random.Random(11)
+    made = [r[:3] for k in range(4) for r in site(rng.randrange(3, 40), f"h{k}.example", rng)]
+    made += [(900 + k, "https://h0.example/copy", made[0][2]) for k in range(20)]
+    made += [(950 + k, f"https://same.example/{k}", f"<body><div class='top'><p>one notice</p></div><div class='sidebar'><p>{k} " + "text " * (k + 3) + "</p></div>") for k in range(12)]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame(made, PAGES))
+    found = {(r.host, r.path): (r.removed, frozenset(r.common)) for r in html.site_style_tree(pages).collect()}
+    wanted = tree_by_brute_force([(r.url, r.html) for r in pages.collect()])
+    assert found == wanted and any(c for _, c in wanted.values()) and len(wanted) > 100

@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import sentencepiece
 from pyspark.sql import functions as F
@@ -12,8 +11,7 @@ from test_duplicates import assert_lines_left, left_by_brute_force, near_by_brut
 from test_operators import measured, mix_targets
 
 import corpus_pipeline
-from tidegate.llm import lines, mixing, rules
-from tidegate.llm._common import shared_dir
+from tidegate.llm import _common, _graph, lines, mixing, rules
 from tidegate.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -116,16 +114,15 @@ def test_sources_stay_apart_in_the_mixture(spark):
     assert mixing.mixed_documents(docs).filter("doc_id = 1").select("source").distinct().count() == 2
 
 
-def test_stages_leave_no_tables_behind(spark, tmp_path):
+def test_stages_leave_no_tables_behind(spark, tmp_path, monkeypatch):
     """Steps go when a stage's result is known; what stays is a small table each, and the last stage's rows after a run."""
-    from urllib.parse import urlsplit
-
-    folder = Path(urlsplit(shared_dir(spark)).path)
+    folder = tmp_path / "shared"
+    folder.mkdir()
+    for module in (_common, _graph, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"file://{folder}")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = set(folder.iterdir()) if folder.exists() else set()
     for k in (1, 2):
         corpus_pipeline.STAGES[k][1](spark, docs, SF).write.parquet(str(tmp_path / f"out{k}"))
-    assert len(set(folder.iterdir()) - before) <= 2
-    before = set(folder.iterdir())
+        assert len(list(folder.iterdir())) == k
     corpus_pipeline.run(spark, SF)
-    assert len(set(folder.iterdir()) - before) <= 1
+    assert len(list(folder.iterdir())) == 3
