@@ -180,7 +180,7 @@ def phrases_by_brute_force(rows, least=10, top=2000):
 COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-@pytest.mark.parametrize("shard", [40, collocations.SHARD])
+@pytest.mark.parametrize("shard", [1, 40, collocations.SHARD])
 def test_phrases_of_odd_rows(spark, monkeypatch, shard):
     rng = random.Random(6)
     vocabulary = ["New", "york", "CITY", "é", "É", "a", "a", "😀", "x\x1fy", "of", "ß"]
@@ -193,8 +193,8 @@ def test_phrases_of_odd_rows(spark, monkeypatch, shard):
 
 
 def test_full_sketches_lose_nothing(spark, monkeypatch):
-    """With counters that every phrase shares, all phrases are candidates; the counts decide."""
-    monkeypatch.setattr(collocations, "MOST_BITS", 16)
+    """With few counters for many phrases, most phrases are candidates; the counts decide."""
+    monkeypatch.setattr(collocations, "BYTES_A_COUNTER", 1 << 30)
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'es'")
     found = sorted(tuple(r) for r in collocations.collocations(docs).select(*COLUMNS).collect())
     assert found == phrases_by_brute_force([(r.lang, r.text) for r in docs.collect()]) and found

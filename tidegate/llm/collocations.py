@@ -3,19 +3,17 @@
 1. One pass counts words exactly and hashes phrases of two and of three words into two
    sketches, arrays of counters, one hash each. A counter is an upper bound of every
    phrase that falls on it, so a bit per counter tells which phrases can reach the
-   least count. Only these bits, of bounded size, go to all tasks.
-2. A pass lists the distinct phrases that can (for three words, both of their pairs
-   must be able to, too): the candidates. They are dealt by a hash of their first two words
-   into shards of about SHARD phrases, so that a shard's automaton has a bounded size.
-3. A pass cuts from the texts the runs of words that can match a shard, counts equal
-   runs within a block of text, and deals them to the shard (SALTS times over, so that a hot pair
-   of words is shared out). Each task compiles a shard's phrases, guarded by spaces, into
-   Aho-Corasick automata, one for each language, scans the runs, and counts overlapping
-   matches. Runs of a shard never share a word, so no occurrence counts twice.
-4. Counts are summed; thresholds, scores and ranks follow with joins.
-
-So text moves once, however many shards there are. Phrases are told apart by 64-bit hashes when
-they are listed; all counts are of the texts themselves.
+   least count (for three words, both of their pairs must be able to, too): the
+   candidates. Only these bits, of bounded size, go to all tasks.
+2. A second pass cuts each shard of text into runs of words that lie in candidates,
+   compiles the shard's candidates, guarded by spaces, into Aho-Corasick automata, one for
+   each language, scans the runs, and counts overlapping matches. Runs never share a
+   word, so no occurrence counts twice. A shard has about SHARD places where a
+   candidate begins, so its automata have a bounded size, and no text moves.
+3. Counts are summed; thresholds, scores and ranks follow with joins.
+
+Within a shard, words that are counted and phrases that are listed are told apart by
+64-bit hashes; phrases are counted by their texts.
 
 Defined cases: a null text is empty; a null language is ``und``, and so joins rows
 that say so; very long texts are taken whole; repeated rows each count; ties of
@@ -28,27 +26,26 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import stored
+from tidegate.llm._common import settled, stored
 from tidegate.llm._words import Chunk, chunks, mix
 
 #: Fixed values of the contract: least count, percentage that a longer phrase must have to absorb one, size of a report.
 LEAST, ABSORBED, TOP = 10, 50, 2000
-#: Phrases of a shard, and the parts among which each shard's runs are dealt, at least.
-SHARD, SALTS = 100_000, 8
-#: Counters of a sketch: 2 ** 16 to 2 ** 27, near the bytes of text / BYTES_A_COUNTER. A block of them moves together.
-LEAST_BITS, MOST_BITS, BLOCK_BITS, BYTES_A_COUNTER = 16, 27, 16, 24
-#: Bytes of text that are worked on together.
-CHUNK = 2 << 20
+#: Places of a shard of text where candidates begin, about (a longer run is one shard).
+SHARD = 200_000
+#: Counters of a sketch move together in blocks. There is one for BYTES_A_COUNTER bytes of text, in whole blocks, and MOST_BLOCKS of them (2 ** 26 counters) at most.
+BLOCK, MOST_BLOCKS, BYTES_A_COUNTER = 1 << 16, 1 << 10, 20
+#: Bytes of text that are worked on together, and whose words are counted together.
+CHUNK, GATHERED = 1 << 20, 4 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = np.zeros(256, bool)
@@ -85,8 +82,9 @@ class Words:
 
 def split(chunk: Chunk, seeds: np.ndarray) -> Words:
     """seeds: a number of each text's language."""
-    start, end, doc = chunk._runs((~_GAP[chunk.bytes]).view(np.uint8))
-    pieces = np.concatenate(([0], np.cumsum(_BREAK[chunk.bytes])))[start]
+    solid = ~_GAP[chunk.bytes]
+    start, end, doc = chunk._runs(solid.view(np.uint8))
+    pieces = np.searchsorted(np.flatnonzero(_BREAK[chunk.bytes]), start)
     joined = np.zeros(len(start), bool)
     joined[:-1] = (doc[1:] == doc[:-1]) & (pieces[1:] == pieces[:-1])
     hashed = chunk.hashes(start, end, fold=True) if len(start) else np.zeros(0, np.uint64)
@@ -97,8 +95,9 @@ def split(chunk: Chunk, seeds: np.ndarray) -> Words:
     size = end - start
     fresh = np.cumsum(size + 1) - (size + 1)
     text = np.full(int((size + 1).sum()), 0x20, np.uint8)
-    at = np.flatnonzero(~_GAP[chunk.bytes])
-    text[np.repeat(fresh - start, size) + at] = _LOWER[chunk.bytes[at]]
+    place = np.repeat(np.arange(len(size), dtype=np.int32), size)  # the words before, each with its space
+    place += np.arange(len(place), dtype=np.int32)
+    text[place] = _LOWER[chunk.bytes[solid]]
     return Words(text, fresh, fresh + size, doc, joined, one, two, three)
 
 
@@ -112,6 +111,25 @@ def _worded(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str], np.ndarra
         yield split(chunk, seeds[mine]), langs, mine
 
 
+class Counted:
+    """Counted words of several chunks of text, summed by their hashes before they are told."""
+
+    def __init__(self) -> None:
+        self.bytes, self.parts = 0, []
+
+    def add(self, size: int, hashes: np.ndarray, n: np.ndarray, lang: pa.Array, word: pa.Array) -> None:
+        self.bytes += size
+        self.parts.append((hashes, n, lang, word))
+
+    def told(self) -> Iterator[tuple[dict[str, pa.Array], int]]:
+        if self.parts:
+            hashes, n, lang, word = zip(*self.parts)
+            self.bytes, self.parts = 0, []
+            _, first, own = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            total, at = np.bincount(own, np.concatenate(n)).astype(np.int64), pa.array(first)
+            yield {"lang": pa.concat_arrays(lang).take(at), "word": pa.concat_arrays(word).take(at), "n": pa.array(total)}, len(total)
+
+
 def _pairs(w: Words) -> np.ndarray:
     return np.flatnonzero(w.joined)
 
@@ -120,11 +138,16 @@ def _triples(w: Words) -> np.ndarray:
     return np.flatnonzero(w.joined[:-1] & w.joined[1:]) if len(w.joined) else np.zeros(0, np.int64)
 
 
-def _sketch(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def counter_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The counter of each hash among ``size`` (fewer than 2 ** 32)."""
+    return ((hashes >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+
+
+def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Word counts by block of text; at the end of a task its sketches, of each block of counters those that are not zero."""
 
     def add(counters: np.ndarray, hashes: np.ndarray) -> None:
-        at, n = np.unique(hashes >> np.uint64(64 - bits), return_counts=True)
+        at, n = np.unique(counter_of(hashes, size), return_counts=True)
         counters[at] = np.minimum(counters[at] + n, 255)
 
     names = ["lang", "word", "n", "order", "block", "places", "counts"]
@@ -134,16 +157,19 @@ def _sketch(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         return pa.RecordBatch.from_arrays([values.get(c, pa.nulls(n, kind)) for c, kind in zip(names, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches = [np.zeros(1 << bits, np.uint8) for _ in range(2)]
+        sketches = [np.zeros(size, np.uint8) for _ in range(2)]
+        words = Counted()
         for batch in batches:
             for w, langs, own in _worded(batch):
                 add(sketches[0], w.two[_pairs(w)])
                 add(sketches[1], w.three[_triples(w)])
-                _, first, n = np.unique(w.one, return_index=True, return_counts=True)
-                lang = pa.array(langs, pa.string()).take(pa.array(own[w.doc[first]]))
-                yield rows({"lang": lang, "word": w.strings(first, first), "n": pa.array(n, pa.int64())}, len(n))
+                hashes, first, n = np.unique(w.one, return_index=True, return_counts=True)
+                words.add(len(w.text), hashes, n, pa.array(langs, pa.string()).take(pa.array(own[w.doc[first]])), w.strings(first, first))
+                if words.bytes >= GATHERED:
+                    yield from (rows(*x) for x in words.told())
+        yield from (rows(*x) for x in words.told())
         for order, counters in enumerate(sketches, 2):
-            for block, part in enumerate(counters.reshape(-1, 1 << min(bits, BLOCK_BITS))):
+            for block, part in enumerate(counters.reshape(-1, BLOCK)):
                 if len(at := np.flatnonzero(part)):
                     yield rows({"order": pa.array([order], pa.int32()), "block": pa.array([block], pa.int32()), "places": pa.array([at.astype(np.uint16).tobytes()]), "counts": pa.array([part[at].tobytes()])}, 1)
 
@@ -154,7 +180,7 @@ def _merged(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     """Of each block of counters, summed over tasks, a bit for each that reaches ``least``. Rows of a block follow one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, np.zeros(1 << BLOCK_BITS, np.uint16)
+        at, total = None, np.zeros(BLOCK, np.uint16)
 
         def told() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], ["order", "block", "bits"])
@@ -177,7 +203,7 @@ def _merged(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 class Bounds:
     """A bit for each counter of the two sketches: whether its phrases can reach the least count."""
 
-    bits: int
+    size: int
     two: bytes
     three: bytes
 
@@ -185,7 +211,7 @@ class Bounds:
         """For each word whether the pair, and the triple, that begin with it can."""
 
         def test(packed: bytes, hashes: np.ndarray) -> np.ndarray:
-            at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+            at = counter_of(hashes, self.size)
             return (np.frombuffer(packed, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
         pair = w.joined & test(self.two, w.two)
@@ -195,129 +221,73 @@ class Bounds:
         return pair, triple
 
 
-def _candidates(bounds) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """lang, phrase and key (a hash of the first two words) of phrases that can reach the least count, each once in a task."""
+def automaton(phrases: list[str]) -> ahocorasick.Automaton:
+    """Finds phrases between spaces; a phrase's value is its place in the list."""
+    made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, phrase in enumerate(phrases):
+        made.add_word(f" {phrase} ", k)
+    made.make_automaton()
+    return made
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, np.uint64)
-        for batch in batches:
-            for w, langs, own in _worded(batch):
-                pair, triple = bounds.value.passing(w)
-                for last, can, hashes in ((1, pair, w.two), (2, triple, w.three)):
-                    at = np.flatnonzero(can)
-                    new, first = np.unique(hashes[at], return_index=True)
-                    place = np.searchsorted(known, new)
-                    fresh = known[np.minimum(place, len(known) - 1)] != new if len(known) else np.ones(len(new), bool)
-                    at = at[first[fresh]]
-                    known = np.insert(known, place[fresh], new[fresh])
-                    lang = pa.array(langs, pa.string()).take(pa.array(own[w.doc[at]]))
-                    yield pa.RecordBatch.from_arrays([lang, w.strings(at, at + last), pa.array((w.two[at] >> np.uint64(1)).astype(np.int64))], ["lang", "phrase", "key"])
 
-    return run
+def matches(found: ahocorasick.Automaton, runs: pa.Array, size: int) -> np.ndarray:
+    """How often each of an automaton's ``size`` phrases occurs, overlapping, in the runs."""
+    text = " " + " \n ".join(runs.to_pylist()) + " "
+    return np.bincount(np.fromiter(map(itemgetter(1), found.iter(text)), np.int64), minlength=size)
 
 
-def _runs(bounds, shards: int, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """cell, lang, text and number of the runs of words that can match a shard; cell is shard * salts + salt."""
+def _counts(bounds: Broadcast, shard: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """lang, phrase and n of the candidates of each shard of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = TaskContext.get().partitionId()
         for batch in batches:
             for w, langs, own in _worded(batch):
-                turn += 1
                 pair, triple = bounds.value.passing(w)
                 at = np.flatnonzero(pair)
-                shard = ((w.two[at] >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                at, shard = at[order], shard[order]
                 last = at + 1 + triple[at]
-                # A window goes on with the one before it where they share a word.
                 fresh = np.ones(len(at), bool)
-                fresh[1:] = (shard[1:] != shard[:-1]) | (at[1:] > last[:-1])
+                fresh[1:] = at[1:] > last[:-1]  # else the candidate shares a word with the one before, and goes on its run
                 begin = np.flatnonzero(fresh)
-                end = np.append(begin[1:], len(at))[: len(begin)] - 1
-                found = pa.table({"lang": pa.array(own[w.doc[at[begin]]], pa.int32()), "cell": pa.array(shard[begin] * salts + turn % salts), "text": w.strings(at[begin], last[end])})
-                counted = found.group_by(["lang", "cell", "text"]).aggregate([([], "count_all")]).combine_chunks()
-                lang = pa.array(langs, pa.string()).take(counted["lang"].combine_chunks())
-                for part in pa.table([counted["cell"], lang, counted["text"], counted["count_all"]], names=["cell", "lang", "text", "n"]).to_batches(20_000):
-                    yield part
+                lo = 0
+                while lo < len(begin):  # whole runs, of about ``shard`` places together
+                    hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + shard)))
+                    first, stop = begin[lo:hi], begin[hi] if hi < len(begin) else len(at)
+                    ends = np.append(first[1:], stop) - 1
+                    yield from _shard(w, langs, own, at[begin[lo] : stop], triple, at[first], last[ends])
+                    lo = hi
 
     return run
 
 
-def automaton(phrases: list[str]) -> ahocorasick.Automaton:
-    """Finds phrases between spaces; a phrase's value is its place in the list."""
-    made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k, phrase in enumerate(phrases):
-        made.add_word(f" {phrase} ", k)
-    made.make_automaton()
-    return made
-
-
-def matches(found: ahocorasick.Automaton, runs: pa.Array, n: np.ndarray, size: int) -> np.ndarray:
-    """How often each of an automaton's ``size`` phrases occurs, overlapping, in runs that occur n times."""
-    text = " " + " \n ".join(runs.to_pylist()) + " "
-    ends = np.cumsum(pc.utf8_length(runs).to_numpy(zero_copy_only=False).astype(np.int64) + 3)
-    hits = np.fromiter(chain.from_iterable(found.iter(text)), np.int64).reshape(-1, 2)
-    out = np.zeros(size, np.int64)
-    np.add.at(out, hits[:, 1], n[np.searchsorted(ends, hits[:, 0], side="left")])
-    return out
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, n: of each cell first the phrases come, then the runs."""
-    cell, phrases, automata, counts = None, {}, {}, {}
-
-    def told() -> Iterator[pa.RecordBatch]:
-        for lang, n in counts.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(phrases[lang], pa.string()).take(pa.array(at)), pa.array(n[at])], ["lang", "phrase", "n"])
-
-    for batch in batches:
-        cells, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "kind"))
-        changes = np.flatnonzero((cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-        for lo, hi in zip([0, *changes.tolist()], [*changes.tolist(), len(cells)]):
-            if hi == lo:
-                continue
-            if cells[lo] != cell:
-                yield from told()
-                cell, phrases, automata, counts = cells[lo], {}, {}, {}
-            part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
-            for lang in part["lang"].unique().to_pylist():
-                own = part.filter(pc.equal(part["lang"], lang))
-                texts = own["text"].combine_chunks()
-                if kinds[lo] == 0:
-                    phrases.setdefault(lang, []).extend(texts.to_pylist())
-                elif lang in phrases:
-                    if lang not in automata:
-                        automata[lang], counts[lang] = automaton(phrases[lang]), np.zeros(len(phrases[lang]), np.int64)
-                    counts[lang] += matches(automata[lang], texts, own["n"].to_numpy(), len(counts[lang]))
-    yield from told()
+def _shard(w: Words, langs: list[str], own: np.ndarray, pairs: np.ndarray, triple: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the candidates that begin at ``pairs`` in the runs of words from ``first`` to ``last``."""
+    triples = pairs[triple[pairs]]
+    starts = [at[np.unique(hashes[at], return_index=True)[1]] for at, hashes in ((pairs, w.two), (triples, w.three))]
+    for k in np.unique(own[w.doc[first]]).tolist():
+        mine = [at[own[w.doc[at]] == k] for at in starts]
+        phrases = pa.concat_arrays([w.strings(at, at + more) for more, at in enumerate(mine, 1)])
+        held = own[w.doc[first]] == k
+        n = matches(automaton(phrases.to_pylist()), w.strings(first[held], last[held]), len(phrases))
+        at = pa.array(np.flatnonzero(n))
+        yield pa.RecordBatch.from_arrays([pa.array([langs[k]] * len(at), pa.string()), phrases.take(at), pa.array(n[n > 0])], ["lang", "phrase", "n"])
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """Words (lang, word, n), and phrases of two and three words that occur ``least`` times or more (lang, phrase, n)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max((size // BYTES_A_COUNTER).bit_length(), LEAST_BITS), MOST_BITS)
-    read = stored(rows.mapInArrow(_sketch(bits), "lang string, word string, n long, order int, block int, places binary, counts binary"))
+    told = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = BLOCK * min(max(-(-told // (BYTES_A_COUNTER * BLOCK)), 1), MOST_BLOCKS)
+    read = stored(rows.mapInArrow(_sketch(size), "lang string, word string, n long, order int, block int, places binary, counts binary"))
     words = stored(read.filter("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     blocks = read.filter("block is not null").select("order", "block", "places", "counts").repartition("order", "block").sortWithinPartitions("order", "block")
-    packed = {order: np.zeros((1 << bits) // 8, np.uint8) for order in (2, 3)}
-    span = (1 << BLOCK_BITS) // 8
-    for r in blocks.mapInArrow(_merged(least), "order int, block int, bits binary").toLocalIterator():  # 2 ** MOST_BITS bits each at most
+    packed = {order: np.zeros(size // 8, np.uint8) for order in (2, 3)}
+    span = BLOCK // 8
+    for r in blocks.mapInArrow(_merged(least), "order int, block int, bits binary").toLocalIterator():  # a bit for each counter
         packed[r.order][r.block * span : (r.block + 1) * span] = np.frombuffer(r.bits, np.uint8)
-    bounds = spark.sparkContext.broadcast(Bounds(bits, packed[2].tobytes(), packed[3].tobytes()))
-    listed = rows.mapInArrow(_candidates(bounds), "lang string, phrase string, key long")
-    candidates = stored(listed.groupBy("lang", "phrase").agg(F.min("key").alias("key")))
-    shards = max(1, -(-candidates.count() // shard))
-    salts = max(SALTS, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    each = candidates.select(F.col("lang"), F.col("phrase").alias("text"), F.lit(0).cast("long").alias("n"), (F.col("key") % shards * salts).alias("first"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    runs = rows.mapInArrow(_runs(bounds, shards, salts), "cell long, lang string, text string, n long")
-    both = each.select((F.col("first") + F.col("salt")).alias("cell"), F.lit(0).alias("kind"), "lang", "text", "n").unionByName(runs.select("cell", F.lit(1).alias("kind"), "lang", "text", "n"))
-    dealt = both.repartition(min(shards * salts, 1 << 20), "cell").sortWithinPartitions("cell", "kind")
-    found = dealt.mapInArrow(_scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return words, stored(found.filter(F.col("n") >= least))
+    bounds = spark.sparkContext.broadcast(Bounds(size, packed[2].tobytes(), packed[3].tobytes()))
+    counts = rows.mapInArrow(_counts(bounds, shard), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return words, stored(counts.filter(F.col("n") >= least))
 
 
 def _scored(a: Column, left: Column, right: Column) -> Column:
@@ -329,7 +299,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """lang, rank, phrase, a, l, r, n and score: of each language the ``top`` phrases by score.
 
     A phrase is scored at its weakest cut; one whose words are in a longer candidate of at least ``absorbed`` percent of its count goes.
+    The tables of its steps go when the result is known.
     """
+    return settled(docs.sparkSession, lambda: _collocations(docs, lang_col, text_col, least, absorbed, top, shard))
+
+
+def _collocations(docs: DataFrame, lang_col: str, text_col: str, least: int, absorbed: int, top: int, shard: int) -> DataFrame:
     words, phrases = phrase_counts(docs, lang_col, text_col, least, shard)
     told = phrases.select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = told.withColumn("cut", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
