@@ -112,3 +112,18 @@ def test_a_malformed_line_is_named(spark, tmp_path, small_blocks):
     lines[321] = '{"a": '
     with pytest.raises(ValueError, match="line 322"):
         R.land(spark, written(tmp_path, "bad.jsonl", "\n".join(lines)))
+
+
+def test_empty_lists_marks_and_open_quotes(spark, tmp_path, small_blocks):
+    def landed(name, content):
+        (tmp_path / name).write_bytes(content)
+        frame = R.land(spark, str(tmp_path / name)).frame
+        return frame.columns[1:], [tuple(r) for r in frame.orderBy(R.SRC_ROW).collect()]
+
+    assert landed("a.json", b"[]") == landed("b.json", b'{"rows": []}') == landed("c.json", b'{"rows": [ ], "x": 1}') == ([], [])
+    assert landed("d.json", b"[{}, {}]") == ([], [(1,), (2,)])
+    assert landed("e.json", b'\xef\xbb\xbf[{"a": 1}]') == (["a"], [(1, "1")])
+    assert landed("f.csv", b'\xef\xbb\xbfid,note\n1,"a\nb"\n') == (["id", "note"], [(2, "1", "a\nb")])
+    assert landed("g.csv", b'id,note\n1,"open\n2,x\n') == (["id", "note"], [(2, "1", "open\n2,x")])
+    with pytest.raises(ValueError, match="no JSON"):
+        landed("h.json", b"5")
