@@ -186,6 +186,34 @@ def assert_lines_left(rows, left, wanted):
     assert kept <= 0.02 * removed, (kept, removed)
 
 
+@pytest.mark.parametrize("few", [0, _graph.FEW])
+def test_lines_that_share_a_passage_are_not_all_compared(spark, monkeypatch, few):
+    """A passage of most words brings lines together, also in their SimHashes; their other words tell them apart before any pair is made."""
+    rng = random.Random(3)
+    vocabulary = [w + v for w in ("an", "be", "co", "di", "er", "fo", "ga") for v in ("lo", "mi", "nu", "pe", "ra", "st", "ur", "ve", "wo")] + ["the", "of", "to"]
+    passage = [rng.choice(vocabulary) + rng.choice(vocabulary) for _ in range(45)]
+    made = [[rng.choice(vocabulary) for _ in range(rng.randrange(12, 24))] + passage for _ in range(150)]
+    for k in range(10):
+        own = list(made[k])
+        own[3] = "other"
+        made.append(own)
+    wanted = components(range(len(made)), alike_pairs([tuple(x) for x in made]))
+    pairs, store = [], _graph.stored
+
+    def counted(df):
+        out = store(df)
+        if "turned" in out.columns:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(_graph, "FEW", few)
+    monkeypatch.setattr(_graph, "stored", counted)
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(made)], DOCS)
+    found = {r.doc_id for r in lines.line_counts(frame).filter("n_removed > 0").collect()}
+    assert found == {k for k, label in wanted.items() if label != k} and 10 <= len(found) < 120
+    assert sum(pairs) < len(made) ** 2 / 6, pairs  # a third of all pairs
+
+
 def test_lines_edge_cases(spark):
     line = "one two three four five six"
     rows = [(2, f"{line}\nshort\n{line.upper()}!", "x"), (1, line, "y"), (None, line, "z"), (3, "short", "u"), (4, f"{line}\nown words of the fourth document", "v"), (4, f"{line}\nown words of the fourth document", "v")]

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from tidegate.llm._common import remove, settled, shared_dir, shuffles_dropped,
 STAR_ROUNDS = 3
 #: Members of a bucket that are compared without stars or a look at their tokens: each meets fewer than this many others.
 FEW = 16
+#: Times FEW: members of a bucket that are compared in the last step if sizes, sketches and marks tell most pairs apart.
+MARKED = 256
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -90,14 +92,31 @@ def _met(rows: DataFrame) -> DataFrame:
     return left.join(right, "key").filter("hub < member and of_hub <> of_member").drop("key")
 
 
-def _of_size(rows: DataFrame, percent: int) -> DataFrame:
-    """Buckets by size class, too: nodes whose sizes allow ``percent`` of similarity are of one class or of neighbouring ones, and meet in one bucket at least."""
-    level = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9))
-    # A size at a border may be taken for the class beside it, so each node is in the classes on both sides of its own.
-    return rows.withColumn("key", F.explode(F.transform(F.sequence(level - 1, level + 1), lambda c: F.xxhash64("key", c))))
+def _lacking(percent: int) -> Column:
+    """Whether hub and member (n, m, marks_a, bits_a, marks_b, bits_b) can be alike within 100 - percent edits by their marks.
 
+    marks: longs with a bit for each part of a node, bits of them in all; each edit takes one part at most. So lines
+    that share a long passage, and of what is beside it too little, do not meet.
+    """
+    shared = F.aggregate(F.zip_with("marks_a", "marks_b", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda a, b: a + b)
+    return 100 * (F.greatest("bits_a", "bits_b") - shared) <= (100 - percent) * F.greatest("n", "m")
+
+
+def _met_once(rows: DataFrame, marks: DataFrame, fits: Column, percent: int) -> DataFrame:
+    """As _met, for larger buckets: of the pairs, those that can be alike by sizes, sketches and marks (see _lacking).
+
+    Nodes that share several buckets meet in the first, and in a later one only if another lies before it.
+    """
+    before = F.lag("key").over(Window.partitionBy("node").orderBy("key"))
+    known = stored(rows.select("key", "node", "n", "s", "label").join(marks, "node").withColumn("before", before))
+    left = known.select("key", F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"), F.col("s").alias("s_hub"), *[F.col(c).alias(f"{c}_a") for c in ("before", "marks", "bits")])
+    right = known.select("key", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"), *[F.col(c).alias(f"{c}_b") for c in ("before", "marks", "bits")])
+    apart = (F.col("hub") < F.col("member")) & (F.col("of_hub") != F.col("of_member"))
+    fresh = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+    return left.join(right, "key").filter(apart & fits & fresh & _lacking(percent)).select("hub", "n", "of_hub", "s_hub", "member", "m", "of_member", "s_member")
 
-def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool, percent: int) -> DataFrame:
+
+def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool, percent: int, possible: Column | None = None, marks: DataFrame | None = None) -> DataFrame:
     """hub, n, of_hub, s_hub, member, m, of_member, s_member: the pairs of different components that can be alike at all.
 
     opened: key, node, n, s, label. tokens: node, slack, its distinct tokens, of which
@@ -112,6 +131,11 @@ def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool, percent: i
     are alike within 100 - percent edits share a token that no edit touches, so what
     stands before it, and what stands behind it, differs in length by no more edits.
 
+    marks (node, marks, bits): see _lacking.
+
+    Two nodes that share several first tokens meet at one of them: not where the tokens before, on both
+    sides, are one that brings them together already.
+
     Where a token's commonest component meets itself, nothing is compared: one side
     of each pair is of another. within: the two meet in a bucket, too (for tokens
     that alone tell little).
@@ -122,20 +146,34 @@ def _prefix_pairs(opened: DataFrame, tokens: DataFrame, within: bool, percent: i
     counts = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(counts, "token").groupBy("node", "slack", "share").agg(F.sort_array(F.collect_list(F.struct("df", "token", "place"))).alias("tokens"))
     rest = F.size("tokens").alias("size")
-    first = ranked.select("node", "share", rest, F.posexplode(F.slice("tokens", F.lit(1), F.col("slack") + 1)).alias("at", "t"))
+    shown = F.transform(F.slice("tokens", F.lit(1), F.col("slack") + 1), lambda t, k: F.struct(t["token"].alias("token"), t["place"].alias("place"), F.get("tokens", k - 1).alias("before")))
+    first = ranked.select("node", "share", rest, F.posexplode(shown).alias("at", "t"))
     on = ["key", "token"] if within else ["token"]
-    left_over = first.select("node", "share", F.col("t.token").alias("token"), F.col("t.place").alias("place"), (F.col("size") - F.col("at")).alias("rest"))
+    left_over = first.select("node", "share", F.col("t.token").alias("token"), F.col("t.place").alias("place"), F.col("t.before.token").alias("before"), F.col("t.before.place").alias("before_place"), (F.col("size") - F.col("at")).alias("rest"))
     placed = stored(left_over.join(opened.select(*on[:-1], "node", "n", "s", "label").distinct(), "node"))
     tops = placed.groupBy(*on, "label").agg(F.count("*").alias("rows")).groupBy(*on).agg(F.max(F.struct("rows", "label"))["label"].alias("top"), F.count("*").alias("labels"))
-    met = stored(placed.join(tops.filter("labels > 1").select(*on, "top"), on))
-    left = met.filter("label <> top").select(*on, F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"), F.col("s").alias("s_hub"), F.col("share").alias("share_a"), F.col("rest").alias("rest_a"), F.col("place").alias("place_a"))
-    right = met.select(*on, "top", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"), F.col("share").alias("share_b"), F.col("rest").alias("rest_b"), F.col("place").alias("place_b"))
+    met = placed.join(tops.filter("labels > 1").select(*on, "top"), on)
+    met = stored(met if marks is None else met.join(marks, "node"))
+    carried = ["share", "rest", "place", "before", "before_place", *([] if marks is None else ["marks", "bits"])]
+    side = {x: [F.col(c).alias(f"{c}_{x}") for c in carried] for x in "ab"}
+    left = met.filter("label <> top").select(*on, F.col("node").alias("hub"), "n", F.col("label").alias("of_hub"), F.col("s").alias("s_hub"), *side["a"])
+    right = met.select(*on, "top", F.col("node").alias("member"), F.col("n").alias("m"), F.col("label").alias("of_member"), F.col("s").alias("s_member"), *side["b"])
     apart = (F.col("of_hub") != F.col("of_member")) & ((F.col("of_member") == F.col("top")) | (F.col("hub") < F.col("member")))
     enough = F.least("rest_a", "rest_b") >= F.col("share_a") + F.col("share_b")
-    moved = F.col("place_a") - F.col("place_b")
-    behind = F.col("n") - F.col("m") - moved
-    near = (F.least("place_a", "place_b") < 0) | (100 * (F.abs(moved) + F.abs(behind)) <= (100 - percent) * F.greatest("n", "m"))
-    return left.join(right, on).filter(apart & enough & near).select("hub", "n", "of_hub", "s_hub", "member", "m", "of_member", "s_member")
+    most = (100 - percent) * F.greatest("n", "m")
+
+    def near(place: str) -> Column:
+        moved = F.col(f"{place}_a") - F.col(f"{place}_b")
+        behind = F.col("n") - F.col("m") - moved
+        return (F.least(f"{place}_a", f"{place}_b") < 0) | (100 * (F.abs(moved) + F.abs(behind)) <= most)
+
+    fresh = ~F.coalesce((F.col("before_a") == F.col("before_b")) & near("before_place"), F.lit(False))
+    faced = apart & enough & near("place") & fresh
+    if possible is not None:
+        faced &= possible
+    if marks is not None:
+        faced &= _lacking(percent)
+    return left.join(right, on).filter(faced).select("hub", "n", "of_hub", "s_hub", "member", "m", "of_member", "s_member")
 
 
 def bucket_components(
@@ -147,24 +185,24 @@ def bucket_components(
     within: bool = False,
     everyone: DataFrame | None = None,
     possible: Column | None = None,
-    by_size: bool = False,
+    marks: Callable[[DataFrame], DataFrame] | None = None,
+    rounds: int | None = None,
 ) -> DataFrame | None:
     """node, component (the smallest node of its connected group) of nodes that share buckets; None if there are none.
 
     blocked: key, node, n (its size) and optionally s (a sketch) of each node in each
     bucket. contents gives ``node`` and the columns that are compared for a table of
     nodes; linked turns (hub, member, contents of both) into (hub, member, linked);
-    tokens turns contents into node, slack, share, tokens and optionally places (see _prefix_pairs).
+    tokens turns contents into node, slack, share, tokens and optionally places, and marks into node and its bits (see _prefix_pairs).
     Only pairs whose sizes allow ``percent`` of similarity, and whose sketches s_hub
     and s_member are ``possible``, are asked for. within: the last step's pairs
     share a bucket, as all others do.
 
-    In buckets of up to FEW members all pairs are compared. A larger one is parted by
-    size classes first (by_size: where unlike nodes share buckets often), and what is still larger proposes a star, its centre with
+    In buckets of up to FEW members all pairs are compared. A larger one proposes a star, its centre with
     every other member of another component. Each member takes one of the centres of its
     buckets in a round, so a round has no more pairs than nodes; buckets that hold one
-    component only are done with. A bucket's centre is its best-linked member. Of what STAR_ROUNDS
-    rounds have left open, members of different components are compared: all in a bucket of FEW members,
+    component only are done with. A bucket's centre is its best-linked member. Of what ``rounds`` (STAR_ROUNDS)
+    have left open, members of different components are compared: all in a bucket of FEW members (with marks, MARKED times as many, of which few pairs are left by their marks),
     and in a larger one those whose rarest tokens meet, which loses no link. No cap
     is set on either, and no pair is compared twice.
 
@@ -173,6 +211,7 @@ def bucket_components(
     buckets then only settle links sooner. No pair that is alike is missed.
     """
     spark = blocked.sparkSession
+    rounds = STAR_ROUNDS if rounds is None else rounds
     if "s" not in blocked.columns:
         blocked = blocked.withColumn("s", F.lit(0).cast("long"))
     if everyone is not None and "s" not in everyone.columns:
@@ -186,12 +225,8 @@ def bucket_components(
         shared = stored(rows.join(sizes, "key").select("key", "node", "n", "s", F.col("node").alias("label"), "held"))
         return shared.filter(F.col("held") <= FEW).drop("held"), shared.filter(F.col("held") > FEW).drop("held").distinct()
 
-    small, large = parted(blocked)
-    met, opened = _met(small), large
-    if by_size:
-        smaller, opened = parted(_of_size(large, percent))
-        met = met.union(_met(smaller.distinct()))
-    near = stored(met.filter(fits).select("hub", "member").distinct())
+    small, opened = parted(blocked)
+    near = stored(_met(small).filter(fits).select("hub", "member").distinct())
     opened = opened.withColumn("degree", F.lit(0).cast("long"))
     nodes = near.select(F.explode(F.array("hub", "member")).alias("node")).union(opened.select("node"))
     nodes = stored((nodes if everyone is None else everyone.select("node")).distinct())
@@ -223,10 +258,10 @@ def bucket_components(
             return stored(placed.join(mixed.select("key"), "key"))
 
         opened = relabelled(opened)
-        for turn in range(STAR_ROUNDS + 1):
+        for turn in range(rounds + 1):
             if everyone is None and opened.isEmpty():
                 break
-            if turn < STAR_ROUNDS:
+            if turn < rounds:
                 # Each member meets one of the centres of its buckets, the best-linked, and another one in each round.
                 centres = opened.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "n", "s", "label")).alias("hub"))
                 starred = opened.join(centres, "key")
@@ -240,12 +275,15 @@ def bucket_components(
                 chosen = fit.groupBy("member").agg(lead).select("member", "lead.*").drop("order")
             elif everyone is not None:
                 placed = stored(everyone.join(labels.withColumnRenamed("component", "label"), "node"))
-                chosen = _prefix_pairs(placed, tokens(held), False, percent)
+                chosen = _prefix_pairs(placed, tokens(held), False, percent, possible, marks and marks(held))
             else:
-                sized = stored(opened.join(opened.groupBy("key").agg((F.count("*") <= FEW).alias("few")), "key"))
-                chosen, many = _met(sized.filter("few")), sized.filter("not few")
+                most = FEW if marks is None else MARKED * FEW
+                sized = stored(opened.join(opened.groupBy("key").agg((F.count("*") <= most).alias("few")), "key"))
+                chosen, many = sized.filter("few"), sized.filter("not few")
+                chosen = _met(chosen) if marks is None else _met_once(chosen, marks(held.join(chosen.select("node").distinct(), "node", "left_semi")), fits, percent)
                 if not many.isEmpty():
-                    chosen = chosen.union(_prefix_pairs(many, tokens(held.join(many.select("node").distinct(), "node", "left_semi")), within, percent))
+                    asked = held.join(many.select("node").distinct(), "node", "left_semi")
+                    chosen = chosen.union(_prefix_pairs(many, tokens(asked), within, percent, possible, marks and marks(asked)))
             fitting = chosen.filter((F.col("of_hub") != F.col("of_member")) & fits)
             turned = F.col("hub") > F.col("member")
             ordered = fitting.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), turned.alias("turned"), F.least("of_hub", "of_member").alias("x"), F.greatest("of_hub", "of_member").alias("y"))
@@ -256,7 +294,7 @@ def bucket_components(
             if not links.isEmpty():
                 joined = components(links, "x", "y").select(F.col("node").alias("label"), F.col("component").alias("joined"))
                 labels = stored(labels.withColumnRenamed("component", "label").join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("component")))
-            if turn < STAR_ROUNDS:
+            if turn < rounds:
                 if not links.isEmpty():
                     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
                     opened = opened.join(degrees, "node", "left").withColumn("degree", F.col("degree") + F.coalesce("more", F.lit(0))).drop("more")

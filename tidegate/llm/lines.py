@@ -38,6 +38,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm import _graph
 from tidegate.llm._common import settled, stored
 from tidegate.llm._graph import bucket_components
 
@@ -51,10 +52,15 @@ GAP = r"[^\p{L}\p{M}\p{N}]+"
 SHORT_WORD, WEIGHT = 3, 4
 CHUNK_WORDS = 4095
 #: Pairs of neighbouring words by which a line meets others.
-LISTED = 4
+LISTED = 5
 #: Bits in which the SimHashes of two lines differ at most that are compared.
 DISTANT = 24
 
+#: Longs of a line's marks, a bit of which stands for each of its words.
+MARKS, AGAIN = 16, 7
+#: Rounds of stars before all others are compared: later ones link hardly any more.
+STAR_ROUNDS = 1
+
 #: Bit of a pair's key from which its characters are told.
 _LENGTH_AT = 55
 _LANES = 0x0001_0001_0001_0001
@@ -207,6 +213,21 @@ def tokens_of_two(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     return told.select("node", "slack", F.lit(0.0).alias("share"), F.col("t.token").alias("tokens"), F.col("t.at").alias("places"))
 
 
+def marks_of_words(held: DataFrame) -> DataFrame:
+    """node, marks (longs) and bits (in them) of contents (node, code): a bit for each word, and one more each time that it comes again, up to AGAIN times.
+
+    Each edit takes one word at most, so a line that is alike has the bits of all but as many.
+    """
+    words = held.select("node", F.sort_array(F.array_remove(F.split("code", ""), "")).alias("words"))
+    each = words.select("node", "words", F.posexplode("words").alias("k", "word"))
+    again = reduce(lambda a, b: a + b, [F.when(F.get("words", F.col("k") - j) == F.col("word"), 1).otherwise(0) for j in range(1, AGAIN + 1)])
+    each = each.select("node", F.xxhash64("word", again).bitwiseAND(F.lit(64 * MARKS - 1)).cast("int").alias("at"))
+    bit = F.expr("shiftleft(1L, at & 63)")
+    longs = [F.bit_or(F.when(F.shiftright("at", 6) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(MARKS)]
+    bits = reduce(lambda a, b: a + b, [F.bit_count(f"w{j}") for j in range(MARKS)])
+    return each.groupBy("node").agg(*longs).select("node", F.array(*[f"w{j}" for j in range(MARKS)]).alias("marks"), bits.alias("bits"))
+
+
 def _least_of_two(percent: int) -> int:
     """The fewest words of a line that keeps a pair of neighbours in every line that is alike."""
     return -(-200 // (2 * percent - 100)) if percent > 50 else 1 << 31
@@ -241,11 +262,12 @@ def line_groups(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, com
         return held.select("node", slack.alias("slack"), F.lit(0.0).alias("share"), F.transform(words, lambda w: F.ascii(w).cast("long")).alias("tokens"))
 
     chosen = (lambda held: tokens_of_two(held, percent)) if least_words >= _least_of_two(percent) else tokens
+    rounds = min(STAR_ROUNDS, _graph.STAR_ROUNDS)
     if not complete:
         possible = F.bit_count(F.col("s_hub").bitwiseXOR(F.col("s_member"))) <= DISTANT
-        return bucket_components(blocked, texts, linked, chosen, percent, within=chosen is tokens, possible=possible, by_size=True)
+        return bucket_components(blocked, texts, linked, chosen, percent, within=chosen is tokens, possible=possible, marks=marks_of_words, rounds=rounds)
     every = classes.groupBy(F.col("one").alias("node")).agg(F.first("n_words").alias("n"))
-    return bucket_components(blocked, texts, linked, chosen, percent, everyone=every)
+    return bucket_components(blocked, texts, linked, chosen, percent, everyone=every, marks=marks_of_words, rounds=rounds)
 
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, complete: bool = False, least_chars: int | None = None, **columns: str) -> DataFrame:
