@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate import queries as Q
-from tidegate.functions.ops import DUCKDB, OP_ARGS, SPARK, CompileError, TransformOp, java_pattern, render
+from tidegate.functions.ops import DATE_LABELS, DUCKDB, OP_ARGS, SPARK, CompileError, TransformOp, date_shape, java_pattern, render
 from tidegate.operators import profile as P
 from tidegate.operators import propose as M
 from tidegate.operators import validate as V
@@ -396,3 +396,32 @@ def test_late_json_columns_are_in_order(spark, tmp_path):
     (tmp_path / "late.json").write_text(json.dumps({"rows": rows}))
     for name in ("late.jsonl", "late.json"):
         assert R.land(spark, str(tmp_path / name)).frame.columns == ["_src_row", "z", "n.k", "early", "late"]
+
+
+def test_date_shapes_hold_what_is_read(spark):
+    """What a format reads has its shape; what has not is not parsed."""
+    texts = ["2024-03-05", "2024-3-5", "+12024-03-05", "3/5/2024", "05/03/2024", "5.3.2024", "2024/03/05", "03-05-2024", "05-mar-2024", "5-Mar-2024", "Mar 5, 2024", "MAR 05, 2024", "2024-03-05T1:2:3Z", "2024-03-05t01:02:03z", "2024-03-05T01:02:03+01:00", "2024-03-05T01:02:03+0100", "2024-03-05T01:02:03", "2024-03-05 01:02:03", "31/02/1997", "soon", "123456", "", "CUST-10001", "1/2/3/4"]
+    frame = spark.createDataFrame([(t,) for t in texts], "v string").coalesce(1)
+    for fmt in DATE_LABELS:
+        read, shaped, dated, told = zip(*frame.select(F.try_to_timestamp("v", F.lit(java_pattern(fmt))).isNotNull(), F.col("v").rlike(date_shape(fmt)), P._maybe_date(F.col("v")), P.parses_date(F.col("v"), fmt)).collect())
+        assert any(read) and read == told and all(s and d for r, s, d in zip(read, shaped, dated) if r)
+        assert not any(s for s, t in zip(shaped, texts) if t in ("soon", "123456", "", "1/2/3/4"))
+
+
+def test_values_are_read_three_times_and_no_digit_is_lost(spark):
+    frame = spark.range(100_000).select(F.col("id").alias("_src_row"), F.col("id").cast("string").alias("n"), F.concat(F.lit("1000000000.5"), (F.col("id") % 3).cast("string")).alias("far"), F.concat((F.col("id") % 7).cast("string"), F.lit(",25")).alias("eu"))
+    with P.counted(frame) as values:
+        kept = P.profile(frame, values)
+        # once for what is summed up, once for folded values and once for the foremost ones
+        assert kept._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") <= 3
+        found = {r["name"]: r.asDict(recursive=True) for r in kept.collect()}
+    assert found["n"]["numeric"] == {"min": 0.0, "max": 99999.0, "mean": 49999.5, "stddev": round(((100_000**2 - 1) / 12) ** 0.5, 6)}
+    assert found["far"]["numeric"]["stddev"] == round((2 / 3) ** 0.5 / 100, 6) and found["eu"]["inferred_type"] == "european_decimal" and found["eu"]["numeric"]["max"] == 6.25
+    assert found["n"]["patterns"][0] == {"pattern": r"\d{5}", "count": 10_000, "pct": 0.5} and found["n"]["pattern_coverage"] == 0.2
+
+
+def test_folded_values(spark):
+    given = ["a", "A", "b", "ß", "ẞ", "İ", "i̇", "1", "2", "-.5", "Σ", "ς", "σ", None, "n/a"]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "_src_row long, v string")
+    row = P.counts(P.distinct_values(frame)).first()
+    assert (row.distinct_count, row.normalized_distinct_count) == (13, frame.filter("v is not null and v <> 'n/a'").select(F.lower("v")).distinct().count())
