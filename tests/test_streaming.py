@@ -54,3 +54,17 @@ def test_all_lines_of_repeated_keys(spark):
     assert found.count() == V.repeated_keys(rows, ["Bestellnr", "Pos"]).agg(F.sum("n")).first()[0]
     nulls = spark.createDataFrame([(1, None), (2, None), (3, "x")], f"{SRC_ROW} long, k string")
     assert sorted(map(tuple, V.repeated_lines(nulls, ["k"]).collect())) == [(None, 1, 2), (None, 2, 2)]
+
+
+def test_keys_are_counted_by_spark(spark, tmp_path):
+    """Keys are state of Spark's own aggregation, not calls of Python for every key, and are told of when they repeat."""
+    rows = spark.range(1, 60_001).select(F.col("id").alias(SRC_ROW), (F.col("id") % 20_000).cast("string").alias("Cust"), F.lit("x").alias("Prio"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    started = write_checked(stream, Q._SLOTS_SPEC, Q._SLOTS, f"{tmp_path}/out", f"{tmp_path}/cp")
+    for query in started:
+        query.awaitTermination(300)
+    assert {x.operatorName for x in started[1].lastProgress.stateOperators} == {"stateStoreSave"}
+    assert spark.read.parquet(f"{tmp_path}/out/keys").groupBy("key").agg(F.max("n").alias("n"), F.min("first").alias("first")).agg(F.count_if(F.col("n") == 3), F.min("first"), F.max("first")).first() == (20_000, 1, 20_000)
+    found = checked_so_far(spark, Q._SLOTS_SPEC, Q._SLOTS, f"{tmp_path}/out").problems
+    assert found.count() == 60_000 and found.filter("line = 1").first().clause == "customer 1 with priority x also appears on lines 20001 and 40001."
