@@ -425,3 +425,12 @@ def test_folded_values(spark):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "_src_row long, v string")
     row = P.counts(P.distinct_values(frame)).first()
     assert (row.distinct_count, row.normalized_distinct_count) == (13, frame.filter("v is not null and v <> 'n/a'").select(F.lower("v")).distinct().count())
+
+
+def test_groups_name_the_first_member_without_sorting_all_twice(spark):
+    frame = spark.createDataFrame([(9, "", "b"), (3, "", "b"), (5, "", "a"), (7, "x", "a")], "_src_row long, A string, B string")
+    schema = TargetSchema.of({"name": "g", "version": 1, "fields": [{"name": "a", "dtype": "string", "nullable": False}, {"name": "b", "dtype": "string", "constraints": {"enum": ["a"]}}]})
+    spec = MappingSpec("x", "g", 1, (FieldMapping("a", "A", None, (op("null_if", tokens=[""]), op("cast", dtype="string"))), FieldMapping("b", "B", None, (op("cast", dtype="string"),))))
+    groups = V.check(frame, spec, schema).groups()
+    assert "SortAggregate" not in groups._jdf.queryExecution().executedPlan().toString()
+    assert [(r.n, r.first_line, r.lines, r.field, r.column, r.value, r.kind) for r in groups.collect()] == [(3, 3, [3, 5, 9], "a", "A", "", "missing"), (2, 3, [3, 9], "b", "B", "b", "not_allowed")]

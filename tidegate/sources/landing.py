@@ -212,7 +212,7 @@ class Workspace:
         groups = self.spark.read.parquet(f"{folder}/groups")
         counts = report.counts()
         listed = groups.orderBy(F.desc("n"), "first_line", "clause").limit(LISTED_GROUPS).collect()
-        told = {"summary": report.summary(), "n_groups": groups.count(), "groups": [r.asDict(recursive=True) for r in listed]}
+        told = {"summary": report.summary(counts), "n_groups": groups.count(), "groups": [r.asDict(recursive=True) for r in listed]}
         scripts = {"sql": compile_script(spec, schema, self.landed_path(source_id)), "py": render_module(spec, schema)}
         artifacts = {kind: f"{self.folder}/artifacts/{source_id}/v{spec.version}_{spec.content_hash()}.{kind}" for kind in scripts}
         for kind, text in scripts.items():
